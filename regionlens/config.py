@@ -147,6 +147,7 @@ class ClusterCfg:
     max_iter: int = 300
     seed: int = 42
     partitions: int = 8
+    parallel: int = 5
 
 
 @dataclass(frozen=True)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -77,13 +78,15 @@ def kmeans_states(sf: DataFrame, cfg: ClusterCfg = ClusterCfg()) -> DataFrame:
     if k < 2:
         ready.unpersist()
         return laid_out.select("state", *cols, F.lit(0).alias("cluster"), F.lit("Cluster 1").alias("cluster_label"))
-    runs = (
-        KMeans(
-            k=k, seed=cfg.seed + r, maxIter=cfg.max_iter, featuresCol="_features", predictionCol="cluster"
+
+    def fit(restart: int) -> KMeansModel:
+        return KMeans(
+            k=k, seed=cfg.seed + restart, maxIter=cfg.max_iter, featuresCol="_features", predictionCol="cluster"
         ).fit(ready)
-        for r in range(cfg.restarts)
-    )
-    best = min(runs, key=lambda m: m.summary.trainingCost)
+
+    # Restarts are short jobs over few rows; side by side they fill the cluster better.
+    with ThreadPoolExecutor(max_workers=cfg.parallel) as pool:
+        best = min(pool.map(fit, range(cfg.restarts)), key=lambda m: m.summary.trainingCost)
     ready.unpersist()
     placed = best.transform(
         VectorAssembler(inputCols=[f"{c}_km" for c in cols], outputCol="_features").transform(laid_out)
@@ -115,13 +118,13 @@ def silhouette(clus: DataFrame, cols: Sequence[str] | None = None, block: int =
     def measure(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(a) and len(b):
-            x, y = a[xs].to_numpy(dtype=float), b[xs].to_numpy(dtype=float)
+            x, y = a[xs].to_numpy(dtype=float), b[[f"r_{x}" for x in xs]].to_numpy(dtype=float)
             total = np.zeros((len(x), len(y)))
             for d in range(len(xs)):
                 diff = x[:, d, None] - y[None, :, d]
                 total += diff * diff
             dist = np.sqrt(total)
-            label = b["cluster"].to_numpy()
+            label = b["r_cluster"].to_numpy()
             for c in np.unique(label):
                 parts.append(
                     pd.DataFrame(
@@ -139,7 +142,8 @@ def silhouette(clus: DataFrame, cols: Sequence[str] | None = None, block: int =
         return pd.DataFrame({"state": [], "cluster": [], "to_cluster": [], "distance": [], "members": []})
 
     left = rows.groupBy(F.col("own").alias("i"), F.col("other").alias("j"))
-    right = rows.groupBy(F.col("other").alias("i"), F.col("own").alias("j"))
+    facing = rows.toDF(*[f"r_{c}" for c in rows.columns])
+    right = facing.groupBy(F.col("r_other").alias("i"), F.col("r_own").alias("j"))
     sums = (
         left.cogroup(right)
         .applyInPandas(measure, "state string, cluster int, to_cluster int, distance double, members long")

@@ -68,26 +68,32 @@ class Detected:
 def match_names(columns: list[str], patterns: dict[str, list[str]] = COLUMN_PATTERNS) -> list[Detected]:
     """Map column names to canonical names by regular expression.
 
-    First every canonical name takes an exact match, then those left take a
-    partial match among unclaimed columns.  Patterns are tried in their order,
-    columns in table order, and a claimed column is never claimed again.
+    A column that already carries a canonical name keeps it.  Then every
+    canonical name takes an exact match, then those left take a partial match
+    among unclaimed columns.  Patterns are tried in their order, columns in
+    table order, and a claimed column is never claimed again.
     """
     found: dict[str, Detected] = {}
     claimed: set[str] = set()
 
-    def claim(standard: str, exact: bool) -> None:
+    def claim(standard: str, column: str) -> None:
+        exact = any(re.fullmatch(p, column, re.IGNORECASE) for p in patterns[standard])
+        claimed.add(column)
+        found[standard] = Detected(column, standard, "HIGH" if exact else "MEDIUM", "name")
+
+    def search(standard: str, test) -> None:
         for pattern in patterns[standard]:
-            test = re.compile(f"^{pattern}$" if exact else pattern, re.IGNORECASE)
             for c in columns:
-                if c not in claimed and test.search(c):
-                    claimed.add(c)
-                    found[standard] = Detected(c, standard, "HIGH" if exact else "MEDIUM", "name")
-                    return
+                if c not in claimed and test(pattern, c, re.IGNORECASE):
+                    return claim(standard, c)
 
-    for exact in (True, False):
+    for c in columns:
+        if c.lower() in patterns and c.lower() not in found:
+            claim(c.lower(), c)
+    for test in (re.fullmatch, re.search):
         for standard in patterns:
             if standard not in found:
-                claim(standard, exact)
+                search(standard, test)
     return [found[s] for s in patterns if s in found]
 
 

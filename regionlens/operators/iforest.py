@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from regionlens.config import ForestCfg
 from regionlens.functions.expr import one_value
+from regionlens.functions.materialize import checkpointed
 from regionlens.functions.quantile import quantile_row
 from regionlens.operators.features import standardize
 
@@ -140,15 +141,15 @@ def isolation_forest(
 ) -> DataFrame:
     """``ml`` with ``is_anomaly`` and ``anomaly_score``; about ``cfg.contamination`` of the rows are flagged.
 
-    Growing the forest runs one job here; pass ``ml`` persisted or from a table.
+    The scaled rows are written once: sampling, scoring and the flag all read them.
     """
-    scaled = standardize(ml, cols, "_iso")
+    scaled = checkpointed(standardize(ml, cols, "_iso"))
     inputs = [f"{c}_iso" for c in cols]
     forest = sorted(fit_forest(scaled, inputs, key, cfg).collect(), key=lambda r: r["tree"])
     if not forest:
         return ml.withColumns({"is_anomaly": F.lit(0), "anomaly_score": F.lit(0.0)})
     # A tree of psi rows has leaves that add up to psi; the sample is the same for all trees.
-    psi = min(cfg.sample, ml.count())
+    psi = min(cfg.sample, scaled.count())
     scored = score_rows(scaled, inputs, forest, psi).drop(*inputs)
     bound = one_value(quantile_row(scored, ["anomaly_score"], [1 - cfg.contamination]))
     return scored.withColumn(

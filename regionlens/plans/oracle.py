@@ -164,7 +164,7 @@ CTES: dict[str, str] = {
       sum(age_41_60_sum) / sum(age_0_18_sum + age_19_40_sum + age_41_60_sum + age_60_plus_sum) AS age_41_60_pct,
       sum(age_60_plus_sum) / sum(age_0_18_sum + age_19_40_sum + age_41_60_sum + age_60_plus_sum) AS age_60_plus_pct
     FROM scored GROUP BY 1""",
-    "labelled": "SELECT *, ascii(state) % 3 AS cluster FROM state_features",
+    "labelled": "SELECT *, ascii(right(state, 1)) % 3 AS cluster FROM state_features",
     "label_points": f"""
     SELECT state, cluster, {_Z.format(c='total_enrolments')} AS x0, {_Z.format(c='avg_growth')} AS x1, {_Z.format(c='avg_update_ratio')} AS x2 FROM labelled""",
     "label_distances": f"""
@@ -187,18 +187,18 @@ CTES: dict[str, str] = {
       CASE WHEN max(date) > min(date) THEN 1 - least(count(DISTINCT year_month) / ((max(date) - min(date)) / 30), 1) ELSE 0 END AS consistency_risk,
       least(coalesce(stddev_samp(update_ratio), 0) / 0.3, 1) AS update_pattern_risk FROM scored GROUP BY 1""",
     "risk": """
-    SELECT *, CASE WHEN risk_score >= 0.5 THEN 'CRITICAL' WHEN risk_score >= 0.45 THEN 'HIGH' WHEN risk_score >= 0.43 THEN 'MEDIUM'
-        WHEN risk_score >= 0.4 THEN 'LOW' ELSE 'VERY_LOW' END AS risk_level,
-      CASE WHEN risk_score >= 0.5 THEN '#DC3545' WHEN risk_score >= 0.45 THEN '#FD7E14' WHEN risk_score >= 0.43 THEN '#FFC107'
-        WHEN risk_score >= 0.4 THEN '#28A745' ELSE '#6C757D' END AS risk_color
+    SELECT *, CASE WHEN risk_score >= 0.37 THEN 'CRITICAL' WHEN risk_score >= 0.35 THEN 'HIGH' WHEN risk_score >= 0.335 THEN 'MEDIUM'
+        WHEN risk_score >= 0.33 THEN 'LOW' ELSE 'VERY_LOW' END AS risk_level,
+      CASE WHEN risk_score >= 0.37 THEN '#DC3545' WHEN risk_score >= 0.35 THEN '#FD7E14' WHEN risk_score >= 0.335 THEN '#FFC107'
+        WHEN risk_score >= 0.33 THEN '#28A745' ELSE '#6C757D' END AS risk_color
     FROM (SELECT *, 0.15 * volume_risk + 0.25 * anomaly_frequency_risk + 0.25 * anomaly_severity_risk + 0.15 * volatility_risk
         + 0.1 * consistency_risk + 0.1 * update_pattern_risk AS risk_score FROM components)""",
     "planted": """
     SELECT state, year_month, mom_growth, enrolment_count_sum * CASE WHEN year_month LIKE '%-03' THEN 2.5 ELSE 1 END
-      * CASE WHEN state = 'FRANCE' THEN 40 ELSE 1 END * CASE WHEN year_month >= '2001-08' THEN 30 ELSE 1 END AS x FROM agg""",
+      * CASE WHEN state = 'NATION_7' THEN 40 ELSE 1 END * CASE WHEN year_month >= '2001-08' THEN 30 ELSE 1 END AS x FROM agg""",
     "planted_flags": """
     SELECT state, year_month, CASE WHEN hot THEN 1 ELSE is_anomaly END AS flag, CASE WHEN hot THEN 0.9 ELSE anomaly_score END AS score
-    FROM (SELECT *, state = 'FRANCE' OR year_month = '1997-03' AS hot FROM scored)""",
+    FROM (SELECT *, state = 'NATION_7' OR year_month = '1997-03' AS hot FROM scored)""",
     "last_months": "SELECT year_month, sum(x) AS t FROM planted GROUP BY 1 ORDER BY 1 DESC LIMIT 2",
     "ins2": """
     SELECT 'trend' AS type, CASE WHEN p > 0 THEN 'Significant Monthly Increased' ELSE 'Significant Monthly Decreased' END AS title,

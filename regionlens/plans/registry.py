@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from regionlens.config import CleanCfg, ClusterCfg, RiskCfg
 from regionlens.functions.expr import month_start, nan_to_null, numeric_columns
-from regionlens.functions.materialize import scratch_path
+from regionlens.functions.materialize import checkpointed, scratch_path
 from regionlens.operators import aggregate as agg_ops
 from regionlens.operators import anomalies as ano
 from regionlens.operators import calendar as cal
@@ -93,7 +93,7 @@ def case(name: str, cols: str, build: Build, sql: str | None = None) -> None:
 
 CLEAN = CleanCfg(as_of="2020-01-01")
 # Cut-offs that spread the order facts over all levels.
-CUTS = (("CRITICAL", 0.5), ("HIGH", 0.45), ("MEDIUM", 0.43), ("LOW", 0.4))
+CUTS = (("CRITICAL", 0.37), ("HIGH", 0.35), ("MEDIUM", 0.335), ("LOW", 0.33))
 LEVELS = RiskCfg(cuts=CUTS)
 
 
@@ -116,14 +116,14 @@ def planted_of(s: SparkSession, d: str) -> DataFrame:
         "enrolment_count_sum",
         x
         * F.when(F.col("year_month").endswith("-03"), 2.5).otherwise(1.0)
-        * F.when(F.col("state") == "FRANCE", 40.0).otherwise(1.0)
+        * F.when(F.col("state") == "NATION_7", 40.0).otherwise(1.0)
         * F.when(F.col("year_month") >= "2001-08", 30.0).otherwise(1.0),
     )
 
 
 def planted_scores_of(s: SparkSession, d: str) -> DataFrame:
     """Scores with flags crowded into one region and one month."""
-    hot = (F.col("state") == "FRANCE") | (F.col("year_month") == "1997-03")
+    hot = (F.col("state") == "NATION_7") | (F.col("year_month") == "1997-03")
     return scored_of(s, d).withColumns(
         {
             "is_anomaly": F.when(hot, 1).otherwise(F.col("is_anomaly")),
@@ -134,11 +134,11 @@ def planted_scores_of(s: SparkSession, d: str) -> DataFrame:
 
 def labelled_of(s: SparkSession, d: str) -> DataFrame:
     """Region features with a label computed from the name."""
-    return clu.state_features(scored_of(s, d)).withColumn("cluster", (F.ascii("state") % 3).cast("int"))
+    return clu.state_features(scored_of(s, d)).withColumn("cluster", (F.ascii(F.right("state", F.lit(1))) % 3).cast("int"))
 
 
 def ml_of(s: SparkSession, d: str) -> DataFrame:
-    return agg_ops.ml_frame(agg_of(s, d))
+    return agg_ops.ml_frame(checkpointed(agg_of(s, d)))
 
 
 DIRTY = lambda s, d: dirty_fact(s, d, 15)
@@ -391,9 +391,9 @@ case("agg7_demographics", "feature ~value", lambda s, d: agg_ops.demographics(tr
     LATERAL (VALUES ('age_0_18_total', a), ('age_19_40_total', b), ('age_41_60_total', c), ('age_60_plus_total', e),
       ('age_0_18_percentage', a / t * 100), ('age_19_40_percentage', b / t * 100), ('age_41_60_percentage', c / t * 100), ('age_60_plus_percentage', e / t * 100),
       ('age_0_18_to_age_19_40_ratio', a / b), ('age_19_40_to_age_41_60_ratio', b / c), ('age_41_60_to_age_60_plus_ratio', c / e)) AS u(feature, value)""")
-case("agg8_date_state_matrix", "date ~FRANCE ~CHINA ~KENYA", lambda s, d: agg_ops.date_state_matrix(trade_fact(s, d), ["FRANCE", "CHINA", "KENYA"]), """
-    SELECT date, sum(CASE WHEN state = 'FRANCE' THEN enrolment_count ELSE 0 END) AS FRANCE, sum(CASE WHEN state = 'CHINA' THEN enrolment_count ELSE 0 END) AS CHINA,
-      sum(CASE WHEN state = 'KENYA' THEN enrolment_count ELSE 0 END) AS KENYA FROM trade GROUP BY 1""")
+case("agg8_date_state_matrix", "date ~NATION_7 ~NATION_3 ~NATION_14", lambda s, d: agg_ops.date_state_matrix(trade_fact(s, d), ["NATION_7", "NATION_3", "NATION_14"]), """
+    SELECT date, sum(CASE WHEN state = 'NATION_7' THEN enrolment_count ELSE 0 END) AS NATION_7, sum(CASE WHEN state = 'NATION_3' THEN enrolment_count ELSE 0 END) AS NATION_3,
+      sum(CASE WHEN state = 'NATION_14' THEN enrolment_count ELSE 0 END) AS NATION_14 FROM trade GROUP BY 1""")
 case("agg8_date_state_cells", "date state ~total", lambda s, d: agg_ops.date_state_cells(trade_fact(s, d)), "SELECT date, state, sum(enrolment_count) AS total FROM trade GROUP BY 1, 2")
 case(
     "win1_mom_growth", "state year_month ~mom_growth",
@@ -473,7 +473,7 @@ case("set2_distinct_states", "state", lambda s, d: mrt.distinct_states(trade_fac
 
 PROFILE_COLS = ("seq", "date", "state", "district", "enrolment_count")
 _profile_sql = " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count(*) - count({c}) AS missing_count, (count(*) - count({c})) / count(*) * 100 AS missing_percentage,
+    f"""SELECT '{c}' AS name, count(*) - count({c}) AS missing_count, (count(*) - count({c})) / count(*) * 100 AS missing_percentage,
     count(DISTINCT {c}) AS unique_values, """
     + (
         f"(SELECT string_agg({c}, '|' ORDER BY seq) FROM (SELECT seq, {c} FROM dirty WHERE {c} IS NOT NULL ORDER BY seq LIMIT 3))"
@@ -487,7 +487,8 @@ _profile_sql = " UNION ALL ".join(
 
 def _profile(s: SparkSession, d: str) -> DataFrame:
     df = dirty_fact(s, d).select(*PROFILE_COLS)
-    return prf.column_profile(df, "seq").withColumn("samples", F.array_join("sample_values", "|"))
+    profile = prf.column_profile(df, "seq").withColumn("samples", F.array_join("sample_values", "|"))
+    return profile.withColumnRenamed("column", "name")
 
 
 def _mostly_missing(s: SparkSession, d: str) -> DataFrame:
@@ -500,7 +501,7 @@ def _mostly_missing(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-case("prf1_column_profile", "column #missing_count ~missing_percentage #unique_values samples", _profile, _profile_sql)
+case("prf1_column_profile", "name #missing_count ~missing_percentage #unique_values samples", _profile, _profile_sql)
 case(
     "prf2_file_summary", "#total_records #total_columns min_date max_date #states_count", lambda s, d: prf.file_summary(trade_fact(s, d)),
     "SELECT count(*) AS total_records, 10 AS total_columns, min(date) AS min_date, max(date) AS max_date, count(DISTINCT state) AS states_count FROM trade",
@@ -513,13 +514,13 @@ case(
         + CASE WHEN count(CASE WHEN seq % 5 < 2 THEN 1 END) < 0.5 * count(*) THEN 1 ELSE 0 END
         + CASE WHEN count(CASE WHEN seq % 5 < 3 THEN 1 END) < 0.5 * count(*) THEN 1 ELSE 0 END AS n FROM trade)""",
 )
-_stats = lambda c: f"""SELECT '{c}' AS "column", count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max,
+_stats = lambda c: f"""SELECT '{c}' AS name, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max,
     sum({c}) AS sum, avg(pow({c} - m, 3)) / pow(stddev_pop({c}), 3) AS skewness, kurtosis_pop({c}) AS kurtosis, median({c}) AS median,
     quantile_cont({c}, 0.25) AS percentile_25, quantile_cont({c}, 0.9) AS percentile_90, quantile_cont({c}, 0.95) AS percentile_95
     FROM dirty, (SELECT avg({c}) AS m FROM dirty) AS mm"""
 case(
-    "prf4_numeric_stats", "column #n ~mean ~std ~min ~max ~sum ~skewness ~kurtosis ~median ~percentile_25 ~percentile_90 ~percentile_95",
-    lambda s, d: prf.numeric_stats(dirty_fact(s, d), ["enrolment_count", "update_count", "age_0_18"]),
+    "prf4_numeric_stats", "name #n ~mean ~std ~min ~max ~sum ~skewness ~kurtosis ~median ~percentile_25 ~percentile_90 ~percentile_95",
+    lambda s, d: prf.numeric_stats(dirty_fact(s, d), ["enrolment_count", "update_count", "age_0_18"]).withColumnRenamed("column", "name"),
     " UNION ALL ".join(_stats(c) for c in ("enrolment_count", "update_count", "age_0_18")),
 )
 case(
@@ -656,13 +657,13 @@ case("ins7_high_severity", RULE, lambda s, d: ins.high_severity(planted_scores_o
 case("ins8_critical_risk", RULE, lambda s, d: ins.critical_risk(risk_of(s, d)), "SELECT * FROM ins8")
 case(
     "ins9_risk_spread", RULE,
-    lambda s, d: ins.risk_spread(risk_of(s, d).withColumn("risk_score", F.col("risk_score") * F.when(F.col("state") < "INDIA", 3.0).otherwise(1.0))),
+    lambda s, d: ins.risk_spread(risk_of(s, d).withColumn("risk_score", F.col("risk_score") * F.when(F.col("state") < "NATION_17", 6.0).otherwise(1.0))),
     """SELECT 'risk_distribution' AS type, 'Wide Risk Distribution' AS title, 'Significant variability in risk scores across states' AS description, 'MEDIUM' AS severity, 'HIGH' AS confidence
-        FROM (SELECT stddev_samp(risk_score * CASE WHEN state < 'INDIA' THEN 3.0 ELSE 1.0 END) AS sd FROM risk) WHERE sd > 0.3""",
+        FROM (SELECT stddev_samp(risk_score * CASE WHEN state < 'NATION_17' THEN 6.0 ELSE 1.0 END) AS sd FROM risk) WHERE sd > 0.3""",
 )
-case("ins10_cluster_imbalance", RULE, lambda s, d: ins.cluster_imbalance(labelled_of(s, d).withColumn("cluster", F.when(F.col("state") == "FRANCE", 1).otherwise(0))), """
+case("ins10_cluster_imbalance", RULE, lambda s, d: ins.cluster_imbalance(labelled_of(s, d).withColumn("cluster", F.when(F.col("state") == "NATION_7", 1).otherwise(0))), """
     SELECT 'cluster_imbalance' AS type, 'Uneven State Distribution Across Clusters' AS title, 'Largest cluster has ' || a || ' states, smallest has ' || b AS description, 'LOW' AS severity, 'HIGH' AS confidence
-      FROM (SELECT max(n) AS a, min(n) AS b, count(*) AS g FROM (SELECT count(*) AS n FROM labelled GROUP BY CASE WHEN state = 'FRANCE' THEN 1 ELSE 0 END)) WHERE g > 1 AND a > 5 * b""")
+      FROM (SELECT max(n) AS a, min(n) AS b, count(*) AS g FROM (SELECT count(*) AS n FROM labelled GROUP BY CASE WHEN state = 'NATION_7' THEN 1 ELSE 0 END)) WHERE g > 1 AND a > 5 * b""")
 case("ins11_strong_cluster", RULE, lambda s, d: ins.strong_cluster(labelled_of(s, d).withColumn("total_enrolments", F.col("total_enrolments") * F.when(F.col("cluster") == 1, 5.0).otherwise(1.0))), """
     SELECT 'cluster_performance' AS type, 'High-Performance Cluster Identified' AS title, 'Cluster ' || (top + 1) || ' shows significantly higher enrolment volumes' AS description, 'MEDIUM' AS severity, 'HIGH' AS confidence
       FROM (SELECT arg_max(cluster, m) AS top, max(m) AS a, min(m) AS b FROM (SELECT cluster, avg(total_enrolments * CASE WHEN cluster = 1 THEN 5.0 ELSE 1.0 END) AS m FROM labelled GROUP BY 1)) WHERE a > 2 * b""")
@@ -696,14 +697,14 @@ case("mrt5_geo_mart", "state ~enrolments ~success_rate ~population_coverage ~siz
     SELECT g.*, enrolments / max(enrolments) OVER () * 100 AS size, coalesce(n_nationkey * 1.5, 20.5937) AS lat, coalesce(n_regionkey * 10.0, 78.9629) AS lon
       FROM (SELECT state, sum(enrolments) AS enrolments, avg(success_rate) AS success_rate, avg(population_coverage) AS population_coverage FROM dash GROUP BY 1) AS g
       LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON n_name = state""")
-case("mrt6_state_series", "state date ~enrolment_count_sum", lambda s, d: mrt.state_series(scored_of(s, d), ["FRANCE", "CHINA", "KENYA"]), "SELECT state, date, enrolment_count_sum FROM scored WHERE state IN ('FRANCE', 'CHINA', 'KENYA')")
+case("mrt6_state_series", "state date ~enrolment_count_sum", lambda s, d: mrt.state_series(scored_of(s, d), ["NATION_7", "NATION_3", "NATION_14"]), "SELECT state, date, enrolment_count_sum FROM scored WHERE state IN ('NATION_7', 'NATION_3', 'NATION_14')")
 case("mrt7_anomaly_table", "state year_month ~enrolments", lambda s, d: mrt.anomaly_table(dash_fact(s, d)), "SELECT state, year_month, enrolments FROM dash WHERE is_anomaly = 1")
 case("mrt8_risk_table", "state ~risk_score risk_level", lambda s, d: rsk.risk_table(risk_of(s, d)), """
     SELECT state, round(risk_score, 3) AS risk_score, CASE risk_level WHEN 'CRITICAL' THEN '🔴' WHEN 'HIGH' THEN '🟠' WHEN 'MEDIUM' THEN '🟡' WHEN 'LOW' THEN '🟢' ELSE '⚫' END || ' ' || risk_level AS risk_level FROM risk""")
 case(
     "mrt9_filter_facts", FACT,
-    lambda s, d: mrt.filter_facts(trade_fact(s, d), ("1996-01-01", "1998-12-31"), ["FRANCE", "CHINA", "KENYA", "INDIA", "JAPAN"], "CRITICAL", risk_of(s, d)),
-    """SELECT * FROM trade WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND state IN ('FRANCE', 'CHINA', 'KENYA', 'INDIA', 'JAPAN')
+    lambda s, d: mrt.filter_facts(trade_fact(s, d), ("1996-01-01", "1998-12-31"), ["NATION_7", "NATION_3", "NATION_14", "NATION_17", "NATION_1"], "CRITICAL", risk_of(s, d)),
+    """SELECT * FROM trade WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND state IN ('NATION_7', 'NATION_3', 'NATION_14', 'NATION_17', 'NATION_1')
         AND state IN (SELECT state FROM risk WHERE risk_level = 'CRITICAL')""",
 )
 case("flagship_risk", "state ~risk_score risk_level", lambda s, d: pipeline.flagship(trade_fact(s, d)), "SELECT * FROM flagship")

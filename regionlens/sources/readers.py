@@ -16,8 +16,6 @@ from regionlens.operators.columns import unique_names
 
 log = logging.getLogger(__name__)
 
-REPLACEMENT = "�"
-
 
 def list_files(spark: SparkSession, path: str, suffix: str = ".csv") -> list[str]:
     """Files matching ``path`` (file, folder or glob), listed by Hadoop's FileSystem."""
@@ -107,8 +105,8 @@ def read_csv_dir(
     known = {f.name.lower(): f.dataType for f in schema.fields} if schema else {}
     frames = []
     for header in sorted(groups):
-        df = spark.read.csv(
-            groups[header], header=True, inferSchema=infer, mode="PERMISSIVE", ignoreCorruptFiles=True
+        df = spark.read.option("ignoreCorruptFiles", True).csv(
+            groups[header], header=True, inferSchema=infer, mode="PERMISSIVE"
         )
         if provenance:
             df = df.select("*", F.col("_metadata.file_name").alias("source_file"))
@@ -133,13 +131,13 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
 def read_csv_any_encoding(spark: SparkSession, path: str, infer_types: bool = True) -> DataFrame:
     """CSV in UTF-8, file by file in Latin-1 where the bytes are not valid UTF-8.
 
-    Spark decodes a bad byte to U+FFFD instead of failing; files with such a
-    character are the ones to read again.  One pass over the text finds them.
+    Spark does not fail on bytes that are not UTF-8, so one pass over the text
+    looks for such lines; only the names of the files that hold one are collected.
     """
     lines = spark.read.text(path)
     latin = [
         r["file_path"]
-        for r in lines.where(F.col("value").contains(REPLACEMENT))
+        for r in lines.where(~F.is_valid_utf8("value"))
         .select(F.col("_metadata.file_path").alias("file_path"))
         .distinct()
         .collect()
