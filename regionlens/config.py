@@ -146,7 +146,7 @@ class ClusterCfg:
     restarts: int = 10
     max_iter: int = 300
     seed: int = 42
-    partitions: int = 8
+    part_rows: int = 50_000
     parallel: int = 5
 
 

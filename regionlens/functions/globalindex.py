@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionlens.functions.materialize import checkpointed
+from regionlens.functions.materialize import written
 
 WITHIN = (1 << 33) - 1  # monotonically_increasing_id: partition above bit 33, row below
 SLICE = 1 << 18
@@ -23,11 +23,14 @@ def with_global_index(df: DataFrame, order_by: Sequence[str], name: str = "idx")
 
     Range partitions follow the sampled key distribution; the unique last
     order column splits even a date that holds a third of the rows.  The
-    sorted table is checkpointed because its partition bounds come from a
-    sample: counting and numbering must see the same partitions.
+    position inside its partition is written with each row, because partition
+    bounds come from a sample: counting and numbering must see the same ones.
     """
-    fixed = checkpointed(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by))
-    tagged = fixed.withColumn("_tag", F.monotonically_increasing_id())
+    tagged = written(
+        df.repartitionByRange(*order_by)
+        .sortWithinPartitions(*order_by)
+        .withColumn("_tag", F.monotonically_increasing_id())
+    )
     part = F.shiftright("_tag", 33).cast("int")
     # One count per partition, as many as the scheduler already tracks as tasks.
     sizes = sorted(tagged.groupBy(part.alias("_part")).count().collect())

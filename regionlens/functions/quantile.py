@@ -1,136 +1,145 @@
-"""Exact quantiles without holding all values of a column in one task.
+"""Exact quantiles and modes from one pass over the rows.
 
-``percentile`` keeps every distinct value of a group in a single buffer.  Here
-the values are counted first (equal values meet in the map-side partial
-aggregate, so a value held by a third of the rows costs one row per task),
-then distinct values are cut into ranges, and only the ranges that hold a
-wanted rank are sorted.
+``percentile`` and ``mode`` keep every distinct value of a group in a single
+buffer.  Here the values are counted first: equal values meet in the map-side
+partial aggregate, so a value held by a third of the rows costs one row per
+task, and the counted table is spread over all tasks.  Only single numbers
+come back to the driver, as with ``DataFrame.approxQuantile``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from regionlens.functions.materialize import written
+
 RANGES = 256
+SORTED_AT_ONCE = 1_000_000
 
 
-def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    )
-    return (
-        df.select(cells.alias("cell"))
+def value_counts(df: DataFrame, numbers: Sequence[str] = (), texts: Sequence[str] = ()) -> DataFrame:
+    """``(column, number, text, n)``: how often each value of each column occurs.
+
+    Written to the shared folder, because the steps that follow read it
+    several times and the rows should be read once.
+    """
+    none, blank = F.lit(None).cast("double"), F.lit(None).cast("string")
+    cell = lambda c, number, text: F.struct(F.lit(c).alias("column"), number.alias("number"), text.alias("text"))
+    cells = [cell(c, F.nanvl(F.col(c).cast("double"), none), blank) for c in numbers]
+    cells += [cell(c, none, F.col(c).cast("string")) for c in texts]
+    counts = (
+        df.select(F.explode(F.array(*cells)).alias("cell"))
         .select("cell.*")
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("column", "value")
+        .where(F.col("number").isNotNull() | F.col("text").isNotNull())
+        .groupBy("column", "number", "text")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return written(counts)
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """``(column, slot, value)``: linearly interpolated quantile for each of ``probs`` by position."""
-    counts = _value_counts(df, columns)
-    steps = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    cuts = counts.groupBy("column").agg(
-        F.percentile_approx("value", steps, 10_000).alias("cuts"), F.sum("n").alias("total")
-    )
-    # One row per column: bounded by the schema, whatever the table holds.
-    placed = counts.join(F.broadcast(cuts), "column").select(
-        "column",
-        "value",
-        "n",
-        "total",
-        F.size(F.filter("cuts", lambda cut: cut <= F.col("value"))).alias("range"),
-    )
-    upto = W.partitionBy("column").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = (
-        placed.groupBy("column", "range")
-        .agg(F.sum("n").alias("rows"), F.max("total").alias("total"))
-        .withColumn("start", F.coalesce(F.sum("rows").over(upto), F.lit(0)))
-    )
-    wants = F.array(
-        *[
-            F.struct(
-                F.lit(slot).alias("slot"),
-                (F.lit(float(p)) * (F.col("total") - 1)).alias("rank"),
-            )
-            for slot, p in enumerate(probs)
-        ]
-    )
-    inside = lambda pos: (pos >= F.col("start")) & (pos < F.col("start") + F.col("rows"))
-    wanted = ranges.select(
-        "column",
-        "range",
-        "start",
-        F.filter(wants, lambda w: inside(F.floor(w["rank"])) | inside(F.ceil(w["rank"]))).alias("wants"),
-    ).where(F.size("wants") > 0)
-    # At most two ranges per column and probability remain.
-    running = W.partitionBy("column", "range").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    spans = (
-        placed.join(F.broadcast(wanted), ["column", "range"])
-        .withColumn("to", F.col("start") + F.sum("n").over(running))
-        .withColumn("from", F.col("to") - F.col("n"))
-        .select("column", "value", "from", "to", F.explode("wants").alias("w"))
-    )
-    rank = F.col("w.rank")
-    covers = lambda pos: (pos >= F.col("from")) & (pos < F.col("to"))
-    return (
-        spans.where(covers(F.floor(rank)) | covers(F.ceil(rank)))
-        .groupBy("column", F.col("w.slot").alias("slot"))
-        .agg(
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-            F.max(rank - F.floor(rank)).alias("share"),
-        )
-        .select("column", "slot", (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("value"))
-    )
+def _range_of(cuts: dict[str, list[float]]) -> Column:
+    """Number of cuts at or below the value."""
+    out = None
+    for column, bounds in cuts.items():
+        index = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= F.col("number")))
+        out = F.when(F.col("column") == column, index) if out is None else out.when(F.col("column") == column, index)
+    return out
 
 
-def quantile_row(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int | None = None
-) -> DataFrame:
-    """One row with a column ``<column>_q<slot>`` per column and probability.
+def quantiles_of_counts(
+    counts: DataFrame, columns: Sequence[str], probs: Sequence[float], at_once: int = SORTED_AT_ONCE
+) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of each column, ``None`` for a column without values.
 
-    ``accuracy`` switches to the mergeable sketch of ``percentile_approx``.
+    A column with more than ``at_once`` distinct values is cut into ranges, and
+    only the ranges that hold a wanted rank are sorted.
     """
-    if accuracy:
-        return df.agg(
-            *[
-                F.percentile_approx(F.col(c).cast("double"), F.lit(float(p)), accuracy).alias(f"{c}_q{slot}")
-                for c in columns
-                for slot, p in enumerate(probs)
-            ]
+    columns = list(columns)
+    counted = counts.where(F.col("column").isin(columns)).select("column", "number", "n")
+    sizes = {
+        r["column"]: (r["rows"], r["values"])
+        for r in counted.groupBy("column").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values")).collect()
+    }
+    wanted: dict[str, list[int]] = {
+        c: sorted({f(p * (rows - 1)) for p in probs for f in (math.floor, math.ceil)}) for c, (rows, _) in sizes.items()
+    }
+    if not wanted:
+        return {c: [None] * len(probs) for c in columns}
+
+    starts: dict[tuple[str, int], int] = {(c, 0): 0 for c in wanted}
+    ranged = counted.withColumn("range", F.lit(0))
+    if max(values for _, values in sizes.values()) > at_once:
+        steps = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+        cuts = {
+            r["column"]: r["cuts"]
+            for r in counted.groupBy("column").agg(F.percentile_approx("number", steps, 10_000).alias("cuts")).collect()
+        }
+        ranged = counted.withColumn("range", _range_of(cuts))
+        # At most 256 sums per column.
+        filled = sorted(ranged.groupBy("column", "range").agg(F.sum("n").alias("rows")).collect())
+        starts, seen = {}, {c: 0 for c in wanted}
+        for r in filled:
+            first, last = seen[r["column"]], seen[r["column"]] + r["rows"] - 1
+            if any(first <= w <= last for w in wanted[r["column"]]):
+                starts[(r["column"], r["range"])] = first
+            seen[r["column"]] = last + 1
+        keep = F.struct("column", "range").isin(
+            *[F.struct(F.lit(c).alias("column"), F.lit(r).alias("range")) for c, r in starts]
+        )
+        ranged = ranged.where(keep)
+
+    start = F.create_map(*[F.lit(v) for (c, r), s in starts.items() for v in (f"{r}:{c}", s)])
+    ranks = F.create_map(
+        *[v for c, pos in wanted.items() for v in (F.lit(c), F.array(*[F.lit(p).cast("long") for p in pos]))]
+    )
+    running = W.partitionBy("column", "range").orderBy("number").rowsBetween(W.unboundedPreceding, 0)
+    found = (
+        ranged.withColumn("to", start[F.concat_ws(":", F.col("range"), F.col("column"))] + F.sum("n").over(running))
+        .withColumn(
+            "hits",
+            F.filter(ranks[F.col("column")], lambda p: (p >= F.col("to") - F.col("n")) & (p < F.col("to"))),
         )
-    tidy = exact_quantiles(df, columns, probs)
-    return tidy.agg(
-        *[
-            F.max(F.when((F.col("column") == c) & (F.col("slot") == slot), F.col("value"))).alias(f"{c}_q{slot}")
-            for c in columns
-            for slot in range(len(probs))
-        ]
+        .where(F.size("hits") > 0)
+        .select("column", "number", F.explode("hits").alias("rank"))
+        .collect()
     )
+    at = {(r["column"], r["rank"]): r["number"] for r in found}
 
+    def one(c: str, p: float) -> float | None:
+        if c not in sizes:
+            return None
+        rank = p * (sizes[c][0] - 1)
+        low, high = at[(c, math.floor(rank))], at[(c, math.ceil(rank))]
+        return low + (high - low) * (rank - math.floor(rank))
 
-def mode_row(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the most frequent value of each text column, the smallest on ties.
+    return {c: [one(c, p) for p in probs] for c in columns}
 
-    All columns share one scan; values are counted in the partial aggregate
-    before they are shuffled.
-    """
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    )
+
+def modes_of_counts(counts: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The most frequent text of each column, the smallest on ties; columns without values are left out."""
     best = (
-        df.select(cells.alias("cell"))
-        .select("cell.*")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        counts.where(F.col("column").isin(list(columns)))
         .groupBy("column")
-        .agg(F.min(F.struct((-F.col("n")).alias("order"), F.col("value"))).alias("best"))
+        .agg(F.min(F.struct((-F.col("n")).alias("order"), F.col("text"))).alias("best"))
+        .select("column", "best.text")
     )
-    return best.agg(*[F.max(F.when(F.col("column") == c, F.col("best.value"))).alias(c) for c in columns])
+    return {r["column"]: r["text"] for r in best.collect()}
+
+
+def quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int | None = None
+) -> dict[str, list[float | None]]:
+    """Exact quantiles of numeric columns; ``accuracy`` switches to the sketch of ``percentile_approx``."""
+    columns = list(columns)
+    if accuracy:
+        levels = F.array(*[F.lit(float(p)) for p in probs])
+        row = df.agg(
+            *[F.percentile_approx(F.col(c).cast("double"), levels, accuracy).alias(c) for c in columns]
+        ).first()
+        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
+    return quantiles_of_counts(value_counts(df, columns), columns, probs)

@@ -17,7 +17,7 @@ from regionlens.functions.expr import (
     pincode,
     region_name,
 )
-from regionlens.functions.quantile import mode_row, quantile_row
+from regionlens.functions.quantile import modes_of_counts, quantiles, quantiles_of_counts, value_counts
 from regionlens.operators.columns import standardize_columns
 
 
@@ -25,30 +25,34 @@ def drop_null_dates(df: DataFrame) -> DataFrame:
     return df.where(F.col("date").isNotNull()) if "date" in df.columns else df
 
 
+def _filled(df: DataFrame, medians: dict, modes: dict, texts: Sequence[str]) -> DataFrame:
+    numbers = {c: F.coalesce(F.col(c).cast("double"), F.lit(m[0])) for c, m in medians.items() if m[0] is not None}
+    names = {c: F.coalesce(F.col(c).cast("string"), F.lit(modes.get(c, "Unknown"))) for c in texts}
+    both = {**numbers, **names}
+    return df.withColumns(both) if both else df
+
+
 def impute_median(df: DataFrame, columns: Sequence[str] | None = None, cfg: CleanCfg = CleanCfg()) -> DataFrame:
     """Fill every numeric column with its interpolated median."""
     cols = list(columns) if columns is not None else numeric_columns(df, exclude=[cfg.order_by])
-    if not cols:
-        return df
-    medians = one_value(quantile_row(df, cols, [0.5], cfg.accuracy))
-    return (
-        df.withColumn("_median", medians)
-        .withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_median.{c}_q0")) for c in cols})
-        .drop("_median")
-    )
+    return _filled(df, quantiles(df, cols, [0.5], cfg.accuracy), {}, ()) if cols else df
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str] = CATEGORY_COLUMNS) -> DataFrame:
     """Fill each text column with its most frequent value, else ``Unknown``."""
     cols = [c for c in columns if c in df.columns]
-    if not cols:
+    return _filled(df, {}, modes_of_counts(value_counts(df, texts=cols), cols), cols) if cols else df
+
+
+def impute(df: DataFrame, cfg: CleanCfg = CleanCfg()) -> DataFrame:
+    """Medians and modes from one counting pass, filled in one projection."""
+    numbers = numeric_columns(df, exclude=[cfg.order_by])
+    texts = [c for c in CATEGORY_COLUMNS if c in df.columns]
+    if not numbers and not texts:
         return df
-    modes = one_value(mode_row(df, cols))
-    return (
-        df.withColumn("_mode", modes)
-        .withColumns({c: F.coalesce(F.col(c).cast("string"), F.col(f"_mode.{c}"), F.lit("Unknown")) for c in cols})
-        .drop("_mode")
-    )
+    counts = value_counts(df, () if cfg.accuracy else numbers, texts)
+    medians = quantiles(df, numbers, [0.5], cfg.accuracy) if cfg.accuracy else quantiles_of_counts(counts, numbers, [0.5])
+    return _filled(df, medians, modes_of_counts(counts, texts), texts)
 
 
 def null_share(df: DataFrame, skip: Sequence[str]) -> Column:
@@ -139,8 +143,7 @@ def clean(df: DataFrame, cfg: CleanCfg = CleanCfg()) -> DataFrame:
     """The whole chain in its fixed order."""
     df = standardize_columns(df)
     df = drop_null_dates(df)
-    df = impute_median(df, cfg=cfg)
-    df = impute_mode(df)
+    df = impute(df, cfg)
     df = drop_sparse(df, cfg)
     df = bound_dates(df, cfg)
     df = normalize_pincode(normalize_district(normalize_state(df)))
@@ -156,7 +159,7 @@ def cleaning_audit(df: DataFrame, cfg: CleanCfg = CleanCfg()) -> DataFrame:
     """
     df = standardize_columns(df)
     dated = drop_null_dates(df)
-    filled = impute_mode(impute_median(dated, cfg=cfg))
+    filled = impute(dated, cfg)
     lost = F.when(null_share(filled, ("source_file", cfg.order_by)) >= cfg.null_share, "sparse")
     steps = ["sparse"]
     work = filled.withColumn("_sparse", lost)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from regionlens.config import AGE_COLUMNS, ClusterCfg
 from regionlens.functions.expr import one_value
-from regionlens.functions.materialize import checkpointed
-from regionlens.functions.quantile import quantile_row
+from regionlens.functions.materialize import written
+from regionlens.functions.quantile import quantiles
 from regionlens.operators.features import standardize
 
 NOT_FEATURES = ("state", "cluster", "cluster_label", "cluster_description")
@@ -70,11 +71,11 @@ def kmeans_states(sf: DataFrame, cfg: ClusterCfg = ClusterCfg()) -> DataFrame:
     however they came in.
     """
     cols = feature_cols(sf)
-    laid_out = checkpointed(
-        standardize(sf, cols, "_km").repartition(cfg.partitions, "state").sortWithinPartitions("state")
-    )
+    scaled = written(standardize(sf, cols, "_km"))
+    n = scaled.count()
+    laid_out = scaled.repartition(max(1, math.ceil(n / cfg.part_rows)), "state").sortWithinPartitions("state")
     ready = VectorAssembler(inputCols=[f"{c}_km" for c in cols], outputCol="_features").transform(laid_out).cache()
-    k = min(cfg.k, ready.count())
+    k = min(cfg.k, n)
     if k < 2:
         ready.unpersist()
         return laid_out.select("state", *cols, F.lit(0).alias("cluster"), F.lit("Cluster 1").alias("cluster_label"))
@@ -104,9 +105,9 @@ def silhouette(clus: DataFrame, cols: Sequence[str] | None = None, block: int =
     another, giving back only sums per region and cluster.
     """
     cols = list(cols) if cols is not None else feature_cols(clus)
-    scaled = standardize(clus.select("state", "cluster", *cols), cols, "_s")
+    scaled = written(standardize(clus.select("state", "cluster", *cols), cols, "_s"))
     xs = [f"x{i}" for i in range(len(cols))]
-    n = one_value(clus.agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n")))
+    n = one_value(scaled.agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n")))
     rows = (
         scaled.select("state", "cluster", *[F.col(f"{c}_s").alias(x) for c, x in zip(cols, xs)])
         .withColumn("_n", n["n"])
@@ -182,11 +183,11 @@ def describe_clusters(clus: DataFrame, accuracy: int | None = None) -> DataFrame
     stats = clus.groupBy("cluster").agg(*[F.avg(m).alias(f"avg_{m}") for m in KEY_METRICS if m in clus.columns])
     parts = []
     if "total_enrolments" in clus.columns:
-        stats = stats.withColumn("_q", one_value(quantile_row(clus, ["total_enrolments"], [0.25, 0.75], accuracy)))
+        q1, q3 = quantiles(clus, ["total_enrolments"], [0.25, 0.75], accuracy)["total_enrolments"]
         volume = F.col("avg_total_enrolments")
         parts.append(
-            F.when(volume > F.col("_q.total_enrolments_q1"), "High Volume")
-            .when(volume < F.col("_q.total_enrolments_q0"), "Low Volume")
+            F.when(volume > q3, "High Volume")
+            .when(volume < q1, "Low Volume")
             .otherwise("Medium Volume")
         )
     if "avg_growth" in clus.columns:

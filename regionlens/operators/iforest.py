@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from regionlens.config import ForestCfg
 from regionlens.functions.expr import one_value
-from regionlens.functions.materialize import checkpointed
-from regionlens.functions.quantile import quantile_row
+from regionlens.functions.materialize import written
+from regionlens.functions.quantile import quantiles
 from regionlens.operators.features import standardize
 
 NODES = "tree int, feature array<int>, bound array<double>, left array<int>, right array<int>, depth array<double>"
@@ -143,15 +143,14 @@ def isolation_forest(
 
     The scaled rows are written once: sampling, scoring and the flag all read them.
     """
-    scaled = checkpointed(standardize(ml, cols, "_iso"))
+    scaled = written(standardize(ml, cols, "_iso"))
     inputs = [f"{c}_iso" for c in cols]
     forest = sorted(fit_forest(scaled, inputs, key, cfg).collect(), key=lambda r: r["tree"])
     if not forest:
         return ml.withColumns({"is_anomaly": F.lit(0), "anomaly_score": F.lit(0.0)})
     # A tree of psi rows has leaves that add up to psi; the sample is the same for all trees.
     psi = min(cfg.sample, scaled.count())
-    scored = score_rows(scaled, inputs, forest, psi).drop(*inputs)
-    bound = one_value(quantile_row(scored, ["anomaly_score"], [1 - cfg.contamination]))
-    return scored.withColumn(
-        "is_anomaly", F.when(F.col("anomaly_score") > bound["anomaly_score_q0"], 1).otherwise(0)
-    )
+    # Written as well, so that rows pass through the trees once, not again for the quantile.
+    scored = written(score_rows(scaled, inputs, forest, psi).drop(*inputs))
+    bound = quantiles(scored, ["anomaly_score"], [1 - cfg.contamination])["anomaly_score"][0]
+    return scored.withColumn("is_anomaly", F.when(F.col("anomaly_score") > bound, 1).otherwise(0))

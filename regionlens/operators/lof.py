@@ -19,9 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from regionlens.config import LofCfg
-from regionlens.functions.expr import one_value
-from regionlens.functions.materialize import checkpointed
-from regionlens.functions.quantile import quantile_row
+from regionlens.functions.materialize import written
+from regionlens.functions.quantile import quantiles
 from regionlens.operators.features import standardize
 
 CHUNK = 256
@@ -195,11 +194,11 @@ def lof(
     dims = len(cols)
     xs = [f"x{d}" for d in range(dims)]
     # Adding 0.0 turns -0.0 into 0.0, so equal vectors group and join as equal.
-    scaled = checkpointed(
+    scaled = written(
         standardize(ml, cols, "_lof").withColumns({x: F.col(f"{c}_lof") + 0.0 for x, c in zip(xs, cols)})
         .drop(*[f"{c}_lof" for c in cols])
     )
-    points = checkpointed(
+    points = written(
         scaled.groupBy(*xs)
         .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("pid", F.monotonically_increasing_id())
@@ -211,7 +210,7 @@ def lof(
     k = max(1, min(cfg.neighbours, rows - 1))
 
     vectors = points.select(F.col("pid").alias("nid"), *[F.col(x).alias(f"n{x}") for x in xs])
-    near = checkpointed(nearest(points, dims, k, int(size["points"]), cfg).join(vectors, "nid"))
+    near = written(nearest(points, dims, k, int(size["points"]), cfg).join(vectors, "nid"))
     order = [f"n{x}" for x in xs]
 
     # Fit time: a row is not its own neighbour, but its copies are.
@@ -239,12 +238,8 @@ def lof(
         )
 
     factors = factor(fit, fit_density, "anomaly_score").join(factor(query, density(query), "_query"), "pid")
-    scored = (
-        scaled.join(points.join(factors, "pid").select(*xs, "anomaly_score", "_query"), xs)
-        .drop(*xs)
-    )
-    bound = one_value(quantile_row(scored, ["anomaly_score"], [1 - cfg.contamination]))
-    return (
-        scored.withColumn("is_anomaly", F.when(F.col("_query") > bound["anomaly_score_q0"], 1).otherwise(0))
-        .drop("_query")
+    scored = written(
+        scaled.join(points.join(factors, "pid").select(*xs, "anomaly_score", "_query"), xs).drop(*xs)
     )
+    bound = quantiles(scored, ["anomaly_score"], [1 - cfg.contamination])["anomaly_score"][0]
+    return scored.withColumn("is_anomaly", F.when(F.col("_query") > bound, 1).otherwise(0)).drop("_query")

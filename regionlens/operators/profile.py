@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from regionlens.functions.expr import numeric_columns, one_value, side_by_side, string_columns
-from regionlens.functions.quantile import quantile_row
+from regionlens.functions.expr import numeric_columns, one_value, string_columns
+from regionlens.functions.quantile import quantiles
 from regionlens.operators.calendar import rolling_mean
 
 COUNT_NAME_WORDS = ("count", "total", "sum", "number", "enrol")
@@ -135,19 +135,18 @@ def numeric_stats(df: DataFrame, cols: Sequence[str] | None = None, accuracy: in
             for c in cols
         ]
     )
-    ranks = quantile_row(df, cols, [p / 100 for p in PERCENTS], accuracy)
-    both = side_by_side(df.sparkSession, moments, ranks)
+    ranks = quantiles(df, cols, [p / 100 for p in PERCENTS], accuracy)
     fields = ("n", "mean", "std", "min", "max", "sum", "skewness", "kurtosis")
     rows = [
         F.struct(
             F.lit(c).alias("column"),
             *[F.col(f"m_{c}.{f}").alias(f) for f in fields],
-            F.col(f"{c}_q1").alias("median"),
-            *[F.col(f"{c}_q{i}").alias(f"percentile_{p}") for i, p in enumerate(PERCENTS)],
+            F.lit(ranks[c][1]).cast("double").alias("median"),
+            *[F.lit(ranks[c][i]).cast("double").alias(f"percentile_{p}") for i, p in enumerate(PERCENTS)],
         )
         for c in cols
     ]
-    return both.select(F.inline(F.array(*rows))).where(F.col("n") > 0)
+    return moments.select(F.inline(F.array(*rows))).where(F.col("n") > 0)
 
 
 def pairwise_pearson(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -214,17 +213,12 @@ def z_outliers(df: DataFrame, col: str | None = None) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, col: str, accuracy: int | None = None) -> DataFrame:
     """Rows outside the quartiles by more than 1.5 times their distance."""
-    quartiles = one_value(quantile_row(df, [col], [0.25, 0.75], accuracy))
-    q1, q3 = F.col(f"_q.{col}_q0"), F.col(f"_q.{col}_q1")
+    q1, q3 = (F.lit(q).cast("double") for q in quantiles(df, [col], [0.25, 0.75], accuracy)[col])
     step = (q3 - q1) * 1.5
-    return (
-        df.select(col)
-        .withColumn("_q", quartiles)
-        .agg(
-            F.max(q1 - step).alias("lower_bound"),
-            F.max(q3 + step).alias("upper_bound"),
-            F.count_if((F.col(col) < q1 - step) | (F.col(col) > q3 + step)).alias("iqr_outlier_count"),
-        )
+    return df.agg(
+        F.max(q1 - step).alias("lower_bound"),
+        F.max(q3 + step).alias("upper_bound"),
+        F.count_if((F.col(col) < q1 - step) | (F.col(col) > q3 + step)).alias("iqr_outlier_count"),
     )
 
 

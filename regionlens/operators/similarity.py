@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionlens.functions.expr import one_value
+from regionlens.functions.materialize import written
 from regionlens.operators.aggregate import date_state_cells
 
 BLOCK = 512
@@ -110,9 +111,19 @@ def cosine_pairs(facts: DataFrame, date: str | None = "date", block: int = BLOCK
     Vectors are sums per date; regions that share no date, or have a zero
     vector, get 0.  Without a date column the vectors have one dimension.
     """
-    cells = date_state_cells(facts, date).select(
-        F.coalesce(F.col("date").cast("string"), F.lit("all")).alias("date"), "state", "total"
+    return _pairs(_cells(facts, date), block)
+
+
+def _cells(facts: DataFrame, date: str | None) -> DataFrame:
+    """Non-empty cells, written once: norms, roster and products all read them."""
+    return written(
+        date_state_cells(facts, date).select(
+            F.coalesce(F.col("date").cast("string"), F.lit("all")).alias("date"), "state", "total"
+        )
     )
+
+
+def _pairs(cells: DataFrame, block: int) -> DataFrame:
     norms = _norms(cells)
     blocks = one_value(norms.agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n")))
     # A row without value for each region lets pairs without a common date appear.
@@ -153,8 +164,9 @@ def cosine_pairs(facts: DataFrame, date: str | None = "date", block: int = BLOCK
 
 def cosine_matrix(facts: DataFrame, date: str | None = "date") -> DataFrame:
     """Both directions of every pair and the diagonal, in long form."""
-    pairs = cosine_pairs(facts, date)
-    diagonal = _norms(date_state_cells(facts, date)).select(
+    cells = _cells(facts, date)
+    pairs = _pairs(cells, BLOCK)
+    diagonal = _norms(cells).select(
         F.col("state").alias("state1"),
         F.col("state").alias("state2"),
         F.when(F.col("norm") > 0, 1.0).otherwise(0.0).alias("similarity"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from regionlens.config import CleanCfg, ClusterCfg, ForestCfg, LofCfg, RiskCfg
 from regionlens.functions.expr import numeric_columns
-from regionlens.functions.materialize import checkpointed
+from regionlens.functions.materialize import written
 from regionlens.operators import aggregate, anomalies, calendar, clean, cluster, columns, insights, marts, profile
 from regionlens.operators import risk as risk_ops
 from regionlens.operators import similarity
@@ -62,7 +62,7 @@ def analyze(
     """Raw facts to insights.  The scored frame is cut from its lineage, as four results read it."""
     facts = clean.clean(raw, clean_cfg)
     made = create_features(facts)
-    scored = checkpointed(anomalies.detect_anomalies(made.ml, model, model_cfg))
+    scored = written(anomalies.detect_anomalies(made.ml, model, model_cfg))
     clusters = cluster.describe_clusters(cluster.kmeans_states(cluster.state_features(scored), cluster_cfg))
     risk = risk_ops.risk_scores(scored, risk_cfg)
     return Analysis(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from regionlens.config import CleanCfg, ClusterCfg, RiskCfg
 from regionlens.functions.expr import month_start, nan_to_null, numeric_columns
-from regionlens.functions.materialize import checkpointed, scratch_path
+from regionlens.functions.materialize import written, scratch_path
 from regionlens.operators import aggregate as agg_ops
 from regionlens.operators import anomalies as ano
 from regionlens.operators import calendar as cal
@@ -101,18 +101,27 @@ def agg_of(s: SparkSession, d: str) -> DataFrame:
     return agg_ops.monthly_aggregate(trade_fact(s, d))
 
 
+def scored(agg: DataFrame) -> DataFrame:
+    return stand_in_scores(agg).withColumn("date", month_start(F.col("year_month")))
+
+
 def scored_of(s: SparkSession, d: str) -> DataFrame:
-    return stand_in_scores(agg_of(s, d)).withColumn("date", month_start(F.col("year_month")))
+    return scored(agg_of(s, d))
 
 
 def risk_of(s: SparkSession, d: str) -> DataFrame:
     return rsk.risk_scores(scored_of(s, d), LEVELS)
 
 
-def planted_of(s: SparkSession, d: str) -> DataFrame:
+def written_agg(s: SparkSession, d: str) -> DataFrame:
+    """The region-by-month table cut from its lineage, for queries that read it several times."""
+    return written(agg_of(s, d))
+
+
+def planted(agg: DataFrame) -> DataFrame:
     """Months with a planted seasonal peak, a planted dominant region and a planted last-month jump."""
     x = F.col("enrolment_count_sum")
-    return agg_of(s, d).withColumn(
+    return agg.withColumn(
         "enrolment_count_sum",
         x
         * F.when(F.col("year_month").endswith("-03"), 2.5).otherwise(1.0)
@@ -121,10 +130,14 @@ def planted_of(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-def planted_scores_of(s: SparkSession, d: str) -> DataFrame:
+def planted_of(s: SparkSession, d: str) -> DataFrame:
+    return planted(agg_of(s, d))
+
+
+def planted_scores(agg: DataFrame) -> DataFrame:
     """Scores with flags crowded into one region and one month."""
     hot = (F.col("state") == "NATION_7") | (F.col("year_month") == "1997-03")
-    return scored_of(s, d).withColumns(
+    return scored(agg).withColumns(
         {
             "is_anomaly": F.when(hot, 1).otherwise(F.col("is_anomaly")),
             "anomaly_score": F.when(hot, 0.9).otherwise(F.col("anomaly_score")),
@@ -132,13 +145,21 @@ def planted_scores_of(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-def labelled_of(s: SparkSession, d: str) -> DataFrame:
+def planted_scores_of(s: SparkSession, d: str) -> DataFrame:
+    return planted_scores(agg_of(s, d))
+
+
+def labelled(agg: DataFrame) -> DataFrame:
     """Region features with a label computed from the name."""
-    return clu.state_features(scored_of(s, d)).withColumn("cluster", (F.ascii(F.right("state", F.lit(1))) % 3).cast("int"))
+    return clu.state_features(scored(agg)).withColumn("cluster", (F.ascii(F.right("state", F.lit(1))) % 3).cast("int"))
+
+
+def labelled_of(s: SparkSession, d: str) -> DataFrame:
+    return labelled(agg_of(s, d))
 
 
 def ml_of(s: SparkSession, d: str) -> DataFrame:
-    return agg_ops.ml_frame(checkpointed(agg_of(s, d)))
+    return agg_ops.ml_frame(written_agg(s, d))
 
 
 DIRTY = lambda s, d: dirty_fact(s, d, 15)
@@ -189,9 +210,14 @@ def _exported(s: SparkSession, d: str) -> DataFrame:
     return nan_to_null(s.read.csv(path, header=True, inferSchema=True))
 
 
+def _all_insights(s: SparkSession, d: str) -> DataFrame:
+    agg = written_agg(s, d)
+    risk = written(rsk.risk_scores(scored(agg), LEVELS))
+    return ins.insights(planted(agg), planted_scores(agg), risk, labelled(agg))
+
+
 def _insight_file(s: SparkSession, d: str) -> DataFrame:
-    rows = ins.insights(planted_of(s, d), planted_scores_of(s, d), risk_of(s, d), labelled_of(s, d))
-    return s.read.json(sinks.save_insights(rows, scratch_path(s, "insights")))
+    return s.read.json(sinks.save_insights(_all_insights(s, d), scratch_path(s, "insights")))
 
 
 case(
@@ -633,6 +659,19 @@ case(
 
 # --- insights ---------------------------------------------------------------
 
+
+
+def _over_tables(rule, finish=lambda df: df) -> Build:
+    """A rule over the region-by-month table, its scores and the risk table."""
+
+    def build(s: SparkSession, d: str) -> DataFrame:
+        agg = written_agg(s, d)
+        scores = scored(agg)
+        return finish(rule(agg, scores, rsk.risk_scores(scores, LEVELS)))
+
+    return build
+
+
 RULE = "type title description severity confidence"
 case(
     "ins0_metadata", "start_date end_date #duration_days #total_records #states_covered", lambda s, d: ins.metadata(trade_fact(s, d)),
@@ -641,7 +680,7 @@ case(
 case(
     "ins1_executive_summary",
     "~total_enrolments ~avg_monthly_enrolments ~avg_growth_pct growth_trend #anomalies_detected ~anomaly_rate_pct #critical_risk_states #high_risk_states #findings",
-    lambda s, d: ins.executive_summary(agg_of(s, d), scored_of(s, d), risk_of(s, d)).withColumn("findings", F.size("key_findings")),
+    _over_tables(ins.executive_summary, lambda df: df.withColumn("findings", F.size("key_findings"))),
     """SELECT *, CASE WHEN avg_growth_pct > 0 THEN 'positive' ELSE 'negative' END AS growth_trend, CASE WHEN total_enrolments > 10000000 THEN 1 ELSE 0 END
         + CASE WHEN anomaly_rate_pct > 5 THEN 1 ELSE 0 END + CASE WHEN critical_risk_states > 0 THEN 1 ELSE 0 END AS findings FROM (SELECT
         (SELECT sum(enrolment_count_sum) FROM agg) AS total_enrolments, (SELECT avg(t) FROM (SELECT sum(enrolment_count_sum) AS t FROM agg GROUP BY year_month)) AS avg_monthly_enrolments,
@@ -667,13 +706,13 @@ case("ins10_cluster_imbalance", RULE, lambda s, d: ins.cluster_imbalance(labelle
 case("ins11_strong_cluster", RULE, lambda s, d: ins.strong_cluster(labelled_of(s, d).withColumn("total_enrolments", F.col("total_enrolments") * F.when(F.col("cluster") == 1, 5.0).otherwise(1.0))), """
     SELECT 'cluster_performance' AS type, 'High-Performance Cluster Identified' AS title, 'Cluster ' || (top + 1) || ' shows significantly higher enrolment volumes' AS description, 'MEDIUM' AS severity, 'HIGH' AS confidence
       FROM (SELECT arg_max(cluster, m) AS top, max(m) AS a, min(m) AS b FROM (SELECT cluster, avg(total_enrolments * CASE WHEN cluster = 1 THEN 5.0 ELSE 1.0 END) AS m FROM labelled GROUP BY 1)) WHERE a > 2 * b""")
-case("ins_all_insights", "section " + "type title severity confidence", lambda s, d: ins.insights(planted_of(s, d), planted_scores_of(s, d), risk_of(s, d), labelled_of(s, d)), "SELECT * FROM all_insights")
-case("ins12_recommendations", "category action description priority timeline responsible", lambda s, d: ins.recommendations(agg_of(s, d), scored_of(s, d), risk_of(s, d)), "SELECT * FROM recommended")
+case("ins_all_insights", "section " + "type title severity confidence", _all_insights, "SELECT * FROM all_insights")
+case("ins12_recommendations", "category action description priority timeline responsible", _over_tables(ins.recommendations), "SELECT * FROM recommended")
 case("ins13_dashboard_insights", "type title action", lambda s, d: ins.dashboard_insights(dash_fact(s, d).withColumn("successful_enrolments", F.col("enrolments") * 0.95), risk_of(s, d)), """
     SELECT 'success' AS type, 'Excellent Performance' AS title, 'Maintain current operational excellence' AS action FROM (SELECT sum(enrolments * 0.95) / sum(enrolments) * 100 AS r FROM dash) WHERE r > 90
     UNION ALL SELECT 'warning', 'Anomalies Detected', 'Investigate detected anomalies in Anomalies tab' FROM (SELECT sum(is_anomaly) AS n FROM dash) WHERE n > 0
     UNION ALL SELECT 'danger', 'Critical Risk Detected', 'Immediate action required - check Risks tab' FROM (SELECT count(*) AS n FROM risk WHERE risk_level = 'CRITICAL') WHERE n > 0""")
-case("ins14_quick_insights", "top_state #anomaly_count #critical_count critical_states", lambda s, d: ins.quick_insights(scored_of(s, d), risk_of(s, d)), """
+case("ins14_quick_insights", "top_state #anomaly_count #critical_count critical_states", _over_tables(lambda agg, scores, risk: ins.quick_insights(scores, risk)), """
     SELECT (SELECT state FROM agg GROUP BY 1 ORDER BY sum(enrolment_count_sum) DESC, state LIMIT 1) AS top_state, (SELECT sum(is_anomaly) FROM scored) AS anomaly_count,
       (SELECT count(*) FROM risk WHERE risk_level = 'CRITICAL') AS critical_count,
       (SELECT string_agg(state, ', ' ORDER BY risk_score DESC, state) FROM (SELECT * FROM risk WHERE risk_level = 'CRITICAL' ORDER BY risk_score DESC, state LIMIT 3)) AS critical_states""")
