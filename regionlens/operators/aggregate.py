@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from regionlens.config import AGE_COLUMNS
 from regionlens.functions.expr import month_start, numeric_columns, one_value, ratio_or_zero, year_month
 from regionlens.functions.globalindex import with_global_index
+from regionlens.functions.materialize import written
 
 COUNT_CHOICES = ("enrolment_count", "Total_Enrolments", "enrolments")
 UPDATE_CHOICES = ("update_count", "Total_Updates", "updates")
@@ -118,9 +119,9 @@ def state_stats(facts: DataFrame) -> DataFrame:
 def category_frequency(facts: DataFrame, column: str) -> DataFrame:
     """Rows per value, their share of all rows, and the number of distinct values.
 
-    The totals come from the counted values, not from a second pass over the rows.
+    The counted values are written, so that the totals need no second pass over the rows.
     """
-    counts = facts.groupBy(column).agg(F.count(F.lit(1)).alias("n_records"))
+    counts = written(facts.groupBy(column).agg(F.count(F.lit(1)).alias("n_records")))
     totals = one_value(counts.agg(F.sum("n_records").alias("rows"), F.count(column).alias("distinct")))
     return (
         counts.where(F.col(column).isNotNull())

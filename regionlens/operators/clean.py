@@ -127,15 +127,15 @@ def validate_ranges(df: DataFrame, cfg: CleanCfg = CleanCfg()) -> DataFrame:
 def drop_repeats(df: DataFrame, cfg: CleanCfg = CleanCfg(), keys: Sequence[str] = DEDUP_KEYS) -> DataFrame:
     """Keep the first row of each key in the order of ``cfg.order_by``; NULL keys are equal.
 
-    The ``= 1`` filter lets Spark keep one row per key in every map task
+    A table without that column keeps the smallest row.  The ``= 1`` filter lets Spark keep one row per key in every map task
     (WindowGroupLimit) before the shuffle, so a key with a third of all rows
     sends one row per task.
     """
     keys = [k for k in keys if k in df.columns]
     if not keys:
         return df
-    rest = [c for c in df.columns if c not in keys and c != cfg.order_by]
-    first = W.partitionBy(*keys).orderBy(cfg.order_by, *rest)
+    order = [cfg.order_by] if cfg.order_by in df.columns else [c for c in df.columns if c not in keys]
+    first = W.partitionBy(*keys).orderBy(*(order or keys))
     return df.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") == 1).drop("_rank")
 
 

@@ -101,9 +101,12 @@ def looks_like_date(df: DataFrame, column: str, sample: int = 10) -> bool:
     """Whether the first ``sample`` values present in the column all parse as dates."""
     if isinstance(df.schema[column].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return True
-    head = df.select(column).where(F.col(column).isNotNull()).limit(sample)
-    row = head.agg(F.count(F.lit(1)).alias("n"), F.count(parse_timestamp(head, column)).alias("ok")).first()
-    return row["n"] > 0 and row["n"] == row["ok"]
+    # take() looks at as few partitions as it needs.
+    head = df.select(column).where(F.col(column).isNotNull()).take(sample)
+    if not head:
+        return False
+    values = df.sparkSession.createDataFrame(head, df.select(column).schema)
+    return values.where(parse_timestamp(values, column).isNull()).isEmpty()
 
 
 def detect(df: DataFrame, patterns: dict[str, list[str]] = COLUMN_PATTERNS) -> list[Detected]:

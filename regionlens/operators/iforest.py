@@ -6,8 +6,6 @@ where they are.  Sampling hashes the natural key, so the forest does not
 depend on how the table is partitioned.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,7 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from regionlens.config import ForestCfg
 from regionlens.functions.expr import one_value
@@ -102,7 +99,6 @@ def fit_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], cfg: Fore
 
 def score_rows(df: DataFrame, cols: Sequence[str], forest: list, psi: int) -> DataFrame:
     """Add ``anomaly_score`` = 2 ** (-mean depth / mean path of the sample)."""
-    cols = list(cols)
     trees = [
         (
             np.array(t["feature"], dtype=np.int64),
@@ -115,9 +111,11 @@ def score_rows(df: DataFrame, cols: Sequence[str], forest: list, psi: int) -> Da
     ]
     unit = max(mean_path(psi), 1e-12)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
+    # Only the features cross to Python; the other columns stay in the JVM.
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            x = np.column_stack([s.to_numpy(dtype=float) for s in batch])
             total = np.zeros(len(x))
             rows = np.arange(len(x))
             for feature, bound, left, right, depth in trees:
@@ -130,10 +128,9 @@ def score_rows(df: DataFrame, cols: Sequence[str], forest: list, psi: int) -> Da
                     goes_left = x[rows, np.maximum(f, 0)] <= bound[at]
                     at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
                 total += depth[at]
-            yield pdf.assign(anomaly_score=np.exp2(-(total / max(len(trees), 1)) / unit))
+            yield pd.Series(np.exp2(-(total / max(len(trees), 1)) / unit))
 
-    schema = T.StructType([*df.schema.fields, T.StructField("anomaly_score", T.DoubleType())])
-    return df.mapInPandas(score, schema)
+    return df.withColumn("anomaly_score", score(*cols))
 
 
 def isolation_forest(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from regionlens.config import MAP_CENTRE, REGION_COORDINATES
 from regionlens.functions.expr import one_value
+from regionlens.functions.materialize import written
 from regionlens.operators.anomalies import flagged
 
 
@@ -83,10 +84,12 @@ def coordinates(spark) -> DataFrame:
 def geo_mart(df: DataFrame, coords: DataFrame | None = None) -> DataFrame:
     """Totals and means per region with its position and a size relative to the largest region."""
     coords = coords if coords is not None else coordinates(df.sparkSession)
-    per_state = df.groupBy("state").agg(
-        F.sum("enrolments").alias("enrolments"),
-        F.avg("success_rate").alias("success_rate"),
-        F.avg("population_coverage").alias("population_coverage"),
+    per_state = written(
+        df.groupBy("state").agg(
+            F.sum("enrolments").alias("enrolments"),
+            F.avg("success_rate").alias("success_rate"),
+            F.avg("population_coverage").alias("population_coverage"),
+        )
     )
     largest = one_value(per_state.agg(F.max("enrolments").alias("m")))["m"]
     sized = per_state.withColumn("size", F.try_divide(F.col("enrolments"), largest) * 100)

@@ -59,12 +59,17 @@ def analyze(
     cluster_cfg: ClusterCfg = ClusterCfg(),
     risk_cfg: RiskCfg = RiskCfg(),
 ) -> Analysis:
-    """Raw facts to insights.  The scored frame is cut from its lineage, as four results read it."""
-    facts = clean.clean(raw, clean_cfg)
+    """Raw facts to insights.
+
+    Cleaned facts, scores and risk are read by several results, so each is
+    written once instead of being computed again.
+    """
+    facts = written(clean.clean(raw, clean_cfg))
     made = create_features(facts)
     scored = written(anomalies.detect_anomalies(made.ml, model, model_cfg))
-    clusters = cluster.describe_clusters(cluster.kmeans_states(cluster.state_features(scored), cluster_cfg))
-    risk = risk_ops.risk_scores(scored, risk_cfg)
+    grouped = written(cluster.kmeans_states(cluster.state_features(scored), cluster_cfg))
+    clusters = cluster.describe_clusters(grouped)
+    risk = written(risk_ops.risk_scores(scored, risk_cfg))
     return Analysis(
         facts,
         made.aggregates,

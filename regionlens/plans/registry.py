@@ -110,7 +110,8 @@ def scored_of(s: SparkSession, d: str) -> DataFrame:
 
 
 def risk_of(s: SparkSession, d: str) -> DataFrame:
-    return rsk.risk_scores(scored_of(s, d), LEVELS)
+    """The risk table, written because most queries read it more than once."""
+    return written(rsk.risk_scores(scored_of(s, d), LEVELS))
 
 
 def written_agg(s: SparkSession, d: str) -> DataFrame:
