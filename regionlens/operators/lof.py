@@ -10,7 +10,9 @@ boxes look like; boxes only decide how much work is done.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,39 +28,79 @@ from regionlens.operators.features import standardize
 CHUNK = 256
 
 
-def split_boxes(sample: np.ndarray, boxes: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper corners of boxes that tile the whole space, by halving the widest spread."""
-    low, high = np.full((1, dims), -np.inf), np.full((1, dims), np.inf)
-    members = [np.arange(len(sample))]
-    while len(members) < boxes:
-        new_low, new_high, new_members, grew = [], [], [], False
-        for lo, hi, rows in zip(low, high, members):
+@dataclass
+class Boxes:
+    """Boxes that tile the whole space, as a tree of cuts; leaves carry the box number."""
+
+    dim: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    box: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @staticmethod
+    def split(sample: np.ndarray, boxes: int, dims: int) -> Boxes:
+        """Halve the largest groups of the sample at the median of their widest side."""
+        dim, cut, left, right = [-1], [0.0], [-1], [-1]
+        corners = [(np.full(dims, -np.inf), np.full(dims, np.inf))]
+        todo, leaves = [(-len(sample), 0, np.arange(len(sample)))], 1
+        while todo and leaves < boxes:
+            _, node, rows = heapq.heappop(todo)
+            if len(rows) < 2:
+                break
             x = sample[rows]
-            d = int(np.argmax(x.max(axis=0) - x.min(axis=0))) if len(rows) > 1 else 0
-            cut = np.median(x[:, d]) if len(rows) > 1 else 0.0
-            below = x[:, d] < cut
-            if len(rows) < 2 or not below.any() or below.all():
-                new_low.append(lo), new_high.append(hi), new_members.append(rows)
+            d = int(np.argmax(x.max(axis=0) - x.min(axis=0)))
+            at = float(np.median(x[:, d]))
+            below = x[:, d] < at
+            if not below.any():
                 continue
-            grew = True
-            mid_hi, mid_lo = hi.copy(), lo.copy()
-            mid_hi[d], mid_lo[d] = cut, cut
-            new_low += [lo, mid_lo]
-            new_high += [mid_hi, hi]
-            new_members += [rows[below], rows[~below]]
-        low, high, members = np.array(new_low), np.array(new_high), new_members
-        if not grew:
-            break
-    return low, high
-
-
-def _box_of(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The box holding each row; boxes are closed below and open above."""
-    out = np.zeros(len(x), dtype=np.int64)
-    for a in range(0, len(x), CHUNK):
-        part = x[a : a + CHUNK, None, :]
-        out[a : a + CHUNK] = np.argmax(((part >= low) & (part < high)).all(axis=2), axis=1)
-    return out
+            low, high = corners[node]
+            mid_high, mid_low = high.copy(), low.copy()
+            mid_high[d], mid_low[d] = at, at
+            dim[node], cut[node], left[node], right[node] = d, at, len(dim), len(dim) + 1
+            for part, corner in ((rows[below], (low, mid_high)), (rows[~below], (mid_low, high))):
+                heapq.heappush(todo, (-len(part), len(dim), part))
+                dim.append(-1), cut.append(0.0), left.append(-1), right.append(-1), corners.append(corner)
+            leaves += 1
+        dim_, is_leaf = np.array(dim), np.array(dim) < 0
+        box = np.where(is_leaf, np.cumsum(is_leaf) - 1, -1)
+        low, high = (np.array([corners[i][side] for i in np.flatnonzero(is_leaf)]) for side in (0, 1))
+        return Boxes(dim_, np.array(cut), np.array(left), np.array(right), box, low, high)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The box of each row; boxes are closed below and open above."""
+        at = np.zeros(len(x), dtype=np.int64)
+        while True:
+            inner = np.flatnonzero(self.dim[at] >= 0)
+            if not len(inner):
+                return self.box[at]
+            node = at[inner]
+            below = x[inner, self.dim[node]] < self.cut[node]
+            at[inner] = np.where(below, self.left[node], self.right[node])
+
+    def touched(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row, box) of the boxes no farther from a row than its reach."""
+        # A hair of slack: rounding must not lose a box that is touched exactly.
+        reach = reach * (1 + 1e-9)
+        who, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+        rows, boxes = [], []
+        while len(who):
+            leaf = self.dim[node] < 0
+            rows.append(who[leaf])
+            boxes.append(self.box[node[leaf]])
+            who, node = who[~leaf], node[~leaf]
+            side, cut = x[who, self.dim[node]], self.cut[node]
+            go_left, go_right = side - reach[who] <= cut, side + reach[who] >= cut
+            who, node = (
+                np.concatenate([who[go_left], who[go_right]]),
+                np.concatenate([self.left[node[go_left]], self.right[node[go_right]]]),
+            )
+        who, box = np.concatenate(rows), np.concatenate(boxes)
+        gap = np.maximum(np.maximum(self.low[box] - x[who], x[who] - self.high[box]), 0.0)
+        near = np.sqrt((gap * gap).sum(axis=1)) <= reach[who]
+        return who[near], box[near]
 
 
 def _distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -85,14 +127,11 @@ def nearest(points: DataFrame, dims: int, k: int, total: int, cfg: LofCfg) -> Da
         draw = F.shiftrightunsigned(F.xxhash64(F.lit(cfg.seed), *xs), 11) / F.lit(float(1 << 53))
         rows = points.where(draw < share).orderBy(draw, *xs).limit(wanted).select(*xs).collect()
         sample = np.array([[r[x] for x in xs] for r in rows], dtype=float).reshape(-1, dims)
-    low, high = split_boxes(sample, boxes, dims) if len(sample) else (
-        np.full((1, dims), -np.inf),
-        np.full((1, dims), np.inf),
-    )
+    space = Boxes.split(sample, boxes, dims)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(box=_box_of(pdf[xs].to_numpy(dtype=float), low, high))
+            yield pdf.assign(box=space.of(pdf[xs].to_numpy(dtype=float)))
 
     fields = "pid long, copies long, " + ", ".join(f"{x} double" for x in xs)
     placed = points.select("pid", "copies", *xs).mapInPandas(assign, fields + ", box long")
@@ -119,12 +158,8 @@ def nearest(points: DataFrame, dims: int, k: int, total: int, cfg: LofCfg) -> Da
         for pdf in batches:
             x, reach = pdf[xs].to_numpy(dtype=float), pdf["reach"].to_numpy()
             for a in range(0, len(x), CHUNK):
-                part = x[a : a + CHUNK, None, :]
-                gap = np.maximum(np.maximum(low - part, part - high), 0.0)
-                away = np.sqrt((gap * gap).sum(axis=2))
-                # A hair of slack: rounding must not lose a box that is touched exactly.
-                who, where = np.nonzero(away <= reach[a : a + CHUNK, None] * (1 + 1e-9))
-                yield pdf.iloc[a + who].assign(box=where)
+                who, box = space.touched(x[a : a + CHUNK], reach[a : a + CHUNK])
+                yield pdf.iloc[a + who].assign(box=box)
 
     visits = reached.mapInPandas(visit, fields + ", box long, reach double").drop("copies")
 

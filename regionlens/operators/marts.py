@@ -126,9 +126,14 @@ def filter_facts(
     risk_level: str = "All",
     risk: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows inside the date range (both ends), of the regions, and of regions at the risk level."""
+    """Rows inside the date range (both days), of the regions, and of regions at the risk level.
+
+    The bounds are literals of the column's own type, so they reach the scan.
+    """
     if date_range:
-        df = df.where(F.to_date("date").between(F.lit(date_range[0]).cast("date"), F.lit(date_range[1]).cast("date")))
+        kind = df.schema["date"].dataType
+        first, after = F.lit(date_range[0]).cast("date"), F.date_add(F.lit(date_range[1]).cast("date"), 1)
+        df = df.where((F.col("date") >= first.cast(kind)) & (F.col("date") < after.cast(kind)))
     if states:
         df = filter_states(df, states)
     if risk_level != "All":

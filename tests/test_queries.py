@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from regionlens.plans.registry import CASES
@@ -66,13 +67,15 @@ def test_repeats_are_pruned_before_the_shuffle(spark, sf_dir):
     assert plan.index(", Final") < exchange < partial
 
 
-def test_date_filter_reaches_the_scan(spark, sf_dir, tmp_path):
+@pytest.mark.parametrize("kind", ["date", "timestamp_ntz"])
+def test_date_filter_reaches_the_scan(spark, sf_dir, tmp_path, kind):
     from regionlens.operators.marts import filter_facts
     from regionlens.sources.adapters import trade_fact
 
     path = str(tmp_path / "facts")
-    trade_fact(spark, sf_dir).write.parquet(path)
+    trade_fact(spark, sf_dir).withColumn("date", F.col("date").cast(kind)).write.parquet(path)
     df = filter_facts(spark.read.parquet(path), ("1996-01-01", "1996-12-31"), ["NATION_1"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     pushed = re.search(r"PushedFilters: \[([^\]]*)", plan).group(1)
-    assert "GreaterThanOrEqual(date" in pushed and "EqualTo(state,NATION_1)" in pushed
+    assert "GreaterThanOrEqual(date" in pushed and "LessThan(date" in pushed and "EqualTo(state,NATION_1)" in pushed
+    assert {r[0].year for r in df.select("date").distinct().collect()} == {1996}
