@@ -111,11 +111,26 @@ def _distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _edge(dist: np.ndarray, copies: np.ndarray, rows: int) -> np.ndarray:
+    """Per line, the distance within which ``rows`` rows lie, or the largest if there are fewer.
+
+    Every point holds at least one row, so the ``rows`` nearest points suffice.
+    """
+    take = min(rows, dist.shape[1])
+    near = np.argpartition(dist, take - 1, axis=1)[:, :take] if take < dist.shape[1] else np.argsort(dist, axis=1)
+    close = np.take_along_axis(dist, near, axis=1)
+    order = np.argsort(close, axis=1)
+    close, held = np.take_along_axis(close, order, axis=1), copies[np.take_along_axis(near, order, axis=1)].cumsum(axis=1)
+    last = np.where(held[:, -1] >= rows, np.argmax(held >= rows, axis=1), take - 1)
+    return close[np.arange(len(close)), last]
+
+
 def nearest(points: DataFrame, dims: int, k: int, total: int, cfg: LofCfg) -> DataFrame:
     """The points within reach of each point that can be among its ``k`` neighbours.
 
     ``points`` holds distinct vectors: ``pid``, ``x0..``, ``copies``.  Returns
-    ``(pid, nid, distance, copies)`` with the point itself at distance 0.
+    ``(pid, nid, distance, copies)`` and the vector of the neighbour; the
+    point itself is among them at distance 0.
     """
     xs = [f"x{d}" for d in range(dims)]
     boxes = int(min(cfg.max_leaves, max(1, 2 ** int(np.ceil(np.log2(max(total / cfg.leaf_rows, 1)))))))
@@ -142,13 +157,8 @@ def nearest(points: DataFrame, dims: int, k: int, total: int, cfg: LofCfg) -> Da
         reach = np.full(len(x), np.inf)
         if copies.sum() > k:
             for a in range(0, len(x), CHUNK):
-                dist = _distances(x[a : a + CHUNK], x)
-                order = np.argsort(dist, axis=1)
-                held = np.cumsum(copies[order], axis=1)
                 # The point itself is one of the rows counted.
-                hit = np.argmax(held >= k + 1, axis=1)
-                at = order[np.arange(len(order)), hit]
-                reach[a : a + CHUNK] = dist[np.arange(len(order)), at]
+                reach[a : a + CHUNK] = _edge(_distances(x[a : a + CHUNK], x), copies, k + 1)
         return pdf.assign(reach=reach)
 
     reached = placed.groupBy("box").applyInPandas(reach_inside, fields + ", box long, reach double")
@@ -170,12 +180,7 @@ def nearest(points: DataFrame, dims: int, k: int, total: int, cfg: LofCfg) -> Da
         for a in range(0, len(q) if len(p) else 0, CHUNK):
             part = q.iloc[a : a + CHUNK]
             dist = _distances(part[xs].to_numpy(dtype=float), px)
-            order = np.argsort(dist, axis=1, kind="stable")
-            sorted_dist = np.take_along_axis(dist, order, axis=1)
-            held = np.cumsum(copies[order], axis=1)
-            last = np.argmax(held >= k + 1, axis=1)
-            last = np.where(held[:, -1] >= k + 1, last, held.shape[1] - 1)
-            edge = sorted_dist[np.arange(len(part)), last]
+            edge = _edge(dist, copies, k + 1)
             keep = (dist <= edge[:, None]) & (dist <= part["reach"].to_numpy()[:, None] * (1 + 1e-9))
             who, where = np.nonzero(keep)
             parts.append(
@@ -185,13 +190,12 @@ def nearest(points: DataFrame, dims: int, k: int, total: int, cfg: LofCfg) -> Da
                         "nid": nid[where],
                         "distance": dist[who, where],
                         "copies": copies[where],
+                        **{f"n{x}": px[where, d] for d, x in enumerate(xs)},
                     }
                 )
             )
         if not parts:
-            return pd.DataFrame({"pid": [], "nid": [], "distance": [], "copies": []}).astype(
-                {"pid": "int64", "nid": "int64", "distance": "float64", "copies": "int64"}
-            )
+            return pd.DataFrame({c: [] for c in ("pid", "nid", "distance", "copies", *[f"n{x}" for x in xs])})
         return pd.concat(parts, ignore_index=True)
 
     # Boxes that many points reach are cut into shares of their visitors; each share meets the whole box.
@@ -201,20 +205,17 @@ def nearest(points: DataFrame, dims: int, k: int, total: int, cfg: LofCfg) -> Da
     return (
         visitors.groupBy("box", "share")
         .cogroup(hosts.groupBy("box", "share"))
-        .applyInPandas(compare, "pid long, nid long, distance double, copies long")
+        .applyInPandas(
+            compare, "pid long, nid long, distance double, copies long, " + ", ".join(f"n{x} double" for x in xs)
+        )
     )
 
 
-def _take(near: DataFrame, k: Column | int, vector: Sequence[str]) -> DataFrame:
-    """Nearest first, ties by vector, until ``k`` rows are held; the last point gives only what is needed."""
-    nearest_first = W.partitionBy("pid").orderBy("distance", *vector)
-    before = F.coalesce(F.sum("copies").over(nearest_first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return (
-        near.withColumn("_before", before)
-        .where(F.col("_before") < k)
-        .withColumn("take", F.least(F.col("copies"), F.lit(k) - F.col("_before")))
-        .drop("_before")
-    )
+def _take(copies: Column, k: int, vector: Sequence[str]) -> Column:
+    """How many of the rows a point holds are among the ``k`` nearest: nearest first, ties by vector."""
+    nearest_first = W.partitionBy("pid").orderBy("distance", *vector).rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(copies).over(nearest_first), F.lit(0))
+    return F.greatest(F.least(copies, F.lit(k) - before), F.lit(0))
 
 
 def lof(
@@ -244,35 +245,33 @@ def lof(
         return ml.withColumns({"is_anomaly": F.lit(0), "anomaly_score": F.lit(1.0)})
     k = max(1, min(cfg.neighbours, rows - 1))
 
-    vectors = points.select(F.col("pid").alias("nid"), *[F.col(x).alias(f"n{x}") for x in xs])
-    near = written(nearest(points, dims, k, int(size["points"]), cfg).join(vectors, "nid"))
+    # Fit time: a row is not its own neighbour, but its copies are.  Query time:
+    # the row and its copies come first, at distance 0.  One sort serves both.
     order = [f"n{x}" for x in xs]
-
-    # Fit time: a row is not its own neighbour, but its copies are.
-    others = near.withColumn("copies", F.when(F.col("pid") == F.col("nid"), F.col("copies") - 1).otherwise(F.col("copies")))
-    fit = _take(others.where(F.col("copies") > 0), k, order)
-    # Query time: the row and its copies come first, at distance 0.
-    query = _take(near, k, order)
-
-    reach_of = fit.groupBy("pid").agg(F.max("distance").alias("kdist"))
-    kdist = reach_of.select(F.col("pid").alias("nid"), "kdist")
-
-    def density(pairs: DataFrame) -> DataFrame:
-        far = F.greatest("distance", "kdist")
-        mean = F.sum(far * F.col("take")) / F.sum("take")
-        return pairs.join(kdist, "nid").groupBy("pid").agg((1.0 / (mean + 1e-10)).alias("lrd"))
-
-    fit_density = density(fit)
-    known = fit_density.select(F.col("pid").alias("nid"), F.col("lrd").alias("nlrd"))
-
-    def factor(pairs: DataFrame, own: DataFrame, name: str) -> DataFrame:
-        mean = F.sum(F.col("nlrd") * F.col("take")) / F.sum("take")
-        return (
-            pairs.join(known, "nid").groupBy("pid").agg(mean.alias("_m")).join(own, "pid")
-            .select("pid", (F.col("_m") / F.col("lrd")).alias(name))
-        )
-
-    factors = factor(fit, fit_density, "anomaly_score").join(factor(query, density(query), "_query"), "pid")
+    copies = F.col("copies")
+    others = copies - F.when(F.col("pid") == F.col("nid"), 1).otherwise(0)
+    picks = written(
+        nearest(points, dims, k, int(size["points"]), cfg)
+        .withColumns({"fit": _take(others, k, order), "query": _take(copies, k, order)})
+        .where((F.col("fit") > 0) | (F.col("query") > 0))
+        .select("pid", "nid", "distance", "fit", "query")
+    )
+    mean = lambda value, weight: F.sum(value * F.col(weight)) / F.sum(weight)
+    kdist = picks.where(F.col("fit") > 0).groupBy("pid").agg(F.max("distance").alias("kdist"))
+    far = F.greatest("distance", "kdist")
+    density = written(
+        picks.join(kdist.withColumnRenamed("pid", "nid"), "nid")
+        .groupBy("pid")
+        .agg((1.0 / (mean(far, "fit") + 1e-10)).alias("lrd"), (1.0 / (mean(far, "query") + 1e-10)).alias("query_lrd"))
+    )
+    known = density.select(F.col("pid").alias("nid"), F.col("lrd").alias("nlrd"))
+    factors = (
+        picks.join(known, "nid")
+        .groupBy("pid")
+        .agg(mean(F.col("nlrd"), "fit").alias("_fit"), mean(F.col("nlrd"), "query").alias("_q"))
+        .join(density, "pid")
+        .select("pid", (F.col("_fit") / F.col("lrd")).alias("anomaly_score"), (F.col("_q") / F.col("query_lrd")).alias("_query"))
+    )
     scored = written(
         scaled.join(points.join(factors, "pid").select(*xs, "anomaly_score", "_query"), xs).drop(*xs)
     )
