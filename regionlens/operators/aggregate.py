@@ -46,7 +46,8 @@ def by_state_month(facts: DataFrame) -> DataFrame:
             F.stddev_samp(c).alias("enrolment_count_std"),
         ]
     if updates:
-        aggs.append(_total(updates).alias("update_count_sum"))
+        # Updates alone keep their own name, and no measures are derived from them.
+        aggs.append(_total(updates).alias("update_count_sum" if count else updates))
     if not aggs:
         plain = numeric_columns(facts)[:2]
         if not plain:

@@ -127,11 +127,11 @@ def anomalies_by_date(scored: DataFrame) -> DataFrame:
     return flagged(scored).groupBy("date").agg(F.count(F.lit(1)).alias("anomaly_count"))
 
 
-def top_anomalies(scored: DataFrame, k: int = 20) -> DataFrame:
-    """Flagged rows with the highest scores; ties by region and month."""
-    return (
+def top_anomalies(scored: DataFrame, k: int | None = 20) -> DataFrame:
+    """Flagged rows by falling score, ties by region and month; ``k=None`` gives all of them."""
+    listed = (
         flagged(scored)
         .select("state", "year_month", "enrolment_count_sum", F.round("anomaly_score", 3).alias("anomaly_score"))
         .orderBy(F.desc("anomaly_score"), "state", "year_month")
-        .limit(k)
     )
+    return listed if k is None else listed.limit(k)

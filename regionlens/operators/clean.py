@@ -45,9 +45,12 @@ def impute_mode(df: DataFrame, columns: Sequence[str] = CATEGORY_COLUMNS) -> Dat
 
 
 def impute(df: DataFrame, cfg: CleanCfg = CleanCfg()) -> DataFrame:
-    """Medians and modes from one counting pass, filled in one projection."""
+    """Medians and modes from one counting pass, filled in one projection.
+
+    A numeric pincode counts as a number, as every other numeric column.
+    """
     numbers = numeric_columns(df, exclude=[cfg.order_by])
-    texts = [c for c in CATEGORY_COLUMNS if c in df.columns]
+    texts = [c for c in CATEGORY_COLUMNS if c in df.columns and c not in numbers]
     if not numbers and not texts:
         return df
     counts = value_counts(df, () if cfg.accuracy else numbers, texts)

@@ -80,6 +80,8 @@ def executive_summary(agg: DataFrame, scored: DataFrame, risk: DataFrame) -> Dat
     critical = F.col("critical_risk_states")
     return row.withColumns(
         {
+            "avg_growth_rate": F.format_string("%.1f%%", "avg_growth_pct"),
+            "anomaly_rate": F.format_string("%.1f%%", "anomaly_rate_pct"),
             "growth_trend": F.when(F.col("avg_growth_pct") > 0, "positive").otherwise("negative"),
             "key_findings": F.array_compact(
                 F.array(

@@ -270,3 +270,23 @@ def test_lookup_default_and_filters(spark):
 def test_unknown_weights_config(spark):
     with pytest.raises(ValueError):
         risk.risk_scores(risk_row(spark, enrolment_count_sum=F.lit(1.0)), RiskCfg(weights={"frequency": 1.0}))
+
+
+def test_numeric_pincode_is_filled_as_a_number(spark):
+    df = spark.createDataFrame([(110001.0,), (110003.0,), (None,)], "pincode double")
+    out = clean.normalize_pincode(clean.impute(df))
+    assert rows(out) == [("110001",), ("110002",), ("110003",)]
+
+
+def test_updates_alone_keep_their_name(spark):
+    df = spark.createDataFrame([("A", dt.date(2024, 1, 1), 3.0)], "state string, date date, update_count double")
+    assert aggregate.monthly_aggregate(df).columns == ["state", "year_month", "update_count"]
+
+
+def test_all_anomalies_or_the_first(spark):
+    df = spark.createDataFrame(
+        [("A", f"2024-{m:02d}", 1.0, 1, m / 100) for m in range(1, 13)] + [("B", "2024-01", 1.0, 0, 0.9)],
+        "state string, year_month string, enrolment_count_sum double, is_anomaly int, anomaly_score double",
+    )
+    assert anomalies.top_anomalies(df, None).count() == 12
+    assert [r["anomaly_score"] for r in anomalies.top_anomalies(df, 2).collect()] == [0.12, 0.11]
