@@ -71,7 +71,7 @@ def kmeans_states(sf: DataFrame, cfg: ClusterCfg = ClusterCfg()) -> DataFrame:
     however they came in.
     """
     cols = feature_cols(sf)
-    scaled = written(standardize(sf, cols, "_km"))
+    scaled = written(standardize(written(sf), cols, "_km"))
     n = scaled.count()
     laid_out = scaled.repartition(max(1, math.ceil(n / cfg.part_rows)), "state").sortWithinPartitions("state")
     ready = VectorAssembler(inputCols=[f"{c}_km" for c in cols], outputCol="_features").transform(laid_out).cache()
@@ -105,7 +105,7 @@ def silhouette(clus: DataFrame, cols: Sequence[str] | None = None, block: int =
     another, giving back only sums per region and cluster.
     """
     cols = list(cols) if cols is not None else feature_cols(clus)
-    scaled = written(standardize(clus.select("state", "cluster", *cols), cols, "_s"))
+    scaled = written(standardize(written(clus.select("state", "cluster", *cols)), cols, "_s"))
     xs = [f"x{i}" for i in range(len(cols))]
     n = one_value(scaled.agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n")))
     rows = (

@@ -138,9 +138,10 @@ def isolation_forest(
 ) -> DataFrame:
     """``ml`` with ``is_anomaly`` and ``anomaly_score``; about ``cfg.contamination`` of the rows are flagged.
 
-    The scaled rows are written once: sampling, scoring and the flag all read them.
+    Rows are written before their means are taken, so ``ml`` is computed once;
+    scaled rows too, so that sampling and scoring see the same values.
     """
-    scaled = written(standardize(ml, cols, "_iso"))
+    scaled = written(standardize(written(ml), cols, "_iso"))
     inputs = [f"{c}_iso" for c in cols]
     forest = sorted(fit_forest(scaled, inputs, key, cfg).collect(), key=lambda r: r["tree"])
     if not forest:

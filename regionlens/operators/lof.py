@@ -231,7 +231,7 @@ def lof(
     xs = [f"x{d}" for d in range(dims)]
     # Adding 0.0 turns -0.0 into 0.0, so equal vectors group and join as equal.
     scaled = written(
-        standardize(ml, cols, "_lof").withColumns({x: F.col(f"{c}_lof") + 0.0 for x, c in zip(xs, cols)})
+        standardize(written(ml), cols, "_lof").withColumns({x: F.col(f"{c}_lof") + 0.0 for x, c in zip(xs, cols)})
         .drop(*[f"{c}_lof" for c in cols])
     )
     points = written(

@@ -95,7 +95,7 @@ def level_names(risk: DataFrame, level: str, n: int) -> DataFrame:
     names = top.agg(
         ordered_names(F.collect_list(F.struct((-F.col("risk_score")).alias("o"), "state"))).alias("names")
     )
-    return hit.agg(F.count(F.lit(1)).alias("n")).withColumn("names", names.scalar())
+    return hit.agg(F.count(F.lit(1)).alias("n")).withColumn("names", F.when(F.col("n") > 0, names.scalar()))
 
 
 def risk_report(risk: DataFrame) -> DataFrame:

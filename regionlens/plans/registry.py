@@ -156,7 +156,7 @@ def labelled(agg: DataFrame) -> DataFrame:
 
 
 def labelled_of(s: SparkSession, d: str) -> DataFrame:
-    return labelled(agg_of(s, d))
+    return labelled(written_agg(s, d))
 
 
 def ml_of(s: SparkSession, d: str) -> DataFrame:
