@@ -16,7 +16,7 @@ from regionlens.config import (
     RISK_WEIGHTS,
     RiskCfg,
 )
-from regionlens.functions.expr import clip01, level_of, month_start, one_value, ordered_names, pick, side_by_side
+from regionlens.functions.expr import clip01, level_of, month_start, ordered_names, pick, side_by_side
 
 
 def scaled(raw: Column, component: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionlens.config import CleanCfg, ClusterCfg, RiskCfg
-from regionlens.functions.expr import month_start, nan_to_null, numeric_columns
+from regionlens.functions.expr import month_start, nan_to_null
 from regionlens.functions.materialize import written, scratch_path
 from regionlens.operators import aggregate as agg_ops
 from regionlens.operators import anomalies as ano
@@ -30,7 +30,7 @@ from regionlens.operators import profile as prf
 from regionlens.operators import risk as rsk
 from regionlens.operators import similarity as sim
 from regionlens.plans import pipeline
-from regionlens.plans.oracle import CTES, with_ctes
+from regionlens.plans.oracle import with_ctes
 from regionlens.sources import readers, sinks
 from regionlens.sources.adapters import (
     dash_fact,
