@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from regionlens.functions.materialize import scratch_path
-from regionlens.llm import quality_rules, simhash, token_counts, token_ids
+from regionlens.llm import (
+    decontaminate,
+    license_scan,
+    lm_scoring,
+    packing,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    token_counts,
+    token_ids,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +27,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(documents(spark, sf_dir))
     return groups.select("doc_id", simhash.hex16(groups["fp"]).alias("fingerprint"), "component_id")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(documents(spark, sf_dir))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -31,18 +58,68 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.digests(spark, files)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(documents(spark, sf_dir))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
 def queries() -> dict[str, Query]:
-    found = (op3_simhash, op6_token_counts, op7_token_ids, op10_quality_rules)
+    found = (
+        op1_url_filter,
+        op2_license_scan,
+        op3_simhash,
+        op4_lm_scoring,
+        op5_quality_classifier,
+        op6_token_counts,
+        op7_token_ids,
+        op8_decontamination,
+        op9_packing,
+        op10_quality_rules,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": OP10}
+    return {"op2_license_scan": op2_sql(), "op10_quality_rules": OP10}
+
+
+def op2_sql() -> str:
+    """Containment of every template in every window, without hashes or bands."""
+    cfg = license_scan.LicenseCfg()
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = [
+        f"({quoted(name)}, {size}, {quoted(s)}, {len(shingles)})"
+        for name, size, shingles in license_scan.template_shingles(license_scan.TEMPLATES, cfg)
+        for s in shingles
+    ]
+    return f"""
+WITH t(license, size, s, total) AS (VALUES {", ".join(rows)}),
+w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
+  FROM documents
+), p AS (
+  SELECT rid, doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5
+), s AS (
+  SELECT rid, doc_id, i - 1 AS i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS s FROM p
+), h AS (
+  SELECT rid, doc_id, i, s, license, size, total, unnest([i // size - 1, i // size]) AS win FROM s JOIN t USING (s)
+), c AS (
+  SELECT rid, doc_id, license, win, count(DISTINCT s) / max(total) AS containment, min(i) AS start
+  FROM h WHERE win >= 0 GROUP BY rid, doc_id, license, win
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY rid, license ORDER BY containment DESC, start) AS k FROM c WHERE containment >= {cfg.containment}
+)
+SELECT doc_id, license, containment, CAST(start AS BIGINT) AS start FROM best WHERE k = 1
+"""
 
 
 _W = "'[^\\x20\\x09-\\x0D]+'"
