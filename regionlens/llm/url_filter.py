@@ -33,7 +33,7 @@ WANTED = (
 )
 PREFIXES = ("", "www.", "m.", "blog.")
 ENDINGS = ("example.com", "example.net", "example.org")
-PATHS = ("/en/12", "/fr/340.html", "/de/7/", "/es/2041", "/en/99.html", "/", "/fr/5/", "/de/1203", "")
+PATHS = ("/en/12", "/fr/340.html", "/de/7/", "/es/2041", "/en/99.html", "/", "/fr/5/", "/de/1203")
 
 
 @dataclass(frozen=True)
