@@ -177,9 +177,10 @@ AGG = (
 def _two_headers(s: SparkSession, d: str) -> DataFrame:
     path = scratch_path(s, "csv")
     fact = trade_fact(s, d)
+    fact = fact.withColumn("state", F.concat("state", F.lit(' "Q", new')))
     even, odd = fact.where("seq % 2 = 0"), fact.where("seq % 2 = 1")
-    even.select("seq", "state", "enrolment_count").write.option("header", True).csv(path)
-    odd.select("update_count", "state", "enrolment_count", "seq").write.option("header", True).mode("append").csv(path)
+    even.select("seq", "state", "enrolment_count").write.options(**sinks.CSV_OUT).csv(f"{path}/a b")
+    odd.select("update_count", "state", "enrolment_count", "seq").write.options(**sinks.CSV_OUT).csv(f"{path}/c")
     return readers.read_csv_dir(s, path)
 
 
@@ -189,11 +190,14 @@ def _json(s: SparkSession, d: str) -> DataFrame:
     return readers.read_json(s, path, multi_line=False)
 
 
+
+
 def _two_encodings(s: SparkSession, d: str) -> DataFrame:
     path = scratch_path(s, "encoded")
     fact = trade_fact(s, d).select("seq", F.concat("state", F.lit("é")).alias("state"), "enrolment_count")
-    fact.where("seq % 2 = 0").write.option("header", True).csv(path)
-    fact.where("seq % 2 = 1").write.option("header", True).option("encoding", "ISO-8859-1").mode("append").csv(path)
+    fact.where("seq % 3 = 0").write.option("header", True).csv(f"{path}/a b")
+    fact.where("seq % 3 = 1").select("state", "enrolment_count", "seq").write.option("header", True).csv(f"{path}/c")
+    fact.where("seq % 3 = 2").write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/d/e")
     return readers.read_csv_any_encoding(s, path)
 
 
@@ -223,7 +227,8 @@ def _insight_file(s: SparkSession, d: str) -> DataFrame:
 
 case(
     "src1_read_csv_dir", "#seq state ~enrolment_count ~update_count", _two_headers,
-    "SELECT seq, state, enrolment_count, CASE WHEN seq % 2 = 1 THEN update_count END AS update_count FROM trade",
+    """SELECT seq, state || ' "Q", new' AS state, enrolment_count, CASE WHEN seq % 2 = 1 THEN update_count END AS update_count
+        FROM trade""",
 )
 case("src2_read_json", "#seq state district ~enrolment_count ~update_count", _json, "SELECT * FROM trade")
 case(
@@ -231,6 +236,7 @@ case(
     "SELECT seq, state || 'é' AS state, enrolment_count FROM trade",
 )
 case("src4_load_table", AGG, _saved("parquet", ("year_month",)), "SELECT * FROM agg")
+case("src4_load_table_csv", AGG, _saved("csv"), "SELECT * FROM agg")
 case(
     "src5_month_start", "state year_month date ~enrolment_count_sum", _saved("parquet"),
     "SELECT *, CAST(year_month || '-01' AS DATE) AS date FROM agg",

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,22 +19,46 @@ from regionlens.operators.columns import unique_names
 log = logging.getLogger(__name__)
 
 
-def list_files(spark: SparkSession, path: str, suffix: str = ".csv") -> list[str]:
-    """Files matching ``path`` (file, folder or glob), listed by Hadoop's FileSystem."""
+# Quotes as CSV writers everywhere put them: a quote inside a quoted field is doubled.
+CSV = {"header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+MORE = "_more_fields"
+
+
+def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv", ".csv.gz")) -> list[str]:
+    """Files matching ``path`` (file, folder or glob), folders with all below them, listed by Hadoop's FileSystem.
+
+    The suffixes are asked of files found in folders; hidden files and folders are left out.
+    """
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = []
+
+    def visit(status, named: bool) -> None:
+        name = status.getPath().getName()
+        if not named and name.startswith(("_", ".")):
+            return
+        if status.isDirectory():
+            for entry in fs.listStatus(status.getPath()):
+                visit(entry, False)
+        elif named or not suffixes or name.endswith(suffixes):
+            found.append(status.getPath().toString())
+
     for status in fs.globStatus(target) or []:
-        entries = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-        for entry in entries:
-            name = entry.getPath().getName()
-            if entry.isFile() and not name.startswith(("_", ".")):
-                if not status.isDirectory() or name.endswith((suffix, suffix + ".gz")):
-                    found.append(entry.getPath().toString())
+        visit(status, True)
     return sorted(found)
 
 
+def same_path(path: str) -> str:
+    """A path in one spelling, whether or not its scheme is followed by an empty host."""
+    return re.sub(r"^([a-z][a-z0-9+.-]*:)/+", r"\1/", path)
+
+
+def literal(path: str) -> str:
+    """A path whose glob characters stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def first_line(spark: SparkSession, file: str) -> str | None:
     """Header line of one file; only the first block of it is opened."""
     jvm = spark.sparkContext._jvm
@@ -69,48 +95,73 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aligned)
 
 
-def read_csv_dir(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType | None = None,
-    infer_types: bool = True,
-    provenance: bool = False,
-) -> DataFrame:
-    """All CSV files of a folder as one table, matched by column name.
-
-    Spark matches the columns of several files by position, so files are
-    grouped by their header line and each group is read once.  Only file names
-    and header lines reach the driver.  A file that cannot be opened is logged
-    and skipped.  With ``schema`` or ``infer_types=False`` the extra pass that
-    infers types is saved; columns of ``schema`` get its types, others are text.
-    """
-    files = list_files(spark, path)
+def _readable(spark: SparkSession, files: list[str]) -> tuple[list[str], dict[str, str]]:
+    """Files that read to their end, and the others with the reason; one job for each file."""
 
-    def header_of(file: str) -> tuple[str, str | None]:
+    def reason(file: str) -> str | None:
         try:
-            return file, first_line(spark, file)
-        except Exception as e:  # noqa: BLE001 - any read failure skips the file
-            log.error("cannot read %s: %s", file, e)
-            return file, None
+            spark.read.text(literal(file)).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001 - any failure sets the whole file aside
+            return str(e).split("\n")[0]
+        return None
 
-    groups: dict[str, list[str]] = defaultdict(list)
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        reasons = dict(zip(files, pool.map(reason, files)))
+    bad = {f: r for f, r in reasons.items() if r is not None}
+    for file, why in bad.items():
+        log.error("cannot read %s: %s", file, why)
+    return [f for f in files if f not in bad], bad
+
+
+def _header_groups(
+    spark: SparkSession, files: list[str], latin: set[str], on_bad_file: str
+) -> tuple[dict[tuple[str, str], list[str]], dict[str, str]]:
+    """Files by header line and encoding, and the files set aside with the reason. Empty files are in no group."""
+    if on_bad_file not in ("fail", "skip"):
+        raise ValueError("on_bad_file is 'fail' or 'skip'")
+    bad: dict[str, str] = {}
+    if on_bad_file == "skip":
+        files, bad = _readable(spark, files)
+    groups: dict[tuple[str, str], list[str]] = defaultdict(list)
     with ThreadPoolExecutor(max_workers=32) as pool:
-        for file, header in pool.map(header_of, files):
+        for file, header in zip(files, pool.map(lambda f: first_line(spark, f), files)):
             if header:
-                groups[header].append(file)
-    if not groups:
-        raise ValueError(f"no readable CSV file in {path}")
+                groups[header, "ISO-8859-1" if same_path(file) in latin else "UTF-8"].append(file)
+    return groups, bad
 
-    infer = infer_types and schema is None
-    known = {f.name.lower(): f.dataType for f in schema.fields} if schema else {}
+
+def _group_frame(spark: SparkSession, files: list[str], encoding: str, infer: bool, multi_line: bool) -> DataFrame:
+    """Files of one header, with one more text column for what exceeds it and the place of each row."""
+    options = {**CSV, "encoding": encoding, "multiLine": multi_line}
+    paths = [literal(f) for f in files]
+    found = spark.read.options(**options).csv(paths, inferSchema=infer).schema
+    wide = T.StructType([*found.fields, T.StructField(MORE, T.StringType())])
+    # A field over the header would otherwise be dropped in silence.
+    return spark.read.options(**options).schema(wide).csv(paths)
+
+
+def _place() -> list[Column]:
+    """File, start of the split and running number within it: the order of the rows in the input."""
+    return [
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    ]
+
+
+def _union_groups(
+    spark: SparkSession, groups: dict[tuple[str, str], list[str]], infer: bool, multi_line: bool,
+    provenance: bool, order: str | None, known: dict[str, T.DataType],
+) -> DataFrame:
     frames = []
-    for header in sorted(groups):
-        df = spark.read.option("ignoreCorruptFiles", True).csv(
-            groups[header], header=True, inferSchema=infer, mode="PERMISSIVE"
-        )
-        if provenance:
-            df = df.select("*", F.col("_metadata.file_name").alias("source_file"))
-        df = unique_names(df)
+    for header, encoding in sorted(groups):
+        df = _group_frame(spark, groups[header, encoding], encoding, infer, multi_line)
+        names = unique_names(df.select(df.columns[:-1])).columns
+        extra = [F.col("_metadata.file_name").alias("source_file")] if provenance else []
+        extra += [F.struct(*_place()).alias(order)] if order else []
+        fits = df.where(F.col(MORE).isNull())
+        rows = fits.select(*[F.col(f"`{c}`") for c in df.columns[:-1]], *extra).toDF(*names, *(["source_file"] if provenance else []), *([order] if order else []))
+        df = unique_names(rows)
         if known:
             df = df.select(
                 *[
@@ -122,34 +173,94 @@ def read_csv_dir(
     return union_by_name(frames)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
-    """JSON file or folder; ``multi_line`` reads a top-level array, at the cost of splitting."""
+def read_csv_dir(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    infer_types: bool = True,
+    provenance: bool = False,
+    order: str | None = None,
+    multi_line: bool = False,
+    on_bad_file: str = "fail",
+) -> DataFrame:
+    """All CSV files of a folder and the folders below as one table, matched by column name.
+
+    Spark matches the columns of several files by position, so files are
+    grouped by their header line and each group is read once.  Only file names
+    and header lines reach the driver.  With ``schema`` or ``infer_types=False`` the extra pass that
+    infers types is saved; columns of ``schema`` get its types, others are text.
+
+    ``order`` names a column with the place of each row in the input (file, then position), to keep
+    the first of repeated rows by.  Rows shorter than the header end in NULLs; rows with more fields
+    than the header are left out here and returned by :func:`csv_rejects`.  ``multi_line=True`` reads line
+    breaks inside quotes, at the cost of one task per file.  A file that cannot be read to its end fails the
+    read, or with ``on_bad_file="skip"``, which reads every file once more, is left out as a whole.
+    """
+    groups, _ = _header_groups(spark, list_files(spark, path), set(), on_bad_file)
+    if not groups:
+        raise ValueError(f"no readable CSV file in {path}")
+    known = {f.name.lower(): f.dataType for f in schema.fields} if schema else {}
+    return _union_groups(spark, groups, infer_types and schema is None, multi_line, provenance, order, known)
+
+
+def csv_rejects(
+    spark: SparkSession, path: str, multi_line: bool = False, on_bad_file: str = "fail", any_encoding: bool = False
+) -> DataFrame:
+    """``source_file, reason, fields`` of what the CSV readers leave out.
+
+    Rows with more fields than their header come with those of the header and the first one over; a file set aside comes as one row without
+    fields and the error as reason.
+    """
+    files = list_files(spark, path, () if any_encoding else (".csv", ".csv.gz"))
+    groups, bad = _header_groups(spark, files, _not_utf8(spark, files) if any_encoding else set(), on_bad_file)
+    kind = "source_file string, reason string, fields array<string>"
+    out = spark.createDataFrame([(f, why, None) for f, why in sorted(bad.items())], kind)
+    for (_, encoding), members in sorted(groups.items()):
+        df = _group_frame(spark, members, encoding, False, multi_line)
+        rows = df.where(F.col(MORE).isNotNull()).select(
+            F.col("_metadata.file_name").alias("source_file"),
+            F.lit("more fields than the header").alias("reason"),
+            F.array(*[F.col(f"`{c}`") for c in df.columns]).alias("fields"),
+        )
+        out = out.unionByName(rows)
+    return out
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """JSON file or folder, a record per line; ``multi_line`` reads top-level arrays, with one task per file."""
     reader = spark.read.schema(schema) if schema else spark.read
     return nan_to_null(reader.json(path, multiLine=multi_line))
 
 
-def read_csv_any_encoding(spark: SparkSession, path: str, infer_types: bool = True) -> DataFrame:
+def _not_utf8(spark: SparkSession, files: list[str]) -> set[str]:
+    """Those of the files that hold bytes that are not UTF-8; one pass over the text, a name for each file found."""
+    if not files:
+        return set()
+    lines = spark.read.text([literal(f) for f in files])
+    odd = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("file")).distinct()
+    return {same_path(unquote(r["file"])) for r in odd.toLocalIterator()}
+
+
+def read_csv_any_encoding(
+    spark: SparkSession,
+    path: str,
+    infer_types: bool = True,
+    order: str | None = None,
+    multi_line: bool = False,
+    on_bad_file: str = "fail",
+) -> DataFrame:
     """CSV in UTF-8, file by file in Latin-1 where the bytes are not valid UTF-8.
 
-    Spark does not fail on bytes that are not UTF-8, so one pass over the text
-    looks for such lines; only the names of the files that hold one are collected.
+    Takes every file whatever its suffix, otherwise as :func:`read_csv_dir`. Spark does not fail on bytes that are not
+    UTF-8, so one pass over the text looks for such lines.
     """
-    lines = spark.read.text(path)
-    latin = [
-        r["file_path"]
-        for r in lines.where(~F.is_valid_utf8("value"))
-        .select(F.col("_metadata.file_path").alias("file_path"))
-        .distinct()
-        .collect()
-    ]
-    if not latin:
-        return nan_to_null(unique_names(spark.read.csv(path, header=True, inferSchema=infer_types)))
-    odd = {f.split("/")[-1] for f in latin}
-    rest = [f for f in list_files(spark, path) if f.split("/")[-1] not in odd]
-    frames = [spark.read.csv(latin, header=True, inferSchema=infer_types, encoding="ISO-8859-1")]
-    if rest:
-        frames.append(spark.read.csv(rest, header=True, inferSchema=infer_types))
-    return union_by_name([nan_to_null(unique_names(f)) for f in frames])
+    files = list_files(spark, path, ())
+    if on_bad_file == "skip":
+        files, _ = _readable(spark, files)
+    groups, _ = _header_groups(spark, files, _not_utf8(spark, files), "fail")
+    if not groups:
+        raise ValueError(f"no readable CSV file in {path}")
+    return _union_groups(spark, groups, infer_types, multi_line, False, order, {})
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -169,7 +280,7 @@ def load_table(
         return spark.createDataFrame([], schema or T.StructType([]))
     reader = spark.read.schema(schema) if schema else spark.read
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**CSV)
         if schema is None:
             # Dates and keys stay text; numbers are inferred.
             reader = reader.option("inferSchema", True).option("prefersDate", False)

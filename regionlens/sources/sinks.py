@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# A quote inside a field is doubled, which every CSV reader understands.
+CSV_OUT = {"header": True, "quote": '"', "escape": '"'}
+
+
 def save_table(
     df: DataFrame,
     name: str,
@@ -26,15 +30,12 @@ def save_table(
                 for f in df.schema.fields
             ]
         )
-    writer = df.write.mode(mode).format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True)
     if partition_by:
         # One task per partition value would meet a hot month; let AQE split it.
-        writer = df.hint("rebalance", *partition_by).write.mode(mode).format(fmt)
-        if fmt == "csv":
-            writer = writer.option("header", True)
-        writer = writer.partitionBy(*partition_by)
+        df = df.hint("rebalance", *partition_by)
+    writer = df.write.mode(mode).format(fmt).partitionBy(*partition_by)
+    if fmt == "csv":
+        writer = writer.options(**CSV_OUT)
     writer.save(path)
     return path
 

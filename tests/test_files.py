@@ -28,6 +28,46 @@ def test_mixed_headers(spark, tmp_path):
     assert rows(named.where("state = 'B'"), "source_file") == [("b.csv",)]
 
 
+def test_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,text,m\n1,"A ""x"", B",5\n2,plain,6\n3,short\n4,a,b,c,d\n')
+    df = readers.read_csv_dir(spark, str(tmp_path))
+    assert rows(df) == [(1, 'A "x", B', "5"), (2, "plain", "6"), (3, "short", None)]
+    assert rows(readers.csv_rejects(spark, str(tmp_path))) == [("a.csv", "more fields than the header", ["4", "a", "b", "c"])]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b.csv").write_text('n,text\n1,"two\nlines"\n2,"say ""so"""\n')
+    df = readers.read_csv_dir(spark, str(tmp_path / "b"), multi_line=True)
+    assert rows(df) == [(1, "two\nlines"), (2, 'say "so"')]
+    odd = spark.createDataFrame([(1, 'q "u", o'), (2, None), (3, "\\\\ back"), (4, "")], "n int, text string")
+    sinks.save_table(odd, "t", str(tmp_path / "out"), "csv")
+    assert rows(readers.load_table(spark, "t", str(tmp_path / "out"), fmt="csv").where("n in (1, 3)")) == rows(odd.where("n in (1, 3)"))
+    import csv
+
+    lines = [r for f in (tmp_path / "out" / "t").glob("part-*") for r in csv.reader(f.open()) if r[0] != "n"]
+    assert sorted(r[1] for r in lines if r[0] in "13") == sorted(['q "u", o', "\\\\ back"])
+
+
+def test_truncated_file_is_never_read_in_part(spark, tmp_path):
+    import gzip
+
+    whole = gzip.compress("".join(["state,n\n", *[f"A{i * 7919 % 100_003},{i}\n" for i in range(50_000)]]).encode())
+    (tmp_path / "bad.csv.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "good.csv").write_text("state,n\nB,1\n")
+    with pytest.raises(Exception):
+        readers.read_csv_dir(spark, str(tmp_path)).count()
+    assert rows(readers.read_csv_dir(spark, str(tmp_path), on_bad_file="skip")) == [("B", 1)]
+    assert rows(readers.read_csv_any_encoding(spark, str(tmp_path), on_bad_file="skip")) == [("B", 1)]
+    rejected = readers.csv_rejects(spark, str(tmp_path), on_bad_file="skip").collect()
+    assert len(rejected) == 1 and rejected[0].source_file.endswith("bad.csv.gz") and rejected[0].fields is None
+
+
+def test_order_column_follows_the_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,v\n" + "".join(f"{i},9\n" for i in range(50)))
+    (tmp_path / "b + c.csv").write_text("v,n\n1,0\n1,1\n")
+    df = readers.read_csv_dir(spark, str(tmp_path), order="seq")
+    assert [r.n for r in df.orderBy("seq").collect()] == [*range(50), 0, 1]
+    assert [r.v for r in df.orderBy("seq").collect()] == [9] * 50 + [1] * 2
+
+
 def test_no_readable_file(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.read_csv_dir(spark, str(tmp_path))
@@ -55,9 +95,20 @@ def test_encodings(spark, tmp_path):
     assert rows(readers.read_csv_any_encoding(spark, str(tmp_path / "utf.csv"))) == [("Ås�", 2)]
 
 
+def test_encodings_by_whole_path_and_header(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "part.csv").write_bytes(b"k,state\n1,S\xe9o\n")
+    (tmp_path / "b" / "part.csv").write_bytes("state,k\nÅs,2\nB,3\n".encode())
+    (tmp_path / "b" / "my file.txt").write_bytes(b"k,state\n4,\xc9t\xe9\n")
+    want = [(1, "Séo"), (2, "Ås"), (3, "B"), (4, "Été")]
+    assert rows(readers.read_csv_any_encoding(spark, str(tmp_path)), "k", "state") == want
+    assert rows(readers.read_csv_any_encoding(spark, str(tmp_path / "b" / "my file.txt")), "k", "state") == want[3:]
+
+
 def test_json_array(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"state": "A", "n": 1}, {"state": "B"}]))
-    assert rows(readers.read_json(spark, str(tmp_path / "a.json")), "state", "n") == [("A", 1), ("B", None)]
+    assert rows(readers.read_json(spark, str(tmp_path / "a.json"), multi_line=True), "state", "n") == [("A", 1), ("B", None)]
 
 
 def test_missing_table_has_declared_schema(spark, tmp_path):
