@@ -103,6 +103,14 @@ RISK_ICONS = {"CRITICAL": "🔴", "HIGH": "🟠", "MEDIUM": "🟡", "LOW": "🟢
 BLEND_ICONS = {"CRITICAL": "🔴", "HIGH": "🟠", "MEDIUM": "🟡", "LOW": "🟢", "VERY_LOW": "🔵"}
 
 
+# Date formats tried after ISO, month before day where both would fit.
+DATE_FORMATS = (
+    "M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "yyyyMMdd", "M-d-yyyy", "d/M/yyyy", "d-M-yyyy",
+)
+# Texts that stand for a missing value in a numeric column.
+MISSING = ("", "n/a", "na", "nan", "null", "none", "-")
+
+
 @dataclass(frozen=True)
 class CleanCfg:
     """Bounds of the cleaning rules.
@@ -119,7 +127,7 @@ class CleanCfg:
     tol: float = 1.1
     null_share: float = 0.5
     order_by: str = "seq"
-    date_formats: tuple[str, ...] = ("MM/dd/yyyy", "yyyy/MM/dd", "dd-MMM-yyyy")
+    date_formats: tuple[str, ...] = DATE_FORMATS
     accuracy: int | None = None
 
 

@@ -56,10 +56,10 @@ def pincode(c: Column) -> Column:
 def parse_timestamp(df: DataFrame, name: str, formats: Sequence[str] = ()) -> Column:
     """NTZ timestamp of a date, timestamp or text column; NULL when it does not parse."""
     kind = df.schema[name].dataType
-    c = F.col(name)
+    c = F.col(f"`{name}`")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("timestamp_ntz")
-    text = c.cast("string")
+    text = F.trim(c.cast("string"))
     return F.coalesce(
         text.try_cast("timestamp_ntz"),
         *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats],

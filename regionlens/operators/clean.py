@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regionlens.config import AGE_COLUMNS, CATEGORY_COLUMNS, DEDUP_KEYS, CleanCfg
 from regionlens.functions.expr import (
@@ -17,7 +18,7 @@ from regionlens.functions.expr import (
     pincode,
     region_name,
 )
-from regionlens.functions.quantile import modes_of_counts, quantiles, quantiles_of_counts, value_counts
+from regionlens.functions.quantile import modes_of_counts, quantiles, value_counts
 from regionlens.operators.columns import standardize_columns
 
 
@@ -25,37 +26,60 @@ def drop_null_dates(df: DataFrame) -> DataFrame:
     return df.where(F.col("date").isNotNull()) if "date" in df.columns else df
 
 
+def _with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Those of the columns that hold a NULL (or NaN); one aggregate."""
+    if not columns:
+        return []
+    gone = lambda c: F.col(c).isNull() | F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(False))
+    numbers = set(numeric_columns(df))
+    row = df.agg(
+        *[F.bool_or(gone(c) if c in numbers else F.col(c).isNull()).alias(str(i)) for i, c in enumerate(columns)]
+    ).first()
+    return [c for i, c in enumerate(columns) if row[str(i)]]
+
+
 def _filled(df: DataFrame, medians: dict, modes: dict, texts: Sequence[str]) -> DataFrame:
-    numbers = {c: F.coalesce(F.col(c).cast("double"), F.lit(m[0])) for c, m in medians.items() if m[0] is not None}
-    names = {c: F.coalesce(F.col(c).cast("string"), F.lit(modes.get(c, "Unknown"))) for c in texts}
-    both = {**numbers, **names}
+    """Fill NULLs only; a column keeps its type where the filling fits it, else it becomes DOUBLE."""
+    both = {}
+    for c, (m, *_) in medians.items():
+        if m is None:
+            continue
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+            both[c] = F.coalesce(F.nanvl(F.col(c), F.lit(None).cast(kind)), F.lit(m).cast(kind))
+        elif m == int(m):
+            both[c] = F.coalesce(F.col(c), F.lit(int(m)).cast(kind))
+        else:
+            both[c] = F.coalesce(F.col(c).cast("double"), F.lit(m))
+    both |= {c: F.coalesce(F.col(c).cast("string"), F.lit(modes.get(c, "Unknown"))) for c in texts}
     return df.withColumns(both) if both else df
 
 
 def impute_median(df: DataFrame, columns: Sequence[str] | None = None, cfg: CleanCfg = CleanCfg()) -> DataFrame:
-    """Fill every numeric column with its interpolated median."""
+    """Fill every numeric column that holds NULLs with its interpolated median."""
     cols = list(columns) if columns is not None else numeric_columns(df, exclude=[cfg.order_by])
+    cols = _with_nulls(df, cols)
     return _filled(df, quantiles(df, cols, [0.5], cfg.accuracy), {}, ()) if cols else df
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str] = CATEGORY_COLUMNS) -> DataFrame:
     """Fill each text column with its most frequent value, else ``Unknown``."""
-    cols = [c for c in columns if c in df.columns]
+    cols = _with_nulls(df, [c for c in columns if c in df.columns])
     return _filled(df, {}, modes_of_counts(value_counts(df, texts=cols), cols), cols) if cols else df
 
 
 def impute(df: DataFrame, cfg: CleanCfg = CleanCfg()) -> DataFrame:
-    """Medians and modes from one counting pass, filled in one projection.
+    """Medians and modes of the columns that hold NULLs, filled in one projection.
 
-    A numeric pincode counts as a number, as every other numeric column.
+    One aggregate finds these columns.  A numeric pincode counts as a number, as every other numeric column.
     """
     numbers = numeric_columns(df, exclude=[cfg.order_by])
     texts = [c for c in CATEGORY_COLUMNS if c in df.columns and c not in numbers]
-    if not numbers and not texts:
-        return df
-    counts = value_counts(df, () if cfg.accuracy else numbers, texts)
-    medians = quantiles(df, numbers, [0.5], cfg.accuracy) if cfg.accuracy else quantiles_of_counts(counts, numbers, [0.5])
-    return _filled(df, medians, modes_of_counts(counts, texts), texts)
+    gaps = _with_nulls(df, [*numbers, *texts])
+    numbers, texts = [c for c in numbers if c in gaps], [c for c in texts if c in gaps]
+    medians = quantiles(df, numbers, [0.5], cfg.accuracy) if numbers else {}
+    modes = modes_of_counts(value_counts(df, texts=texts), texts) if texts else {}
+    return _filled(df, medians, modes, texts)
 
 
 def null_share(df: DataFrame, skip: Sequence[str]) -> Column:
@@ -130,15 +154,16 @@ def validate_ranges(df: DataFrame, cfg: CleanCfg = CleanCfg()) -> DataFrame:
 def drop_repeats(df: DataFrame, cfg: CleanCfg = CleanCfg(), keys: Sequence[str] = DEDUP_KEYS) -> DataFrame:
     """Keep the first row of each key in the order of ``cfg.order_by``; NULL keys are equal.
 
-    A table without that column keeps the smallest row.  The ``= 1`` filter lets Spark keep one row per key in every map task
+    A table without that column has no first row, which is an error; the readers add it on request.  The ``= 1`` filter lets Spark keep one row per key in every map task
     (WindowGroupLimit) before the shuffle, so a key with a third of all rows
     sends one row per task.
     """
     keys = [k for k in keys if k in df.columns]
     if not keys:
         return df
-    order = [cfg.order_by] if cfg.order_by in df.columns else [c for c in df.columns if c not in keys]
-    first = W.partitionBy(*keys).orderBy(*(order or keys))
+    if cfg.order_by not in df.columns:
+        raise ValueError(f"no column {cfg.order_by} tells which of repeated rows comes first; read with order={cfg.order_by!r}")
+    first = W.partitionBy(*keys).orderBy(cfg.order_by)
     return df.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") == 1).drop("_rank")
 
 

@@ -281,12 +281,16 @@ def _detected(s: SparkSession, d: str) -> DataFrame:
 
 
 def _by_content(s: SparkSession, d: str) -> DataFrame:
-    df = trade_fact(s, d).select(
-        F.col("seq").alias("nr"), F.col("date").cast("string").alias("seen_on"), F.col("state").alias("grp"),
+    fact = trade_fact(s, d)
+    day = F.to_date("date")
+    written_as = F.when(F.col("seq") % 3 == 0, F.date_format(day, "d-M-yyyy")).when(F.col("seq") % 3 == 1, F.date_format(day, "yyyyMMdd"))
+    df = fact.select(
+        F.when(F.col("seq") < 12, F.lit("2024-01-05")).otherwise("junk").alias("first_ten"),
+        F.col("seq").alias("nr"), written_as.otherwise(day.cast("string")).alias("seen_on"), F.col("state").alias("grp"),
         F.col("enrolment_count").alias("qty_sum"),
     )
-    found = col_ops.apply_detected(df, col_ops.detect(df))
-    return found.groupBy("date").agg(F.sum("enrolment_count").alias("enrolment_count"))
+    found, _ = col_ops.process_any(df, ["nr"])
+    return found.groupBy(F.to_date("date").alias("date")).agg(F.sum("enrolment_count").alias("enrolment_count"))
 
 
 def _filled(s: SparkSession, d: str) -> DataFrame:
@@ -299,8 +303,9 @@ def _typed(s: SparkSession, d: str) -> DataFrame:
         "seq", "date", "state",
         F.when(F.col("seq") % 10 == 3, "n/a").otherwise(F.col("enrolment_count").cast("string")).alias("enrolment_count"),
         F.col("age_0_18").cast("string").alias("age_0_18"),
+        F.col("state").alias("country"), F.col("district").alias("village"), F.col("district").alias("total_area"),
     )
-    return col_ops.standardize_types(raw).withColumn("date", F.to_date("date"))
+    return col_ops.standardize_types(raw, coerce=False).withColumn("date", F.to_date("date"))
 
 
 case("map1_standardize_columns", FACT, _aliased, "SELECT * FROM trade")
@@ -314,7 +319,7 @@ case(
 )
 case(
     "map3_detect_date_and_map4_count", "date ~enrolment_count", _by_content,
-    "SELECT CAST(date AS VARCHAR) AS date, sum(enrolment_count) AS enrolment_count FROM trade GROUP BY 1",
+    "SELECT CAST(date AS DATE) AS date, sum(enrolment_count) AS enrolment_count FROM trade GROUP BY 1",
 )
 case(
     "map5_fill_required", "seq date state ~enrolment_count", _filled,
@@ -322,9 +327,10 @@ case(
         'Unknown_State' AS state, 1.0 AS enrolment_count FROM trade""",
 )
 case(
-    "map6_standardize_types", "seq date state ~enrolment_count ~age_0_18", _typed,
+    "map6_standardize_types", "seq date state ~enrolment_count ~age_0_18 country village total_area", _typed,
     """SELECT seq, TRY_CAST(date AS DATE) AS date, state,
-        CASE WHEN seq % 10 <> 3 THEN enrolment_count END AS enrolment_count, age_0_18 FROM dirty""",
+        CASE WHEN seq % 10 <> 3 THEN enrolment_count END AS enrolment_count, age_0_18,
+        state AS country, district AS village, district AS total_area FROM dirty""",
 )
 
 # --- cleaning ---------------------------------------------------------------
@@ -342,10 +348,10 @@ def _sparse(s: SparkSession, d: str) -> DataFrame:
 case("cln0_clean", DIRTY_COLS.replace(" date", " date"), lambda s, d: cln.clean(DIRTY(s, d), CLEAN).withColumn("date", F.to_date("date")), "SELECT * FROM cleaned")
 case("cln1_drop_null_dates", "seq date", lambda s, d: cln.drop_null_dates(dirty_fact(s, d)), "SELECT * FROM dirty WHERE date IS NOT NULL")
 case(
-    "cln2_impute_median", "seq ~enrolment_count ~update_count ~age_0_18",
-    lambda s, d: cln.impute_median(cln.drop_null_dates(dirty_fact(s, d))),
+    "cln2_impute_median", "seq ~enrolment_count ~update_count ~age_0_18 #serial",
+    lambda s, d: cln.impute_median(cln.drop_null_dates(dirty_fact(s, d)).withColumn("serial", F.lit(9_007_199_254_740_993) + F.col("seq"))),
     """SELECT seq, coalesce(enrolment_count, (SELECT median(enrolment_count) FROM dirty WHERE date IS NOT NULL)) AS enrolment_count,
-        update_count, age_0_18 FROM dirty WHERE date IS NOT NULL""",
+        update_count, age_0_18, 9007199254740993 + seq AS serial FROM dirty WHERE date IS NOT NULL""",
 )
 case(
     "cln3_impute_mode", "seq state district pincode", lambda s, d: cln.impute_mode(dirty_fact(s, d)),

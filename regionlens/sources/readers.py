@@ -283,7 +283,11 @@ def load_table(
         reader = reader.options(**CSV)
         if schema is None:
             # Dates and keys stay text; numbers are inferred.
-            reader = reader.option("inferSchema", True).option("prefersDate", False)
+            found = spark.read.options(**CSV).csv(path, inferSchema=True).schema
+            times = (T.DateType, T.TimestampType, T.TimestampNTZType)
+            reader = reader.schema(
+                T.StructType([T.StructField(f.name, T.StringType()) if isinstance(f.dataType, times) else f for f in found])
+            )
     df = nan_to_null(reader.format(fmt).load(path))
     return with_month_date(df)
 

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from tests.conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regionlens.config import CleanCfg, RiskCfg
 from regionlens.operators import aggregate, anomalies, calendar, clean, columns, insights, marts, profile
@@ -257,6 +258,61 @@ def test_types(spark):
     assert rows(columns.standardize_types(df)) == [(dt.datetime(2024, 1, 2), None, 7.0), (None, "5", None)]
 
 
+def test_dates_in_many_formats(spark):
+    texts = ["15-01-2024", "20240115", "15 Jan 2024", "15/01/2024", "01/15/2024", "1/15/2024", "2024/1/15", "Jan 15, 2024", " 2024-01-15 ", "15-Jan-2024"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, "junk")], "seq long, date string")
+    kept = clean.bound_dates(df, CleanCfg(as_of="2024-12-31"))
+    assert rows(kept, "date") == [(dt.datetime(2024, 1, 15),)] * len(texts)
+
+
+def test_whole_column_decides(spark):
+    df = spark.createDataFrame([(i, "2024-01-05" if i < 10 else "junk", "x" if i % 2 else "7") for i in range(100)], "id long, a string, b string")
+    assert not columns.looks_like_date(df, "a") and columns.looks_like_date(df, "a", min_share=0.1)
+    assert columns.detect(df) == []
+    assert not columns.looks_like_date(df.limit(0), "a")
+
+
+def test_day_and_month(spark):
+    one = lambda *texts: spark.createDataFrame([(t,) for t in texts], "date string")
+    first = lambda df, **k: columns.process_any(df, ["date"], **k)[0].orderBy("date").first()["date"]
+    assert first(one("03/04/2024", "13/04/2024")) == dt.datetime(2024, 4, 3)
+    assert first(one("03/04/2024", "04/13/2024")) == dt.datetime(2024, 3, 4)
+    assert first(one("03/03/2024")) == dt.datetime(2024, 3, 3)
+    for unclear in (one("03/04/2024"), one("13/04/2024", "04/13/2024")):
+        with pytest.raises(ValueError):
+            columns.process_any(unclear, ["date"])
+    assert first(one("03/04/2024"), day_first=True) == dt.datetime(2024, 4, 3)
+
+
+def test_text_columns_keep_their_values(spark):
+    df = spark.createDataFrame([("India", "Rampur", "7", "x", "1"), ("Nepal", "Kot", "n/a", "8", "2")], "country string, village string, total string, age string, sum_2 string")
+    assert rows(columns.standardize_types(df, coerce=False)) == [("India", "Rampur", 7.0, "x", 1.0), ("Nepal", "Kot", None, "8", 2.0)]
+    assert columns.standardize_types(df).schema["age"].dataType.simpleString() == "double"
+
+
+def test_names_stay_different(spark):
+    named = lambda *c: spark.createDataFrame([tuple(range(len(c)))], T.StructType([T.StructField(x, T.IntegerType()) for x in c]))
+    for cols in (("a", "A", "A_2"), ("a", "A", "a_2", "A_2"), ("x", "X", "x")):
+        got = columns.unique_names(named(*cols)).columns
+        assert len({c.lower() for c in got}) == len(cols)
+    got = columns.standardize_columns(named("Date", "timestamp", "date_raw")).columns
+    assert len({c.lower() for c in got}) == 3
+
+
+def test_filling_keeps_types_and_values(spark):
+    df = spark.createDataFrame([(9007199254740993, 1, 1, 1.5), (9007199254740995, 3, 2, float("nan")), (1, None, None, 2.5)], "a long, b int, c int, d double")
+    out = clean.impute_median(df)
+    assert [f.dataType.simpleString() for f in out.schema] == ["bigint", "int", "double", "double"]
+    assert rows(out) == [(1, 2, 1.5, 2.5), (9007199254740993, 1, 1.0, 1.5), (9007199254740995, 3, 2.0, 2.0)]
+
+
+def test_first_of_repeats_needs_an_order(spark):
+    df = spark.createDataFrame([(1, "A", 9.0), (2, "A", 1.0)], "seq long, state string, enrolment_count double")
+    assert rows(clean.drop_repeats(df), "enrolment_count") == [(9.0,)]
+    with pytest.raises(ValueError):
+        clean.drop_repeats(df.drop("seq"))
+
+
 def test_lookup_default_and_filters(spark):
     df = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "state string, v double")
     dim = spark.createDataFrame([("A", 9.0)], "state string, lat double")

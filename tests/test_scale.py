@@ -35,6 +35,19 @@ def test_quantiles_match_numpy(spark, hot, at_once):
     assert got["none"] == [None] * len(probs)
 
 
+@pytest.mark.parametrize("sketch,few", [(20, 3), (100, 10), (10_000, 10_000)])
+def test_brackets_match_numpy(spark, sketch, few):
+    from regionlens.functions.quantile import _bracketed
+
+    rng = np.random.default_rng(4)
+    data = {"a": rng.normal(size=6000), "b": np.where(rng.random(6000) < 0.6, 0.0, rng.exponential(size=6000)), "c": rng.integers(0, 9, 6000) * 1.0}
+    df = spark.createDataFrame(list(zip(*[v.tolist() for v in data.values()])), "a double, b double, c double").repartition(6)
+    probs = [0, 0.013, 0.25, 0.5, 0.9, 1]
+    got = _bracketed(df, list(data), probs, sketch, few)
+    for c, v in data.items():
+        assert got[c] == pytest.approx(list(np.quantile(v, probs)))
+
+
 def test_quantiles_skip_nan_and_null(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "v double")
     assert quantiles(df, ["v"], [0.5])["v"] == [2.0]
