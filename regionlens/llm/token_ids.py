@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 
 BLOCK = 1 << 16  # ids after which a block is closed, at the end of a document
-MOST_WORDS = 300_000  # encoded words that a worker keeps
+MOST_WORDS = 200_000  # encoded words of each of the two generations that a worker keeps
 BLOCKS = (
     "shard int, block int, local_start long, bits int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
 )
@@ -46,33 +47,121 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return out
 
 
+# Letters that normalise to themselves up to case, and marks behind them.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0139-\u017e]+)([.,;:!?*$%&#|)\"]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and number the others from 256 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of whole texts, encoding each different word once while it is remembered.
 
     The tokenizer drops white space and works on each stretch between blanks and line ends alone:
-    normalisation, splitting and special strings never reach over them.  Such stretches are encoded by the
-    library; up to ``MOST_WORDS`` of their results are kept at a time.
+    normalisation, splitting and special strings never reach over them.  The library encodes each different stretch.
+    One of plain letters needs only the library's merges, which it runs over many of them at a time: where the
+    library is asked to show at start that it lowers case, maps bytes to letters and ends words
+    with a sign of their end.  Marks behind the letters are split off before the merges, by the library too.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.most_words = most_words
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(self.size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith("</w>")
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.between = special[0] if special else None
+        self.cut = self.tokenizer.token_to_id(self.between) if special else None
+        probe = ["probe", "ÉTÉ,", "naïve.", "Żółw", "ß", "It.,"]
+        try:
+            self.fast = self._plain([PLAIN.fullmatch(w).groups() for w in probe]) == [self._whole(w) for w in probe]
+        except (ValueError, KeyError):
+            self.fast = False
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def _cut(words: list[str], ids: np.ndarray, ends: np.ndarray, skip: int) -> dict[str, bytes]:
+        data, begin, found = ids.tobytes(), 0, {}
+        for word, end in zip(words, ends.tolist(), strict=True):
+            found[word] = data[4 * begin : 4 * end]
+            begin = end + skip
+        return found
+
+    def _plain(self, split: list[tuple[str, str]]) -> list[bytes]:
+        """Ids of words of ``PLAIN``, given as letters and marks."""
+        cores = list({core for core, _ in split})
+        found: dict[str, bytes] = {}
+        for at in range(0, len(cores), 1000):
+            part = cores[at : at + 1000]
+            text = " ".join(part).lower().encode().decode("latin-1").translate(self.letters | {32: " "})
+            ids = np.array(self.merges.encode(text, add_special_tokens=False).ids, "<u4")
+            found |= self._cut(part, ids, np.flatnonzero(self.ends[ids]) + 1, 0)
+        marks = {mark: self._whole(mark) for mark in {mark for _, mark in split}}
+        return [found[core] + marks[mark] for core, mark in split]
+
+    def _others(self, words: list[str]) -> None:
+        """All other words, many at a time: a special token between them is cut out before anything else happens."""
+        known = self.known
+        if self.between is None:
+            known.update((w, self._whole(w)) for w in words)
+            return
+        # A word with a part of a special string goes alone.
+        known.update((w, self._whole(w)) for w in words if "<|" in w or self.between in w)
+        rest = [w for w in words if w not in known]
+        for at in range(0, len(rest), 500):
+            part = rest[at : at + 500]
+            ids = np.array(self.tokenizer.encode(self.between.join(part), add_special_tokens=False).ids, "<u4")
+            known.update(self._cut(part, ids, np.append(np.flatnonzero(ids == self.cut), len(ids)), 1))
+
+    def _learn(self, words: list[str]) -> None:
+        known, older = self.known, self.older
+        plain, split, others = [], [], []
+        for w in words:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            elif self.fast and (m := PLAIN.fullmatch(w)):
+                plain.append(w)
+                split.append(m.groups())
+            else:
+                others.append(w)
+        known.update(zip(plain, self._plain(split)))
+        self._others(others)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [re.split("[ \n]+", t) for t in texts]
-        if len(self.known) > MOST_WORDS:
-            self.known = {}
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        if len(self.known) > self.most_words:
+            self.known, self.older = {}, self.known
+        known, out = self.known, []
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        flat = list(chain.from_iterable(split))
+        distinct = set(flat)
+        here = {w: i for w in distinct if (i := known.get(w)) is not None}
+        if len(here) < len(distinct):
+            new = [w for w in distinct if w not in here]
+            self._learn(new)
+            here.update((w, known[w]) for w in new)
+        ids = list(map(here.__getitem__, flat))
+        begin = 0
+        for words in split:
+            end = begin + len(words)
+            out.append(np.frombuffer(b"".join(ids[begin:end]), "<u4"))
+            begin = end
+        return out
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -160,7 +249,7 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             begins = np.concatenate([[0], ends[:-1]])
             yield pd.DataFrame(
                 {
-                    "doc_id": pd.array(list(b.doc_ids), dtype="Int64"),
+                    "doc_id": pd.array([None if d is None else int(d) for d in b.doc_ids], dtype="Int64"),
                     "start": b.start + begins,
                     "n_tokens": ends - begins,
                     "ids_crc32": [zlib.crc32(ids[i:j].tobytes()) for i, j in zip(begins, ends)],
@@ -170,7 +259,8 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def digests(spark: SparkSession, at: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, unpacked from the files."""
-    return read_blocks(spark, at).select("doc_ids", "ends", "bits", "n_ids", "payload", "start").mapInPandas(
+    blocks = read_blocks(spark, at).withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
+    return blocks.select("doc_ids", "ends", "bits", "n_ids", "payload", "start").mapInPandas(
         _digests, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
