@@ -42,7 +42,10 @@ class Boxes:
 
     @staticmethod
     def split(sample: np.ndarray, boxes: int, dims: int) -> Boxes:
-        """Halve the largest groups of the sample at the median of their widest side."""
+        """Cut the largest groups of the sample at the median of their widest side.
+
+        Where the median is also the smallest value, the cut comes just above it.
+        """
         dim, cut, left, right = [-1], [0.0], [-1], [-1]
         corners = [(np.full(dims, -np.inf), np.full(dims, np.inf))]
         todo, leaves = [(-len(sample), 0, np.arange(len(sample)))], 1
@@ -52,10 +55,13 @@ class Boxes:
                 break
             x = sample[rows]
             d = int(np.argmax(x.max(axis=0) - x.min(axis=0)))
-            at = float(np.median(x[:, d]))
-            below = x[:, d] < at
-            if not below.any():
+            side = x[:, d]
+            if side.max() == side.min():
                 continue
+            at = float(np.median(side))
+            if not (side < at).any():
+                at = float(side[side > at].min())
+            below = side < at
             low, high = corners[node]
             mid_high, mid_low = high.copy(), low.copy()
             mid_high[d], mid_low[d] = at, at
@@ -80,6 +86,32 @@ class Boxes:
             below = x[inner, self.dim[node]] < self.cut[node]
             at[inner] = np.where(below, self.left[node], self.right[node])
 
+    def around(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Corners of the data in the smallest tree node above each box that holds more than ``k`` rows.
+
+        ``rows, low, high`` describe the data of the boxes; where no node holds enough, the corners are infinite.
+        """
+        nodes, dims = len(self.dim), low.shape[1]
+        count, lo, hi = np.zeros(nodes, np.int64), np.full((nodes, dims), np.inf), np.full((nodes, dims), -np.inf)
+        leaf = np.flatnonzero(self.dim < 0)
+        count[leaf], lo[leaf], hi[leaf] = rows[self.box[leaf]], low[self.box[leaf]], high[self.box[leaf]]
+        above = np.full(nodes, -1)
+        for node in range(nodes - 1, -1, -1):  # children come behind their parents
+            if self.dim[node] >= 0:
+                a, b = self.left[node], self.right[node]
+                above[[a, b]] = node
+                count[node], lo[node], hi[node] = count[a] + count[b], np.minimum(lo[a], lo[b]), np.maximum(hi[a], hi[b])
+        at = leaf.copy()
+        while True:
+            short = np.flatnonzero((count[at] <= k) & (above[at] >= 0))
+            if not len(short):
+                break
+            at[short] = above[at[short]]
+        lo, hi = lo[at], hi[at]
+        lo[count[at] <= k], hi[count[at] <= k] = -np.inf, np.inf
+        order = np.argsort(self.box[leaf])
+        return lo[order], hi[order]
+
     def touched(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row, box) of the boxes no farther from a row than its reach."""
         # A hair of slack: rounding must not lose a box that is touched exactly.
@@ -149,12 +181,23 @@ def nearest(points: DataFrame, dims: int, k: int, total: int, cfg: LofCfg) -> Da
             yield pdf.assign(box=space.of(pdf[xs].to_numpy(dtype=float)))
 
     fields = "pid long, copies long, " + ", ".join(f"{x} double" for x in xs)
-    placed = points.select("pid", "copies", *xs).mapInPandas(assign, fields + ", box long")
+    placed = written(points.select("pid", "copies", *xs).mapInPandas(assign, fields + ", box long"))
+    # One row per box: how many rows it holds and how far its data reach.
+    held = placed.groupBy("box").agg(
+        F.sum("copies"), *[F.min(x) for x in xs], *[F.max(x) for x in xs]
+    ).collect()
+    n_boxes = int((space.dim < 0).sum())
+    box_rows, box_low, box_high = np.zeros(n_boxes, np.int64), np.full((n_boxes, dims), np.inf), np.full((n_boxes, dims), -np.inf)
+    for r in held:
+        box_rows[r[0]], box_low[r[0]], box_high[r[0]] = r[1], r[2 : 2 + dims], r[2 + dims :]
+    far_low, far_high = space.around(box_rows, box_low, box_high, k)
 
     def reach_inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Distance within which k other rows lie in the same box; infinite if the box has too few."""
+        """Distance within which k other rows lie: in the same box, or in the node above that holds enough."""
         x, copies = pdf[xs].to_numpy(dtype=float), pdf["copies"].to_numpy()
-        reach = np.full(len(x), np.inf)
+        box = int(pdf["box"].iloc[0])
+        # To the farthest corner of that node's data.
+        reach = np.sqrt((np.maximum(x - far_low[box], far_high[box] - x) ** 2).sum(axis=1))
         if copies.sum() > k:
             for a in range(0, len(x), CHUNK):
                 # The point itself is one of the rows counted.
@@ -171,7 +214,7 @@ def nearest(points: DataFrame, dims: int, k: int, total: int, cfg: LofCfg) -> Da
                 who, box = space.touched(x[a : a + CHUNK], reach[a : a + CHUNK])
                 yield pdf.iloc[a + who].assign(box=box)
 
-    visits = reached.mapInPandas(visit, fields + ", box long, reach double").drop("copies")
+    visits = written(reached.mapInPandas(visit, fields + ", box long, reach double").drop("copies"))
 
     def compare(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         """Points of the box within reach of each visitor, at most the nearest that hold k + 1 rows."""
@@ -198,10 +241,11 @@ def nearest(points: DataFrame, dims: int, k: int, total: int, cfg: LofCfg) -> Da
             return pd.DataFrame({c: [] for c in ("pid", "nid", "distance", "copies", *[f"n{x}" for x in xs])})
         return pd.concat(parts, ignore_index=True)
 
-    # Boxes that many points reach are cut into shares of their visitors; each share meets the whole box.
-    shares = F.pmod(F.xxhash64("pid"), F.lit(8)).cast("int") if boxes > 1 else F.lit(0)
-    visitors = visits.withColumn("share", shares)
-    hosts = placed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(7 if boxes > 1 else 0))))
+    # A box that many points reach meets its visitors in shares, as many as their number asks for.
+    shares = visits.groupBy("box").agg(F.ceil(F.count(F.lit(1)) / (4 * cfg.leaf_rows)).cast("int").alias("shares"))
+    shares = written(shares)
+    visitors = visits.join(shares, "box").withColumn("share", F.pmod(F.xxhash64("pid"), F.col("shares")).cast("int")).drop("shares")
+    hosts = placed.join(shares, "box").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     return (
         visitors.groupBy("box", "share")
         .cogroup(hosts.groupBy("box", "share"))

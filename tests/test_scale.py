@@ -132,6 +132,26 @@ def brute_lof(x, k):
     return np.array(score), np.array(query)
 
 
+def test_boxes_split_skewed_data():
+    rng = np.random.default_rng(6)
+    x = np.column_stack([np.where(rng.random(20_000) < 0.6, 0.0, 50 * rng.random(20_000)), rng.random((20_000, 2))])
+    space = lof.Boxes.split(x, 64, 3)
+    held = np.bincount(space.of(x))
+    assert len(held) == 64 and held.max() <= 4 * len(x) / 64
+
+
+@pytest.mark.parametrize("leaf_rows", [10, 100])
+def test_lof_of_many_zeros(spark, leaf_rows):
+    """Mostly zeros in the widest feature, copies, and boxes with fewer rows than neighbours."""
+    rng = np.random.default_rng(7)
+    x = np.column_stack([np.where(rng.random(300) < 0.6, 0.0, 30 * rng.random(300)), rng.random(300)])
+    x = np.vstack([x, np.tile(x[:1], (60, 1))])
+    df = spark.createDataFrame([(f"k{i}", float(a), float(b)) for i, (a, b) in enumerate(x)], "key string, a double, b double")
+    got = lof.lof(df.repartition(7), ["a", "b"], ["key"], LofCfg(neighbours=20, leaf_rows=leaf_rows)).toPandas().set_index("key")
+    score, _ = brute_lof((x - x.mean(axis=0)) / x.std(axis=0), 20)
+    assert np.allclose(got.loc[[f"k{i}" for i in range(len(x))], "anomaly_score"], score)
+
+
 @pytest.mark.parametrize("leaf_rows", [4096, 40])
 def test_lof_matches_brute_force(spark, leaf_rows):
     rng = np.random.default_rng(5)
