@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 
 BLOCK = 1 << 16  # ids after which a block is closed, at the end of a document
-MOST_WORDS = 200_000  # encoded words of each of the two generations that a worker keeps
+SLAB_CHARS = 4_000_000
+MOST_WORDS = 500_000  # encoded words of each of the two generations that a worker keeps
 BLOCKS = (
     "shard int, block int, local_start long, bits int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
 )
@@ -47,8 +48,9 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return out
 
 
-# Letters that normalise to themselves up to case, and marks behind them.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0139-\u017e]+)([.,;:!?*$%&#|)\"]*)")
+# Letters that normalise to themselves up to case, and marks that may stand behind them.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0139-\u017e]+")
+MARKS = ".,;:!?*$%&#|)\""
 
 
 def byte_letters() -> dict[int, str]:
@@ -86,75 +88,86 @@ class Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.between = special[0] if special else None
         self.cut = self.tokenizer.token_to_id(self.between) if special else None
+        self.marks: dict[str, bytes] = {"": b""}
         probe = ["probe", "ÉTÉ,", "naïve.", "Żółw", "ß", "It.,"]
         try:
-            self.fast = self._plain([PLAIN.fullmatch(w).groups() for w in probe]) == [self._whole(w) for w in probe]
+            self._plain(probe, [w.rstrip(MARKS) for w in probe])
+            self.fast = self.known == {w: self._whole(w) for w in probe}
         except (ValueError, KeyError):
             self.fast = False
+        self.known = {}
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @staticmethod
-    def _cut(words: list[str], ids: np.ndarray, ends: np.ndarray, skip: int) -> dict[str, bytes]:
-        data, begin, found = ids.tobytes(), 0, {}
-        for word, end in zip(words, ends.tolist(), strict=True):
-            found[word] = data[4 * begin : 4 * end]
-            begin = end + skip
-        return found
-
-    def _plain(self, split: list[tuple[str, str]]) -> list[bytes]:
-        """Ids of words of ``PLAIN``, given as letters and marks."""
-        cores = list({core for core, _ in split})
-        found: dict[str, bytes] = {}
-        for at in range(0, len(cores), 1000):
-            part = cores[at : at + 1000]
-            text = " ".join(part).lower().encode().decode("latin-1").translate(self.letters | {32: " "})
-            ids = np.array(self.merges.encode(text, add_special_tokens=False).ids, "<u4")
-            found |= self._cut(part, ids, np.flatnonzero(self.ends[ids]) + 1, 0)
-        marks = {mark: self._whole(mark) for mark in {mark for _, mark in split}}
-        return [found[core] + marks[mark] for core, mark in split]
+    def _plain(self, words: list[str], cores: list[str]) -> None:
+        """Learn words of letters (the cores) with marks behind them."""
+        letters, known, marks = self.letters | {32: " "}, self.known, self.marks
+        texts = [
+            " ".join(cores[at : at + 1000]).lower().encode().decode("latin-1").translate(letters)
+            for at in range(0, len(cores), 1000)
+        ]
+        found: list[bytes] = []
+        for e in self.merges.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            data, begin = ids.tobytes(), 0
+            for end in (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist():
+                found.append(data[begin:end])
+                begin = end
+        for word, core, ids in zip(words, cores, found, strict=True):
+            if len(word) > len(core):
+                mark = word[len(core) :]
+                if mark not in marks:
+                    if len(marks) > 10_000:
+                        marks.clear()
+                    marks[mark] = self._whole(mark)
+                ids += marks[mark]
+            known[word] = ids
 
     def _others(self, words: list[str]) -> None:
-        """All other words, many at a time: a special token between them is cut out before anything else happens."""
+        """Learn other words, many at a time: a special token between them is cut out before anything else happens."""
         known = self.known
-        if self.between is None:
-            known.update((w, self._whole(w)) for w in words)
-            return
         # A word with a part of a special string goes alone.
-        known.update((w, self._whole(w)) for w in words if "<|" in w or self.between in w)
+        alone = [w for w in words if self.between is None or "<|" in w or self.between in w]
+        known.update((w, self._whole(w)) for w in alone)
         rest = [w for w in words if w not in known]
         for at in range(0, len(rest), 500):
             part = rest[at : at + 500]
             ids = np.array(self.tokenizer.encode(self.between.join(part), add_special_tokens=False).ids, "<u4")
-            known.update(self._cut(part, ids, np.append(np.flatnonzero(ids == self.cut), len(ids)), 1))
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(part, [*(4 * np.flatnonzero(ids == self.cut)).tolist(), 4 * len(ids)], strict=True):
+                known[word] = data[begin:end]
+                begin = end + 4
 
     def _learn(self, words: list[str]) -> None:
-        known, older = self.known, self.older
-        plain, split, others = [], [], []
+        plain, cores, others = [], [], []
         for w in words:
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
-            elif self.fast and (m := PLAIN.fullmatch(w)):
+            core = w.rstrip(MARKS)
+            if self.fast and core.isalpha() and (core.isascii() or LETTERS.fullmatch(core)):
                 plain.append(w)
-                split.append(m.groups())
+                cores.append(core)
             else:
                 others.append(w)
-        known.update(zip(plain, self._plain(split)))
+        self._plain(plain, cores)
         self._others(others)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.most_words:
             self.known, self.older = {}, self.known
-        known, out = self.known, []
+        known, older, out = self.known, self.older, []
         split = [t.replace("\n", " ").split(" ") for t in texts]
         flat = list(chain.from_iterable(split))
-        distinct = set(flat)
-        here = {w: i for w in distinct if (i := known.get(w)) is not None}
-        if len(here) < len(distinct):
-            new = [w for w in distinct if w not in here]
-            self._learn(new)
-            here.update((w, known[w]) for w in new)
+        here, new = {}, []
+        for w in set(flat):
+            ids = known.get(w)
+            if ids is None:
+                if (ids := older.get(w)) is None:
+                    new.append(w)
+                    continue
+                known[w] = ids
+            here[w] = ids
+        self._learn(new)
+        here.update((w, known[w]) for w in new)
         ids = list(map(here.__getitem__, flat))
         begin = 0
         for words in split:
@@ -173,6 +186,18 @@ def _encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
+def _slabs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are encoded at once: of some thousand, or fewer if they are long."""
+    at = chars = 0
+    for i, t in enumerate(texts):
+        chars += len(t)
+        if chars > SLAB_CHARS or i + 1 - at >= 1024:
+            yield at, i + 1
+            at, chars = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def _blocks(path: str, end_id: int, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard = TaskContext.get().partitionId()
@@ -187,12 +212,12 @@ def _blocks(path: str, end_id: int, bits: int):
             return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
+            names_of, texts = batch["doc_id"].tolist(), [t or "" for t in batch["text"]]
+            for at, to in _slabs(texts):
                 gc.disable()
-                encoded = _encoder(path).encode([t or "" for t in part["text"]])
+                encoded = _encoder(path).encode(texts[at:to])
                 gc.enable()
-                for name, got in zip(part["doc_id"].array, encoded):
+                for name, got in zip(names_of[at:to], encoded):
                     ids.append(np.append(got, np.uint32(end_id)))
                     held += len(got) + 1
                     names.append(None if name is None else int(name))
