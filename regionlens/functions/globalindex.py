@@ -40,7 +40,7 @@ def with_global_index(df: DataFrame, order_by: Sequence[str], name: str = "idx")
     )
     return (
         tagged.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
+        .join(offsets, "_part")
         .withColumn(name, F.col("_start") + F.col("_tag").bitwiseAND(F.lit(WITHIN)))
         .drop("_part", "_start", "_tag")
     )

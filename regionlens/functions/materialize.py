@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session, set from ``spark.checkpoint.dir``.
 
-    A temporary folder is used only on a local master without that setting.
+    Where it is unset, a local master (one process, as in tests) gets a temporary folder; any cluster, also
+    one of local processes, must set it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -19,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="regionlens-")
     sc.setCheckpointDir(configured)

@@ -192,13 +192,14 @@ def add_lags(agg: DataFrame, value: str, lags: Sequence[int] = (1, 2, 3)) -> Dat
     return agg.withColumns({f"lag_{k}": F.lag(value, k).over(ordered) for k in lags})
 
 
-def ml_frame(agg: DataFrame, min_rows: int = 10, lags: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """Complete rows with date, lags, month and region code; empty below ``min_rows`` aggregate rows.
+def ml_frame(agg: DataFrame, min_rows: int = 0, lags: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """Complete rows with date, lags, month and region code; with ``min_rows``, empty below so many aggregate rows.
 
     ``agg`` is read three times (size, codes, rows): pass it persisted or from a table.
     """
     sums = [c for c in agg.columns if "_sum" in c]
-    enough = one_value(agg.agg((F.count(F.lit(1)) >= min_rows).alias("ok")))
+    if min_rows:
+        agg = agg.where(one_value(agg.agg((F.count(F.lit(1)) >= min_rows).alias("ok")))["ok"])
     ages = [f"{a}_sum" for a in AGE_COLUMNS if f"{a}_sum" in agg.columns]
     numbers = [c for c in numeric_columns(agg) if c not in ("year", "month", "quarter") and c not in ages]
     df = agg.withColumn("date", month_start(F.col("year_month")))
@@ -208,4 +209,4 @@ def ml_frame(agg: DataFrame, min_rows: int = 10, lags: Sequence[int] = (1, 2, 3)
         new += [f"lag_{k}" for k in lags]
     df = df.withColumn("month", F.month("date")).join(state_codes(agg), "state")
     kept = ["state", "year_month", "date", *numbers, *new, "month", "state_code"]
-    return df.where(enough["ok"]).select(*kept, *ages).na.drop(subset=kept)
+    return df.select(*kept, *ages).na.drop(subset=kept)

@@ -12,15 +12,19 @@ from regionlens.functions.expr import numeric_columns, one_value
 # Features preferred for outlier models, in order.
 PRIORITY = ("enrolment_count_sum", "mom_growth", "enrolment_zscore", "update_ratio", "volatility")
 NEVER_FEATURES = ("year", "month", "quarter", "state_encoded")
-MOST_FEATURES = 10
 
 
-def feature_names(df: DataFrame) -> list[str]:
-    """Preferred features present; with fewer than three, all numeric columns; at most ten."""
+def feature_names(df: DataFrame, cols: Sequence[str] | None = None, most: int | None = None) -> list[str]:
+    """The columns asked for, else the preferred features present, else (fewer than three) all numeric columns.
+
+    ``most`` cuts the list, which loses features; it is off unless given.
+    """
+    if cols is not None:
+        return list(cols)
     chosen = [c for c in PRIORITY if c in df.columns]
     if len(chosen) < 3:
         chosen = numeric_columns(df, exclude=NEVER_FEATURES)
-    return chosen[:MOST_FEATURES]
+    return chosen[:most]
 
 
 def select_features(df: DataFrame, keys: Sequence[str] = ("state", "year_month")) -> DataFrame:

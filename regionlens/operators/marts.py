@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionlens.config import MAP_CENTRE, REGION_COORDINATES
+from regionlens.config import MAP_CENTRE, REGION_ALIASES, REGION_COORDINATES
 from regionlens.functions.expr import one_value
 from regionlens.functions.materialize import written
 from regionlens.operators.anomalies import flagged
@@ -78,7 +78,9 @@ def success_rate(df: DataFrame) -> DataFrame:
 
 
 def coordinates(spark) -> DataFrame:
-    return spark.createDataFrame(REGION_COORDINATES, "state string, lat double, lon double")
+    """Positions under the names of the table and those that cleaning gives the same regions."""
+    renamed = [(REGION_ALIASES[s.upper()], lat, lon) for s, lat, lon in REGION_COORDINATES if s.upper() in REGION_ALIASES]
+    return spark.createDataFrame([*REGION_COORDINATES, *renamed], "state string, lat double, lon double")
 
 
 def geo_mart(df: DataFrame, coords: DataFrame | None = None) -> DataFrame:

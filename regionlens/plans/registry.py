@@ -430,9 +430,9 @@ case("agg7_demographics", "feature ~value", lambda s, d: agg_ops.demographics(tr
     LATERAL (VALUES ('age_0_18_total', a), ('age_19_40_total', b), ('age_41_60_total', c), ('age_60_plus_total', e),
       ('age_0_18_percentage', a / t * 100), ('age_19_40_percentage', b / t * 100), ('age_41_60_percentage', c / t * 100), ('age_60_plus_percentage', e / t * 100),
       ('age_0_18_to_age_19_40_ratio', a / b), ('age_19_40_to_age_41_60_ratio', b / c), ('age_41_60_to_age_60_plus_ratio', c / e)) AS u(feature, value)""")
-case("agg8_date_state_matrix", "date ~NATION_7 ~NATION_3 ~NATION_14", lambda s, d: agg_ops.date_state_matrix(trade_fact(s, d), ["NATION_7", "NATION_3", "NATION_14"]), """
-    SELECT date, sum(CASE WHEN state = 'NATION_7' THEN enrolment_count ELSE 0 END) AS NATION_7, sum(CASE WHEN state = 'NATION_3' THEN enrolment_count ELSE 0 END) AS NATION_3,
-      sum(CASE WHEN state = 'NATION_14' THEN enrolment_count ELSE 0 END) AS NATION_14 FROM trade GROUP BY 1""")
+NATIONS = [f"NATION_{i}" for i in range(25)]
+case("agg8_date_state_matrix", "date " + " ".join(f"~{n}" for n in NATIONS), lambda s, d: agg_ops.date_state_matrix(trade_fact(s, d), NATIONS),
+    "SELECT date, " + ", ".join(f"sum(CASE WHEN state = '{n}' THEN enrolment_count ELSE 0 END) AS {n}" for n in NATIONS) + " FROM trade GROUP BY 1")
 case("agg8_date_state_cells", "date state ~total", lambda s, d: agg_ops.date_state_cells(trade_fact(s, d)), "SELECT date, state, sum(enrolment_count) AS total FROM trade GROUP BY 1, 2")
 case(
     "win1_mom_growth", "state year_month ~mom_growth",
@@ -465,7 +465,6 @@ def _region_of(s: SparkSession, d: str) -> DataFrame:
     nation, region = table(s, d, "nation"), table(s, d, "region")
     return (
         nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .where(F.col("r_name") != "ASIA")
         .select(F.col("n_name").alias("state"), F.col("r_name").alias("region"))
     )
 
@@ -477,9 +476,13 @@ case(
 )
 case(
     "jon2_lookup", "state region ~total",
-    lambda s, d: mrt.lookup(agg_ops.state_totals(trade_fact(s, d)), _region_of(s, d), ["state"], {"region": "elsewhere"}),
-    """SELECT t.state, coalesce(r_name, 'elsewhere') AS region, total FROM (SELECT state, sum(enrolment_count) AS total FROM trade GROUP BY 1) AS t
-        LEFT JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') AS x ON t.state = n_name""",
+    # Event types are in no region.
+    lambda s, d: mrt.lookup(
+        agg_ops.state_totals(trade_fact(s, d)).unionByName(agg_ops.state_totals(event_fact(s, d))), _region_of(s, d), ["state"], {"region": "elsewhere"}
+    ),
+    """SELECT t.state, coalesce(r_name, 'elsewhere') AS region, total FROM (SELECT state, sum(enrolment_count) AS total FROM trade GROUP BY 1
+          UNION ALL SELECT event_type, sum(value) FROM events GROUP BY 1) AS t
+        LEFT JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) AS x ON t.state = n_name""",
 )
 case("jon3_cluster_description", "state #cluster cluster_description", lambda s, d: clu.describe_clusters(labelled_of(s, d)), "SELECT * FROM described")
 case(
@@ -657,6 +660,7 @@ case("rsk5_recommendations", "priority action description timeline", lambda s, d
       FROM (SELECT count(*) AS n, (SELECT string_agg(state, ', ' ORDER BY risk_score DESC, state) FROM (SELECT * FROM risk WHERE risk_level = 'CRITICAL' ORDER BY risk_score DESC, state LIMIT 5)) AS names FROM risk WHERE risk_level = 'CRITICAL') WHERE n > 0
     UNION ALL SELECT 'MEDIUM', 'Priority Review', 'High risk detected in ' || n || ' states', '1 week' FROM (SELECT count(*) AS n FROM risk WHERE risk_level = 'HIGH') WHERE n > 0
     UNION ALL SELECT 'LOW', 'Continuous Monitoring', 'Regular monitoring of all states with monthly risk assessment', 'Ongoing'""")
+case("rsk5_critical_states", "state ~risk_score", lambda s, d: rsk.critical_states(risk_of(s, d)), "SELECT state, risk_score FROM risk WHERE risk_level = 'CRITICAL'")
 case("rsk6_level_distribution", "risk_level #state_count ~score_sum", lambda s, d: rsk.level_distribution(risk_of(s, d)), "SELECT risk_level, count(*) AS state_count, sum(risk_score) AS score_sum FROM risk GROUP BY 1")
 case(
     "rsk7_blended_risk", "state ~risk_score risk_level",
@@ -734,7 +738,7 @@ case("ins14_quick_insights", "top_state #anomaly_count #critical_count critical_
 
 
 def _coords(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "nation").where("n_regionkey <> 2").select(
+    return table(s, d, "nation").select(
         F.col("n_name").alias("state"), (F.col("n_nationkey") * 1.5).alias("lat"), (F.col("n_regionkey") * 10.0).alias("lon")
     )
 
@@ -748,9 +752,11 @@ case("mrt4_leaderboard", "state ~enrolments", lambda s, d: mrt.leaderboard(dash_
 case("mrt5_geo_mart", "state ~enrolments ~success_rate ~population_coverage ~size ~lat ~lon", lambda s, d: mrt.geo_mart(dash_fact(s, d), _coords(s, d)), """
     SELECT g.*, enrolments / max(enrolments) OVER () * 100 AS size, coalesce(n_nationkey * 1.5, 20.5937) AS lat, coalesce(n_regionkey * 10.0, 78.9629) AS lon
       FROM (SELECT state, sum(enrolments) AS enrolments, avg(success_rate) AS success_rate, avg(population_coverage) AS population_coverage FROM dash GROUP BY 1) AS g
-      LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON n_name = state""")
+      LEFT JOIN nation ON n_name = state""")
 case("mrt6_state_series", "state date ~enrolment_count_sum", lambda s, d: mrt.state_series(scored_of(s, d), ["NATION_7", "NATION_3", "NATION_14"]), "SELECT state, date, enrolment_count_sum FROM scored WHERE state IN ('NATION_7', 'NATION_3', 'NATION_14')")
-case("mrt7_anomaly_table", "state year_month ~enrolments", lambda s, d: mrt.anomaly_table(dash_fact(s, d)), "SELECT state, year_month, enrolments FROM dash WHERE is_anomaly = 1")
+case("mrt7_anomaly_table", "state year_month ~enrolments success_rate anomaly_score", lambda s, d: mrt.anomaly_table(dash_fact(s, d)), """
+    SELECT state, year_month, enrolments, printf('%.1f%%', round(success_rate * 100, 1)) AS success_rate, printf('%.1f%%', round(anomaly_score * 100, 1)) AS anomaly_score
+      FROM dash WHERE is_anomaly = 1""")
 case("mrt8_risk_table", "state ~risk_score risk_level", lambda s, d: rsk.risk_table(risk_of(s, d)), """
     SELECT state, round(risk_score, 3) AS risk_score, CASE risk_level WHEN 'CRITICAL' THEN '🔴' WHEN 'HIGH' THEN '🟠' WHEN 'MEDIUM' THEN '🟡' WHEN 'LOW' THEN '🟢' ELSE '⚫' END || ' ' || risk_level AS risk_level FROM risk""")
 case(

@@ -156,7 +156,9 @@ def test_feature_choice(spark):
     full = spark.createDataFrame([], "enrolment_count_sum double, mom_growth double, update_ratio double, other double")
     assert features.feature_names(full) == ["enrolment_count_sum", "mom_growth", "update_ratio"]
     few = spark.createDataFrame([], "year int, month int, s string, " + ", ".join(f"c{i} double" for i in range(12)))
-    assert features.feature_names(few) == [f"c{i}" for i in range(10)]
+    assert features.feature_names(few) == [f"c{i}" for i in range(12)]
+    assert features.feature_names(few, most=10) == [f"c{i}" for i in range(10)]
+    assert features.feature_names(few, ["c3"]) == ["c3"]
 
 
 def risk_row(spark, **extra):
@@ -313,6 +315,16 @@ def test_first_of_repeats_needs_an_order(spark):
         clean.drop_repeats(df.drop("seq"))
 
 
+def test_delhi_is_on_the_map_under_both_names(spark):
+    df = spark.createDataFrame([(s, 1.0, 0.5, 0.5) for s in ("Delhi", "NCT of Delhi", "Nowhere")], "state string, enrolments double, success_rate double, population_coverage double")
+    assert rows(marts.geo_mart(df), "state", "lat") == [("Delhi", 28.7041), ("NCT of Delhi", 28.7041), ("Nowhere", 20.5937)]
+
+
+def test_short_tables_have_a_model_frame(spark):
+    agg = spark.createDataFrame([("A", f"2024-{m:02d}", float(m)) for m in range(1, 6)], "state string, year_month string, enrolment_count_sum double")
+    assert aggregate.ml_frame(agg).count() == 2 and aggregate.ml_frame(agg, min_rows=10).count() == 0
+
+
 def test_lookup_default_and_filters(spark):
     df = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "state string, v double")
     dim = spark.createDataFrame([("A", 9.0)], "state string, lat double")
