@@ -13,22 +13,26 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 BLOCK = 1 << 16  # ids after which a block is closed, at the end of a document
-SLAB_CHARS = 4_000_000
-MOST_WORDS = 500_000  # encoded words of each of the two generations that a worker keeps
+SLAB_BYTES = 8_000_000
+SLAB_TEXTS = 4096
+MOST_WORDS = 300_000  # encoded words of each of the two generations that a worker keeps
 BLOCKS = (
     "shard int, block int, local_start long, bits int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
 )
+ARROW = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+ARROW_SCHEMA = pa.schema([(c.split()[0], t) for c, t in zip(BLOCKS.split(", "), ARROW)])
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -151,30 +155,38 @@ class Encoder:
         self._plain(plain, cores)
         self._others(others)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text ends. There are no NULLs among them."""
         if len(self.known) > self.most_words:
             self.known, self.older = {}, self.known
-        known, older, out = self.known, self.older, []
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        flat = list(chain.from_iterable(split))
-        here, new = {}, []
-        for w in set(flat):
-            ids = known.get(w)
-            if ids is None:
-                if (ids := older.get(w)) is None:
+        known, older = self.known, self.older
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(known.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            new = []
+            for i in missing:
+                w = words[i]
+                if (x := older.get(w)) is not None:
+                    known[w] = x
+                else:
                     new.append(w)
-                    continue
-                known[w] = ids
-            here[w] = ids
-        self._learn(new)
-        here.update((w, known[w]) for w in new)
-        ids = list(map(here.__getitem__, flat))
-        begin = 0
-        for words in split:
-            end = begin + len(words)
-            out.append(np.frombuffer(b"".join(ids[begin:end]), "<u4"))
-            begin = end
-        return out
+            self._learn(new)
+            for i in missing:
+                ids[i] = known[words[i]]
+        # From the ids of each different word to those of the words in their order.
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        size = sizes[place]
+        ends = np.cumsum(size)
+        flat = np.repeat(starts[place] - (ends - size), size)
+        flat += np.arange(len(flat))
+        out = np.frombuffer(b"".join(ids), "<u4")[flat]
+        lists = split.offsets.to_numpy()
+        return out, np.concatenate([[0], ends])[lists[1:] - lists[0]]
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -186,41 +198,44 @@ def _encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
-def _slabs(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _slabs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of texts that are encoded at once: of some thousand, or fewer if they are long."""
-    at = chars = 0
-    for i, t in enumerate(texts):
-        chars += len(t)
-        if chars > SLAB_CHARS or i + 1 - at >= 1024:
+    at = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        held += n
+        if held > SLAB_BYTES or i + 1 - at >= SLAB_TEXTS:
             yield at, i + 1
-            at, chars = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+            at, held = i + 1, 0
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 def _blocks(path: str, end_id: int, bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         ends: list[int] = []
         done = held = block = 0
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             payload = pack(np.concatenate(ids), bits)
-            row = (shard, block, done, bits, held, list(names), list(ends), payload)
-            return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+            row = (shard, block, done, bits, held, names, ends, payload)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, ARROW)], schema=ARROW_SCHEMA)
 
         for batch in batches:
-            names_of, texts = batch["doc_id"].tolist(), [t or "" for t in batch["text"]]
-            for at, to in _slabs(texts):
-                gc.disable()
-                encoded = _encoder(path).encode(texts[at:to])
+            texts = batch.column("text").fill_null("")
+            batch_names = batch.column("doc_id").to_pylist()
+            for at, to in _slabs(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+                gc.disable()  # many small objects, none in a cycle
+                got, stops = _encoder(path).encode(texts.slice(at, to - at))
                 gc.enable()
-                for name, got in zip(names_of[at:to], encoded):
-                    ids.append(np.append(got, np.uint32(end_id)))
-                    held += len(got) + 1
-                    names.append(None if name is None else int(name))
+                begin = 0
+                for name, stop in zip(batch_names[at:to], stops.tolist()):
+                    ids.append(np.append(got[begin:stop], np.uint32(end_id)))
+                    held += stop - begin + 1
+                    begin = stop
+                    names.append(name)
                     ends.append(held)
                     if held >= BLOCK:
                         yield close()
@@ -247,10 +262,7 @@ def write_ids(
         raise ValueError("the end id does not fit the vocabulary")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    # As text, because pandas keeps a long column with NULLs as doubles.
-    ordered = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = ordered.mapInPandas(_blocks(path, end_id, bits), BLOCKS)
-    out.write.parquet(to)
+    ordered.mapInArrow(_blocks(path, end_id, bits), BLOCKS).write.parquet(to)
 
 
 def read_blocks(spark: SparkSession, at: str) -> DataFrame:
