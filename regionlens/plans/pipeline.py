@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +42,11 @@ class Analysis:
 def create_features(facts: DataFrame) -> Features:
     """Facts with calendar columns, the region-by-month table, and the model frame.
 
-    The region-by-month table is persisted: it is small (regions x months) and
+    The region-by-month table is written: it is small (regions x months) and
     everything after it reads it again.
     """
     timed = calendar.time_features(facts)
-    agg = aggregate.monthly_aggregate(timed).persist(StorageLevel.MEMORY_AND_DISK)
+    agg = written(aggregate.monthly_aggregate(timed))
     return Features(timed, agg, aggregate.ml_frame(agg))
 
 
@@ -85,7 +84,7 @@ def analyze(
 
 
 def save_analysis(result: Analysis, directory: str) -> None:
-    """Tables of an analysis under the names the dashboards load."""
+    """Tables of an analysis under the names the dashboards load, and all parts of its insight document."""
     sinks.save_table(result.aggregates, "monthly_aggregates", directory)
     sinks.save_table(result.scored, "anomalies", directory)
     sinks.save_table(result.risk, "risk_scores", directory)
@@ -93,6 +92,8 @@ def save_analysis(result: Analysis, directory: str) -> None:
     sinks.save_insights(result.insights, f"{directory}/insights")
     sinks.save_insights(result.recommendations, f"{directory}/recommendations")
     sinks.save_insights(result.summary, f"{directory}/executive_summary")
+    sinks.save_insights(result.metadata, f"{directory}/metadata")
+    sinks.save_insights(result.explanations, f"{directory}/explanations")
 
 
 def process_file(spark: SparkSession, path: str, order_by: Sequence[str]) -> tuple[DataFrame, list[columns.Detected]]:
@@ -101,7 +102,12 @@ def process_file(spark: SparkSession, path: str, order_by: Sequence[str]) -> tup
 
 
 def extract_features(df: DataFrame, order_by: str = "seq") -> dict[str, DataFrame]:
-    """Every profile the columns of a table allow; each entry is lazy."""
+    """Every profile the columns of a table allow.
+
+    The table is written once, because every entry reads it. Entries that rest on counts or quantiles of the
+    whole table (frequencies, statistics, outlier bounds, gaps, similarity) run these jobs when called.
+    """
+    df = written(df)
     has = set(df.columns)
     out: dict[str, DataFrame] = {}
     if "date" in has:

@@ -734,6 +734,30 @@ case("ins14_quick_insights", "top_state #anomaly_count #critical_count critical_
       (SELECT count(*) FROM risk WHERE risk_level = 'CRITICAL') AS critical_count,
       (SELECT string_agg(state, ', ' ORDER BY risk_score DESC, state) FROM (SELECT * FROM risk WHERE risk_level = 'CRITICAL' ORDER BY risk_score DESC, state LIMIT 3)) AS critical_states""")
 
+# --- chains -----------------------------------------------------------------
+
+
+def _analyzed(s: SparkSession, d: str) -> DataFrame:
+    """Dirty facts to risk, with outlier factors, saved and read back."""
+    made = pipeline.analyze(DIRTY(s, d), CLEAN, model="local_outlier_factor", cluster_cfg=ClusterCfg(restarts=2), risk_cfg=LEVELS)
+    base = scratch_path(s, "analysis")
+    pipeline.save_analysis(made, base)
+    return readers.load_table(s, "risk_scores", base).select("state", "risk_score", "risk_level")
+
+
+def _extracted(s: SparkSession, d: str) -> DataFrame:
+    """How many rows every profile of the order facts has."""
+    made = pipeline.extract_features(trade_fact(s, d))
+    counts = [f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("feature"), "n") for k, f in sorted(made.items())]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+case("pln1_analyze", "state ~risk_score risk_level", _analyzed)
+case("pln2_extract_features", "feature #n", _extracted)
+
 # --- marts ------------------------------------------------------------------
 
 

@@ -145,6 +145,8 @@ def test_batch_analysis(spark, sf_dir, tmp_path):
     pipeline.save_analysis(result, str(tmp_path))
     assert readers.load_table(spark, "risk_scores", str(tmp_path)).count() == states
     assert spark.read.json(str(tmp_path / "insights")).columns
+    assert spark.read.json(str(tmp_path / "metadata")).first()["total_records"] == result.facts.count()
+    assert spark.read.json(str(tmp_path / "explanations")).count() == result.explanations.count()
 
 
 def test_any_file(spark, sf_dir, tmp_path):
@@ -186,4 +188,3 @@ def test_planted_months_are_found(spark):
     made = pipeline.create_features(facts)
     top = made.aggregates.groupBy("state").agg(F.max_by("year_month", F.abs("z_score")).alias("m"))
     assert rows(top, "state", "m") == [("A", "2023-03"), ("B", "2023-04"), ("C", "2023-05")]
-    made.aggregates.unpersist()
