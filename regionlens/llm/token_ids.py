@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 
 
 BLOCK = 1 << 16  # ids after which a block is closed, at the end of a document
-SLAB_BYTES = 8_000_000
-SLAB_TEXTS = 4096
-MOST_WORDS = 300_000  # encoded words of each of the two generations that a worker keeps
+SLAB_BYTES = 6_000_000
+SLAB_TEXTS = 2048
+GATHER = 100_000  # words whose ids are put in order at once
+MOST_WORDS = 200_000  # encoded words of each of the two generations that a worker keeps
 BLOCKS = (
     "shard int, block int, local_start long, bits int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
 )
@@ -112,7 +114,9 @@ class Encoder:
             for at in range(0, len(cores), 1000)
         ]
         found: list[bytes] = []
-        for e in self.merges.encode_batch_fast(texts, add_special_tokens=False):
+        # A few at a time: the library's results take a hundred bytes per id.
+        groups = (self.merges.encode_batch_fast(texts[at : at + 8], add_special_tokens=False) for at in range(0, len(texts), 8))
+        for e in chain.from_iterable(groups):
             ids = np.array(e.ids, "<u4")
             data, begin = ids.tobytes(), 0
             for end in (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist():
@@ -182,9 +186,13 @@ class Encoder:
         place = coded.indices.to_numpy(zero_copy_only=False)
         size = sizes[place]
         ends = np.cumsum(size)
-        flat = np.repeat(starts[place] - (ends - size), size)
-        flat += np.arange(len(flat))
-        out = np.frombuffer(b"".join(ids), "<u4")[flat]
+        out = np.empty(int(size.sum()), "<u4")
+        source = np.frombuffer(b"".join(ids), "<u4")
+        for at in range(0, len(place), GATHER):
+            part, base = slice(at, at + GATHER), int(ends[at] - size[at])
+            flat = np.repeat(starts[place[part]] - (ends[part] - size[part]), size[part])
+            flat += np.arange(base, base + len(flat))
+            out[base : base + len(flat)] = source[flat]
         lists = split.offsets.to_numpy()
         return out, np.concatenate([[0], ends])[lists[1:] - lists[0]]
 
@@ -212,6 +220,7 @@ def _slabs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _blocks(path: str, end_id: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back, the default pool keeps it
         shard = TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         names: list[int | None] = []
