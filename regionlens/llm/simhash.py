@@ -197,4 +197,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     name = next(n for n in (f"_key{i or ''}" for i in range(len(taken) + 1)) if n not in taken)
     groups = near_groups(docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("doc_id"), F.col(text).alias("text")))
     best = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.key").alias(name)).distinct()
-    return docs.withColumn(name, key).join(written(best), name, "left_semi").dropDuplicates([name]).drop(name)
+    # Both sides are dealt by the key, which dropping repeated rows needs anyway; a broadcast would only add memory.
+    return docs.withColumn(name, key).join(written(best).hint("merge"), name, "left_semi").dropDuplicates([name]).drop(name)
