@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 
 BLOCK = 1 << 16  # ids after which a block is closed, at the end of a document
-SLAB_BYTES = 6_000_000
+SLAB_BYTES = 4_000_000
 SLAB_TEXTS = 2048
 GATHER = 100_000  # words whose ids are put in order at once
-MOST_WORDS = 200_000  # encoded words of each of the two generations that a worker keeps
+MOST_WORDS = 300_000  # encoded words after which a worker keeps only those of the latest texts
 BLOCKS = (
     "shard int, block int, local_start long, bits int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
 )
@@ -83,8 +83,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.most_words = most_words
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # Words met so far, their ids one after another and where those of each word begin.
+        self.words = pa.array([], pa.string())
+        self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
         self.letters = byte_letters()
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -97,18 +98,18 @@ class Encoder:
         self.marks: dict[str, bytes] = {"": b""}
         probe = ["probe", "ÉTÉ,", "naïve.", "Żółw", "ß", "It.,"]
         try:
-            self._plain(probe, [w.rstrip(MARKS) for w in probe])
-            self.fast = self.known == {w: self._whole(w) for w in probe}
+            learned: dict[str, bytes] = {}
+            self._plain(probe, [w.rstrip(MARKS) for w in probe], learned)
+            self.fast = learned == {w: self._whole(w) for w in probe}
         except (ValueError, KeyError):
             self.fast = False
-        self.known = {}
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _plain(self, words: list[str], cores: list[str]) -> None:
+    def _plain(self, words: list[str], cores: list[str], known: dict[str, bytes]) -> None:
         """Learn words of letters (the cores) with marks behind them."""
-        letters, known, marks = self.letters | {32: " "}, self.known, self.marks
+        letters, marks = self.letters | {32: " "}, self.marks
         texts = [
             " ".join(cores[at : at + 1000]).lower().encode().decode("latin-1").translate(letters)
             for at in range(0, len(cores), 1000)
@@ -132,9 +133,8 @@ class Encoder:
                 ids += marks[mark]
             known[word] = ids
 
-    def _others(self, words: list[str]) -> None:
+    def _others(self, words: list[str], known: dict[str, bytes]) -> None:
         """Learn other words, many at a time: a special token between them is cut out before anything else happens."""
-        known = self.known
         # A word with a part of a special string goes alone.
         alone = [w for w in words if self.between is None or "<|" in w or self.between in w]
         known.update((w, self._whole(w)) for w in alone)
@@ -147,7 +147,8 @@ class Encoder:
                 known[word] = data[begin:end]
                 begin = end + 4
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> list[bytes]:
+        known: dict[str, bytes] = {}
         plain, cores, others = [], [], []
         for w in words:
             core = w.rstrip(MARKS)
@@ -156,43 +157,47 @@ class Encoder:
                 cores.append(core)
             else:
                 others.append(w)
-        self._plain(plain, cores)
-        self._others(others)
+        self._plain(plain, cores, known)
+        self._others(others, known)
+        return [known[w] for w in words]
+
+    def _lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of the ids of each of the different words, after learning those not known."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = words.take(pa.array(missing))
+            got = self._learn(new.to_numpy(zero_copy_only=False).tolist())
+            at[missing] = len(self.words) + np.arange(len(missing))
+            sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+            self.words = pa.concat_arrays([self.words, new])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), "<u4")])
+        return self.starts[at], self.starts[at + 1] - self.starts[at]
+
+    def _forget(self, words: pa.Array, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep only the words used last."""
+        ends = np.cumsum(sizes)
+        places = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+        self.words, self.ids, self.starts = words, self.ids[places], np.concatenate([[0], ends])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text ends. There are no NULLs among them."""
-        if len(self.known) > self.most_words:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = list(map(known.get, words))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
-            new = []
-            for i in missing:
-                w = words[i]
-                if (x := older.get(w)) is not None:
-                    known[w] = x
-                else:
-                    new.append(w)
-            self._learn(new)
-            for i in missing:
-                ids[i] = known[words[i]]
+        starts, sizes = self._lookup(coded.dictionary)
         # From the ids of each different word to those of the words in their order.
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
         place = coded.indices.to_numpy(zero_copy_only=False)
         size = sizes[place]
         ends = np.cumsum(size)
         out = np.empty(int(size.sum()), "<u4")
-        source = np.frombuffer(b"".join(ids), "<u4")
         for at in range(0, len(place), GATHER):
             part, base = slice(at, at + GATHER), int(ends[at] - size[at])
             flat = np.repeat(starts[place[part]] - (ends[part] - size[part]), size[part])
             flat += np.arange(base, base + len(flat))
-            out[base : base + len(flat)] = source[flat]
+            out[base : base + len(flat)] = self.ids[flat]
+        if len(self.words) > self.most_words:
+            self._forget(coded.dictionary, starts, sizes)
         lists = split.offsets.to_numpy()
         return out, np.concatenate([[0], ends])[lists[1:] - lists[0]]
 
@@ -233,7 +238,8 @@ def _blocks(path: str, end_id: int, bits: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, ARROW)], schema=ARROW_SCHEMA)
 
         for batch in batches:
-            texts = batch.column("text").fill_null("")
+            texts = batch.column("text")
+            texts = texts.fill_null("") if texts.null_count else texts
             batch_names = batch.column("doc_id").to_pylist()
             for at, to in _slabs(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
                 gc.disable()  # many small objects, none in a cycle
@@ -271,7 +277,14 @@ def write_ids(
         raise ValueError("the end id does not fit the vocabulary")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_blocks(path, end_id, bits), BLOCKS).write.parquet(to)
+    spark, rows = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    # Texts are long; what is on its way between Spark and a worker should stay some megabytes.
+    spark.conf.set(rows, str(SLAB_TEXTS))
+    try:
+        ordered.mapInArrow(_blocks(path, end_id, bits), BLOCKS).write.parquet(to)
+    finally:
+        spark.conf.set(rows, before)
 
 
 def read_blocks(spark: SparkSession, at: str) -> DataFrame:
