@@ -119,13 +119,14 @@ CTES: dict[str, str] = {
     (SELECT *, (anomaly_score - min(anomaly_score) OVER ()) / (max(anomaly_score) OVER () - min(anomaly_score) OVER ()) AS r FROM scored)""",
     "explained": """
     SELECT state, year_month AS period, round(anomaly_score, 3) AS anomaly_score, anomaly_confidence AS confidence,
-      coalesce(CASE WHEN abs(z_score) > 3 THEN 'Extreme e' END, CASE WHEN mom_growth > 0.5 THEN 'Sudden in' WHEN mom_growth < -0.5 THEN 'Sudden de' END,
-        CASE WHEN update_ratio > 0.5 THEN 'High upda' WHEN update_ratio < 0.05 THEN 'Low updat' END, '') AS primary_kind,
-      greatest(CASE WHEN abs(z_score) > 3 THEN 1 ELSE 0 END + CASE WHEN abs(mom_growth) > 0.5 THEN 1 ELSE 0 END
-        + CASE WHEN update_ratio > 0.5 OR update_ratio < 0.05 THEN 1 ELSE 0 END - 1, 0) AS n_factors,
+      coalesce(why[1], '') AS primary_reason, array_to_string(why[2:], '; ') AS factors,
       CASE WHEN anomaly_score > 0.8 THEN 'Immediate investigation required' WHEN anomaly_score > 0.6 THEN 'Priority review recommended'
         ELSE 'Review data quality and verify with field teams' END AS recommended_action
-    FROM banded WHERE is_anomaly = 1""",
+    FROM (SELECT *, list_filter([CASE WHEN abs(z_score) > 3 THEN 'Extreme enrolment volume (z-score: ' || printf('%.2f', round(z_score, 2)) || ')' END,
+        CASE WHEN abs(mom_growth) > 0.5 THEN 'Sudden ' || CASE WHEN mom_growth > 0 THEN 'increase' ELSE 'decrease' END || ' (' || printf('%.1f', round(abs(mom_growth) * 100, 1)) || '% change)' END,
+        CASE WHEN update_ratio > 0.5 THEN 'High update ratio (' || printf('%.2f', round(update_ratio, 2)) || ')'
+             WHEN update_ratio < 0.05 THEN 'Low update ratio (' || printf('%.2f', round(update_ratio, 2)) || ')' END], lambda x: x IS NOT NULL) AS why
+      FROM banded WHERE is_anomaly = 1)""",
     "state_norms": """
     SELECT state, sqrt(sum(t * t)) AS norm FROM (SELECT date, state, sum(enrolment_count) AS t FROM trade GROUP BY 1, 2) GROUP BY 1""",
     "state_days": "SELECT date, state, sum(enrolment_count) AS t FROM trade GROUP BY 1, 2",
@@ -202,6 +203,7 @@ CTES: dict[str, str] = {
     "last_months": "SELECT year_month, sum(x) AS t FROM planted GROUP BY 1 ORDER BY 1 DESC LIMIT 2",
     "ins2": """
     SELECT 'trend' AS type, CASE WHEN p > 0 THEN 'Significant Monthly Increased' ELSE 'Significant Monthly Decreased' END AS title,
+      'Enrolments ' || CASE WHEN p > 0 THEN 'increased' ELSE 'decreased' END || ' by ' || printf('%.1f', round(abs(p), 1)) || '% from previous month' AS description,
       CASE WHEN abs(p) > 20 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 'HIGH' AS confidence
     FROM (SELECT CASE WHEN arg_min(t, year_month) > 0 THEN (arg_max(t, year_month) - arg_min(t, year_month)) / arg_min(t, year_month) * 100 ELSE 0 END AS p, count(*) AS n
       FROM last_months) WHERE n > 1 AND abs(p) > 10""",
@@ -236,25 +238,25 @@ CTES: dict[str, str] = {
     SELECT 'risk' AS type, 'Critical Risk States Identified' AS title, n || ' states at critical risk level: ' || names AS description,
       'CRITICAL' AS severity, 'HIGH' AS confidence FROM critical_names WHERE n > 0""",
     "ins9": """
-    SELECT 'risk_distribution' AS type, 'Wide Risk Distribution' AS title, 'MEDIUM' AS severity, 'HIGH' AS confidence
+    SELECT 'risk_distribution' AS type, 'Wide Risk Distribution' AS title, 'Significant variability in risk scores across states' AS description, 'MEDIUM' AS severity, 'HIGH' AS confidence
     FROM (SELECT stddev_samp(risk_score) AS sd FROM risk) WHERE sd > 0.3""",
     "ins10": """
-    SELECT 'cluster_imbalance' AS type, 'Uneven State Distribution Across Clusters' AS title, 'LOW' AS severity, 'HIGH' AS confidence
+    SELECT 'cluster_imbalance' AS type, 'Uneven State Distribution Across Clusters' AS title, 'Largest cluster has ' || a || ' states, smallest has ' || b AS description, 'LOW' AS severity, 'HIGH' AS confidence
     FROM (SELECT max(n) AS a, min(n) AS b, count(*) AS g FROM (SELECT count(*) AS n FROM labelled GROUP BY cluster)) WHERE g > 1 AND a > 5 * b""",
     "ins11": """
-    SELECT 'cluster_performance' AS type, 'High-Performance Cluster Identified' AS title, 'MEDIUM' AS severity, 'HIGH' AS confidence
-    FROM (SELECT max(m) AS a, min(m) AS b FROM (SELECT avg(total_enrolments) AS m FROM labelled GROUP BY cluster)) WHERE a > 2 * b""",
+    SELECT 'cluster_performance' AS type, 'High-Performance Cluster Identified' AS title, 'Cluster ' || (top + 1) || ' shows significantly higher enrolment volumes' AS description, 'MEDIUM' AS severity, 'HIGH' AS confidence
+    FROM (SELECT arg_max(cluster, m) AS top, max(m) AS a, min(m) AS b FROM (SELECT cluster, avg(total_enrolments) AS m FROM labelled GROUP BY cluster)) WHERE a > 2 * b""",
     "all_insights": """
-    SELECT 'trend_insights' AS section, type, title, severity, confidence FROM ins2
-    UNION ALL SELECT 'trend_insights', type, title, severity, confidence FROM ins3
-    UNION ALL SELECT 'trend_insights', type, title, severity, confidence FROM ins4
-    UNION ALL SELECT 'anomaly_insights', type, title, severity, confidence FROM ins5
-    UNION ALL SELECT 'anomaly_insights', type, title, severity, confidence FROM ins6
-    UNION ALL SELECT 'anomaly_insights', type, title, severity, confidence FROM ins7
-    UNION ALL SELECT 'risk_insights', type, title, severity, confidence FROM ins8
-    UNION ALL SELECT 'risk_insights', type, title, severity, confidence FROM ins9
-    UNION ALL SELECT 'cluster_insights', type, title, severity, confidence FROM ins10
-    UNION ALL SELECT 'cluster_insights', type, title, severity, confidence FROM ins11""",
+    SELECT 'trend_insights' AS section, type, title, description, severity, confidence FROM ins2
+    UNION ALL SELECT 'trend_insights', type, title, description, severity, confidence FROM ins3
+    UNION ALL SELECT 'trend_insights', type, title, description, severity, confidence FROM ins4
+    UNION ALL SELECT 'anomaly_insights', type, title, description, severity, confidence FROM ins5
+    UNION ALL SELECT 'anomaly_insights', type, title, description, severity, confidence FROM ins6
+    UNION ALL SELECT 'anomaly_insights', type, title, description, severity, confidence FROM ins7
+    UNION ALL SELECT 'risk_insights', type, title, description, severity, confidence FROM ins8
+    UNION ALL SELECT 'risk_insights', type, title, description, severity, confidence FROM ins9
+    UNION ALL SELECT 'cluster_insights', type, title, description, severity, confidence FROM ins10
+    UNION ALL SELECT 'cluster_insights', type, title, description, severity, confidence FROM ins11""",
     "recommended": """
     SELECT 'Data Quality' AS category, 'Anomaly Investigation' AS action, 'Investigate ' || n || ' detected anomalies' AS description,
       CASE WHEN n > 50 THEN 'HIGH' ELSE 'MEDIUM' END AS priority, '2 weeks' AS timeline, 'Data Quality Team' AS responsible

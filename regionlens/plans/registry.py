@@ -246,8 +246,8 @@ case(
     _exported, "SELECT * FROM dash",
 )
 case(
-    "snk2_save_insights", "section type severity confidence", _insight_file,
-    "SELECT section, type, severity, confidence FROM all_insights",
+    "snk2_save_insights", "section type title description severity confidence", _insight_file,
+    "SELECT section, type, title, description, severity, confidence FROM all_insights",
 )
 
 # --- columns ----------------------------------------------------------------
@@ -618,10 +618,9 @@ case("ano3_isolation_forest", "state year_month #is_anomaly ~anomaly_score", _fo
 case("ano4_lof", "state year_month #is_anomaly ~anomaly_score", _lof, "SELECT * FROM lof_scored")
 case("ano5_confidence", "state year_month ~anomaly_score anomaly_confidence", lambda s, d: ano.confidence(scored_of(s, d)), "SELECT * FROM banded")
 case(
-    "ano6_explain", "state period ~anomaly_score confidence primary_kind #n_factors recommended_action",
+    "ano6_explain", "state period ~anomaly_score confidence primary_reason factors recommended_action",
     lambda s, d: ano.explain(ano.confidence(scored_of(s, d)))
-    .withColumn("primary_kind", F.substring("primary_reason", 1, 9))
-    .withColumn("n_factors", F.size("supporting_factors")),
+    .withColumn("factors", F.array_join("supporting_factors", "; ")),
     "SELECT * FROM explained",
 )
 SUMMARY = "#anomaly_count #high_severity_count #states_affected latest_period ~mean_severity top_state"
@@ -704,7 +703,7 @@ case(
         (SELECT avg(mom_growth) * 100 FROM agg) AS avg_growth_pct, (SELECT sum(is_anomaly) FROM scored) AS anomalies_detected, (SELECT avg(is_anomaly) * 100 FROM scored) AS anomaly_rate_pct,
         (SELECT count(*) FROM risk WHERE risk_level = 'CRITICAL') AS critical_risk_states, (SELECT count(*) FROM risk WHERE risk_level = 'HIGH') AS high_risk_states)""",
 )
-case("ins2_monthly_change", "type title severity confidence", lambda s, d: ins.monthly_change(planted_of(s, d)), "SELECT * FROM ins2")
+case("ins2_monthly_change", RULE, lambda s, d: ins.monthly_change(planted_of(s, d)), "SELECT * FROM ins2")
 case("ins3_seasonality", RULE, lambda s, d: ins.seasonality(planted_of(s, d)), "SELECT * FROM ins3")
 case("ins4_state_disparity", RULE, lambda s, d: ins.state_disparity(planted_of(s, d)), "SELECT * FROM ins4")
 case("ins5_temporal_cluster", RULE, lambda s, d: ins.temporal_cluster(planted_scores_of(s, d)), "SELECT * FROM ins5")
@@ -723,7 +722,7 @@ case("ins10_cluster_imbalance", RULE, lambda s, d: ins.cluster_imbalance(labelle
 case("ins11_strong_cluster", RULE, lambda s, d: ins.strong_cluster(labelled_of(s, d).withColumn("total_enrolments", F.col("total_enrolments") * F.when(F.col("cluster") == 1, 5.0).otherwise(1.0))), """
     SELECT 'cluster_performance' AS type, 'High-Performance Cluster Identified' AS title, 'Cluster ' || (top + 1) || ' shows significantly higher enrolment volumes' AS description, 'MEDIUM' AS severity, 'HIGH' AS confidence
       FROM (SELECT arg_max(cluster, m) AS top, max(m) AS a, min(m) AS b FROM (SELECT cluster, avg(total_enrolments * CASE WHEN cluster = 1 THEN 5.0 ELSE 1.0 END) AS m FROM labelled GROUP BY 1)) WHERE a > 2 * b""")
-case("ins_all_insights", "section " + "type title severity confidence", _all_insights, "SELECT * FROM all_insights")
+case("ins_all_insights", "section " + RULE, _all_insights, "SELECT * FROM all_insights")
 case("ins12_recommendations", "category action description priority timeline responsible", _over_tables(ins.recommendations), "SELECT * FROM recommended")
 case("ins13_dashboard_insights", "type title action", lambda s, d: ins.dashboard_insights(dash_fact(s, d).withColumn("successful_enrolments", F.col("enrolments") * 0.95), risk_of(s, d)), """
     SELECT 'success' AS type, 'Excellent Performance' AS title, 'Maintain current operational excellence' AS action FROM (SELECT sum(enrolments * 0.95) / sum(enrolments) * 100 AS r FROM dash) WHERE r > 90
