@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,7 +42,7 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     return np.packbits(((ids.astype(np.uint32)[:, None] >> shifts) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
+def unpack(payload: bytes | pa.Buffer, bits: int, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` of a packed block, without touching the others."""
     first, last = start * bits, stop * bits
     part = np.frombuffer(payload, np.uint8)[first // 8 : -(-last // 8)]
@@ -287,40 +286,43 @@ def write_ids(
         spark.conf.set(rows, before)
 
 
-def read_blocks(spark: SparkSession, at: str) -> DataFrame:
-    """The blocks with ``start``, the number of ids in all blocks before."""
-    blocks = spark.read.schema(BLOCKS).parquet(at)
-    # One number per shard, as many as the writing job had tasks.
-    sizes = sorted((r[0], r[1]) for r in blocks.groupBy("shard").agg(F.sum("n_ids")).collect())
-    starts, total = [], 0
-    for shard, n in sizes:
-        starts.append((shard, total))
+def _starts(spark: SparkSession, at: str) -> DataFrame:
+    """``shard, before``: ids in all shards before. One row per task of the job that wrote the files."""
+    sizes = spark.read.schema(BLOCKS).parquet(at).groupBy("shard").agg(F.sum("n_ids")).collect()
+    rows, total = [], 0
+    for shard, n in sorted((r[0], r[1]) for r in sizes):
+        rows.append((shard, total))
         total += n
-    offsets = spark.createDataFrame(starts, "shard int, shard_start long")
-    return blocks.join(offsets, "shard").withColumn("start", F.col("shard_start") + F.col("local_start")).drop("shard_start")
+    return spark.createDataFrame(rows, "shard int, before long")
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b in batch.itertuples():
-            ids = unpack(b.payload, b.bits, 0, b.n_ids).astype("<u4")
-            ends = np.asarray(b.ends, np.int64)
+        for i in range(batch.num_rows):
+            value = {name: batch.column(name)[i] for name in batch.schema.names}
+            ids = unpack(value["payload"].as_buffer(), value["bits"].as_py(), 0, value["n_ids"].as_py()).astype("<u4")
+            ends = value["ends"].values.to_numpy()
             begins = np.concatenate([[0], ends[:-1]])
-            yield pd.DataFrame(
-                {
-                    "doc_id": pd.array([None if d is None else int(d) for d in b.doc_ids], dtype="Int64"),
-                    "start": b.start + begins,
-                    "n_tokens": ends - begins,
-                    "ids_crc32": [zlib.crc32(ids[i:j].tobytes()) for i, j in zip(begins, ends)],
-                }
-            )
+            crcs = np.array([zlib.crc32(ids[i:j]) for i, j in zip(begins.tolist(), ends.tolist())], np.int64)
+            columns = {
+                "doc_id": value["doc_ids"].values,
+                "shard": pa.array(np.full(len(ends), value["shard"].as_py(), np.int32)),
+                "local": pa.array(begins + value["local_start"].as_py()),
+                "n_tokens": pa.array(ends - begins),
+                "ids_crc32": pa.array(crcs),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def digests(spark: SparkSession, at: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, unpacked from the files."""
-    blocks = read_blocks(spark, at).withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
-    return blocks.select("doc_ids", "ends", "bits", "n_ids", "payload", "start").mapInPandas(
-        _digests, "doc_id long, start long, n_tokens long, ids_crc32 long"
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, unpacked from the files.
+
+    ``start`` counts the ids of all documents before; the blocks themselves are not shuffled for it.
+    """
+    blocks = spark.read.schema(BLOCKS).parquet(at).select("shard", "local_start", "bits", "n_ids", "doc_ids", "ends", "payload")
+    found = blocks.mapInArrow(_digests, "doc_id long, shard int, local long, n_tokens long, ids_crc32 long")
+    return found.join(_starts(spark, at), "shard").select(
+        "doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
