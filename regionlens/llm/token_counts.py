@@ -34,8 +34,8 @@ from regionlens.llm.text import utf8
 MARK = "▁"  # stands for a blank in the vocabulary
 CHUNK = 1 << 16  # characters of one chunk
 LIMIT = 4096
-MOST_ARCS = 600_000  # compiled arcs before the tables start anew
-MOST_STRETCHES = 300_000  # composed arcs before theirs does
+MOST_ARCS = 900_000  # compiled arcs before the tables start anew
+MOST_STRETCHES = 200_000  # composed arcs of each of two generations
 STRETCH = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -76,6 +76,7 @@ class Transducer:
         self.arcs: list[dict[str, tuple[int, int]]] = [{}]  # of each state: character, next state, change
         self.n_arcs = 0
         self.stretches: dict[str, int] = {}
+        self.older: dict[str, int] = {}  # the generation before
 
     def _edges(self, piece: str) -> tuple[list, list, bool]:
         """How the outer symbols of a piece form: ``(symbol, level)`` at its left and right edge.
@@ -168,11 +169,13 @@ class Transducer:
     def stretch(self, text: str) -> int:
         """Pieces of the text between two cuts, which is a path from the start."""
         found = self.stretches.get(text)
+        if found is None and (found := self.older.get(text)) is not None:
+            self.stretches[text] = found
         if found is None:
             if self.n_arcs >= self.most_arcs:
                 self._forget()
             if len(self.stretches) >= MOST_STRETCHES:
-                self.stretches.clear()
+                self.stretches, self.older = {}, self.stretches
             state, found, arcs = 0, 0, self.arcs
             for char in text:
                 state, change = arcs[state].get(char) or self._compile(state, char)
@@ -185,14 +188,11 @@ class Transducer:
         parts = STRETCH.findall(chunk)
         if len(parts) < 2:
             return ChunkMap(chunk, 0, "", False)
-        known, inner = self.stretches, 0
-        for p in parts[1:-1]:
-            n = known.get(p)
-            if n is None:
-                n = self.stretch(p)
-                known = self.stretches
-            inner += n
-        return ChunkMap(parts[0], inner, parts[-1], True)
+        inner = parts[1:-1]
+        counts = list(map(self.stretches.get, inner))
+        if None in counts:
+            counts = [self.stretch(p) if n is None else n for p, n in zip(inner, counts)]
+        return ChunkMap(parts[0], sum(counts), parts[-1], True)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """The map of two neighbouring chunks."""
