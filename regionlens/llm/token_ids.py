@@ -8,6 +8,8 @@ lies before it.  The container is Parquet, because Spark commits and reads it in
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -38,12 +40,16 @@ ARROW_SCHEMA = pa.schema([(c.split()[0], t) for c, t in zip(BLOCKS.split(", "),
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids as ``bits`` bits each, lowest bit first; the last byte is filled with zeros."""
+    if bits in (8, 16, 32):  # the same bytes without single bits
+        return ids.astype(f"<u{bits // 8}").tobytes()
     shifts = np.arange(bits, dtype=np.uint32)
     return np.packbits(((ids.astype(np.uint32)[:, None] >> shifts) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def unpack(payload: bytes | pa.Buffer, bits: int, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` of a packed block, without touching the others."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(payload, f"<u{bits // 8}", stop - start, start * bits // 8).astype(np.uint32)
     first, last = start * bits, stop * bits
     part = np.frombuffer(payload, np.uint8)[first // 8 : -(-last // 8)]
     flat = np.unpackbits(part, bitorder="little")[first % 8 : first % 8 + last - first]
@@ -210,6 +216,13 @@ def _encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
+def _give_back() -> None:
+    """Return the memory of large arrays to the system as soon as they are freed; by default a worker keeps it."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD of the GNU C library
+
+
 def _slabs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of texts that are encoded at once: of some thousand, or fewer if they are long."""
     at = held = 0
@@ -224,7 +237,7 @@ def _slabs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _blocks(path: str, end_id: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back, the default pool keeps it
+        _give_back()
         shard = TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         names: list[int | None] = []
@@ -244,10 +257,11 @@ def _blocks(path: str, end_id: int, bits: int):
                 gc.disable()  # many small objects, none in a cycle
                 got, stops = _encoder(path).encode(texts.slice(at, to - at))
                 gc.enable()
+                got = np.insert(got, stops, end_id)
                 begin = 0
-                for name, stop in zip(batch_names[at:to], stops.tolist()):
-                    ids.append(np.append(got[begin:stop], np.uint32(end_id)))
-                    held += stop - begin + 1
+                for name, stop in zip(batch_names[at:to], (stops + np.arange(1, len(stops) + 1)).tolist()):
+                    ids.append(got[begin:stop])
+                    held += stop - begin
                     begin = stop
                     names.append(name)
                     ends.append(held)
