@@ -5,10 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Called with every frame before it is written; tests look at the plans here.
+WATCHERS: list[Callable[[DataFrame], None]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session, set from ``spark.checkpoint.dir``.
 
@@ -45,6 +50,8 @@ def written(df: DataFrame) -> DataFrame:
     later joins are planned on real sizes and scans read only needed columns.
     A lost executor costs no recomputation.
     """
+    for look in WATCHERS:
+        look(df)
     spark = df.sparkSession
     path = scratch_path(spark, "step")
     df.write.parquet(path)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from regionlens.functions.expr import one_value
@@ -162,6 +163,42 @@ def _pairs(cells: DataFrame, block: int) -> DataFrame:
     )
 
 
+def similar_pairs(facts: DataFrame, min_similarity: float, date: str = "date") -> DataFrame:
+    """``(state1, state2, similarity)`` of the pairs with at least ``min_similarity`` (above zero), ``state1 < state2``.
+
+    Exact without all pairs: unit vectors list their dates, rare ones first. What follows a date whose rest of the
+    vector is shorter than ``min_similarity`` cannot reach it alone, so the first date two similar regions share
+    lies before that point in both, and only regions that meet there are compared.
+    """
+    if not 0 < min_similarity <= 1:
+        raise ValueError("min_similarity lies above 0 and at most at 1")
+    cells = _cells(facts, date).where("total <> 0")
+    days = cells.groupBy("date").agg(F.count(F.lit(1)).alias("regions"))
+    unit = written(
+        cells.join(_norms(cells), "state").join(days, "date").select("state", "date", "regions", (F.col("total") / F.col("norm")).alias("x"))
+    )
+    rest = W.partitionBy("state").orderBy("regions", "date").rowsBetween(W.currentRow, W.unboundedFollowing)
+    # A hair of slack: rounding must not lose a pair that just reaches the bound.
+    long = F.sum(F.col("x") * F.col("x")).over(rest) >= min_similarity * min_similarity - 1e-9
+    heads = unit.withColumn("long", long).where("long").select("state", "date")
+    met = (
+        heads.select("date", F.col("state").alias("state1"))
+        .join(heads.select("date", F.col("state").alias("state2")), "date")
+        .where("state1 < state2")
+        .select("state1", "state2")
+        .distinct()
+    )
+    left = unit.select(F.col("state").alias("state1"), "date", F.col("x").alias("x1"))
+    right = unit.select(F.col("state").alias("state2"), "date", F.col("x").alias("x2"))
+    return (
+        met.join(left, "state1")
+        .join(right, ["state2", "date"])
+        .groupBy("state1", "state2")
+        .agg(F.sum(F.col("x1") * F.col("x2")).alias("similarity"))
+        .where(F.col("similarity") >= min_similarity)
+    )
+
+
 def cosine_matrix(facts: DataFrame, date: str | None = "date") -> DataFrame:
     """Both directions of every pair and the diagonal, in long form."""
     cells = _cells(facts, date)

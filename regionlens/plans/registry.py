@@ -601,6 +601,7 @@ case("prf10_preview", FACT, lambda s, d: prf.preview(trade_fact(s, d), ["seq"]),
 # --- similarity -------------------------------------------------------------
 
 case("sim1_cosine_pairs", "state1 state2 ~similarity", lambda s, d: sim.cosine_pairs(trade_fact(s, d)), "SELECT * FROM similar_pairs WHERE state1 < state2")
+case("sim1_similar_pairs", "state1 state2 ~similarity", lambda s, d: sim.similar_pairs(trade_fact(s, d), 0.15), "SELECT * FROM similar_pairs WHERE state1 < state2 AND similarity >= 0.15")
 case("sim2_cosine_matrix", "state1 state2 ~similarity", lambda s, d: sim.cosine_matrix(trade_fact(s, d)), "SELECT * FROM similar_pairs")
 
 # --- anomalies --------------------------------------------------------------

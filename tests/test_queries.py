@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from regionlens.functions import materialize
 from regionlens.plans.registry import CASES
 
 
@@ -34,6 +35,14 @@ def check_plan(df):
         assert not re.match(r"\s*(specifiedwindowframe|\w+#\d+L? (ASC|DESC))", spec), f"window without keys: {spec}"
 
 
+@pytest.fixture(autouse=True)
+def watched():
+    """Plans are also checked where a step is written."""
+    materialize.WATCHERS.append(check_plan)
+    yield
+    materialize.WATCHERS.remove(check_plan)
+
+
 @pytest.mark.parametrize("name", sorted(CASES))
 def test_query(name, spark, sf_dir, con):
     df = entry.queries()[name](spark, sf_dir)

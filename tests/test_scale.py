@@ -132,6 +132,18 @@ def brute_lof(x, k):
     return np.array(score), np.array(query)
 
 
+@pytest.mark.parametrize("least", [0.2, 0.6, 0.95])
+def test_similar_pairs_match_all_pairs(spark, least):
+    rng = np.random.default_rng(8)
+    rows = [(f"S{i:02d}", f"2024-01-{int(d) + 1:02d}", float(v)) for i in range(40) for d, v in zip(rng.integers(0, 30, 6), rng.exponential(size=6))]
+    rows += [("T1", d, v) for s, d, v in rows if s == "S01"] + [("Z", "2024-01-01", 0.0)]
+    df = spark.createDataFrame(rows, "state string, date string, enrolment_count double")
+    got = {(r.state1, r.state2): r.similarity for r in similarity.similar_pairs(df, least).collect()}
+    want = {(r.state1, r.state2): r.similarity for r in similarity.cosine_pairs(df).collect() if r.similarity >= least}
+    assert got.keys() == want.keys() and ("S01", "T1") in got
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_boxes_split_skewed_data():
     rng = np.random.default_rng(6)
     x = np.column_stack([np.where(rng.random(20_000) < 0.6, 0.0, 50 * rng.random(20_000)), rng.random((20_000, 2))])
