@@ -217,10 +217,15 @@ def _encoder(path: str) -> Encoder:
 
 
 def _give_back() -> None:
-    """Return the memory of large arrays to the system as soon as they are freed; by default a worker keeps it."""
+    """Return freed memory to the system, that of large arrays at once; by default a worker keeps it while it is idle.
+
+    An executor holds more workers than it has cores, because the next task may start before a worker is free again.
+    """
     pa.set_memory_pool(pa.system_memory_pool())
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD of the GNU C library
+    with contextlib.suppress(OSError, AttributeError):  # of the GNU C library
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
 
 
 def _slabs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -271,6 +276,8 @@ def _blocks(path: str, end_id: int, bits: int):
                         ids, names, ends = [], [], []
         if names:
             yield close()
+        ids, names, ends = [], [], []
+        _give_back()
 
     return run
 
@@ -326,6 +333,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "ids_crc32": pa.array(crcs),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    _give_back()
 
 
 def digests(spark: SparkSession, at: str) -> DataFrame:
