@@ -5,6 +5,10 @@ the size class W, the next power of two; documents are cut into windows of 2 W s
 run of W shingles lies whole in one of them. Shingles that no template of the class has can never count
 towards containment and are left out before the windows are hashed.
 
+Notices of one family differ in a word or two, so that most of one is held by the others. Of a template
+only the longest run of shingles counts of which no template of another license holds the share c: it has the words
+that tell the licenses apart, and a notice of one is not reported as another.
+
 A window that contains at least the share c of a template has a Jaccard similarity of at least
 c T / (2 W + (1 - c) T), which is above 0.19 for c = 0.8, because T is more than half of W. With bands of one hash, b bands
 miss it with a chance of at most 0.81 ** b: two in ten thousand for b = 40, and none where the window holds nothing else.
@@ -12,6 +16,7 @@ miss it with a chance of at most 0.81 ** b: two in ten thousand for b = 40, and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,19 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionlens.functions.materialize import written
+from regionlens.llm.license_texts import TEMPLATES
 
-# Default templates: public notices as their licenses word them.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-)
+WORDING = re.compile("-(line|notice|grant|plain|text)$")
 
 
 @dataclass(frozen=True)
@@ -58,14 +53,52 @@ def _words(text: str) -> list[str]:
     return [*out, word] if word else out
 
 
+def same_license(a: str, b: str) -> bool:
+    """Whether two names of templates stand for one license, or one for the family of the other (``BSD``, ``BSD-2-Clause``)."""
+    a, b = WORDING.sub("", a), WORDING.sub("", b)
+    return a == b or a.startswith(f"{b}-") or b.startswith(f"{a}-")
+
+
+def _telling(runs: list[str], rivals: list[set[str]], share: float) -> list[str]:
+    """The longest run, the first of equal ones, of which every rival holds less than ``share``; all where there is none."""
+    first, last, near = 0, len(runs), []
+    while True:
+        found = set(runs[first:last])
+        more = [r for r in rivals if len(found & r) >= share * len(found)]
+        if not more:
+            return runs[first:last]
+        near += more
+        best = None
+        for i in range(len(runs)):
+            seen, held = set(), [0] * len(near)
+            for j in range(i, len(runs)):
+                if runs[j] not in seen:
+                    seen.add(runs[j])
+                    held = [h + (runs[j] in r) for h, r in zip(held, near)]
+                if all(h < share * len(seen) for h in held) and (best is None or j + 1 - i > best[1] - best[0]):
+                    best = i, j + 1
+        if best is None:
+            return runs
+        first, last = best
+
+
 def template_shingles(templates: Sequence[tuple[str, str]], cfg: LicenseCfg) -> list[tuple[str, int, list[str]]]:
-    """``(license, size class, different shingles)``; a text shorter than a shingle has none and is left out."""
-    out = []
+    """``(license, size class, different shingles)``; a text shorter than a shingle has none and is left out.
+
+    The shingles are those of the run that tells the license from all others; a text that another license
+    holds whole has no such run and counts whole.
+    """
+    texts = []
     for name, text in templates:
         w = _words(text)
-        found = sorted({" ".join(w[i : i + cfg.words]) for i in range(len(w) - cfg.words + 1)})
-        if found:
-            out.append((name, 1 << (len(w) - cfg.words).bit_length(), found))
+        texts.append((name, [" ".join(w[i : i + cfg.words]) for i in range(len(w) - cfg.words + 1)]))
+    held = [set(runs) for _, runs in texts]
+    out = []
+    for name, runs in texts:
+        if runs:
+            rivals = [h for (other, _), h in zip(texts, held) if not same_license(name, other)]
+            runs = _telling(runs, rivals, cfg.containment)
+            out.append((name, 1 << (len(runs) - 1).bit_length(), sorted(set(runs))))
     return out
 
 

@@ -111,6 +111,61 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan(df, templates=[("none", "too short")]).count() == 0
 
 
+GNU = (
+    "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by "
+    "the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+    "{} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+    "{} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.\n{}\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+    "\"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED."
+)
+NAMES = (
+    "{} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission."
+)
+
+
+def test_licenses_of_one_family_are_told_apart(spark):
+    cases = [
+        (GNU.format("program", ";", "", 2), {"GPL-2.0-notice"}),
+        (GNU.format("program", ":", "", 3), {"GPL-3.0-notice"}),
+        (GNU.format("library", ";", "Lesser ", "2.1"), {"LGPL-2.1-notice"}),
+        (GNU.format("library", ":", "Lesser ", 3), {"LGPL-3.0-notice"}),
+        (GNU.format("program", ":", "Affero ", 3), {"AGPL-3.0-notice"}),
+        (BSD.format("1.", "2.", ""), {"BSD", "BSD-2-Clause"}),
+        (BSD.format("*", "*", ""), {"BSD", "BSD-2-Clause"}),
+        (BSD.format("1.", "2.", NAMES.format("3.")), {"BSD", "BSD-3-Clause", "BSD-3-Clause-plain"}),
+        (BSD.format("*", "*", NAMES.format("*")), {"BSD", "BSD-3-Clause", "BSD-3-Clause-plain"}),
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0"}),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", set()),
+    ]
+    df = spark.createDataFrame([(i, f"some words before {t} some words behind") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    found = collections.defaultdict(set)
+    for r in license_scan.scan(df).collect():
+        found[r.doc_id].add(r.license)
+    assert [found[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_no_template_holds_that_of_another_license():
+    cfg = license_scan.LicenseCfg()
+    whole = dict(license_scan.TEMPLATES)
+    for name, _, shingles in license_scan.template_shingles(license_scan.TEMPLATES, cfg):
+        for other, text in whole.items():
+            if not license_scan.same_license(name, other):
+                w = [x for x in re.split(r"[^\w]+|_", text.lower()) if x]
+                inside = {" ".join(w[i : i + cfg.words]) for i in range(len(w) - cfg.words + 1)} & set(shingles)
+                assert len(inside) < cfg.containment * len(shingles), (name, other)
+    # Texts that nothing tells apart stay whole.
+    same = license_scan.template_shingles([("a", "one two three four five six"), ("b", "one two three four five six")], cfg)
+    assert [len(s) for _, _, s in same] == [2, 2]
+
+
 # --- quality rules ---------------------------------------------------------------
 
 
