@@ -188,11 +188,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cro
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Keep one document of each group of near copies: that with the smallest id.
 
-    Rows repeated under one id count as one document.  Rows without id stand behind all others;
-    in a group without any id, rows of the same text are one document and the smallest digest stays.
-    All columns are kept.
+    Rows of one id and text count as one document; different texts under one id are documents of their own, of
+    which the smallest digest goes first.  Rows without id stand behind all others; in a group without any id,
+    rows of the same text are one document and the smallest digest stays.  All columns are kept.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    digest = F.concat(F.lit("#"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    key = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string"), digest), digest)
     taken = {c.lower() for c in docs.columns}
     name = next(n for n in (f"_key{i or ''}" for i in range(len(taken) + 1)) if n not in taken)
     groups = near_groups(docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("doc_id"), F.col(text).alias("text")))

@@ -92,3 +92,14 @@ def test_one_of_each_group_stays(odd, none):
     # Only the lonely text is in a group without ids.
     assert kept.where("doc_id is null").select("text").collect() == [("lonely text here",)]
     assert simhash.keep_one(none).count() == 0 and simhash.near_groups(none).count() == 0
+
+
+def test_one_id_with_different_texts(spark):
+    rnd = random.Random(11)
+    a, b, c = (" ".join(str(rnd.getrandbits(40)) for _ in range(80)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, c), (7, None)]
+    want = order([(3, a), (5, b), (7, c), (7, None)])
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "doc_id long, text string")
+        for layout in (df.coalesce(1), df.repartition(3)):
+            assert order(map(tuple, simhash.keep_one(layout).collect())) == want
