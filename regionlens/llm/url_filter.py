@@ -22,18 +22,29 @@ RULES = (
     ("allow", "org/fr/"),
 )
 
-# Names of sites of the small labelled table to train on; invented.
+# Names of sites and paths of the small labelled table to train on; invented, and none of them taken from given pages.
 UNWANTED = (
-    "cheap-pills", "pills-online", "best-pills-shop", "free-bets", "sports-bets", "bets-now", "casino-win", "casino-royal", "win-cash",
-    "adult-x", "adult-chat", "x-videos", "payday-loan", "fast-loan", "spam-mail", "spam-links", "ads-server", "ads-click", "track-pixel", "link-farm",
+    "pills-online", "best-pills-shop", "cheap-meds", "viagra-store", "sports-bets", "bets-now", "free-spins", "casino-royal", "big-casino", "poker-bonus",
+    "slots-jackpot", "adult-chat", "adult-videos", "xxx-cams", "payday-loan", "fast-loan", "quick-cash", "spam-mail", "spam-links", "ads-server",
+    "ads-click", "pixel-tracker", "link-farm", "replica-watches",
 )
 WANTED = (
     "library", "gardening", "news", "university", "weather", "museum", "recipes", "travel", "theatre", "science", "school", "history",
-    "another", "together", "nation", "ethics", "station", "the-other", "this-and-that", "town-hall", "threshold", "in-the-north", "editions", "thing",
+    "town-hall", "hospital", "railway", "cycling-club", "local-radio", "choir", "bakery", "mathematics", "open-data", "city-archive", "football", "bookshop",
 )
 PREFIXES = ("", "www.", "m.", "blog.")
 ENDINGS = ("example.com", "example.net", "example.org")
 PATHS = ("/en/12", "/fr/340.html", "/de/7/", "/es/2041", "/en/99.html", "/", "/fr/5/", "/de/1203")
+UNWANTED_PATHS = (
+    "/online-casino/12", "/casino-bonus.html", "/play/poker-slots", "/slots/jackpot/", "/bets/football-odds", "/free-spins", "/betting-tips/7", "/buy-pills.html",
+    "/cheap-viagra/", "/shop/pills-online", "/meds/no-prescription", "/adult/videos/34", "/xxx-cams/live", "/sexy-adult-chat.html", "/payday-loans/apply", "/fast-cash-loan",
+    "/replica-watches/sale", "/spam/links", "/ads/click/3", "/track/ads/pixel", "/link-farm/page-2", "/win-cash-prizes", "/casino/win-big", "/cheap-meds/99",
+)
+WANTED_PATHS = (
+    "/town/history.html", "/garden/roses", "/weather/today", "/about", "/docs/install/", "/library/opening-hours", "/recipes/bread.html", "/news/local/12",
+    "/science/articles/34", "/school/timetable", "/museum/visit", "/music/choir.html", "/contact", "/sports/results/7", "/travel/trains/", "/archive/2019/05",
+    "/health/vaccines", "/bank/opening-an-account", "/books/reviews/99", "/courses/algebra", "/events/market.html", "/photos/bridge", "/shop/garden-tools", "/games/chess",
+)
 
 
 @dataclass(frozen=True)
@@ -94,11 +105,17 @@ def train(labelled: DataFrame, cfg: UrlCfg = UrlCfg()) -> PipelineModel:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The default labelled table: every name under all prefixes and endings, so that only names tell the kinds apart."""
+    """The default labelled table, in two halves, so that each part of a URL tells the kinds apart by itself.
+
+    Every name under all prefixes and endings, with paths dealt evenly; and every path on the same neutral hosts.
+    A neutral path on a neutral host has no sign of junk and is good.
+    """
     rows = []
-    for label, names in ((1, UNWANTED), (0, WANTED)):
+    for label, names, paths in ((1, UNWANTED, UNWANTED_PATHS), (0, WANTED, WANTED_PATHS)):
         hosts = [f"{p}{n}.{e}" for n in names for p in PREFIXES for e in ENDINGS]
         rows += [(f"https://{h}{PATHS[i % len(PATHS)]}", label) for i, h in enumerate(hosts)]
+        rows += [(f"https://{p}{e}{path}", label) for path in paths for p in PREFIXES for e in ENDINGS]
+    rows += [(f"https://{p}{e}{path}", 0) for path in PATHS for p in PREFIXES for e in ENDINGS]
     return spark.createDataFrame(rows, "url string, label int")
 
 

@@ -74,6 +74,22 @@ def test_regression_tells_unseen_hosts_apart(spark):
     assert [r.verdict for r in url_filter.judge(df, rules=()).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
 
 
+def test_paths_and_names_outside_the_table(spark):
+    junk = [
+        "https://www.example.org/casino-royal/free-bets", "https://portal.example.com/buy/cheap-viagra-pills", "http://m.example.net/live/adult-cams.html",
+        "https://example.com/en/best-payday-loans", "https://www.casino-win.example.net/es/1", "https://ads-track.example.org/fr/3", "https://spam-farm.example.com/en/4",
+    ]
+    fine = [
+        "https://www.example.org/town-library/events", "https://portal.example.com/garden/tulips.html", "http://m.example.net/en/school-museum",
+        "https://example.com/articles/science-history", "https://www.city-museum.example.net/es/1", "https://weather-station.example.org/fr/3", "https://www.example.org/en/4",
+    ]
+    held = {r.url for r in url_filter.labelled_urls(spark).collect()}
+    assert not held & {*junk, *fine} and not any(n in u for u in held for n in ("casino-win", "free-bets", "cheap-pills", "adult-x", "ads-track", "spam-farm"))
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(junk + fine)], "page_id long, url string")
+    got = [r.verdict for r in url_filter.judge(df, rules=()).orderBy("page_id").collect()]
+    assert got == ["block"] * len(junk) + ["allow"] * len(fine)
+
+
 # --- license scan ---------------------------------------------------------------
 
 
