@@ -6,8 +6,9 @@ own longest end, and a failure arc leads from a state to the one that forgets it
     P(w | h) = weight * c(h w) / c(h) + (1 - weight) * P(w | h'),   P(w) = (c(w) + 1/2) / (N + (V + 1) / 2)
 
 A seen arc carries the logarithm of the whole sum, the failure arc of a seen history that of
-``1 - weight``, and a history never seen is no state at all.  One pass from left to right takes for every token the
-arc of the longest state, after as many failure arcs as it needs.
+``1 - weight``, and a history never seen is no state at all.  Every token takes the arc of the longest state, after as
+many failure arcs as it needs.  States are looked up at every place, from long to short, not carried from token to
+token: the last words fix the state, and the parts of a seen n-gram are seen too, so both find the same arcs.
 
 The automaton grows with the corpus, so no task holds it.  Documents are dealt to blocks of bounded size by a
 hash of the row.  A block sends its different n-grams, each once, to the task that counts them over all
@@ -164,7 +165,7 @@ class Automaton:
         self.failure = np.log10(1 - weight)
 
     def traverse(self) -> np.ndarray:
-        """Log10 probability of the token at every place; all documents of the block go left to right together."""
+        """Log10 probability of the token at every place, by lookups from long to short over all documents of the block."""
         block = self.block
         score = np.zeros(len(block.doc))
         todo = block.token.copy()
