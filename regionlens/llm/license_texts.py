@@ -1,4 +1,4 @@
-"""Texts the license scan knows: short lines, standard notices, whole short licenses and the openings of long ones.
+"""Texts the license scan knows: short lines, standard notices, short licenses up to their disclaimer and the openings of long ones.
 
 The part of a name after the license tells which wording it is: ``-line``, ``-notice``, ``-grant``, ``-plain`` (without
 numbers), ``-text``. ``BSD`` is the head that all BSD licenses share.
