@@ -15,9 +15,11 @@ from regionlens.llm import (
     quality_classifier,
     quality_rules,
     simhash,
+    spelling,
     token_counts,
     token_ids,
     url_filter,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +73,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return white.withColumn("deviation", white["deviation"].try_cast("long"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_url_filter,
@@ -83,6 +94,8 @@ def queries() -> dict[str, Query]:
         op8_decontamination,
         op9_packing,
         op10_quality_rules,
+        op11_whitening,
+        op13_spelling,
     )
     return {f.__name__: f for f in found}
 
