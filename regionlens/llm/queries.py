@@ -16,6 +16,7 @@ from regionlens.llm import (
     quality_rules,
     simhash,
     spelling,
+    suffix_dedup,
     token_counts,
     token_ids,
     url_filter,
@@ -78,6 +79,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", white["deviation"].try_cast("long"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
@@ -95,6 +100,7 @@ def queries() -> dict[str, Query]:
         op9_packing,
         op10_quality_rules,
         op11_whitening,
+        op12_suffix_dedup,
         op13_spelling,
     )
     return {f.__name__: f for f in found}
