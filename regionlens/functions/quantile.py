@@ -1,140 +1,193 @@
-"""Exact quantiles and modes without one buffer per column.
+"""Exact quantiles and modes without one buffer per wanted rank and without a shuffle of values.
 
-A quantile is bracketed by the sketch of ``percentile_approx`` and settled by a
-second scan that counts the rows below the bracket and looks only at values
-inside it.  Modes count the values: equal ones meet in the map-side
-partial aggregate, so a value held by a third of the rows costs one row per
-task.  Only single numbers come back to the driver, as with ``DataFrame.approxQuantile``.
+One aggregate takes a mergeable KLL sketch of each column, which brackets every wanted rank.  The next scan counts
+the rows between the brackets and the values inside them, by column and bracket: equal values meet in the
+map-side partial aggregate, so a value held by a third of the rows costs one row per task.  A bracket that is still
+wide is sketched again before its values are read, and a rank that a bracket missed is looked for in the gap where the
+counts show it to be.  Modes count values in the same scan.  Only single numbers come back to the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from regionlens.functions.materialize import written
+SKETCH = 4000  # size of a sketch: ranks are off by about 0.0007
+SLACK = 0.0015  # share of the rows on either side of a rank that its bracket takes in
+STEPS = 1000  # quantiles of a wide bracket from which the next one is cut
+FEW = 50_000  # rows inside all brackets that are read as they are
 
-RANGES = 256
-SORTED_AT_ONCE = 1_000_000
 
+def number(df: DataFrame, column: str) -> Column:
+    """A column as DOUBLE; NaN counts as missing."""
+    return F.nanvl(F.col(f"`{column}`").cast("double"), F.lit(None).cast("double"))
 
-def value_counts(df: DataFrame, numbers: Sequence[str] = (), texts: Sequence[str] = ()) -> DataFrame:
-    """``(column, number, text, n)``: how often each value of each column occurs.
 
-    Written to the shared folder, because the steps that follow read it
-    several times and the rows should be read once.
-    """
-    none, blank = F.lit(None).cast("double"), F.lit(None).cast("string")
-    cell = lambda c, number, text: F.struct(F.lit(c).alias("column"), number.alias("number"), text.alias("text"))
-    cells = [cell(c, F.nanvl(F.col(c).cast("double"), none), blank) for c in numbers]
-    cells += [cell(c, none, F.col(c).cast("string")) for c in texts]
-    counts = (
-        df.select(F.explode(F.array(*cells)).alias("cell"))
-        .select("cell.*")
-        .where(F.col("number").isNotNull() | F.col("text").isNotNull())
-        .groupBy("column", "number", "text")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return written(counts)
-
-
-def _range_of(cuts: dict[str, list[float]]) -> Column:
-    """Number of cuts at or below the value."""
-    out = None
-    for column, bounds in cuts.items():
-        index = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= F.col("number")))
-        out = F.when(F.col("column") == column, index) if out is None else out.when(F.col("column") == column, index)
-    return out
-
-
-def quantiles_of_counts(
-    counts: DataFrame, columns: Sequence[str], probs: Sequence[float], at_once: int = SORTED_AT_ONCE
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each column, ``None`` for a column without values.
+def _sketched(value: Column, levels: Sequence[float], sketch: int) -> Column:
+    at = F.array(*[F.lit(min(1.0, max(0.0, p))) for p in levels])
+    return F.when(F.count(value) > 0, F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(value, sketch), at))
+
+
+def bracket_aggregates(df: DataFrame, columns: Sequence[str], probs: Sequence[float], sketch: int = SKETCH, slack: float = SLACK) -> list[Column]:
+    """Two aggregates a column: its number of values, and two bounds around each rank.  For :func:`settle`."""
+    levels = [x for p in probs for x in (p - slack, p + slack)]
+    return [
+        a
+        for i, c in enumerate(columns)
+        for a in (F.count(number(df, c)).alias(f"_n{i}"), _sketched(number(df, c), levels, sketch).alias(f"_q{i}"))
+    ]
+
+
+Span = tuple[float, float]
+
+
+def _place(value: Column, cuts: Sequence[float]) -> Column:
+    """Odd: the value is a cut, the ``place // 2``-th; even: it lies between the cuts before and behind."""
+    steps = [(value >= F.lit(c)).cast("int") + (value > F.lit(c)).cast("int") for c in cuts]
+    return sum(steps[1:], steps[0])
+
 
-    A column with more than ``at_once`` distinct values is cut into ranges, and
-    only the ranges that hold a wanted rank are sorted.
+def _between(cuts: Sequence[float], place: int) -> Span:
+    k = place // 2
+    return (cuts[k - 1] if k else -math.inf, cuts[k] if k < len(cuts) else math.inf)
+
+
+def settle(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    first: Mapping,
+    texts: Sequence[str] = (),
+    sketch: int = SKETCH,
+    slack: float = SLACK,
+    few: int = FEW,
+) -> tuple[dict[str, list[float | None]], dict[str, str]]:
+    """Exact quantiles of ``columns`` from the row of :func:`bracket_aggregates`, and the modes of ``texts``.
+
+    ``None`` stands for a column without values; a text column without values has no mode.  Every scan that counts shows
+    between which two cuts each rank lies, so a rank that the sketch missed is looked for there.  Cuts are values
+    of the column, so each round leaves fewer values between them and the rounds end.
     """
-    columns = list(columns)
-    counted = counts.where(F.col("column").isin(columns)).select("column", "number", "n")
-    sizes = {
-        r["column"]: (r["rows"], r["values"])
-        for r in counted.groupBy("column").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values")).collect()
-    }
-    wanted: dict[str, list[int]] = {
-        c: sorted({f(p * (rows - 1)) for p in probs for f in (math.floor, math.ceil)}) for c, (rows, _) in sizes.items()
-    }
-    if not wanted:
-        return {c: [None] * len(probs) for c in columns}
-
-    starts: dict[tuple[str, int], int] = {(c, 0): 0 for c in wanted}
-    ranged = counted.withColumn("range", F.lit(0))
-    if max(values for _, values in sizes.values()) > at_once:
-        steps = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-        cuts = {
-            r["column"]: r["cuts"]
-            for r in counted.groupBy("column").agg(F.percentile_approx("number", steps, 10_000).alias("cuts")).collect()
-        }
-        ranged = counted.withColumn("range", _range_of(cuts))
-        # At most 256 sums per column.
-        filled = sorted(ranged.groupBy("column", "range").agg(F.sum("n").alias("rows")).collect())
-        starts, seen = {}, {c: 0 for c in wanted}
-        for r in filled:
-            first, last = seen[r["column"]], seen[r["column"]] + r["rows"] - 1
-            if any(first <= w <= last for w in wanted[r["column"]]):
-                starts[(r["column"], r["range"])] = first
-            seen[r["column"]] = last + 1
-        keep = F.struct("column", "range").isin(
-            *[F.struct(F.lit(c).alias("column"), F.lit(r).alias("range")) for c, r in starts]
-        )
-        ranged = ranged.where(keep)
-
-    start = F.create_map(*[F.lit(v) for (c, r), s in starts.items() for v in (f"{r}:{c}", s)])
-    ranks = F.create_map(
-        *[v for c, pos in wanted.items() for v in (F.lit(c), F.array(*[F.lit(p).cast("long") for p in pos]))]
-    )
-    running = W.partitionBy("column", "range").orderBy("number").rowsBetween(W.unboundedPreceding, 0)
-    found = (
-        ranged.withColumn("to", start[F.concat_ws(":", F.col("range"), F.col("column"))] + F.sum("n").over(running))
-        .withColumn(
-            "hits",
-            F.filter(ranks[F.col("column")], lambda p: (p >= F.col("to") - F.col("n")) & (p < F.col("to"))),
-        )
-        .where(F.size("hits") > 0)
-        .select("column", "number", F.explode("hits").alias("rank"))
-        .collect()
-    )
-    at = {(r["column"], r["rank"]): r["number"] for r in found}
+    columns, probs = list(columns), list(probs)
+    size = {c: first[f"_n{i}"] for i, c in enumerate(columns)}
+    wanted: set[tuple[str, int]] = set()
+    cuts: dict[str, set[float]] = {}
+    spans: dict[str, list[Span]] = {}
+    for i, c in enumerate(columns):
+        for j, p in enumerate(probs if size[c] else ()):
+            low, high = first[f"_q{i}"][2 * j : 2 * j + 2]
+            cuts.setdefault(c, set()).update((low, high))
+            spans.setdefault(c, []).append((low, high))
+            wanted |= {(c, math.floor(p * (size[c] - 1))), (c, math.ceil(p * (size[c] - 1)))}
+    if sum(size[c] * len(own) for c, own in spans.items()) * 2 * slack > few:
+        spans = {}
+    found: dict[tuple[str, int], float] = {}
+    most: dict[str, str] = {}
+    while wanted or texts:
+        order = {c: sorted(v) for c, v in cuts.items()}
+        cells, got = _count(df, order, spans, texts)
+        most, texts = most | got, ()
+        left: dict[tuple[str, int], tuple[Span, int, int]] = {}
+        for c, own in order.items():
+            below = 0
+            for place in range(2 * len(own) + 1):
+                rows, values = cells.get((c, place), (0, None))
+                for k in wanted:
+                    if k[0] == c and below <= k[1] < below + rows:
+                        if place % 2:
+                            found[k] = own[place // 2]
+                        elif values is not None:
+                            found[k] = _at(values, k[1] - below)
+                        else:
+                            left[k] = (_between(own, place), below, rows)
+                below += rows
+        wanted = set(left)
+        cuts, spans = {}, {}
+        open_ = {(k[0], cell): rows for k, (cell, _, rows) in left.items()}
+        whole = sum(open_.values()) <= few
+        grids = {} if whole or not open_ else _grids(df, list(open_), sketch)
+        for k, (cell, below, rows) in left.items():
+            narrow = cell
+            if not whole:
+                grid, at, off = grids[k[0], cell], (k[1] - below) / max(rows - 1, 1) * STEPS, slack * STEPS
+                narrow = (grid[max(0, math.floor(at - off))], grid[min(STEPS, math.ceil(at + off))])
+            cuts.setdefault(k[0], set()).update(x for x in (*cell, *narrow) if not math.isinf(x))
+            spans.setdefault(k[0], []).append(narrow)
+            if not cuts[k[0]]:  # all values of the column, none of them known
+                cuts[k[0]].add(0.0)
+        if not whole and sum(open_[k[0], cell] for k, (cell, _, _) in left.items()) * 2 * (slack + 1 / STEPS) > few:
+            spans = {}
 
     def one(c: str, p: float) -> float | None:
-        if c not in sizes:
+        if not size[c]:
             return None
-        rank = p * (sizes[c][0] - 1)
-        low, high = at[(c, math.floor(rank))], at[(c, math.ceil(rank))]
-        return low + (high - low) * (rank - math.floor(rank))
+        rank = p * (size[c] - 1)
+        low, high = found[c, math.floor(rank)], found[c, math.ceil(rank)]
+        return low if low == high else low + (high - low) * (rank - math.floor(rank))
+
+    return {c: [one(c, p) for p in probs] for c in columns}, most
+
 
-    return {c: [one(c, p) for p in probs] for c in columns}
+def _at(values: Mapping[float, int], rank: int) -> float:
+    for v in sorted(values):
+        if rank < values[v]:
+            return v
+        rank -= values[v]
+    raise AssertionError("a counted rank has a value")
 
 
-def modes_of_counts(counts: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+def _count(
+    df: DataFrame, cuts: Mapping[str, list[float]], spans: Mapping[str, list[Span]], texts: Sequence[str]
+) -> tuple[dict[tuple[str, int], tuple[int, dict[float, int] | None]], dict[str, str]]:
+    """One scan: the rows at and between the cuts of each column, the values inside its spans, and the modes of the texts."""
+    names, rows, read = [*cuts, *texts], [], set()
+    none, blank = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for i, (c, own) in enumerate(cuts.items()):
+        v = number(df, c)
+        places = [p for p in range(0, 2 * len(own) + 1, 2) if any(a <= _between(own, p)[0] and _between(own, p)[1] <= b for a, b in spans.get(c, ()))]
+        read |= {(c, p) for p in places}
+        place = _place(v, own)
+        cell = (place, F.when(place.isin(places), v) if places else none, blank)
+        rows.append(F.struct(F.lit(i).alias("i"), *[x.alias(n) for x, n in zip(cell, ("place", "v", "text"))]))
+    for i, c in enumerate(texts, len(cuts)):
+        text = F.col(f"`{c}`").cast("string")
+        cell = (F.when(text.isNotNull(), 0), none, text)
+        rows.append(F.struct(F.lit(i).alias("i"), *[x.alias(n) for x, n in zip(cell, ("place", "v", "text"))]))
+    long = df.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("place IS NOT NULL")
+    counted = long.groupBy("i", "place", "v", "text").agg(F.count(F.lit(1)).alias("n"))
+    # Of a text column only the most frequent value comes back, the smallest on ties.
+    best = F.min(F.when(F.col("text").isNotNull(), F.struct((-F.col("n")).alias("less"), F.col("text").alias("text"))))
+    values = F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "n")))
+    cells, most = {}, {}
+    for r in counted.groupBy("i", "place").agg(F.sum("n").alias("n"), values.alias("values"), best.alias("best")).collect():
+        c = names[r["i"]]
+        if r["i"] >= len(cuts):
+            most[c] = r["best"]["text"]
+        else:
+            cells[c, r["place"]] = (r["n"], {x["v"]: x["n"] for x in r["values"]} if (c, r["place"]) in read else None)
+    return cells, most
+
+
+def _grids(df: DataFrame, cells: Sequence[tuple[str, Span]], sketch: int) -> dict[tuple[str, Span], list[float]]:
+    """Quantiles of the values strictly between two bounds, from one sketch a cell."""
+    levels = [k / STEPS for k in range(STEPS + 1)]
+    inside = [F.when((number(df, c) > F.lit(a)) & (number(df, c) < F.lit(b)), number(df, c)) for c, (a, b) in cells]
+    row = df.agg(*[_sketched(v, levels, sketch).alias(str(i)) for i, v in enumerate(inside)]).first()
+    return {cell: row[i] for i, cell in enumerate(cells)}
+
+
+def modes(df: DataFrame, texts: Sequence[str]) -> dict[str, str]:
     """The most frequent text of each column, the smallest on ties; columns without values are left out."""
-    best = (
-        counts.where(F.col("column").isin(list(columns)))
-        .groupBy("column")
-        .agg(F.min(F.struct((-F.col("n")).alias("order"), F.col("text"))).alias("best"))
-        .select("column", "best.text")
-    )
-    return {r["column"]: r["text"] for r in best.collect()}
+    return settle(df, [], [], {}, texts)[1] if texts else {}
 
 
 def quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int | None = None
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles of numeric columns; ``accuracy`` switches to the sketch of ``percentile_approx``."""
+    """Exact interpolated quantiles of numeric columns; ``accuracy`` switches to the sketch of ``percentile_approx``."""
     columns = list(columns)
     if accuracy:
         levels = F.array(*[F.lit(float(p)) for p in probs])
@@ -142,83 +195,6 @@ def quantiles(
             *[F.percentile_approx(F.col(c).cast("double"), levels, accuracy).alias(c) for c in columns]
         ).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
-    return _bracketed(df, columns, probs)
-
-
-SKETCH = 10_000  # accuracy of the brackets: ranks are off by a ten-thousandth at most
-FEW = 10_000  # different values inside a bracket that are read as they are
-
-
-def _bracketed(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], sketch: int = SKETCH, few: int = FEW
-) -> dict[str, list[float | None]]:
-    """Exact interpolated quantiles by narrowing brackets around the wanted ranks.
-
-    A scan with ``percentile_approx`` gives every wanted rank two bounds that are sure to hold it, and the next scan
-    counts the rows below the lower one and the different values between both. A bracket with few values is
-    read, a larger one is narrowed inside; each round divides the rows in question by thousands.
-    """
-    value = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns}
     if not columns:
         return {}
-    sizes = df.agg(*[F.count(v).alias(str(i)) for i, v in enumerate(value.values())]).first()
-    size = {c: sizes[i] for i, c in enumerate(columns)}
-    wanted = {
-        (c, r) for c in columns if size[c] for p in probs for r in (math.floor(p * (size[c] - 1)), math.ceil(p * (size[c] - 1)))
-    }
-    found: dict[tuple[str, int], float] = {}
-    # Column, bounds, rows below the lower one and rows inside.
-    open_: dict[tuple[str, int], tuple[float, float, int, int]] = {k: (-math.inf, math.inf, 0, size[k[0]]) for k in wanted}
-    while open_:
-        keys = sorted(open_)
-        inside = {k: F.when(value[k[0]].between(open_[k][0], open_[k][1]), value[k[0]]) for k in keys}
-        levels = {}
-        for k in keys:
-            low, high, below, rows = open_[k]
-            at, slack = (k[1] - below) / max(rows - 1, 1), 2.0 / sketch + 1.0 / max(rows, 1)
-            levels[k] = [max(0.0, at - slack), min(1.0, at + slack)]
-        row = df.agg(
-            *[F.percentile_approx(v, F.array(*[F.lit(x) for x in levels[k]]), sketch).alias(str(i)) for i, (k, v) in enumerate(inside.items())]
-        ).first()
-        bounds = {k: tuple(row[i]) for i, k in enumerate(keys)}
-        between = {k: F.when(value[k[0]].between(*bounds[k]), value[k[0]]) for k in keys}
-        counts = df.agg(
-            *[F.count_if(value[k[0]] < bounds[k][0]).alias(f"b{i}") for i, k in enumerate(keys)],
-            *[F.count(between[k]).alias(f"n{i}") for i, k in enumerate(keys)],
-            *[F.approx_count_distinct(between[k]).alias(f"d{i}") for i, k in enumerate(keys)],
-        ).first()
-        ready, narrowed = [], {}
-        for i, k in enumerate(keys):
-            below, rows = counts[f"b{i}"], counts[f"n{i}"]
-            if not below <= k[1] < below + rows:
-                raise RuntimeError(f"the sketch missed rank {k[1]} of {k[0]}")
-            if bounds[k][0] == bounds[k][1]:
-                found[k] = bounds[k][0]
-            # A bracket that no longer shrinks is read as well.
-            elif counts[f"d{i}"] <= few or rows == open_[k][3]:
-                ready.append((k, below))
-            else:
-                narrowed[k] = (*bounds[k], below, rows)
-        if ready:
-            cells = [F.struct(F.lit(n).alias("k"), between[k].alias("v")) for n, (k, _) in enumerate(ready)]
-            cells = F.filter(F.array(*cells), lambda x: x["v"].isNotNull())
-            near = df.select(F.explode(cells).alias("x")).groupBy("x.k", "x.v").count()
-            values: dict[int, list[tuple[float, int]]] = {}
-            for r in near.collect():
-                values.setdefault(r["k"], []).append((r["v"], r["count"]))
-            for n, (k, below) in enumerate(ready):
-                for v, c in sorted(values[n]):
-                    if below <= k[1] < below + c:
-                        found[k] = v
-                        break
-                    below += c
-        open_ = narrowed
-
-    def one(c: str, p: float) -> float | None:
-        if not size[c]:
-            return None
-        rank = p * (size[c] - 1)
-        low, high = found[c, math.floor(rank)], found[c, math.ceil(rank)]
-        return low + (high - low) * (rank - math.floor(rank))
-
-    return {c: [one(c, p) for p in probs] for c in columns}
+    return settle(df, columns, probs, df.agg(*bracket_aggregates(df, columns, probs)).first().asDict())[0]

@@ -18,7 +18,7 @@ from regionlens.functions.expr import (
     pincode,
     region_name,
 )
-from regionlens.functions.quantile import modes_of_counts, quantiles, value_counts
+from regionlens.functions.quantile import bracket_aggregates, modes, quantiles, settle
 from regionlens.operators.columns import standardize_columns
 
 
@@ -26,16 +26,19 @@ def drop_null_dates(df: DataFrame) -> DataFrame:
     return df.where(F.col("date").isNotNull()) if "date" in df.columns else df
 
 
+def _gaps(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Per column, whether it holds a NULL (or NaN)."""
+    gone = lambda c: F.col(c).isNull() | F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(False))
+    numbers = set(numeric_columns(df))
+    return [F.bool_or(gone(c) if c in numbers else F.col(c).isNull()).alias(f"_gap{i}") for i, c in enumerate(columns)]
+
+
 def _with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Those of the columns that hold a NULL (or NaN); one aggregate."""
     if not columns:
         return []
-    gone = lambda c: F.col(c).isNull() | F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(False))
-    numbers = set(numeric_columns(df))
-    row = df.agg(
-        *[F.bool_or(gone(c) if c in numbers else F.col(c).isNull()).alias(str(i)) for i, c in enumerate(columns)]
-    ).first()
-    return [c for i, c in enumerate(columns) if row[str(i)]]
+    row = df.agg(*_gaps(df, columns)).first()
+    return [c for i, c in enumerate(columns) if row[f"_gap{i}"]]
 
 
 def _filled(df: DataFrame, medians: dict, modes: dict, texts: Sequence[str]) -> DataFrame:
@@ -65,21 +68,31 @@ def impute_median(df: DataFrame, columns: Sequence[str] | None = None, cfg: Clea
 def impute_mode(df: DataFrame, columns: Sequence[str] = CATEGORY_COLUMNS) -> DataFrame:
     """Fill each text column with its most frequent value, else ``Unknown``."""
     cols = _with_nulls(df, [c for c in columns if c in df.columns])
-    return _filled(df, {}, modes_of_counts(value_counts(df, texts=cols), cols), cols) if cols else df
+    return _filled(df, {}, modes(df, cols), cols) if cols else df
 
 
 def impute(df: DataFrame, cfg: CleanCfg = CleanCfg()) -> DataFrame:
     """Medians and modes of the columns that hold NULLs, filled in one projection.
 
-    One aggregate finds these columns.  A numeric pincode counts as a number, as every other numeric column.
+    One aggregate finds these columns and brackets the medians, one scan settles medians and modes.  A numeric
+    pincode counts as a number, as every other numeric column.
     """
     numbers = numeric_columns(df, exclude=[cfg.order_by])
     texts = [c for c in CATEGORY_COLUMNS if c in df.columns and c not in numbers]
-    gaps = _with_nulls(df, [*numbers, *texts])
-    numbers, texts = [c for c in numbers if c in gaps], [c for c in texts if c in gaps]
-    medians = quantiles(df, numbers, [0.5], cfg.accuracy) if numbers else {}
-    modes = modes_of_counts(value_counts(df, texts=texts), texts) if texts else {}
-    return _filled(df, medians, modes, texts)
+    every = [*numbers, *texts]
+    if not every:
+        return df
+    brackets = [] if cfg.accuracy else bracket_aggregates(df, numbers, [0.5])
+    row = df.agg(*_gaps(df, every), *brackets).first().asDict()
+    gaps = [c for i, c in enumerate(every) if row[f"_gap{i}"]]
+    texts = [c for c in texts if c in gaps]
+    place = [i for i, c in enumerate(numbers) if c in gaps]
+    numbers = [numbers[i] for i in place]
+    if cfg.accuracy:
+        return _filled(df, quantiles(df, numbers, [0.5], cfg.accuracy) if numbers else {}, modes(df, texts), texts)
+    row = {f"_{k}{i}": row[f"_{k}{j}"] for i, j in enumerate(place) for k in "nq"}
+    medians, most = settle(df, numbers, [0.5], row, texts)
+    return _filled(df, medians, most, texts)
 
 
 def null_share(df: DataFrame, skip: Sequence[str]) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from regionlens.functions.expr import numeric_columns, one_value, string_columns
-from regionlens.functions.quantile import quantiles
+from regionlens.functions.gram import SUMS, cross_sums, origins
+from regionlens.functions.quantile import bracket_aggregates, number, quantiles, settle
 from regionlens.operators.calendar import rolling_mean
 
 COUNT_NAME_WORDS = ("count", "total", "sum", "number", "enrol")
@@ -42,17 +43,32 @@ def column_samples(df: DataFrame, order_by: str, n: int = 3) -> DataFrame:
     )
 
 
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """``column, unique_values``: exact numbers of different values, all columns in one pass.
+
+    Every cell becomes a (column, value) pair and equal pairs meet in the map-side partial aggregate, so what is
+    shuffled is one short row per different value and task, never a row that carries all columns.
+    """
+    kinds = dict(df.dtypes)
+    # Adding 0.0 turns -0.0 into 0.0; texts of numbers are as different as the numbers.
+    text = lambda c: (F.col(f"`{c}`") + 0.0 if kinds[c] in ("double", "float") else F.col(f"`{c}`")).cast("string")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(df.columns)])
+    names = F.array(*[F.lit(c) for c in df.columns])
+    pairs = df.select(F.explode(cells).alias("x")).select("x.i", "x.v").where(F.col("v").isNotNull()).distinct()
+    return pairs.groupBy("i").agg(F.count(F.lit(1)).alias("unique_values")).select(F.element_at(names, F.col("i") + 1).alias("column"), "unique_values")
+
+
 def column_profile(df: DataFrame, order_by: str | None = None, rsd: float | None = None) -> DataFrame:
     """One row per column: type, missing values, distinct values, samples of text columns.
 
-    ``rsd`` replaces the exact distinct counts by mergeable sketches.
+    ``rsd`` replaces the exact distinct counts by mergeable sketches; ``states.profile_states`` keeps such sketches by month.
     """
-    distinct = (lambda c: F.approx_count_distinct(c, rsd)) if rsd else F.count_distinct
     kinds = dict(df.dtypes)
+    sketches = [F.approx_count_distinct(F.col(f"`{c}`"), rsd).alias(f"d{i}") for i, c in enumerate(df.columns)] if rsd else []
     wide = df.agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.count(F.col(f"`{c}`")).alias(f"p{i}") for i, c in enumerate(df.columns)],
-        *[distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(df.columns)],
+        *sketches,
     )
     rows = [
         F.struct(
@@ -60,11 +76,13 @@ def column_profile(df: DataFrame, order_by: str | None = None, rsd: float | None
             F.lit(kinds[c]).alias("dtype"),
             (F.col("_rows") - F.col(f"p{i}")).alias("missing_count"),
             (F.try_divide(F.col("_rows") - F.col(f"p{i}"), F.col("_rows")) * 100).alias("missing_percentage"),
-            F.col(f"d{i}").alias("unique_values"),
+            *([F.col(f"d{i}").alias("unique_values")] if rsd else []),
         )
         for i, c in enumerate(df.columns)
     ]
     profile = wide.select(F.inline(F.array(*rows)))
+    if not rsd:
+        profile = profile.join(distinct_counts(df), "column", "left").withColumn("unique_values", F.coalesce("unique_values", F.lit(0).cast("long")))
     if order_by is None or not string_columns(df):
         return profile.withColumn("sample_values", F.lit(None).cast("array<string>"))
     return profile.join(column_samples(df, order_by), "column", "left")
@@ -116,60 +134,68 @@ def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
+MOMENTS = {
+    "n": F.count,
+    "mean": F.avg,
+    "std": F.stddev_samp,
+    "min": F.min,
+    "max": F.max,
+    "sum": F.sum,
+    "skewness": F.skewness,
+    "kurtosis": F.kurtosis,
+}
+
+
 def numeric_stats(df: DataFrame, cols: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
-    """One row per numeric column with moments and percentiles; a column without values is left out."""
+    """One row per numeric column with moments and percentiles; a column without values is left out.
+
+    The first scan takes the moments and the sketches of all columns, the second settles the percentiles.
+    """
     cols = list(cols) if cols else numeric_columns(df)
-    number = lambda c: F.col(c).cast("double")
-    moments = df.agg(
-        *[
-            F.struct(
-                F.count(number(c)).alias("n"),
-                F.avg(number(c)).alias("mean"),
-                F.stddev_samp(number(c)).alias("std"),
-                F.min(number(c)).alias("min"),
-                F.max(number(c)).alias("max"),
-                F.sum(number(c)).alias("sum"),
-                F.skewness(number(c)).alias("skewness"),
-                F.kurtosis(number(c)).alias("kurtosis"),
-            ).alias(f"m_{c}")
-            for c in cols
-        ]
-    )
-    ranks = quantiles(df, cols, [p / 100 for p in PERCENTS], accuracy)
-    fields = ("n", "mean", "std", "min", "max", "sum", "skewness", "kurtosis")
-    rows = [
-        F.struct(
-            F.lit(c).alias("column"),
-            *[F.col(f"m_{c}.{f}").alias(f) for f in fields],
-            F.lit(ranks[c][1]).cast("double").alias("median"),
-            *[F.lit(ranks[c][i]).cast("double").alias(f"percentile_{p}") for i, p in enumerate(PERCENTS)],
-        )
-        for c in cols
+    probs = [p / 100 for p in PERCENTS]
+    moments = [f(number(df, c)).cast("long" if m == "n" else "double").alias(f"_{m}_{i}") for i, c in enumerate(cols) for m, f in MOMENTS.items()]
+    if not cols:
+        row, ranks = {}, {}
+    elif accuracy:
+        row, ranks = df.agg(*moments).first().asDict(), quantiles(df, cols, probs, accuracy)
+    else:
+        row = df.agg(*moments, *bracket_aggregates(df, cols, probs)).first().asDict()
+        ranks = settle(df, cols, probs, row)[0]
+    found = [
+        (c, *[row[f"_{m}_{i}"] for m in MOMENTS], ranks[c][1], *ranks[c]) for i, c in enumerate(cols) if row[f"_n_{i}"]
     ]
-    return moments.select(F.inline(F.array(*rows))).where(F.col("n") > 0)
+    fields = ["column string", "n long", *[f"{m} double" for m in [*MOMENTS][1:]], "median double", *[f"percentile_{p} double" for p in PERCENTS]]
+    return df.sparkSession.createDataFrame(found, ", ".join(fields))
+
+
+FLAT = 1e-13  # share of a sum of squares below which a variance is rounding
 
 
 def pairwise_pearson(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Correlation of each pair of columns over the rows that have both; NULL when one is constant."""
+    """Correlation of each pair of columns over the rows that have both; NULL when one is constant there.
+
+    One scan takes the smallest values, a second one all cross-products; nothing grows with the number of pairs
+    but the result.
+    """
     cols = list(cols) if cols else numeric_columns(df)
-    aggs, rows = [], []
-    for i, a in enumerate(cols):
-        for j in range(i + 1, len(cols)):
-            b = cols[j]
-            x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-            y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
-            aggs += [
-                F.covar_samp(x, y).alias(f"v{i}_{j}"),
-                (F.stddev_samp(x) * F.stddev_samp(y)).alias(f"s{i}_{j}"),
-            ]
-            rows.append(
-                F.struct(
-                    F.lit(a).alias("column1"),
-                    F.lit(b).alias("column2"),
-                    F.try_divide(F.col(f"v{i}_{j}"), F.col(f"s{i}_{j}")).alias("correlation"),
-                )
-            )
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    schema = "column1 string, column2 string, correlation double"
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    names = F.array(*[F.lit(c) for c in cols])
+    pair = F.explode(F.slice(F.arrays_zip(F.sequence(F.lit(1), F.lit(len(cols))).alias("j"), *SUMS), F.col("i") + 2, len(cols)))
+    v = lambda own: F.col("p.n") * F.col(f"p.{own}2") - F.col(f"p.{own}") * F.col(f"p.{own}")
+    spread = lambda own: F.when(v(own) > F.col("p.n") * F.col(f"p.{own}2") * FLAT, v(own))
+    product = F.col("p.n") * F.col("p.both") - F.col("p.own") * F.col("p.other")
+    return (
+        cross_sums(df, cols, origins(df, cols))
+        .where(F.col("i") < len(cols) - 1)
+        .select("i", pair.alias("p"))
+        .select(
+            F.element_at(names, F.col("i") + 1).alias("column1"),
+            F.element_at(names, F.col("p.j")).alias("column2"),
+            (product / (F.sqrt(spread("own")) * F.sqrt(spread("other")))).alias("correlation"),
+        )
+    )
 
 
 def _moments(df: DataFrame, value: str) -> Column:
