@@ -144,8 +144,6 @@ class LofCfg:
     neighbours: int = 20
     contamination: float = 0.1
     leaf_rows: int = 2048
-    max_leaves: int = 65_536
-    seed: int = 42
 
 
 @dataclass(frozen=True)
@@ -153,9 +151,6 @@ class ClusterCfg:
     k: int = 5
     restarts: int = 10
     max_iter: int = 300
-    seed: int = 42
-    part_rows: int = 50_000
-    parallel: int = 5
 
 
 @dataclass(frozen=True)

@@ -1,8 +1,8 @@
 """Local outlier factor (Breunig et al. 2000) with exact neighbours and no cross join.
 
 Equal rows are merged first and carry their number, so a group of copies is
-one point.  Space is cut into boxes of similar row counts by a k-d split of a
-sample.  Round one finds, inside its own box, a distance that surely holds k
+one point.  Space is cut into boxes of a bounded number of points (``boxes``).
+Round one finds, inside its own box, a distance that surely holds k
 neighbours; round two sends each point only to the boxes that distance
 touches.  Both rounds are grouped by box.  Neighbours are exact whatever the
 boxes look like; boxes only decide how much work is done.
@@ -10,9 +10,7 @@ boxes look like; boxes only decide how much work is done.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,118 +21,12 @@ from pyspark.sql import functions as F
 from regionlens.config import LofCfg
 from regionlens.functions.materialize import written
 from regionlens.functions.quantile import quantiles
+from regionlens.operators.boxes import around, cut_boxes, touched
 from regionlens.operators.features import standardize
 
 CHUNK = 256
 
 
-@dataclass
-class Boxes:
-    """Boxes that tile the whole space, as a tree of cuts; leaves carry the box number."""
-
-    dim: np.ndarray
-    cut: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    box: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-
-    @staticmethod
-    def split(sample: np.ndarray, boxes: int, dims: int) -> Boxes:
-        """Cut the largest groups of the sample at the median of their widest side.
-
-        Where the median is also the smallest value, the cut comes just above it.
-        """
-        dim, cut, left, right = [-1], [0.0], [-1], [-1]
-        corners = [(np.full(dims, -np.inf), np.full(dims, np.inf))]
-        todo, leaves = [(-len(sample), 0, np.arange(len(sample)))], 1
-        while todo and leaves < boxes:
-            _, node, rows = heapq.heappop(todo)
-            if len(rows) < 2:
-                break
-            x = sample[rows]
-            d = int(np.argmax(x.max(axis=0) - x.min(axis=0)))
-            side = x[:, d]
-            if side.max() == side.min():
-                continue
-            at = float(np.median(side))
-            if not (side < at).any():
-                at = float(side[side > at].min())
-            below = side < at
-            low, high = corners[node]
-            mid_high, mid_low = high.copy(), low.copy()
-            mid_high[d], mid_low[d] = at, at
-            dim[node], cut[node], left[node], right[node] = d, at, len(dim), len(dim) + 1
-            for part, corner in ((rows[below], (low, mid_high)), (rows[~below], (mid_low, high))):
-                heapq.heappush(todo, (-len(part), len(dim), part))
-                dim.append(-1), cut.append(0.0), left.append(-1), right.append(-1), corners.append(corner)
-            leaves += 1
-        dim_, is_leaf = np.array(dim), np.array(dim) < 0
-        box = np.where(is_leaf, np.cumsum(is_leaf) - 1, -1)
-        low, high = (np.array([corners[i][side] for i in np.flatnonzero(is_leaf)]) for side in (0, 1))
-        return Boxes(dim_, np.array(cut), np.array(left), np.array(right), box, low, high)
-
-    def of(self, x: np.ndarray) -> np.ndarray:
-        """The box of each row; boxes are closed below and open above."""
-        at = np.zeros(len(x), dtype=np.int64)
-        while True:
-            inner = np.flatnonzero(self.dim[at] >= 0)
-            if not len(inner):
-                return self.box[at]
-            node = at[inner]
-            below = x[inner, self.dim[node]] < self.cut[node]
-            at[inner] = np.where(below, self.left[node], self.right[node])
-
-    def around(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Corners of the data in the smallest tree node above each box that holds more than ``k`` rows.
-
-        ``rows, low, high`` describe the data of the boxes; where no node holds enough, the corners are infinite.
-        """
-        nodes, dims = len(self.dim), low.shape[1]
-        count, lo, hi = np.zeros(nodes, np.int64), np.full((nodes, dims), np.inf), np.full((nodes, dims), -np.inf)
-        leaf = np.flatnonzero(self.dim < 0)
-        count[leaf], lo[leaf], hi[leaf] = rows[self.box[leaf]], low[self.box[leaf]], high[self.box[leaf]]
-        above = np.full(nodes, -1)
-        for node in range(nodes - 1, -1, -1):  # children come behind their parents
-            if self.dim[node] >= 0:
-                a, b = self.left[node], self.right[node]
-                above[[a, b]] = node
-                count[node], lo[node], hi[node] = count[a] + count[b], np.minimum(lo[a], lo[b]), np.maximum(hi[a], hi[b])
-        at = leaf.copy()
-        while True:
-            short = np.flatnonzero((count[at] <= k) & (above[at] >= 0))
-            if not len(short):
-                break
-            at[short] = above[at[short]]
-        lo, hi = lo[at], hi[at]
-        lo[count[at] <= k], hi[count[at] <= k] = -np.inf, np.inf
-        order = np.argsort(self.box[leaf])
-        return lo[order], hi[order]
-
-    def touched(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row, box) of the boxes no farther from a row than its reach."""
-        # A hair of slack: rounding must not lose a box that is touched exactly.
-        reach = reach * (1 + 1e-9)
-        who, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
-        rows, boxes = [], []
-        while len(who):
-            leaf = self.dim[node] < 0
-            rows.append(who[leaf])
-            boxes.append(self.box[node[leaf]])
-            who, node = who[~leaf], node[~leaf]
-            side, cut = x[who, self.dim[node]], self.cut[node]
-            go_left, go_right = side - reach[who] <= cut, side + reach[who] >= cut
-            who, node = (
-                np.concatenate([who[go_left], who[go_right]]),
-                np.concatenate([self.left[node[go_left]], self.right[node[go_right]]]),
-            )
-        who, box = np.concatenate(rows), np.concatenate(boxes)
-        gap = np.maximum(np.maximum(self.low[box] - x[who], x[who] - self.high[box]), 0.0)
-        near = np.sqrt((gap * gap).sum(axis=1)) <= reach[who]
-        return who[near], box[near]
-
-
 def _distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     total = np.zeros((len(q), len(p)))
     for d in range(q.shape[1]):
@@ -157,7 +49,7 @@ def _edge(dist: np.ndarray, copies: np.ndarray, rows: int) -> np.ndarray:
     return close[np.arange(len(close)), last]
 
 
-def nearest(points: DataFrame, dims: int, k: int, total: int, cfg: LofCfg) -> DataFrame:
+def nearest(points: DataFrame, dims: int, k: int, cfg: LofCfg) -> DataFrame:
     """The points within reach of each point that can be among its ``k`` neighbours.
 
     ``points`` holds distinct vectors: ``pid``, ``x0..``, ``copies``.  Returns
@@ -165,56 +57,26 @@ def nearest(points: DataFrame, dims: int, k: int, total: int, cfg: LofCfg) -> Da
     point itself is among them at distance 0.
     """
     xs = [f"x{d}" for d in range(dims)]
-    boxes = int(min(cfg.max_leaves, max(1, 2 ** int(np.ceil(np.log2(max(total / cfg.leaf_rows, 1)))))))
-    # At most 16 sampled vectors per box reach the driver, by smallest hash of the vector.
-    wanted = 16 * boxes if boxes > 1 else 0
-    sample = np.zeros((0, dims))
-    if wanted:
-        share = min(1.0, 4.0 * wanted / total)
-        draw = F.shiftrightunsigned(F.xxhash64(F.lit(cfg.seed), *xs), 11) / F.lit(float(1 << 53))
-        rows = points.where(draw < share).orderBy(draw, *xs).limit(wanted).select(*xs).collect()
-        sample = np.array([[r[x] for x in xs] for r in rows], dtype=float).reshape(-1, dims)
-    space = Boxes.split(sample, boxes, dims)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(box=space.of(pdf[xs].to_numpy(dtype=float)))
-
-    fields = "pid long, copies long, " + ", ".join(f"{x} double" for x in xs)
-    placed = written(points.select("pid", "copies", *xs).mapInPandas(assign, fields + ", box long"))
-    # One row per box: how many rows it holds and how far its data reach.
-    held = placed.groupBy("box").agg(
-        F.sum("copies"), *[F.min(x) for x in xs], *[F.max(x) for x in xs]
-    ).collect()
-    n_boxes = int((space.dim < 0).sum())
-    box_rows, box_low, box_high = np.zeros(n_boxes, np.int64), np.full((n_boxes, dims), np.inf), np.full((n_boxes, dims), -np.inf)
-    for r in held:
-        box_rows[r[0]], box_low[r[0]], box_high[r[0]] = r[1], r[2 : 2 + dims], r[2 + dims :]
-    far_low, far_high = space.around(box_rows, box_low, box_high, k)
+    space = cut_boxes(points.select("pid", "copies", *xs), xs, cfg.leaf_rows)
+    fields = "pid long, copies long, " + ", ".join(f"{x} double" for x in xs) + ", box string"
+    placed = space.placed.select("pid", "copies", *xs, "box")
 
     def reach_inside(pdf: pd.DataFrame) -> pd.DataFrame:
         """Distance within which k other rows lie: in the same box, or in the node above that holds enough."""
         x, copies = pdf[xs].to_numpy(dtype=float), pdf["copies"].to_numpy()
-        box = int(pdf["box"].iloc[0])
-        # To the farthest corner of that node's data.
-        reach = np.sqrt((np.maximum(x - far_low[box], far_high[box] - x) ** 2).sum(axis=1))
         if copies.sum() > k:
+            reach = np.empty(len(x))
             for a in range(0, len(x), CHUNK):
                 # The point itself is one of the rows counted.
                 reach[a : a + CHUNK] = _edge(_distances(x[a : a + CHUNK], x), copies, k + 1)
-        return pdf.assign(reach=reach)
-
-    reached = placed.groupBy("box").applyInPandas(reach_inside, fields + ", box long, reach double")
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One row per box that the reach of a point touches."""
-        for pdf in batches:
-            x, reach = pdf[xs].to_numpy(dtype=float), pdf["reach"].to_numpy()
-            for a in range(0, len(x), CHUNK):
-                who, box = space.touched(x[a : a + CHUNK], reach[a : a + CHUNK])
-                yield pdf.iloc[a + who].assign(box=box)
+        else:
+            # To the farthest corner of that node's data.
+            low, high = (np.array(pdf[c].iloc[0], dtype=float) for c in ("far_low", "far_high"))
+            reach = np.sqrt((np.maximum(x - low, high - x) ** 2).sum(axis=1))
+        return pdf.drop(columns=["far_low", "far_high"]).assign(reach=reach)
 
-    visits = written(reached.mapInPandas(visit, fields + ", box long, reach double").drop("copies"))
+    reached = placed.join(around(space, k), "box", "left").groupBy("box").applyInPandas(reach_inside, f"{fields}, reach double")
+    visits = touched(written(reached.drop("box", "copies")), xs, space)
 
     def compare(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         """Points of the box within reach of each visitor, at most the nearest that hold k + 1 rows."""
@@ -283,8 +145,7 @@ def lof(
         .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("pid", F.monotonically_increasing_id())
     )
-    size = points.agg(F.count(F.lit(1)).alias("points"), F.sum("copies").alias("rows")).first()
-    rows = int(size["rows"] or 0)
+    rows = int(points.agg(F.sum("copies")).first()[0] or 0)
     if rows < 2:
         return ml.withColumns({"is_anomaly": F.lit(0), "anomaly_score": F.lit(1.0)})
     k = max(1, min(cfg.neighbours, rows - 1))
@@ -295,7 +156,7 @@ def lof(
     copies = F.col("copies")
     others = copies - F.when(F.col("pid") == F.col("nid"), 1).otherwise(0)
     picks = written(
-        nearest(points, dims, k, int(size["points"]), cfg)
+        nearest(points, dims, k, cfg)
         .withColumns({"fit": _take(others, k, order), "query": _take(copies, k, order)})
         .where((F.col("fit") > 0) | (F.col("query") > 0))
         .select("pid", "nid", "distance", "fit", "query")
