@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regionlens.config import AGE_COLUMNS, ClusterCfg
 from regionlens.functions.expr import one_value
+from regionlens.functions.gram import cross_sums, origins
 from regionlens.functions.materialize import written
 from regionlens.functions.quantile import quantiles
 from regionlens.operators.features import standardize
@@ -24,6 +22,7 @@ from regionlens.operators.features import standardize
 NOT_FEATURES = ("state", "cluster", "cluster_label", "cluster_description")
 KEY_METRICS = ("total_enrolments", "avg_enrolments", "avg_update_ratio", "avg_growth", "anomaly_frequency")
 BLOCK = 1024
+UNIT = 1 << 24  # features of k-means are whole multiples of one part of it
 
 
 def state_features(scored: DataFrame) -> DataFrame:
@@ -63,38 +62,134 @@ def feature_cols(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in NOT_FEATURES]
 
 
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances, added up feature by feature."""
+    total = np.zeros((len(x), len(y)))
+    for d in range(x.shape[1]):
+        diff = x[:, d, None] - y[None, :, d]
+        total += diff * diff
+    return total
+
+
+def _points(batch: pa.RecordBatch) -> np.ndarray:
+    x = batch.column("x")
+    return x.flatten().to_numpy().reshape(len(x), -1) / UNIT
+
+
+def _farthest(points: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """Of each run, the region farthest from the centres it has (ties: the first name)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, names = _points(batch), np.array(batch.column("state").to_pylist(), object)
+                for r, own in enumerate(centres):
+                    near = _squared(x, own).min(axis=1)
+                    far = np.flatnonzero(near == near.max())
+                    i = int(far[np.argmin(names[far])])
+                    row = [pa.array([r], pa.int32()), pa.array([-near[i]]), pa.array([names[i]]), batch.column("x").slice(i, 1)]
+                    yield pa.RecordBatch.from_arrays(row, names=["r", "less", "state", "x"])
+
+    best = points.mapInArrow(run, "r int, less double, state string, x array<long>").groupBy("r")
+    rows = best.agg(F.min(F.struct("less", "state", "x")).alias("m")).select("r", "m.x").collect()
+    return np.array([r["x"] for r in sorted(rows)], float) / UNIT
+
+
+def _moved(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of the regions nearest to each centre, and the squared distances of every run. A centre without regions stays."""
+    runs, k, d = centres.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, cost = np.zeros((runs, k), np.int64), np.zeros((runs, k, d), np.int64), np.zeros((runs, k))
+        for batch in batches:
+            x, whole = _points(batch), batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for r in range(runs):
+                far = _squared(x, centres[r])
+                near = far.argmin(axis=1)
+                n[r] += np.bincount(near, minlength=k)
+                cost[r] += np.bincount(near, far.min(axis=1), k)
+                np.add.at(sums[r], near, whole)
+        at = np.argwhere(n > 0)
+        rows = [pa.array(at[:, i], pa.int32()) for i in (0, 1)]
+        rows += [pa.array(n[n > 0]), pa.array(cost[n > 0]), pa.array(sums[n > 0].tolist(), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(rows, names=["r", "c", "n", "cost", "sums"])
+
+    total = points.mapInArrow(run, "r int, c int, n long, cost double, sums array<long>").groupBy("r", "c")
+    new, cost = centres.copy(), np.zeros(runs)
+    for row in total.agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*[F.sum(F.col("sums")[i]) for i in range(d)]).alias("sums")).collect():
+        new[row["r"], row["c"]] = np.array(row["sums"], float) / row["n"] / UNIT
+        cost[row["r"]] += row["cost"]
+    return new, cost
+
+
 def kmeans_states(sf: DataFrame, cfg: ClusterCfg = ClusterCfg()) -> DataFrame:
     """``sf`` with ``cluster`` and ``cluster_label``: the best of ``cfg.restarts`` k-means runs.
 
-    Initial centres depend on the order and partition of the rows, so the
-    features are laid out by region first; equal data then give equal clusters
-    however they came in.
+    A run starts from one of the regions farthest from the mean and takes as next centre the region farthest from the
+    centres it has (ties: the first name).  All runs move in the same scans, which sum regions by run and
+    cluster; features are whole multiples of ``1 / UNIT``, so these sums are exact and neither the order nor the partitions
+    of the rows change the result.  Clusters are numbered by their first region.
     """
     cols = feature_cols(sf)
-    scaled = written(standardize(written(sf), cols, "_km"))
-    n = scaled.count()
-    laid_out = scaled.repartition(max(1, math.ceil(n / cfg.part_rows)), "state").sortWithinPartitions("state")
-    ready = VectorAssembler(inputCols=[f"{c}_km" for c in cols], outputCol="_features").transform(laid_out).cache()
-    k = min(cfg.k, n)
+    scaled = standardize(written(sf), cols, "_km")
+    whole = F.array(*[F.round(F.col(f"{c}_km") * UNIT).cast("long") for c in cols])
+    points = written(scaled.select("state", *cols, whole.alias("x")))
+    first = F.aggregate("x", F.lit(0.0), lambda s, v: s + (v / UNIT) * (v / UNIT))
+    seeds = points.select("state", "x", first.alias("far")).orderBy(F.desc("far"), "state").limit(cfg.restarts).collect()
+    k = min(cfg.k, points.limit(cfg.k).count())
     if k < 2:
-        ready.unpersist()
-        return laid_out.select("state", *cols, F.lit(0).alias("cluster"), F.lit("Cluster 1").alias("cluster_label"))
-
-    def fit(restart: int) -> KMeansModel:
-        return KMeans(
-            k=k, seed=cfg.seed + restart, maxIter=cfg.max_iter, featuresCol="_features", predictionCol="cluster"
-        ).fit(ready)
-
-    # Restarts are short jobs over few rows; side by side they fill the cluster better.
-    with ThreadPoolExecutor(max_workers=cfg.parallel) as pool:
-        best = min(pool.map(fit, range(cfg.restarts)), key=lambda m: m.summary.trainingCost)
-    ready.unpersist()
-    placed = best.transform(
-        VectorAssembler(inputCols=[f"{c}_km" for c in cols], outputCol="_features").transform(laid_out)
+        return points.select("state", *cols, F.lit(0).alias("cluster"), F.lit("Cluster 1").alias("cluster_label"))
+    centres = np.array([[s["x"]] for s in seeds], float) / UNIT
+    while centres.shape[1] < k:
+        centres = np.concatenate([centres, _farthest(points, centres)[:, None]], axis=1)
+    for _ in range(cfg.max_iter):
+        moved, cost = _moved(points, centres)
+        if (moved == centres).all():
+            break
+        centres = moved
+    best = centres[int(np.argmin(cost))]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = _squared(_points(batch), best).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], names=[*batch.schema.names, "_c"])
+
+    placed = written(points.mapInArrow(assign, T.StructType([*points.schema.fields, T.StructField("_c", T.IntegerType())])))
+    order = [r["_c"] for r in placed.groupBy("_c").agg(F.min("state").alias("first")).orderBy("first").collect()]
+    cluster = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("_c")).cast("int") - 1
+    return placed.select("state", *cols, cluster.alias("cluster")).withColumn(
+        "cluster_label", F.concat(F.lit("Cluster "), (F.col("cluster") + 1).cast("string"))
     )
-    return placed.select(
-        "state", *cols, "cluster", F.concat(F.lit("Cluster "), (F.col("cluster") + 1).cast("string")).alias("cluster_label")
+
+
+def squared_silhouette(clus: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Mean silhouette by squared distances, one row ``(silhouette)``; NULL with a single cluster.
+
+    The mean squared distance to a cluster follows from its size, its sums and its sum of squares, so regions are
+    compared with clusters, never with each other: for any number of regions, where the euclidean form of
+    :func:`silhouette` has to meet every pair.
+    """
+    cols = list(cols) if cols is not None else feature_cols(clus)
+    scaled = written(standardize(written(clus.select("state", "cluster", *cols)), cols, "_s"))
+    xs = [F.col(f"{c}_s") for c in cols]
+    square = sum((x * x for x in xs[1:]), xs[0] * xs[0])
+    moments = scaled.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x) for x in xs]).alias("s"), F.sum(square).alias("q")
     )
+    # One row per cluster, carried by every region as an array.
+    every = one_value(moments.agg(F.collect_list(F.struct("cluster", "n", "s", "q")).alias("every")))["every"]
+
+    def mean_to(c: Column, rows: Column) -> Column:
+        dot = sum((x * c["s"][i] for i, x in enumerate(xs[1:], 1)), xs[0] * c["s"][0])
+        return (c["n"] * F.col("_q") - 2 * dot + c["q"]) / rows
+
+    own = F.filter("_every", lambda c: c["cluster"] == F.col("cluster"))[0]
+    others = F.filter("_every", lambda c: c["cluster"] != F.col("cluster"))
+    a = mean_to(own, F.nullif(own["n"] - 1, F.lit(0)))
+    b = F.array_min(F.transform(others, lambda c: mean_to(c, c["n"])))
+    rows = scaled.withColumn("_every", every).withColumn("_q", square).select(own["n"].alias("size"), a.alias("a"), b.alias("b"))
+    one = F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return rows.agg(F.avg(F.when(F.col("b").isNotNull(), one)).alias("silhouette"))
 
 
 def silhouette(clus: DataFrame, cols: Sequence[str] | None = None, block: int = BLOCK) -> DataFrame:
@@ -204,19 +299,22 @@ def describe_clusters(clus: DataFrame, accuracy: int | None = None) -> DataFrame
 def pca_2d(clus: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``clus`` with ``x`` and ``y``: projection of the unscaled features on two principal components.
 
-    Features are centred first, because the model does not centre on
-    transform.  Each axis points the way that makes its largest loading positive.
+    One scan sums the cross-products of the features, measured from values of their own; these are centred before the
+    eigenvectors are taken.  Each axis points the way that makes its largest loading positive (ties: the first
+    feature).  With fewer than two features, ``y`` is 0.
     """
     cols = list(cols) if cols is not None else feature_cols(clus)
-    means = one_value(clus.agg(*[F.avg(c).alias(c) for c in cols]))
-    centred = clus.withColumn("_m", means).withColumns(
-        {f"_c{i}": F.coalesce(F.col(c), F.lit(0.0)) - F.col(f"_m.{c}") for i, c in enumerate(cols)}
-    ).drop("_m")
-    ready = VectorAssembler(inputCols=[f"_c{i}" for i in range(len(cols))], outputCol="_v").transform(centred)
-    model = PCA(k=2, inputCol="_v", outputCol="_p").fit(ready)
-    loadings = model.pc.toArray()
-    signs = [1.0 if loadings[np.argmax(np.abs(loadings[:, j])), j] >= 0 else -1.0 for j in range(2)]
-    at = vector_to_array("_p")
-    return model.transform(ready).select(
-        *clus.columns, (at[0] * signs[0]).alias("x"), (at[1] * signs[1]).alias("y")
-    )
+    table = written(clus.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in clus.columns]))
+    origin = origins(table, cols)
+    sums = sorted(cross_sums(table, cols, origin).collect(), key=lambda r: r["i"])
+    if not sums:
+        return table.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
+    n, s = sums[0]["n"][0], np.array([r["own"][r["i"]] for r in sums])
+    covariance = np.array([r["both"] for r in sums]) / n - np.outer(s, s) / (n * n)
+    axes = np.linalg.eigh(covariance)[1][:, ::-1][:, :2]
+    loading = np.abs(axes)
+    top = (loading >= loading.max(axis=0) * (1 - 1e-9)).argmax(axis=0)
+    axes = axes * np.where(axes[top, np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+    centre = [o + x / n for o, x in zip(origin, s)]
+    at = [sum((F.col(c) - F.lit(float(m))) * F.lit(float(v)) for c, m, v in zip(cols, centre, axis)) for axis in axes.T]
+    return table.withColumns({"x": at[0], "y": at[1] if len(at) > 1 else F.lit(0.0)})
