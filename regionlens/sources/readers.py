@@ -4,24 +4,28 @@ from __future__ import annotations
 
 import logging
 import re
+import zlib
 from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
-from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionlens.functions.expr import month_start, nan_to_null, string_columns
+from regionlens.functions.materialize import written
 from regionlens.operators.columns import unique_names
+from regionlens.sources.ranges import CsvCutter, JsonCutter, records
 
 log = logging.getLogger(__name__)
 
 
 # Quotes as CSV writers everywhere put them: a quote inside a quoted field is doubled.
 CSV = {"header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-MORE = "_more_fields"
+MORE, FILE, PLACE = "_more_fields", "_file_name", "_place"
 
 
 def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv", ".csv.gz")) -> list[str]:
@@ -59,20 +63,6 @@ def literal(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
-def first_line(spark: SparkSession, file: str) -> str | None:
-    """Header line of one file; only the first block of it is opened."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    raw = path.getFileSystem(conf).open(path)
-    try:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
-        stream = codec.createInputStream(raw) if codec is not None else raw
-        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "ISO-8859-1")).readLine()
-    finally:
-        raw.close()
-
-
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
     """Bag union by column name; a column missing on one side is NULL there.
 
@@ -95,58 +85,152 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aligned)
 
 
-def _readable(spark: SparkSession, files: list[str]) -> tuple[list[str], dict[str, str]]:
-    """Files that read to their end, and the others with the reason; one job for each file."""
+def _path() -> Column:
+    """The path of a row's file, in the spelling of :func:`same_path`."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, "^([a-z][a-z0-9+.-]*:)/+", "$1/")
 
-    def reason(file: str) -> str | None:
-        try:
-            spark.read.text(literal(file)).write.format("noop").mode("overwrite").save()
-        except Exception as e:  # noqa: BLE001 - any failure sets the whole file aside
-            return str(e).split("\n")[0]
-        return None
 
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        reasons = dict(zip(files, pool.map(reason, files)))
-    bad = {f: r for f, r in reasons.items() if r is not None}
-    for file, why in bad.items():
-        log.error("cannot read %s: %s", file, why)
-    return [f for f in files if f not in bad], bad
+def _gzip_fault(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Why compressed files cannot be read to their end, NULL if they can."""
+    for batch in batches:
+        reasons = []
+        for value in batch.column("content"):
+            data, reason = memoryview(value.as_buffer()), None
+            try:
+                while len(data) and reason is None:
+                    member, at = zlib.decompressobj(31), 0
+                    while not member.eof and at < len(data):
+                        member.decompress(data[at : at + CHUNK], 16 * CHUNK)
+                        at += CHUNK
+                        while member.unconsumed_tail:
+                            member.decompress(member.unconsumed_tail, 16 * CHUNK)
+                    reason = None if member.eof else "the compressed file ends too early"
+                    data = data[min(at, len(data)) - len(member.unused_data) :] if member.eof else data[:0]
+            except zlib.error as e:
+                reason = str(e)
+            reasons.append(reason)
+        yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(reasons, pa.string())], names=["file", "fault"])
+
+
+CHUNK = 1 << 20
+
+
+@dataclass(frozen=True)
+class Surveyed:
+    header: str | None  # first line; NULL in an empty file
+    utf8: bool
+    fault: str | None  # why the file cannot be read to its end
+
+
+def survey(spark: SparkSession, files: list[str], check: bool = False) -> dict[str, Surveyed]:
+    """Header, encoding and first fault of every file, from one scan of them all; one short row a file reaches the driver.
+
+    ``check`` also looks whether the files can be read to their end: a file of which nothing can be read, and, in one more
+    distributed scan, compressed files that end too early or are damaged.
+    """
+    if not files:
+        return {}
+    paths = [literal(f) for f in files]
+    lines = spark.read.option("ignoreCorruptFiles", check).text(paths)
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    seen = lines.select(_path().alias("file"), "value", place.alias("place")).groupBy("file").agg(
+        # A byte order mark is no part of the first name.
+        F.regexp_replace(F.min_by("value", "place"), "^\ufeff|\r$", "").alias("header"),
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.lit(None).cast("string").alias("fault"),
+    )
+    out = {same_path(f): Surveyed(None, True, None) for f in files}
+    out |= {r["file"]: Surveyed(r["header"], r["utf8"], None) for r in seen.collect()}
+    if check:
+        sizes = spark.read.format("binaryFile").load(paths).select(_path().alias("file"), "length").where("length > 0")
+        for r in sizes.toLocalIterator():
+            if out[r["file"]].header is None:
+                out[r["file"]] = Surveyed(None, True, "nothing can be read")
+        packed = [literal(f) for f in files if f.endswith(".gz")]
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = spark.conf.get(rows)
+        spark.conf.set(rows, "1")  # a file is a row
+        try:
+            content = spark.read.format("binaryFile").load(packed).select(_path().alias("file"), "content") if packed else None
+            faults = content.mapInArrow(_gzip_fault, "file string, fault string").where("fault IS NOT NULL").collect() if packed else []
+        finally:
+            spark.conf.set(rows, before)
+        out |= {r["file"]: Surveyed(None, True, r["fault"]) for r in faults}
+    return out
 
 
 def _header_groups(
-    spark: SparkSession, files: list[str], latin: set[str], on_bad_file: str
+    spark: SparkSession, files: list[str], any_encoding: bool, on_bad_file: str
 ) -> tuple[dict[tuple[str, str], list[str]], dict[str, str]]:
     """Files by header line and encoding, and the files set aside with the reason. Empty files are in no group."""
     if on_bad_file not in ("fail", "skip"):
         raise ValueError("on_bad_file is 'fail' or 'skip'")
-    bad: dict[str, str] = {}
-    if on_bad_file == "skip":
-        files, bad = _readable(spark, files)
+    found = survey(spark, files, on_bad_file == "skip")
     groups: dict[tuple[str, str], list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(max_workers=32) as pool:
-        for file, header in zip(files, pool.map(lambda f: first_line(spark, f), files)):
-            if header:
-                groups[header, "ISO-8859-1" if same_path(file) in latin else "UTF-8"].append(file)
+    bad: dict[str, str] = {}
+    for file in files:
+        seen = found[same_path(file)]
+        if seen.fault is not None:
+            log.error("cannot read %s: %s", file, seen.fault)
+            bad[file] = seen.fault
+        elif seen.header:
+            groups[seen.header, "ISO-8859-1" if any_encoding and not seen.utf8 else "UTF-8"].append(file)
     return groups, bad
 
 
 def _group_frame(spark: SparkSession, files: list[str], encoding: str, infer: bool, multi_line: bool) -> DataFrame:
-    """Files of one header, with one more text column for what exceeds it and the place of each row."""
-    options = {**CSV, "encoding": encoding, "multiLine": multi_line}
+    """Files of one header with one more text column for what exceeds it, the file, its name and the place of each row."""
+    if multi_line:
+        return _record_frame(spark, files, encoding, infer)
+    options = {**CSV, "encoding": encoding}
     paths = [literal(f) for f in files]
     found = spark.read.options(**options).csv(paths, inferSchema=infer).schema
     wide = T.StructType([*found.fields, T.StructField(MORE, T.StringType())])
     # A field over the header would otherwise be dropped in silence.
-    return spark.read.options(**options).schema(wide).csv(paths)
-
-
-def _place() -> list[Column]:
-    """File, start of the split and running number within it: the order of the rows in the input."""
-    return [
-        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("row"),
-    ]
+    rows = spark.read.options(**options).schema(wide).csv(paths)
+    place = [F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")]
+    return rows.select("*", F.col("_metadata.file_name").alias(FILE), F.struct(_file(), *place).alias(PLACE))
+
+
+def _texts_as(texts: DataFrame, fmt: str, schema: T.StructType | None = None, **options) -> DataFrame:
+    """What Spark's reader of a format makes of the texts of a column instead of the lines of files."""
+    spark = texts.sparkSession
+    reader = spark.read.options(**options)
+    reader = reader.schema(schema) if schema else reader
+    # Spark reads a dataset of texts so; its Python side takes RDDs only.
+    lines = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(getattr(reader._jreader, fmt)(lines), spark)
+
+
+def _record_frame(spark: SparkSession, files: list[str], encoding: str, infer: bool) -> DataFrame:
+    """As :func:`_group_frame`, from records that may go over line ends and that many tasks cut from each file."""
+    cut = records(spark, [literal(f) for f in files], CsvCutter)
+    text = F.decode("text", encoding) if encoding != "UTF-8" else F.col("text").cast("string")
+    text = F.regexp_replace(text, "\r$", "")
+    cut = written(cut.select("file", "start", "row", text.alias("text")).where("text <> ''"))
+    first = F.min(F.struct("start", "row", "text"))
+    # Files of a group have one header; of it, one row is enough.
+    head = cut.groupBy("file").agg(first.alias("h"))
+    header = head.agg(F.min("h.text")).first()[0]
+    names = _texts_as(spark.createDataFrame([(header.lstrip("\ufeff"),)], "text string"), "csv", **{**CSV, "multiLine": True}).columns
+    body = cut.join(head.select("file", F.col("h.start").alias("s0"), F.col("h.row").alias("r0")), "file").where("NOT (start = s0 AND row = r0)").drop("s0", "r0")
+    options = {**CSV, "header": False, "multiLine": True}
+    kinds = [T.StringType()] * len(names)
+    if infer:
+        found = _texts_as(body.select("text"), "csv", **options, inferSchema=True).schema.fields
+        kinds = [found[i].dataType if i < len(found) else T.StringType() for i in range(len(names))]
+    wide = ", ".join(f"c{i} {t.simpleString()}" for i, t in enumerate([*kinds, T.StringType()]))
+    fields = F.from_csv("text", wide, {k: str(v) for k, v in options.items()})
+    return body.withColumn("_f", fields).select(
+        *[F.col(f"_f.c{i}").alias(c) for i, c in enumerate([*names, MORE])],
+        F.substring_index("file", "/", -1).alias(FILE),
+        F.struct("file", "start", "row").alias(PLACE),
+    )
+
+
+def _file() -> Column:
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file")
 
 
 def _union_groups(
@@ -156,12 +240,13 @@ def _union_groups(
     frames = []
     for header, encoding in sorted(groups):
         df = _group_frame(spark, groups[header, encoding], encoding, infer, multi_line)
-        names = unique_names(df.select(df.columns[:-1])).columns
-        extra = [F.col("_metadata.file_name").alias("source_file")] if provenance else []
-        extra += [F.struct(*_place()).alias(order)] if order else []
-        fits = df.where(F.col(MORE).isNull())
-        rows = fits.select(*[F.col(f"`{c}`") for c in df.columns[:-1]], *extra).toDF(*names, *(["source_file"] if provenance else []), *([order] if order else []))
-        df = unique_names(rows)
+        named = df.columns[: df.columns.index(MORE)]
+        # Spark's names of columns without a name or with that of another give way to names of their own.
+        names = unique_names(df.select(*[F.col(f"`{c}`") for c in named])).columns
+        extra = [F.col(FILE).alias("source_file")] if provenance else []
+        extra += [F.col(PLACE).alias(order)] if order else []
+        rows = df.where(F.col(MORE).isNull()).select(*[F.col(f"`{c}`") for c in named], *extra)
+        df = unique_names(rows.toDF(*names, *rows.columns[len(named) :]))
         if known:
             df = df.select(
                 *[
@@ -187,16 +272,16 @@ def read_csv_dir(
 
     Spark matches the columns of several files by position, so files are
     grouped by their header line and each group is read once.  Only file names
-    and header lines reach the driver.  With ``schema`` or ``infer_types=False`` the extra pass that
+    and header lines reach the driver, from one scan of all files.  With ``schema`` or ``infer_types=False`` the extra pass that
     infers types is saved; columns of ``schema`` get its types, others are text.
 
     ``order`` names a column with the place of each row in the input (file, then position), to keep
     the first of repeated rows by.  Rows shorter than the header end in NULLs; rows with more fields
     than the header are left out here and returned by :func:`csv_rejects`.  ``multi_line=True`` reads line
-    breaks inside quotes, at the cost of one task per file.  A file that cannot be read to its end fails the
-    read, or with ``on_bad_file="skip"``, which reads every file once more, is left out as a whole.
+    breaks inside quotes, in byte ranges by many tasks, and writes the records it cuts.  A file that cannot be read to its end fails the
+    read, or with ``on_bad_file="skip"``, which looks at compressed files once more, is left out as a whole.
     """
-    groups, _ = _header_groups(spark, list_files(spark, path), set(), on_bad_file)
+    groups, _ = _header_groups(spark, list_files(spark, path), False, on_bad_file)
     if not groups:
         raise ValueError(f"no readable CSV file in {path}")
     known = {f.name.lower(): f.dataType for f in schema.fields} if schema else {}
@@ -212,33 +297,32 @@ def csv_rejects(
     fields and the error as reason.
     """
     files = list_files(spark, path, () if any_encoding else (".csv", ".csv.gz"))
-    groups, bad = _header_groups(spark, files, _not_utf8(spark, files) if any_encoding else set(), on_bad_file)
+    groups, bad = _header_groups(spark, files, any_encoding, on_bad_file)
     kind = "source_file string, reason string, fields array<string>"
     out = spark.createDataFrame([(f, why, None) for f, why in sorted(bad.items())], kind)
     for (_, encoding), members in sorted(groups.items()):
         df = _group_frame(spark, members, encoding, False, multi_line)
+        fields = df.columns[: df.columns.index(MORE) + 1]
         rows = df.where(F.col(MORE).isNotNull()).select(
-            F.col("_metadata.file_name").alias("source_file"),
+            F.col(FILE).alias("source_file"),
             F.lit("more fields than the header").alias("reason"),
-            F.array(*[F.col(f"`{c}`") for c in df.columns]).alias("fields"),
+            F.array(*[F.col(f"`{c}`") for c in fields]).alias("fields"),
         )
         out = out.unionByName(rows)
     return out
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
-    """JSON file or folder, a record per line; ``multi_line`` reads top-level arrays, with one task per file."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    return nan_to_null(reader.json(path, multiLine=multi_line))
+    """JSON file or folder, a record per line; ``multi_line`` reads objects over many lines and top-level arrays of objects.
 
-
-def _not_utf8(spark: SparkSession, files: list[str]) -> set[str]:
-    """Those of the files that hold bytes that are not UTF-8; one pass over the text, a name for each file found."""
-    if not files:
-        return set()
-    lines = spark.read.text([literal(f) for f in files])
-    odd = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("file")).distinct()
-    return {same_path(unquote(r["file"])) for r in odd.toLocalIterator()}
+    Also a file that is one array, in one line or many, is read by as many tasks as it has byte ranges.
+    """
+    if not multi_line:
+        reader = spark.read.schema(schema) if schema else spark.read
+        return nan_to_null(reader.json(path))
+    cut = records(spark, [literal(f) for f in list_files(spark, path, ())], JsonCutter)
+    texts = written(cut.select(F.col("text").cast("string").alias("text")))
+    return nan_to_null(_texts_as(texts, "json", schema))
 
 
 def read_csv_any_encoding(
@@ -252,12 +336,9 @@ def read_csv_any_encoding(
     """CSV in UTF-8, file by file in Latin-1 where the bytes are not valid UTF-8.
 
     Takes every file whatever its suffix, otherwise as :func:`read_csv_dir`. Spark does not fail on bytes that are not
-    UTF-8, so one pass over the text looks for such lines.
+    UTF-8, so the scan that finds the headers looks for such lines as well.
     """
-    files = list_files(spark, path, ())
-    if on_bad_file == "skip":
-        files, _ = _readable(spark, files)
-    groups, _ = _header_groups(spark, files, _not_utf8(spark, files), "fail")
+    groups, _ = _header_groups(spark, list_files(spark, path, ()), True, on_bad_file)
     if not groups:
         raise ValueError(f"no readable CSV file in {path}")
     return _union_groups(spark, groups, infer_types, multi_line, False, order, {})

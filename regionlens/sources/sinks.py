@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# A quote inside a field is doubled, which every CSV reader understands.
-CSV_OUT = {"header": True, "quote": '"', "escape": '"'}
+# A quote inside a field is doubled, which every CSV reader understands; blanks around a text belong to it.
+CSV_OUT = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def save_table(
