@@ -94,7 +94,11 @@ def add_update_ratio(agg: DataFrame) -> DataFrame:
 
 def monthly_aggregate(facts: DataFrame, calendar: bool = False) -> DataFrame:
     """The region-by-month table all later steps read."""
-    agg = by_state_month(facts)
+    return with_measures(by_state_month(facts), calendar)
+
+
+def with_measures(agg: DataFrame, calendar: bool = False) -> DataFrame:
+    """Growth, z-score and update ratio of region-by-month sums."""
     sums = [c for c in agg.columns if c.endswith("_sum") and c not in {f"{a}_sum" for a in AGE_COLUMNS}]
     if sums:
         agg = add_zscore(add_growth(agg, sums[0], calendar), sums[0])

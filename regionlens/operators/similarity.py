@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from regionlens.functions.expr import one_value
+from regionlens.functions.globalindex import with_global_index
 from regionlens.functions.materialize import written
 from regionlens.operators.aggregate import date_state_cells
 
@@ -163,39 +163,93 @@ def _pairs(cells: DataFrame, block: int) -> DataFrame:
     )
 
 
-def similar_pairs(facts: DataFrame, min_similarity: float, date: str = "date") -> DataFrame:
+SLACK = 1e-9  # rounding must not lose a pair that just reaches the bound
+
+
+def blocked(unit: DataFrame, block: int) -> DataFrame:
+    """``state, block, months``: regions in blocks of the same size, those with the same strongest month together.
+
+    ``months`` lists the lengths of the region's vector by month.
+    """
+    months = unit.groupBy("state", F.substring("date", 1, 7).alias("month")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    strongest = F.max_by("month", F.struct("norm", "month")).alias("top")
+    regions = months.groupBy("state").agg(strongest, F.max("norm").alias("share"), F.collect_list(F.struct("month", "norm")).alias("months"))
+    placed = with_global_index(regions, ["top", "share", "state"])
+    return placed.select("state", F.floor(F.col("idx") / block).alias("block"), "months")
+
+
+def block_pairs(blocks: DataFrame, min_similarity: float) -> DataFrame:
+    """``b1, b2``: pairs of blocks that may hold similar regions.
+
+    Within a month two vectors have at most the product of their lengths in common, so the products of the largest lengths of
+    two blocks, added up over the months, bound every similarity between them.  Blocks are compared by the months they share.
+    """
+    longest = written(blocks.select("block", F.inline("months")).groupBy("block", "month").agg(F.max("norm").alias("norm")))
+    a = longest.select(F.col("block").alias("b1"), "month", F.col("norm").alias("n1"))
+    b = longest.select(F.col("block").alias("b2"), "month", F.col("norm").alias("n2"))
+    bound = a.join(b, "month").where("b1 <= b2").groupBy("b1", "b2").agg(F.sum(F.col("n1") * F.col("n2")).alias("most"))
+    return bound.where(F.col("most") >= min_similarity - SLACK).select("b1", "b2")
+
+
+def _similar(min_similarity: float):
+    """Similar pairs of two blocks: only regions whose month lengths allow it are compared by their days."""
+
+    def dense(pdf: pd.DataFrame, keys: list, column: str, names: list) -> np.ndarray:
+        out = np.zeros((len(names), len(keys)))
+        out[pd.Index(names).get_indexer(pdf["state"]), pd.Index(keys).get_indexer(pdf[column])] = pdf["x"]
+        return out
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        right = right.rename(columns=lambda c: c.removeprefix("r_"))
+        if len(left) and len(right):
+            sides = [(pdf, sorted(pdf["state"].unique())) for pdf in (left, right)]
+            months = []
+            for pdf, names in sides:
+                m = pdf.assign(month=pdf["date"].str[:7], x=pdf["x"] ** 2).groupby(["state", "month"], as_index=False)["x"].sum()
+                months.append((m.assign(x=np.sqrt(m["x"])), names))
+            shared = sorted(set(months[0][0]["month"]) & set(months[1][0]["month"]))
+            may = [dense(m[m["month"].isin(shared)], shared, "month", names) for m, names in months]
+            open_ = may[0] @ may[1].T >= min_similarity - SLACK
+            if left["b1"].iloc[0] == left["b2"].iloc[0]:
+                open_ &= np.triu(np.ones_like(open_), 1)
+            use = [np.flatnonzero(open_.any(axis=1 - i)) for i in (0, 1)]
+            if len(use[0]):
+                kept = [[names[i] for i in u] for (_, names), u in zip(sides, use)]
+                rows = [pdf[pdf["state"].isin(k)] for (pdf, _), k in zip(sides, kept)]
+                days = sorted(set(rows[0]["date"]) & set(rows[1]["date"]))
+                total = np.zeros((len(kept[0]), len(kept[1])))
+                for at in range(0, len(days), 512):
+                    part = days[at : at + 512]
+                    x, y = (dense(r[r["date"].isin(part)], part, "date", k) for r, k in zip(rows, kept))
+                    total += x @ y.T
+                hit = np.argwhere(open_[np.ix_(*use)] & (total >= min_similarity))
+                parts = [(min(kept[0][i], kept[1][j]), max(kept[0][i], kept[1][j]), total[i, j]) for i, j in hit]
+        return pd.DataFrame(parts, columns=["state1", "state2", "similarity"])
+
+    return run
+
+
+def similar_pairs(facts: DataFrame, min_similarity: float, date: str = "date", block: int = BLOCK) -> DataFrame:
     """``(state1, state2, similarity)`` of the pairs with at least ``min_similarity`` (above zero), ``state1 < state2``.
 
-    Exact without all pairs: unit vectors list their dates, rare ones first. What follows a date whose rest of the
-    vector is shorter than ``min_similarity`` cannot reach it alone, so the first date two similar regions share
-    lies before that point in both, and only regions that meet there are compared.
+    Exact without all pairs, also where all regions share their dates: regions lie in blocks by their strongest month, and
+    only pairs of blocks whose month lengths allow the similarity are brought together; inside them the same bound
+    rules out pairs of regions before any day is looked at.
     """
     if not 0 < min_similarity <= 1:
         raise ValueError("min_similarity lies above 0 and at most at 1")
     cells = _cells(facts, date).where("total <> 0")
-    days = cells.groupBy("date").agg(F.count(F.lit(1)).alias("regions"))
-    unit = written(
-        cells.join(_norms(cells), "state").join(days, "date").select("state", "date", "regions", (F.col("total") / F.col("norm")).alias("x"))
-    )
-    rest = W.partitionBy("state").orderBy("regions", "date").rowsBetween(W.currentRow, W.unboundedFollowing)
-    # A hair of slack: rounding must not lose a pair that just reaches the bound.
-    long = F.sum(F.col("x") * F.col("x")).over(rest) >= min_similarity * min_similarity - 1e-9
-    heads = unit.withColumn("long", long).where("long").select("state", "date")
-    met = (
-        heads.select("date", F.col("state").alias("state1"))
-        .join(heads.select("date", F.col("state").alias("state2")), "date")
-        .where("state1 < state2")
-        .select("state1", "state2")
-        .distinct()
-    )
-    left = unit.select(F.col("state").alias("state1"), "date", F.col("x").alias("x1"))
-    right = unit.select(F.col("state").alias("state2"), "date", F.col("x").alias("x2"))
+    unit = written(cells.join(_norms(cells), "state").select("state", "date", (F.col("total") / F.col("norm")).alias("x")))
+    blocks = written(blocked(unit, block))
+    pairs = written(block_pairs(blocks, min_similarity))
+    rows = unit.join(blocks.select("state", "block"), "state")
+    left, right = (rows.join(pairs.withColumn("block", F.col(side)), "block").drop("block") for side in ("b1", "b2"))
+    facing = right.toDF(*[f"r_{c}" for c in right.columns])
     return (
-        met.join(left, "state1")
-        .join(right, ["state2", "date"])
-        .groupBy("state1", "state2")
-        .agg(F.sum(F.col("x1") * F.col("x2")).alias("similarity"))
-        .where(F.col("similarity") >= min_similarity)
+        left.groupBy("b1", "b2")
+        .cogroup(facing.groupBy("r_b1", "r_b2"))
+        .applyInPandas(_similar(min_similarity), "state1 string, state2 string, similarity double")
     )
 
 
