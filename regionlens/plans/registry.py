@@ -29,8 +29,10 @@ from regionlens.operators import marts as mrt
 from regionlens.operators import profile as prf
 from regionlens.operators import risk as rsk
 from regionlens.operators import similarity as sim
+from regionlens.operators import states as sta
+from regionlens.plans import oracle_models as models
 from regionlens.plans import pipeline
-from regionlens.plans.oracle import with_ctes
+from regionlens.plans.oracle import _D3, with_ctes
 from regionlens.sources import readers, sinks
 from regionlens.sources.adapters import (
     dash_fact,
@@ -190,6 +192,34 @@ def _json(s: SparkSession, d: str) -> DataFrame:
     return readers.read_json(s, path, multi_line=False)
 
 
+def _json_arrays(s: SparkSession, d: str) -> DataFrame:
+    """Files that are one array in one line, with braces and quotes inside texts."""
+    path = scratch_path(s, "json")
+    fact = trade_fact(s, d).withColumn("state", F.concat("state", F.lit(' } "]{ \\'), F.col("seq")))
+    parts = fact.select(F.to_json(F.struct("*")).alias("j")).repartition(3).groupBy(F.spark_partition_id().alias("part"))
+    parts.agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("value")).select("value").write.text(path)
+    return readers.read_json(s, path, multi_line=True)
+
+
+def _line_breaks(s: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(s, "csv")
+    fact = trade_fact(s, d).select("seq", F.concat("state", F.lit(' "Q",\nnew\n')).alias("state"), "enrolment_count", "district")
+    fact.where("seq % 2 = 0").write.options(**sinks.CSV_OUT).csv(f"{path}/a")
+    fact.where("seq % 2 = 1").select("district", "enrolment_count", "state", "seq").write.options(**sinks.CSV_OUT).csv(f"{path}/b")
+    return readers.read_csv_dir(s, path, multi_line=True)
+
+
+def _rejects(s: SparkSession, d: str) -> DataFrame:
+    """Rows with more fields than their header, from lines written as text."""
+    path = scratch_path(s, "csv")
+    line = F.concat_ws(",", "seq", F.when(F.col("seq") % 3 == 0, F.concat("state", F.lit(",over"))).otherwise(F.col("state")), F.col("enrolment_count").cast("long"))
+    lines = trade_fact(s, d).select(F.spark_partition_id().alias("part"), line.alias("value"))
+    text = lines.groupBy("part").agg(F.concat(F.lit("seq,state,n\n"), F.array_join(F.collect_list("value"), "\n")).alias("value"))
+    text.select("value").repartition(4).write.text(path)
+    # Text files have no suffix that marks them as CSV.
+    return readers.csv_rejects(s, f"{path}/part-*").select("reason", F.array_join("fields", "|").alias("fields"))
+
+
 
 
 def _two_encodings(s: SparkSession, d: str) -> DataFrame:
@@ -230,6 +260,18 @@ case(
     """SELECT seq, state || ' "Q", new' AS state, enrolment_count, CASE WHEN seq % 2 = 1 THEN update_count END AS update_count
         FROM trade""",
 )
+case(
+    "src1_read_csv_multiline", "#seq state ~enrolment_count district", _line_breaks,
+    """SELECT seq, state || ' "Q",' || chr(10) || 'new' || chr(10) AS state, enrolment_count, district FROM trade""",
+)
+case(
+    "src1_csv_rejects", "reason fields", _rejects,
+    "SELECT 'more fields than the header' AS reason, seq || '|' || state || '|over|' || CAST(enrolment_count AS BIGINT) AS fields FROM trade WHERE seq % 3 = 0",
+)
+case(
+    "src2_read_json_array", "#seq state district ~enrolment_count ~update_count", _json_arrays,
+    "SELECT * REPLACE (state || ' } \"]{ \\' || seq AS state) FROM trade",
+)
 case("src2_read_json", "#seq state district ~enrolment_count ~update_count", _json, "SELECT * FROM trade")
 case(
     "src3_read_csv_any_encoding", "#seq state ~enrolment_count", _two_encodings,
@@ -400,7 +442,20 @@ case("cal4_year_month", "seq year_month", lambda s, d: cal.with_year_month(trade
 
 # --- aggregates and windows -------------------------------------------------
 
+
+
+def _appended(s: SparkSession, d: str) -> DataFrame:
+    """The order facts stored as three batches that share months, one of them written twice."""
+    fact, path = written(trade_fact(s, d)), scratch_path(s, "states")
+    day = F.col("date")
+    parts = {"a": day < "1996-05-20", "b": (day >= "1996-05-20") & (F.col("seq") % 3 > 0), "c": (day >= "1996-05-20") & (F.col("seq") % 3 == 0)}
+    for batch in ("a", "b", "c", "b"):
+        sta.append_states(fact.where(parts[batch]), path, batch)
+    return sta.aggregate_of_states(sta.load_states(s, path))
+
+
 case("agg1_monthly_aggregate", AGG, agg_of, "SELECT * FROM agg")
+case("agg1_appended", AGG, _appended, "SELECT * FROM agg")
 case(
     "agg2_metric_choice", "state year_month ~retail ~size",
     lambda s, d: agg_ops.monthly_aggregate(
@@ -459,6 +514,7 @@ FEATURES = (
     "state ~total_enrolments ~avg_enrolments ~std_enrolments ~total_updates ~avg_update_ratio ~avg_growth ~growth_volatility "
     "~anomaly_frequency ~avg_anomaly_score ~age_0_18_pct ~age_19_40_pct ~age_41_60_pct ~age_60_plus_pct"
 )
+FEATURE_COLS = FEATURES.replace("~", "").split()[1:]
 
 
 def _region_of(s: SparkSession, d: str) -> DataFrame:
@@ -513,13 +569,13 @@ case("set2_distinct_states", "state", lambda s, d: mrt.distinct_states(trade_fac
 
 # --- profiles ---------------------------------------------------------------
 
-PROFILE_COLS = ("seq", "date", "state", "district", "enrolment_count")
+PROFILE_COLS = ("seq", "date", "state", "district", "pincode", "enrolment_count", "update_count", "age_0_18", "age_19_40", "age_41_60", "age_60_plus")
 _profile_sql = " UNION ALL ".join(
     f"""SELECT '{c}' AS name, count(*) - count({c}) AS missing_count, (count(*) - count({c})) / count(*) * 100 AS missing_percentage,
     count(DISTINCT {c}) AS unique_values, """
     + (
         f"(SELECT string_agg({c}, '|' ORDER BY seq) FROM (SELECT seq, {c} FROM dirty WHERE {c} IS NOT NULL ORDER BY seq LIMIT 3))"
-        if c in ("date", "state", "district")
+        if c in ("date", "state", "district", "pincode")
         else "CAST(NULL AS VARCHAR)"
     )
     + " AS samples FROM dirty"
@@ -528,8 +584,7 @@ _profile_sql = " UNION ALL ".join(
 
 
 def _profile(s: SparkSession, d: str) -> DataFrame:
-    df = dirty_fact(s, d).select(*PROFILE_COLS)
-    profile = prf.column_profile(df, "seq").withColumn("samples", F.array_join("sample_values", "|"))
+    profile = prf.column_profile(dirty_fact(s, d), "seq").withColumn("samples", F.array_join("sample_values", "|"))
     return profile.withColumnRenamed("column", "name")
 
 
@@ -543,6 +598,24 @@ def _mostly_missing(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+
+
+def _profile_of_months(s: SparkSession, d: str) -> DataFrame:
+    """Profile of two years from monthly states, with whether the estimated numbers of different values are close to the exact ones."""
+    fact = trade_fact(s, d)
+    stored = written(sta.profile_states(fact))
+    exact = prf.distinct_counts(fact.where(F.col("date").between("1996-03-01", "1998-02-28"))).withColumnRenamed("unique_values", "exact")
+    found = sta.profile_of_states(stored, "1996-03", "1998-02").join(exact, "column")
+    return found.withColumn("close", F.abs(F.col("unique_values") / F.col("exact") - 1) < 0.08).withColumnRenamed("column", "name")
+
+
+case(
+    "prf1_profile_of_states", "name #missing_count ~missing_percentage #exact close", _profile_of_months,
+    "WITH part AS (SELECT * FROM trade WHERE date BETWEEN DATE '1996-03-01' AND DATE '1998-02-28') " + " UNION ALL ".join(
+        f"SELECT '{c}' AS name, 0 AS missing_count, 0.0 AS missing_percentage, count(DISTINCT {c}) AS exact, true AS close FROM part"
+        for c in ("seq", "date", "state", "district", "enrolment_count", "update_count", "age_0_18", "age_19_40", "age_41_60", "age_60_plus")
+    ),
+)
 case("prf1_column_profile", "name #missing_count ~missing_percentage #unique_values samples", _profile, _profile_sql)
 case(
     "prf2_file_summary", "#total_records #total_columns min_date max_date #states_count", lambda s, d: prf.file_summary(trade_fact(s, d)),
@@ -559,19 +632,20 @@ case(
 _stats = lambda c: f"""SELECT '{c}' AS name, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max,
     sum({c}) AS sum, avg(pow({c} - m, 3)) / pow(stddev_pop({c}), 3) AS skewness, kurtosis_pop({c}) AS kurtosis, median({c}) AS median,
     quantile_cont({c}, 0.25) AS percentile_25, quantile_cont({c}, 0.9) AS percentile_90, quantile_cont({c}, 0.95) AS percentile_95
-    FROM dirty, (SELECT avg({c}) AS m FROM dirty) AS mm"""
+    FROM dirty_small, (SELECT avg({c}) AS m FROM dirty_small) AS mm"""
+NUMBERS = ("seq", "enrolment_count", "update_count", "age_0_18", "age_19_40", "age_41_60", "age_60_plus")
 case(
     "prf4_numeric_stats", "name #n ~mean ~std ~min ~max ~sum ~skewness ~kurtosis ~median ~percentile_25 ~percentile_90 ~percentile_95",
-    lambda s, d: prf.numeric_stats(dirty_fact(s, d), ["enrolment_count", "update_count", "age_0_18"]).withColumnRenamed("column", "name"),
-    " UNION ALL ".join(_stats(c) for c in ("enrolment_count", "update_count", "age_0_18")),
+    lambda s, d: prf.numeric_stats(dirty_fact(s, d).withColumn("seq", F.col("seq") % 1_000_000)).withColumnRenamed("column", "name"),
+    "WITH dirty_small AS (SELECT * REPLACE (seq % 1000000 AS seq) FROM dirty) " + " UNION ALL ".join(_stats(c) for c in NUMBERS),
 )
 case(
     "prf5_pairwise_pearson", "column1 column2 ~correlation",
-    lambda s, d: prf.pairwise_pearson(dirty_fact(s, d).withColumn("one", F.lit(1.0)), ["enrolment_count", "update_count", "age_0_18", "one"]),
-    """SELECT 'enrolment_count' AS column1, 'update_count' AS column2, corr(enrolment_count, update_count) AS correlation FROM dirty
-        UNION ALL SELECT 'enrolment_count', 'age_0_18', corr(enrolment_count, age_0_18) FROM dirty
-        UNION ALL SELECT 'update_count', 'age_0_18', corr(update_count, age_0_18) FROM dirty
-        UNION ALL SELECT 'enrolment_count', 'one', NULL UNION ALL SELECT 'update_count', 'one', NULL UNION ALL SELECT 'age_0_18', 'one', NULL""",
+    lambda s, d: prf.pairwise_pearson(dirty_fact(s, d).withColumn("one", F.lit(0.1))),
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS column1, '{b}' AS column2, {f'corr({a}, {b})' if b != 'one' else 'NULL'} AS correlation FROM {'dirty' if b != 'one' else '(SELECT 1)'}"
+        for i, a in enumerate((*NUMBERS, "one")) for b in (*NUMBERS, "one")[i + 1 :]
+    ),
 )
 case(
     "prf6_z_outliers", "#outlier_count ~outlier_percentage #extreme_outlier_count", lambda s, d: prf.z_outliers(trade_fact(s, d)),
@@ -615,7 +689,7 @@ case(
     """SELECT state, year_month, (enrolment_count_sum - avg(enrolment_count_sum) OVER ()) / stddev_pop(enrolment_count_sum) OVER () AS enrolment_count_sum_std,
         (coalesce(mom_growth, 0) - avg(coalesce(mom_growth, 0)) OVER ()) / stddev_pop(coalesce(mom_growth, 0)) OVER () AS mom_growth_std FROM agg""",
 )
-case("ano3_isolation_forest", "state year_month #is_anomaly ~anomaly_score", _forest)
+case("ano3_isolation_forest", "state year_month #is_anomaly ~anomaly_score", _forest, models.forest_sql("lof_points", 3))
 case("ano4_lof", "state year_month #is_anomaly ~anomaly_score", _lof, "SELECT * FROM lof_scored")
 case("ano5_confidence", "state year_month ~anomaly_score anomaly_confidence", lambda s, d: ano.confidence(scored_of(s, d)), "SELECT * FROM banded")
 case(
@@ -637,13 +711,18 @@ case("ano_detect_pipeline", "state year_month #is_anomaly ~anomaly_score anomaly
 # --- clusters ---------------------------------------------------------------
 
 case("clu1_state_features", FEATURES, lambda s, d: clu.state_features(scored_of(s, d)), "SELECT * FROM state_features")
-case("clu2_kmeans", "state #cluster cluster_label", lambda s, d: clu.kmeans_states(clu.state_features(scored_of(s, d)), ClusterCfg()))
+case("clu2_kmeans", "state #cluster cluster_label", lambda s, d: clu.kmeans_states(clu.state_features(scored_of(s, d)), ClusterCfg()), models.kmeans_sql("state_features", FEATURE_COLS))
 case("clu3_silhouette", "~silhouette", lambda s, d: clu.silhouette(labelled_of(s, d), ["total_enrolments", "avg_growth", "avg_update_ratio"]), "SELECT silhouette FROM silhouettes")
+case("clu3_squared_silhouette", "~silhouette", lambda s, d: clu.squared_silhouette(labelled_of(s, d), ["total_enrolments", "avg_growth", "avg_update_ratio"]), f"""
+    SELECT avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (
+      SELECT state, max(CASE WHEN c = oc THEN n END) AS size, max(CASE WHEN c = oc AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN c <> oc THEN s / n END) AS b
+      FROM (SELECT a.state, a.cluster AS c, b.cluster AS oc, sum({_D3} * {_D3}) AS s, count(*) AS n FROM label_points AS a CROSS JOIN label_points AS b GROUP BY 1, 2, 3) GROUP BY 1)""")
 case("clu4_cluster_stats", "#cluster #state_count states ~avg_total_enrolments ~avg_avg_enrolments ~avg_avg_update_ratio ~avg_avg_growth ~avg_anomaly_frequency", lambda s, d: clu.cluster_stats(labelled_of(s, d)), """
     SELECT cluster, count(*) AS state_count, array_to_string(list_sort(list(state))[1:5], ', ') AS states, avg(total_enrolments) AS avg_total_enrolments, avg(avg_enrolments) AS avg_avg_enrolments,
       avg(avg_update_ratio) AS avg_avg_update_ratio, avg(avg_growth) AS avg_avg_growth, avg(anomaly_frequency) AS avg_anomaly_frequency FROM labelled GROUP BY 1""")
 case("clu5_describe_clusters", "state #cluster cluster_description ~total_enrolments", lambda s, d: clu.describe_clusters(labelled_of(s, d)), "SELECT * FROM described")
-case("clu6_pca_2d", "state ~x ~y", lambda s, d: clu.pca_2d(labelled_of(s, d)))
+# Nine digits of the larger axis: the second one rests on differences of its squares.
+case("clu6_pca_2d", "state ~x ~y", lambda s, d: clu.pca_2d(labelled_of(s, d)).withColumns({c: F.col(c) / 1000 for c in "xy"}), f"SELECT state, x / 1000 AS x, y / 1000 AS y FROM ({models.pca_sql('labelled', FEATURE_COLS)})")
 
 # --- risk -------------------------------------------------------------------
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionlens.config import CleanCfg, ClusterCfg
+from regionlens.operators import aggregate, profile, states
 from regionlens.plans import pipeline
 from regionlens.sources import readers, sinks
 from regionlens.sources.adapters import dirty_fact, trade_fact
@@ -60,6 +61,87 @@ def test_truncated_file_is_never_read_in_part(spark, tmp_path):
     assert len(rejected) == 1 and rejected[0].source_file.endswith("bad.csv.gz") and rejected[0].fields is None
 
 
+@pytest.fixture
+def small_ranges(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "700b", "spark.sql.files.openCostInBytes": "1b"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_one_file_with_line_breaks_is_read_by_many_tasks(spark, tmp_path, small_ranges):
+    import csv
+    import random
+
+    rnd = random.Random(4)
+    want = []
+    with (tmp_path / "a.csv").open("w", newline="") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(["n", "the text", "m"])
+        for i in range(400):
+            text = "".join(rnd.choice(["a", "b,", '"', "\n", ' "x" ', "\n\n"]) for _ in range(rnd.choice([1, 5, 40, 900 if i == 77 else 9])))
+            out.writerow([i, text, rnd.choice([i, ""])])
+            want.append(text)
+    df = readers.read_csv_dir(spark, str(tmp_path), multi_line=True, order="seq", provenance=True)
+    got = df.orderBy("seq").collect()
+    assert [r["n"] for r in got] == list(range(400)) and [r["the text"] for r in got] == want
+    assert {r["source_file"] for r in got} == {"a.csv"} and dict(df.dtypes)["m"] == "int"
+    assert len({r["seq"]["start"] for r in got}) > 10
+    assert rows(readers.csv_rejects(spark, str(tmp_path), multi_line=True)) == []
+
+
+def test_quotes_inside_fields_open_nothing(spark, tmp_path, small_ranges):
+    lines = ["n,text"] + [f'{i},5" disk' if i % 3 else f'{i},"two\r\nlines ""q"""' for i in range(200)]
+    (tmp_path / "a.csv").write_bytes("\r\n".join(lines).encode())
+    got = readers.read_csv_dir(spark, str(tmp_path), multi_line=True).orderBy("n").collect()
+    assert [(r["n"], r["text"]) for r in got] == [(i, '5" disk' if i % 3 else 'two\r\nlines "q"') for i in range(200)]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_one_json_array_is_read_by_many_tasks(spark, tmp_path, small_ranges, indent):
+    import random
+
+    rnd = random.Random(5)
+    want = [
+        {"n": i, "text": "".join(rnd.choice(["a", "}", "{", '"', "]", "\\", "\n", "é"]) for _ in range(rnd.choice([1, 9, 900 if i == 50 else 3]))), "deep": {"list": [{"x": i}, {}], "m": {}}}
+        for i in range(300)
+    ]
+    (tmp_path / "a.json").write_text(json.dumps(want, indent=indent))
+    (tmp_path / "b.json").write_text("\n".join(json.dumps({"n": 300 + i}) for i in range(100)))
+    (tmp_path / "c.json").write_text(json.dumps({"n": 400, "text": "one object"}, indent=2))
+    (tmp_path / "d.json").write_text("[]")
+    got = readers.read_json(spark, str(tmp_path), multi_line=True).orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(401))
+    assert [r["text"] for r in got[:300]] == [w["text"] for w in want] and got[7]["deep"]["list"][0]["x"] == 7
+    from regionlens.sources import ranges
+
+    cut = ranges.records(spark, [str(tmp_path / "a.json")], ranges.JsonCutter)
+    assert cut.select("start").distinct().count() > 10
+    typed = readers.read_json(spark, str(tmp_path), T.StructType([T.StructField("n", T.DoubleType())]), multi_line=True)
+    assert typed.agg(F.sum("n")).first()[0] == sum(range(401))
+
+
+def test_survey_finds_headers_encodings_and_faults(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbfstate,n\nA,1\n")
+    (tmp_path / "b.csv").write_bytes(b"state,n\nS\xe9o,1\n")
+    (tmp_path / "c.csv").write_bytes(b"")
+    whole = gzip.compress(b"state,n\n" + bytes(range(65, 91)) * 3000)
+    (tmp_path / "d.csv.gz").write_bytes(whole)
+    (tmp_path / "e.csv.gz").write_bytes(whole + whole)
+    (tmp_path / "f.csv.gz").write_bytes(whole[:-20])
+    (tmp_path / "g.csv.gz").write_bytes(whole[:40] + b"xxxx" + whole[44:])
+    files = readers.list_files(spark, str(tmp_path))
+    found = {f.rsplit("/", 1)[-1]: s for f, s in readers.survey(spark, files, check=True).items()}
+    assert [found[f"{c}"].header for c in ("a.csv", "b.csv", "c.csv", "d.csv.gz")] == ["state,n", "state,n", None, "state,n"]
+    assert [found[c].utf8 for c in ("a.csv", "b.csv")] == [True, False]
+    assert {c for c, s in found.items() if s.fault} == {"f.csv.gz", "g.csv.gz"}
+
+
 def test_order_column_follows_the_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("n,v\n" + "".join(f"{i},9\n" for i in range(50)))
     (tmp_path / "b + c.csv").write_text("v,n\n1,0\n1,1\n")
@@ -126,6 +208,47 @@ def test_table_round_trip(spark, tmp_path, fmt):
     assert back["tags"] == ("x; y" if fmt == "csv" else ["x", "y"])
 
 
+def test_appended_states_equal_the_full_run(spark, tmp_path):
+    """Batches that share months, a batch repeated, a late batch: only its months are rewritten."""
+    import random
+
+    rnd = random.Random(3)
+    facts = [(dt.date(2024, rnd.randint(1, 6), rnd.randint(1, 28)), rnd.choice(["A", "B", None]), rnd.choice([None, rnd.gauss(1e6, 3.0)]), float(rnd.randint(0, 9))) for _ in range(500)]
+    df = spark.createDataFrame(facts, "date date, state string, enrolment_count double, update_count double")
+    path = str(tmp_path / "states")
+    early, late = df.where("date < '2024-05-10'"), df.where("date >= '2024-05-10'")
+    assert states.append_states(early, path, "one") == [f"2024-0{m}" for m in range(1, 6)]
+    kept = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "states" / "year_month=2024-03").iterdir()}
+    for _ in range(2):
+        assert states.append_states(late, path, "two") == ["2024-05", "2024-06"]
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "states" / "year_month=2024-03").iterdir()} == kept
+    assert states.append_states(df.limit(0), path, "none") == []
+    got = states.aggregate_of_states(states.load_states(spark, path))
+    want = aggregate.monthly_aggregate(df)
+    assert set(got.columns) == set(want.columns)
+    pairs = zip(got.orderBy("state", "year_month").collect(), want.orderBy("state", "year_month").collect(), strict=True)
+    for a, b in pairs:
+        for c in want.columns:
+            assert a[c] == pytest.approx(b[c], rel=1e-6, abs=1e-9) if isinstance(b[c], float) else a[c] == b[c], c
+
+
+def test_profiles_of_any_months_from_states(spark):
+    df = spark.range(40_000).select(
+        F.date_add(F.lit("2023-01-01").cast("date"), (F.col("id") % 700).cast("int")).alias("date"),
+        (F.col("id") % 9000).alias("k"), F.when(F.col("id") % 4 > 0, F.col("id").cast("string")).alias("t"), (F.col("id") % 7 * 0.5 - 0.0).alias("v"),
+    )
+    stored = states.profile_states(df)
+    for first, last in ((None, None), ("2023-03", "2023-08"), ("2024-01", None)):
+        part = df.where(F.date_format("date", "yyyy-MM").between(first or "0", last or "9"))
+        exact = {r["column"]: r for r in profile.column_profile(part).collect()}
+        got = {r["column"]: r for r in states.profile_of_states(stored, first, last).collect()}
+        assert got.keys() == exact.keys()
+        for c, r in got.items():
+            assert r["missing_count"] == exact[c]["missing_count"] and r["dtype"] == exact[c]["dtype"]
+            # Four standard errors of 4,096 cells.
+            assert r["unique_values"] == pytest.approx(exact[c]["unique_values"], rel=4 * 1.04 / 64)
+
+
 def test_nan_becomes_null(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,)], "v double")
     assert rows(readers.nan_to_null(df)) == [(1.0,), (None,)]

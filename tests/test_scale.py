@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from regionlens.config import ClusterCfg, ForestCfg, LofCfg
 from regionlens.functions.globalindex import sliced, with_global_index
-from regionlens.functions.quantile import quantiles, quantiles_of_counts, value_counts
-from regionlens.operators import anomalies, calendar, cluster, iforest, lof, similarity
+from regionlens.functions.quantile import bracket_aggregates, quantiles, settle
+from regionlens.operators import anomalies, boxes, calendar, cluster, iforest, lof, profile, similarity
 
 
 @pytest.fixture(scope="module")
@@ -24,28 +24,45 @@ def hot(spark):
     return spark.createDataFrame(data, "seq long, state string, v double")
 
 
-@pytest.mark.parametrize("at_once", [10, 1_000_000])
-def test_quantiles_match_numpy(spark, hot, at_once):
+def test_quantiles_match_numpy(spark, hot):
     probs = [0.0, 0.1, 0.25, 0.333, 0.5, 0.9, 0.999, 1.0]
     df = hot.select("v", (F.col("seq") % 7).cast("double").alias("few"), F.lit(None).cast("double").alias("none"))
-    got = quantiles_of_counts(value_counts(df, df.columns), df.columns, probs, at_once)
+    got = quantiles(df, df.columns, probs)
     data = df.toPandas()
     for c in ("v", "few"):
         assert got[c] == pytest.approx(list(np.quantile(data[c], probs)))
     assert got["none"] == [None] * len(probs)
 
 
-@pytest.mark.parametrize("sketch,few", [(20, 3), (100, 10), (10_000, 10_000)])
-def test_brackets_match_numpy(spark, sketch, few):
-    from regionlens.functions.quantile import _bracketed
-
+@pytest.mark.parametrize("sketch,slack,few", [(8, 0.2, 50), (8, 0.0, 10), (100, 0.01, 0), (4000, 0.0015, 50_000)])
+def test_brackets_match_numpy(spark, sketch, slack, few):
+    """Also with sketches that miss ranks, and where every bracket is narrowed before it is read."""
     rng = np.random.default_rng(4)
-    data = {"a": rng.normal(size=6000), "b": np.where(rng.random(6000) < 0.6, 0.0, rng.exponential(size=6000)), "c": rng.integers(0, 9, 6000) * 1.0}
-    df = spark.createDataFrame(list(zip(*[v.tolist() for v in data.values()])), "a double, b double, c double").repartition(6)
+    n = 6000
+    data = {
+        "a": rng.normal(size=n),
+        "b": np.where(rng.random(n) < 0.6, 0.0, rng.exponential(size=n)),
+        "c": rng.integers(0, 9, n) * 1.0,
+        "d": np.where(rng.random(n) < 0.01, -np.inf, np.exp(rng.normal(size=n) * 40)),
+    }
+    texts = [f"t{int(x)}" if x else None for x in data["c"]]
+    df = spark.createDataFrame(list(zip(*[v.tolist() for v in data.values()], texts)), "a double, b double, c double, d double, t string").repartition(6)
     probs = [0, 0.013, 0.25, 0.5, 0.9, 1]
-    got = _bracketed(df, list(data), probs, sketch, few)
+    first = df.agg(*bracket_aggregates(df, list(data), probs, sketch, slack)).first().asDict()
+    got, modes = settle(df, list(data), probs, first, ["t"], sketch, slack, few)
     for c, v in data.items():
-        assert got[c] == pytest.approx(list(np.quantile(v, probs)))
+        if c == "d":
+            v, p = np.sort(v), [p for p in probs if p > 0.02]
+            assert got[c][2:] == pytest.approx(list(np.quantile(v, p)))
+        else:
+            assert got[c] == pytest.approx(list(np.quantile(v, probs)))
+    counts = {t: texts.count(t) for t in set(texts) - {None}}
+    assert modes == {"t": min(counts, key=lambda t: (-counts[t], t))}
+
+
+def test_aggregates_do_not_grow_with_ranks(spark, hot):
+    few, many = (bracket_aggregates(hot, ["v", "seq"], [i / k for i in range(k + 1)]) for k in (1, 50))
+    assert len(few) == len(many) == 4
 
 
 def test_quantiles_skip_nan_and_null(spark):
@@ -144,12 +161,54 @@ def test_similar_pairs_match_all_pairs(spark, least):
     assert all(got[k] == pytest.approx(want[k]) for k in got)
 
 
-def test_boxes_split_skewed_data():
+@pytest.mark.parametrize("least", [0.1, 0.7])
+def test_similar_pairs_on_shared_dates(spark, least):
+    """All regions have all dates, but most of their counts in one season: other seasons are never compared."""
+    rng = np.random.default_rng(12)
+    data = []
+    for i in range(60):
+        season = i % 4
+        for day in range(48):
+            data.append((f"S{i:02d}", f"2024-{day // 4 + 1:02d}-{day % 4 + 1:02d}", float(rng.exponential() * (100 if day // 12 == season else 0.01))))
+    df = spark.createDataFrame(data, "state string, date string, enrolment_count double")
+    got = {(r.state1, r.state2): r.similarity for r in similarity.similar_pairs(df, least, block=5).collect()}
+    want = {(r.state1, r.state2): r.similarity for r in similarity.cosine_pairs(df).collect() if r.similarity >= least}
+    assert got.keys() == want.keys() and len(got) > 50
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+    cells = similarity._cells(df, "date")
+    unit = cells.join(similarity._norms(cells), "state").select("state", "date", (F.col("total") / F.col("norm")).alias("x"))
+    blocks = similarity.blocked(unit, 5)
+    sizes = {r["block"]: r["count"] for r in blocks.groupBy("block").count().collect()}
+    compared = sum(sizes[r["b1"]] * sizes[r["b2"]] for r in similarity.block_pairs(blocks, least).collect())
+    assert max(sizes.values()) == 5 and compared < 0.4 * 60 * 60 / 2 + 60 * 5
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_boxes_of_skewed_data(spark, few, monkeypatch):
+    """No box above its size, whatever the data; every point in one box, and every box a ball meets is found."""
+    monkeypatch.setattr(boxes, "FEW_NODES", few)
     rng = np.random.default_rng(6)
-    x = np.column_stack([np.where(rng.random(20_000) < 0.6, 0.0, 50 * rng.random(20_000)), rng.random((20_000, 2))])
-    space = lof.Boxes.split(x, 64, 3)
-    held = np.bincount(space.of(x))
-    assert len(held) == 64 and held.max() <= 4 * len(x) / 64
+    n = 4000
+    x = np.column_stack([np.where(rng.random(n) < 0.6, 0.0, 50 * rng.random(n)), np.where(rng.random(n) < 0.999, 1.0, 9.0), rng.random(n)])
+    df = spark.createDataFrame([(i, 1, *map(float, r)) for i, r in enumerate(x)], "pid long, copies long, x0 double, x1 double, x2 double").repartition(5)
+    xs = ["x0", "x1", "x2"]
+    cut = boxes.cut_boxes(df, xs, 50)
+    placed = cut.placed.toPandas()
+    assert sorted(placed["pid"]) == list(range(n)) and placed.groupby("box").size().max() <= 50
+    corners = {r["node"]: (np.array(r["low"]), np.array(r["high"])) for r in cut.nodes.where("leaf").collect()}
+    assert sum(placed.groupby("box").size()) == n and set(placed["box"]) == set(corners)
+    some = df.where("pid < 40").withColumn("reach", F.col("pid") * 0.1)
+    got = {(r["pid"], r["box"]) for r in boxes.touched(some, xs, cut).collect()}
+    want = set()
+    for p in range(40):
+        for box, (low, high) in corners.items():
+            if np.sqrt((np.maximum(np.maximum(low - x[p], x[p] - high), 0) ** 2).sum()) <= p * 0.1 * (1 + 1e-9):
+                want.add((p, box))
+    assert got == want
+    # The node above a box with at most 60 rows holds more of them, and the box itself.
+    for r in boxes.around(cut, 60).collect():
+        inside = ((x >= np.array(r["far_low"])) & (x <= np.array(r["far_high"]))).all(axis=1)
+        assert inside.sum() > 60 and inside[placed.loc[placed["box"] == r["box"], "pid"]].all()
 
 
 @pytest.mark.parametrize("leaf_rows", [10, 100])
@@ -266,6 +325,80 @@ def test_kmeans_separates_groups_and_ignores_partitioning(spark):
     assert cluster.kmeans_states(df.limit(1)).first()["cluster_label"] == "Cluster 1"
 
 
+@pytest.mark.parametrize("k,restarts", [(3, 4), (5, 1), (8, 10)])
+def test_kmeans_matches_plain_rounds(spark, k, restarts):
+    """Farthest-point seeds and Lloyd rounds written out for one array, with copies and ties among the regions."""
+    rng = np.random.default_rng(k)
+    x = np.vstack([rng.normal(c, 0.4, (12, 2)) for c in (0, 3, 8)] + [np.tile([[1.0, 1.0]], (9, 1))])
+    names = [f"S{i:02d}" for i in rng.permutation(len(x))]
+    df = spark.createDataFrame([(s, float(a), float(b)) for s, (a, b) in zip(names, x)], "state string, a double, b double")
+    got = {r["state"]: r["cluster"] for r in cluster.kmeans_states(df.repartition(6), ClusterCfg(k=k, restarts=restarts)).collect()}
+    order = np.argsort(names)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    z = (np.round(z * cluster.UNIT) / cluster.UNIT)[order]
+    best = None
+    for first in np.argsort(-(z**2).sum(axis=1), kind="stable")[:restarts]:
+        centres = [z[first]]
+        while len(centres) < k:
+            centres.append(z[np.argmax(np.min([((z - c) ** 2).sum(axis=1) for c in centres], axis=0))])
+        centres = np.array(centres)
+        while True:
+            d = ((z[:, None] - centres[None]) ** 2).sum(axis=2)
+            near = d.argmin(axis=1)
+            new = np.array([z[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(k)])
+            if np.allclose(new, centres, rtol=0, atol=0):
+                break
+            centres = new
+        cost = d.min(axis=1).sum()
+        if best is None or cost < best[0] - 1e-9:
+            best = (cost, near)
+    first = {}
+    for c in best[1]:
+        first.setdefault(c, len(first))
+    assert [got[s] for s in sorted(names)] == [first[c] for c in best[1]]
+
+
+def test_squared_silhouette_matches_brute_force(spark):
+    df = regions(spark)
+    pdf = df.toPandas()
+    x = pdf[["total_enrolments", "b"]].to_numpy()
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    label = pdf["cluster"].to_numpy()
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    out = []
+    for i in range(len(x)):
+        own = (label == label[i]).sum()
+        a = d[i, label == label[i]].sum() / max(own - 1, 1)
+        b = min(d[i, label == c].mean() for c in set(label) if c != label[i])
+        out.append((b - a) / max(a, b) if own > 1 else 0.0)
+    assert cluster.squared_silhouette(df, ["total_enrolments", "b"]).first()[0] == pytest.approx(np.mean(out))
+    assert cluster.squared_silhouette(df.withColumn("cluster", F.lit(0)), ["b"]).first()[0] is None
+
+
+def test_correlations_of_a_wide_table(spark):
+    """300 columns with gaps in one scan; far from zero, constant, and constant where the other has values."""
+    rng = np.random.default_rng(3)
+    n, d = 400, 300
+    x = rng.normal(size=(n, d)) * np.logspace(-3, 6, d) + 1e7
+    x[rng.random((n, d)) < 0.1] = np.nan
+    x[:, 7] = 0.1
+    x[:, 8] = np.where(np.isnan(x[:, 9]), x[:, 8], 3.3)
+    cells = ", ".join(f"c{i} double" for i in range(d))
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], cells).repartition(4)
+    got = {(r["column1"], r["column2"]): r["correlation"] for r in profile.pairwise_pearson(df).collect()}
+    assert len(got) == d * (d - 1) // 2
+    for i, j in [(0, 1), (7, 9), (8, 9), (3, 7), *rng.integers(10, d, (300, 2)).tolist()]:
+        if i == j:
+            continue
+        i, j = sorted((i, j))
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        a, b = x[both, i], x[both, j]
+        if a.std() < 1e-12 or b.std() < 1e-12:
+            assert got[f"c{i}", f"c{j}"] is None
+        else:
+            assert got[f"c{i}", f"c{j}"] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-6)
+
+
 def test_pca_matches_numpy(spark):
     df = regions(spark).withColumn("c", F.col("b") * 2 + F.col("total_enrolments"))
     cols = ["total_enrolments", "b", "c"]
