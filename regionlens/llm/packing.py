@@ -60,18 +60,23 @@ def best_lengths(lengths: Sequence[int], counts: Sequence[int], buckets: int) ->
     return chosen[::-1]
 
 
-def pack(docs: DataFrame, cfg: PackCfg = PackCfg(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, cfg: PackCfg = PackCfg(), id_col: str = "doc_id", text: str = "text", tokens: str | None = None
+) -> DataFrame:
     """Where every piece of every document goes.
 
     Returns ``doc_id, piece, n_tokens, bucket_len, batch, slot``; a batch is named by ``bucket_len`` and
-    ``batch`` and holds ``budget // bucket_len`` slots, at least one.  Tokens are the words of a text and one end, so
+    ``batch`` and holds ``budget // bucket_len`` slots, at least one.  ``tokens`` names a column with the number of ids of each text, as
+    ``token_counts`` gives it (NULL counts as none), and texts are not looked at; pieces are then cut by token and batches keep
+    their budget whatever the script.  Without it tokens are the words of a text.  One end is added to either, so
     NULL and empty texts have one token.  Repeated rows each get a place (which of them gets which is open), NULL
     ids come first, other columns are ignored, an empty table gives an empty one.
 
     Only lengths are shuffled, never texts.  The numbers inside a bucket come from ranges of (bucket, document,
     piece) and one offset per range, so a bucket with most of the rows is spread over many tasks.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), (F.size(words_of(F.col(text))) + 1).alias("n"))
+    n = F.size(words_of(F.col(text))) if tokens is None else F.coalesce(F.col(tokens), F.lit(0)).cast("int")
+    sized = docs.select(F.col(id_col).alias("doc_id"), (n + 1).alias("n"))
     top = F.lit(cfg.max_len)
     pieces = written(
         sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / top).cast("int") - 1))).select(

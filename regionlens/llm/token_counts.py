@@ -11,8 +11,10 @@ bounded size, as deterministic automata of regular expressions are.
 No piece has a blank mark behind another character and none holds a line end, so a blank that follows a
 non-blank, a line end, and what follows a line end are read from the start state.
 The stretch between two such cuts is a path from the start state to itself; its sum is kept as one composed arc.
-A chunk of text is then a small map: its open head, the sum between its first and last cut, its open
-tail.  Maps compose associatively, and a long text is the prefix scan of the maps of its chunks.
+A chunk of text is then a map: its open head, the sum between its first and last cut, its open tail.  Heads and
+tails are lists of pieces of the text, never copies of more than one.  Maps compose associatively, so the map of a
+long text is a tree over those of its chunks; the pieces of a stretch without a cut are read one after the other from the state
+that the one before leads to.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ CHUNK = 1 << 16  # characters of one chunk
 LIMIT = 4096
 MOST_ARCS = 900_000  # compiled arcs before the tables start anew
 MOST_STRETCHES = 200_000  # composed arcs of each of two generations
+KEPT = 64  # characters of a stretch whose arc is kept
 STRETCH = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -157,51 +160,68 @@ class Transducer:
         else:  # no piece for the character: it becomes bytes, and nothing runs over it
             piece, count, keep, held = None, places[-1][1] + len(utf8(char)), "", ()
         content = keep, (*[(p, c - count) for p, c in [places[at] for at in held]], (piece, 0))
+        self.arcs[state][char] = arc = (self._state(content), count)
+        self.n_arcs += 1
+        return arc
+
+    def _state(self, content: tuple) -> int:
         to = self.states.get(content)
         if to is None:
             to = self.states[content] = len(self.content)
             self.content.append(content)
             self.arcs.append({})
-        self.arcs[state][char] = arc = (to, count)
-        self.n_arcs += 1
-        return arc
-
-    def stretch(self, text: str) -> int:
-        """Pieces of the text between two cuts, which is a path from the start."""
+        return to
+
+    def run(self, text: str, state: int = 0) -> tuple[int, int]:
+        """The state that ``text`` leads to from a state, and the pieces added on the way."""
+        if self.n_arcs >= self.most_arcs:
+            content = self.content[state]
+            self._forget()
+            state = self._state(content)
+        found, arcs = 0, self.arcs
+        for char in text:
+            state, change = arcs[state].get(char) or self._compile(state, char)
+            found += change
+        return state, found
+
+    def stretch(self, parts: tuple[str, ...]) -> int:
+        """Pieces of the text between two cuts, which is a path from the start; given in parts."""
+        if len(parts) != 1 or len(parts[0]) > KEPT:
+            state = found = 0
+            for part in parts:
+                for at in range(0, len(part), CHUNK):
+                    state, more = self.run(part[at : at + CHUNK], state)
+                    found += more
+            return found
+        text = parts[0]
         found = self.stretches.get(text)
         if found is None and (found := self.older.get(text)) is not None:
             self.stretches[text] = found
         if found is None:
-            if self.n_arcs >= self.most_arcs:
-                self._forget()
             if len(self.stretches) >= MOST_STRETCHES:
                 self.stretches, self.older = {}, self.stretches
-            state, found, arcs = 0, 0, self.arcs
-            for char in text:
-                state, change = arcs[state].get(char) or self._compile(state, char)
-                found += change
-            if len(text) <= 64:
-                self.stretches[text] = found
+            found = self.stretches[text] = self.run(text)[1]
         return found
 
     def chunk_map(self, chunk: str) -> ChunkMap:
         parts = STRETCH.findall(chunk)
         if len(parts) < 2:
-            return ChunkMap(chunk, 0, "", False)
+            return ChunkMap((chunk,) if chunk else (), 0, (), False)
         inner = parts[1:-1]
         counts = list(map(self.stretches.get, inner))
         if None in counts:
-            counts = [self.stretch(p) if n is None else n for p, n in zip(inner, counts)]
-        return ChunkMap(parts[0], sum(counts), parts[-1], True)
+            counts = [self.stretch((p,)) if n is None else n for p, n in zip(inner, counts)]
+        return ChunkMap((parts[0],), sum(counts), (parts[-1],), True)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """The map of two neighbouring chunks."""
-        if not a.head and not a.cut:
+        if not a.head:
             return b
-        if not b.head and not b.cut:
+        if not b.head:
             return a
         left = a.tail if a.cut else a.head
-        if b.head[0] == "\n" or left[-1] == "\n" or (b.head[0] == MARK and left[-1] != MARK):  # the seam is a cut
+        first, last = b.head[0][0], left[-1][-1]
+        if first == "\n" or last == "\n" or (first == MARK and last != MARK):  # the seam is a cut
             inner = (a.inner + self.stretch(left) if a.cut else 0) + (self.stretch(b.head) + b.inner if b.cut else 0)
             return ChunkMap(a.head, inner, b.tail if b.cut else b.head, True)
         seam = left + b.head
@@ -211,31 +231,27 @@ class Transducer:
             return ChunkMap(a.head, a.inner, seam, True)
         return ChunkMap(seam, b.inner, b.tail, b.cut)
 
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """Inclusive prefix scan by doubling: after step k every entry covers 2**k chunks."""
-        step = 1
-        while step < len(maps):
-            maps = maps[:step] + [self.compose(maps[i - step], maps[i]) for i in range(step, len(maps))]
-            step *= 2
-        return maps
+    def scan(self, maps: list[ChunkMap]) -> ChunkMap:
+        """The map of all chunks: neighbours are composed, then neighbours of these, until one is left."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         """Pieces of a text with a blank put in front, none for an empty text."""
         if not text:
             return 0
-        text = MARK + text.replace(" ", MARK)
-        if len(text) <= chunk:
-            whole = self.chunk_map(text)
-        else:
-            whole = self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])[-1]
+        starts = range(0, len(text), chunk)
+        maps = [self.chunk_map((MARK if i == 0 else "") + text[i : i + chunk].replace(" ", MARK)) for i in starts]
+        whole = self.scan(maps)
         return self.stretch(whole.head) + whole.inner + (self.stretch(whole.tail) if whole.cut else 0)
 
 
 @dataclass(frozen=True)
 class ChunkMap:
-    head: str  # up to the first cut; all of a chunk without cut
+    head: tuple[str, ...]  # up to the first cut, in parts; all of a chunk without cut
     inner: int  # pieces between the first and the last cut
-    tail: str  # behind the last cut
+    tail: tuple[str, ...]  # behind the last cut
     cut: bool
 
 
@@ -264,7 +280,8 @@ def token_counts(
 
     ``path`` is a sentencepiece BPE model without text normalisation; it must be readable on all executors.
     NULL counts as empty: no bytes, no tokens.  Repeated rows each get a row, NULL ids
-    stay NULL, other columns are ignored, an empty table gives an empty one.  There is no shuffle.
+    stay NULL, other columns are ignored, an empty table gives an empty one.  There is no shuffle.  A very long
+    text is read in chunks, one after the other where it has no blanks or line ends, and takes a few times its own size in memory.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))

@@ -150,6 +150,21 @@ def test_packing_of_odd_documents(odd, none, cfg):
     assert packing.pack(none, cfg).count() == 0
 
 
+def test_packing_by_token_counts(spark):
+    """Pieces and batches follow a column of counts: a long text without blanks is cut, and no batch passes its budget."""
+    from regionlens.llm import token_counts
+
+    rows = [(i, t) for i, t in enumerate(["日本語" * 400, "a b c", None, "", "word " * 300, "x" * 900])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = df.join(token_counts.token_counts(df).select("doc_id", "n_tokens"), "doc_id")
+    cfg = packing.PackCfg(max_len=64, buckets=4, budget=256)
+    got = packing.pack(counted, cfg, tokens="n_tokens").collect()
+    want = {r["doc_id"]: r["n_tokens"] + 1 for r in counted.collect()}
+    assert want[0] > 400 and {d: sum(r["n_tokens"] for r in got if r["doc_id"] == d) for d in want} == want
+    for key in {(r["bucket_len"], r["batch"]) for r in got}:
+        assert sum(r["bucket_len"] for r in got if (r["bucket_len"], r["batch"]) == key) <= cfg.budget
+
+
 def test_packing_query(spark, sf_dir):
     texts = [tuple(r) for r in queries.documents(spark, sf_dir).select("doc_id", "text").collect()]
     check_packing(queries.op9_packing(spark, sf_dir).collect(), texts, packing.PackCfg())
