@@ -15,13 +15,13 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from bisect import bisect_right
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +30,8 @@ BLOCK = 1 << 16  # ids after which a block is closed, at the end of a document
 SLAB_BYTES = 4_000_000
 SLAB_TEXTS = 2048
 GATHER = 100_000  # words whose ids are put in order at once
-MOST_WORDS = 300_000  # encoded words after which a worker keeps only those of the latest texts
+MOST_BYTES = 48 << 20  # of remembered words and their ids, after which a task keeps only those of the latest texts
+WORD_BYTES = 120  # what a remembered word takes besides its letters and ids
 BLOCKS = (
     "shard int, block int, local_start long, bits int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
 )
@@ -81,16 +82,14 @@ class Encoder:
     with a sign of their end.  Marks behind the letters are split off before the merges, by the library too.
     """
 
-    def __init__(self, path: str, most_words: int = MOST_WORDS):
+    def __init__(self, path: str, most_bytes: int = MOST_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.most_words = most_words
-        # Words met so far, their ids one after another and where those of each word begin.
-        self.words = pa.array([], pa.string())
-        self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.most_bytes = most_bytes
+        self._empty()
         self.letters = byte_letters()
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -166,43 +165,61 @@ class Encoder:
         self._others(others, known)
         return [known[w] for w in words]
 
-    def _lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _empty(self) -> None:
+        """No words; the arrays of their ids and of the places where those of each word begin have room to grow."""
+        self.place: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(1 << 16, "<u2" if self.size <= 1 << 16 else "<u4"), np.zeros(1 << 14, np.int64)
+        self.held = 0
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember words; what is known stays where it is."""
+        known = len(self.place)
+        begin, end = int(self.starts[known]), int(self.starts[known]) + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), self.ids.dtype)])
+        if known + len(words) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(words) + 1), np.int64)])
+        self.ids[begin:end] = ids
+        self.starts[known + 1 : known + 1 + len(words)] = begin + np.cumsum(sizes)
+        self.place.update(zip(words, range(known, known + len(words))))
+        self.held += sum(map(len, words)) + WORD_BYTES * len(words) + ids.nbytes
+
+    def _lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """First place and number of the ids of each of the different words, after learning those not known."""
-        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = words.take(pa.array(missing))
-            got = self._learn(new.to_numpy(zero_copy_only=False).tolist())
-            at[missing] = len(self.words) + np.arange(len(missing))
-            sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
-            self.words = pa.concat_arrays([self.words, new])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), "<u4")])
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = [words[i] for i in missing]
+            got = self._learn(new)
+            at[missing] = len(self.place) + np.arange(len(missing))
+            self._add(new, np.frombuffer(b"".join(got), "<u4").astype(self.ids.dtype), np.fromiter(map(len, got), np.int64, len(got)) // 4)
         return self.starts[at], self.starts[at + 1] - self.starts[at]
 
-    def _forget(self, words: pa.Array, starts: np.ndarray, sizes: np.ndarray) -> None:
+    def _forget(self, words: list[str], starts: np.ndarray, sizes: np.ndarray) -> None:
         """Keep only the words used last."""
         ends = np.cumsum(sizes)
-        places = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
-        self.words, self.ids, self.starts = words, self.ids[places], np.concatenate([[0], ends])
+        kept = self.ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self._empty()
+        self._add(words, kept, sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text ends. There are no NULLs among them."""
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        starts, sizes = self._lookup(coded.dictionary)
+        words = coded.dictionary.to_pylist()
+        starts, sizes = self._lookup(words)
         # From the ids of each different word to those of the words in their order.
         place = coded.indices.to_numpy(zero_copy_only=False)
         size = sizes[place]
         ends = np.cumsum(size)
-        out = np.empty(int(size.sum()), "<u4")
+        out = np.empty(int(size.sum()), self.ids.dtype)
         for at in range(0, len(place), GATHER):
             part, base = slice(at, at + GATHER), int(ends[at] - size[at])
             flat = np.repeat(starts[place[part]] - (ends[part] - size[part]), size[part])
             flat += np.arange(base, base + len(flat))
             out[base : base + len(flat)] = self.ids[flat]
-        if len(self.words) > self.most_words:
-            self._forget(coded.dictionary, starts, sizes)
+        if self.held > self.most_bytes:
+            self._forget(words, starts, sizes)
         lists = split.offsets.to_numpy()
         return out, np.concatenate([[0], ends])[lists[1:] - lists[0]]
 
@@ -240,14 +257,41 @@ def _slabs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
-def _blocks(path: str, end_id: int, bits: int):
+def _encoded(path: str, end_id: int, bounds: list[tuple]):
+    """Ids of every text where it is read, and the range that its document falls into."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _give_back()
-        shard = TaskContext.get().partitionId()
+        for batch in batches:
+            texts = batch.column("text")
+            texts = texts.fill_null("") if texts.null_count else texts
+            for at, to in _slabs(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+                gc.disable()  # many small objects, none in a cycle
+                got, stops = _encoder(path).encode(texts.slice(at, to - at))
+                gc.enable()
+                got = np.insert(got, stops, end_id)
+                ends = stops + np.arange(1, len(stops) + 1)
+                names, digests = (batch.column(c).slice(at, to - at) for c in ("doc_id", "digest"))
+                keys = zip(names.is_valid().to_pylist(), names.fill_null(0).to_pylist(), digests.to_pylist())
+                shards = [bisect_right(bounds, k) for k in keys]
+                offsets = pa.py_buffer((np.concatenate([[0], ends]) * got.itemsize).astype("<i4"))
+                ids = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(got)])
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), names, digests, ids], names=["shard", "doc_id", "digest", "ids"])
+        # A worker that waits for its next task holds no words.
+        _encoder(path)._empty()
+        _give_back()
+
+    return run
+
+
+def _blocks(bits: int, width: int):
+    """Blocks of whole documents from rows in the order of the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         ends: list[int] = []
-        done = held = block = 0
+        shard = done = held = block = 0
 
         def close() -> pa.RecordBatch:
             payload = pack(np.concatenate(ids), bits)
@@ -255,54 +299,69 @@ def _blocks(path: str, end_id: int, bits: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, ARROW)], schema=ARROW_SCHEMA)
 
         for batch in batches:
-            texts = batch.column("text")
-            texts = texts.fill_null("") if texts.null_count else texts
-            batch_names = batch.column("doc_id").to_pylist()
-            for at, to in _slabs(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
-                gc.disable()  # many small objects, none in a cycle
-                got, stops = _encoder(path).encode(texts.slice(at, to - at))
-                gc.enable()
-                got = np.insert(got, stops, end_id)
-                begin = 0
-                for name, stop in zip(batch_names[at:to], (stops + np.arange(1, len(stops) + 1)).tolist()):
-                    ids.append(got[begin:stop])
-                    held += stop - begin
-                    begin = stop
-                    names.append(name)
-                    ends.append(held)
-                    if held >= BLOCK:
+            for own, name, row in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
+                if own != shard:
+                    if names:
                         yield close()
-                        done, block, held = done + held, block + 1, 0
-                        ids, names, ends = [], [], []
+                    shard, done, held, block = own, 0, 0, 0
+                    ids, names, ends = [], [], []
+                ids.append(np.frombuffer(row.as_buffer(), f"<u{width}"))
+                held += len(ids[-1])
+                names.append(name)
+                ends.append(held)
+                if held >= BLOCK:
+                    yield close()
+                    done, block, held = done + held, block + 1, 0
+                    ids, names, ends = [], [], []
         if names:
             yield close()
-        ids, names, ends = [], [], []
-        _give_back()
 
     return run
 
 
+def _bounds(plain: DataFrame, ranges: int) -> list[tuple]:
+    """Where ranges of documents of about equal numbers begin, by id and digest, so that rows of one id are dealt as well."""
+    key = F.struct(F.col("doc_id").isNotNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.col("digest").alias("c"))
+    rows = (
+        plain.select("doc_id", "digest")
+        .repartitionByRange(ranges, "doc_id", "digest")
+        .groupBy(F.spark_partition_id().alias("part"))
+        .agg(F.min(key).alias("low"))
+        .collect()
+    )
+    return [tuple(r["low"]) for r in sorted(rows, key=lambda r: r["part"])][1:]
+
+
 def write_ids(
     docs: DataFrame, to: str, path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text: str = "text"
 ) -> None:
     """Encode every text, append ``end_id`` and write the blocks below ``to`` in ascending order of the ids.
 
-    NULL texts are empty, so they hold the end id alone; NULL ids come first; rows with equal ids follow
-    their texts.  Other columns are ignored.  The one shuffle deals ranges of ids to tasks; a shard is one
-    task's range and is encoded block by block, never held as a whole.
+    NULL texts are empty, so they hold the end id alone; NULL ids come first; rows with equal ids follow a
+    digest of their texts.  Other columns are ignored; an empty table writes no blocks.  Texts are encoded where they
+    are read, in slabs; only their ids are shuffled, once, to ranges of (id, digest), which split rows of one id too.
+    A shard is one range, written block by block and never held as a whole; a very long text is a slab and a block of
+    its own.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    bits = max(1, int(_encoder(path).size - 1).bit_length())
+    size = _encoder(path).size
+    bits = max(1, int(size - 1).bit_length())
     if end_id >= 1 << bits:
         raise ValueError("the end id does not fit the vocabulary")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("digest", F.xxhash64("text"))
     spark, rows = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     before = spark.conf.get(rows)
     # Texts are long; what is on its way between Spark and a worker should stay some megabytes.
     spark.conf.set(rows, str(SLAB_TEXTS))
     try:
-        ordered.mapInArrow(_blocks(path, end_id, bits), BLOCKS).write.parquet(to)
+        (
+            plain.mapInArrow(_encoded(path, end_id, _bounds(plain, ranges)), "shard int, doc_id long, digest long, ids binary")
+            .repartitionById(ranges, F.col("shard"))
+            .sortWithinPartitions("shard", "doc_id", "digest", "ids")
+            .mapInArrow(_blocks(bits, 2 if size <= 1 << 16 else 4), BLOCKS)
+            .write.parquet(to)
+        )
     finally:
         spark.conf.set(rows, before)
 

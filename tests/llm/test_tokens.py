@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -57,7 +58,28 @@ def test_chunk_maps_compose_in_any_grouping(machine):
     right = maps[-1]
     for m in reversed(maps[:-1]):
         right = machine.compose(m, right)
-    assert left == right == machine.scan(maps)[-1] == machine.chunk_map(text)
+    flat = lambda m: ("".join(m.head), m.inner, "".join(m.tail), m.cut)
+    assert flat(left) == flat(right) == flat(machine.scan(maps)) == flat(machine.chunk_map(text))
+
+
+def test_a_long_text_without_blanks(machine, library):
+    """A state goes from chunk to chunk: no text is held again for each of them."""
+    import tracemalloc
+
+    rnd = random.Random(6)
+    part = "".join(rnd.choice("abcdefghinorst日本é=") for _ in range(100_000))
+    text = part * 10
+    assert machine.count(text) == len(library.encode(text))
+    assert machine.count("no" * 300_000) == len(library.encode("no" * 300_000))
+    small = token_counts.Transducer(machine.scores, most_arcs=3000)
+    assert small.count(part) == len(library.encode(part))
+    long = part * 80
+    tracemalloc.start()
+    try:
+        machine.count(long)
+        assert tracemalloc.get_traced_memory()[1] < 10 * len(long)
+    finally:
+        tracemalloc.stop()
 
 
 def test_counts_of_odd_documents(odd, none, library):
@@ -82,9 +104,15 @@ def test_packing_round_trip(bits):
         assert token_ids.unpack(packed, bits, i, j).tolist() == ids[i:j].tolist()
 
 
+def digest(text):
+    """Spark's xxhash64 as a signed number; NULL has the seed."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (h >> 63 << 64)
+
+
 def expected(rows):
     tokenizer, start = Tokenizer.from_file(WORDS), 0
-    for name, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for name, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, digest(r[1]))):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
         yield name, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids
         start += len(ids)
@@ -108,6 +136,24 @@ def test_ids_query(spark, sf_dir):
     assert order(map(tuple, op7_token_ids(spark, sf_dir).collect())) == order([w[:4] for w in expected(rows)])
 
 
+def test_rows_without_id_are_dealt_to_many_shards(spark):
+    rows = [(None if i % 3 else i, f"text {i}") for i in range(900)]
+    at = scratch_path(spark, "ids")
+    token_ids.write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), at)
+    shards = spark.read.parquet(at).where("exists(doc_ids, x -> x IS NULL)").groupBy("shard").agg({"n_ids": "sum"}).collect()
+    assert len(shards) >= 4 and max(r[1] for r in shards) < 3 * min(r[1] for r in shards) + 2000
+    assert order(map(tuple, token_ids.digests(spark, at).collect())) == order([w[:4] for w in expected(rows)])
+
+
+def test_words_are_forgotten_and_learned_again():
+    tokenizer, mine = Tokenizer.from_file(WORDS), token_ids.Encoder(WORDS, most_bytes=5000)
+    rnd = random.Random(2)
+    for _ in range(30):
+        texts = [" ".join("".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(0, 40))) for _ in range(5)]
+        ids, ends = mine.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_special_strings_and_blanks_encode_alike():
     tokenizer, mine = Tokenizer.from_file(WORDS), token_ids.Encoder(WORDS)
     rnd = random.Random(4)
