@@ -18,6 +18,8 @@ interval; they are left out of the transforms before the suffixes are sorted.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionlens.functions.materialize import written
+from regionlens.functions.materialize import bucketed, written
 
 STOP, MARK = 0xFE, 0xFF  # end of a string and its anchor; neither byte occurs in UTF-8
 LAST = np.iinfo(np.int64).max  # where a document without id stands
@@ -40,10 +42,10 @@ PAD = 64  # bytes around the text of a block
 @dataclass(frozen=True)
 class SuffixCfg:
     span: int = 50  # bytes of a passage
-    anchor: int = 40  # bytes of the window that stands for one symbol; a multiple of 8
-    filter: int = 24  # bytes of the window that must occur in two documents; a multiple of 8
-    block_bytes: int = 8 << 20  # text of a block, of at least one document
-    bucket_bytes: int = 4 << 20  # text whose anchors one bucket holds
+    anchor: int = 44  # bytes of the window that stands for one symbol
+    filter: int = 24  # bytes of the window that must occur in two documents
+    block_bytes: int = 6 << 20  # text of a block, of at least one document
+    bucket_bytes: int = 3 << 20  # text whose anchors one bucket holds
     buckets: int = 64  # fewest buckets
 
 
@@ -79,7 +81,9 @@ def blocks(docs: DataFrame, id_col: str, text: str, cfg: SuffixCfg) -> DataFrame
             yield _block_row(block, ids, texts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    return written(rows.mapInArrow(run, "block long, bytes long, ids array<long>, sizes array<long>, text binary"))
+    # Both later passes join short rows to the blocks, which stay where they are.
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(rows.mapInArrow(run, "block long, bytes long, ids array<long>, sizes array<long>, text binary"), "block", ranges)
 
 
 def window_hashes(text: np.ndarray, size: int) -> np.ndarray:
@@ -135,6 +139,13 @@ def windows_at(text: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     return view[places]
 
 
+def window_keys(text: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` bytes at each place."""
+    whole = windows_at(text, places, -(-size // 8) * 8)
+    whole[:, size:] = 0
+    return mixed(whole.view("<u8"))
+
+
 class Block:
     """The documents of a block row as bytes, with the runs of starts that share an anchor."""
 
@@ -176,8 +187,8 @@ class Block:
     def shared_keys(self) -> tuple[np.ndarray, np.ndarray, tuple]:
         """The different filter windows of the block as sorted hashes, and whether two of its documents hold them."""
         first, count, at, doc = self.runs(self.cfg.filter)
-        h = mixed(windows_at(self.padded, at + PAD, self.cfg.filter).view("<u8"))
-        order = np.argsort(h, kind="stable")
+        h = window_keys(self.padded, at + PAD, self.cfg.filter)
+        order = np.argsort(h)
         own = h[order]
         new = np.ones(len(own), bool)
         new[1:] = own[1:] != own[:-1]
@@ -203,10 +214,17 @@ def _bits(total: int, cfg: SuffixCfg) -> int:
     return max(cfg.buckets, -(-total // cfg.bucket_bytes) - 1).bit_length() if cfg.buckets > 1 else 1
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, because an executor keeps more workers than it has cores."""
+    with contextlib.suppress(OSError, AttributeError):  # of the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+    _give_back()
 
 
 def _packed(columns: dict) -> pa.RecordBatch:
@@ -244,28 +262,31 @@ def met_elsewhere(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "bucket": table["bucket"], "mask": pa.array(masks, pa.binary())})
 
 
+def candidates(block: Block, masks: list[dict] | None, bits: int) -> np.ndarray:
+    """Starts of the block whose filter window a second document has, in this block or another."""
+    keys, shared, (first, count, back) = block.shared_keys()
+    found, begins, _ = key_parts(keys, bits)
+    masks = {m["bucket"]: m["mask"] for m in masks or []}
+    for b, lo, hi in zip(found.tolist(), begins[:-1], begins[1:]):
+        if b in masks:
+            shared[lo:hi] |= np.unpackbits(np.frombuffer(masks[b], np.uint8), count=hi - lo).astype(bool)
+    step = np.zeros(max(0, block.n - block.cfg.span + 1) + 1, np.int8)
+    hit = shared[back]
+    step[first[hit]] += 1
+    step[first[hit] + count[hit]] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8) > 0
+
+
 class Strings:
     """The different strings of a block, ordered by their anchor, and the runs that hold them."""
 
-    def __init__(self, block: Block, masks: list[dict] | None, bits: int):
+    def __init__(self, block: Block, only: np.ndarray):
         cfg = block.cfg
         self.block, side = block, cfg.span - cfg.anchor
-        keys, twice, (first, count, back) = block.shared_keys()
-        found, begins, _ = key_parts(keys, bits)
-        shared = twice.copy()
-        masks = {m["bucket"]: m["mask"] for m in masks or []}
-        for b, lo, hi in zip(found.tolist(), begins[:-1], begins[1:]):
-            if b in masks:
-                shared[lo:hi] |= np.unpackbits(np.frombuffer(masks[b], np.uint8), count=hi - lo).astype(bool)
-        step = np.zeros(max(0, block.n - cfg.span + 1) + 1, np.int8)
-        hit = shared[back]
-        step[first[hit]] += 1
-        step[first[hit] + count[hit]] -= 1
-        only = np.cumsum(step[:-1], dtype=np.int8) > 0
         self.first, self.count, self.place, self.doc = block.runs(cfg.anchor, only)
         left = self.place - self.first
         right = self.count - 1 + side - left
-        h = mixed(windows_at(block.padded, self.place + PAD, cfg.anchor).view("<u8"))
+        h = window_keys(block.padded, self.place + PAD, cfg.anchor)
         around = np.zeros((len(h), -(-(2 * side + 2) // 8) * 8), np.uint8)
         before = windows_at(block.padded, self.place + PAD - side, side)
         behind = windows_at(block.padded, self.place + PAD + cfg.anchor, side)
@@ -274,8 +295,13 @@ class Strings:
         around[:, side : 2 * side] = np.where(column < right[:, None], behind, 0)
         around[:, 2 * side], around[:, 2 * side + 1] = left, right
         words = np.column_stack([h, around.view("<u8")])
-        # Equal hashes of different strings would only keep repeats of one of them apart.
-        order = np.lexsort((mixed(words), h))
+        # Equal strings side by side.  Equal hashes of different ones would only keep repeats of one of them apart.
+        order = np.argsort(h)
+        again = np.zeros(len(h) + 1, bool)
+        again[1:-1] = h[order[1:]] == h[order[:-1]]
+        several = np.flatnonzero(again[1:] | again[:-1])
+        some = order[several]
+        order[several] = some[np.lexsort((mixed(words[some]), h[some]))]
         words = words[order]
         new = np.ones(len(words), bool)
         new[1:] = (words[1:] != words[:-1]).any(axis=1)
@@ -291,36 +317,49 @@ class Strings:
     def transform(self, side: int) -> tuple[np.ndarray, np.ndarray]:
         """Burrows-Wheeler transform of the strings and the string of each of its rows.
 
-        Suffixes are sorted by adding one symbol in front a round; a suffix is in its place as soon as it is whole.
-        Ends of strings come first and in the order of the strings.
+        Ends of strings come first, suffixes that begin with a byte next, those that begin with an anchor last; equal
+        suffixes follow the order of their strings, so the step from a suffix to the longer one keeps the order.
         """
         n = len(self.h)
-        size = self.left + self.right + 2
-        stops = np.cumsum(size) - 1
-        symbol = np.empty(int(size.sum()) if n else 0, np.uint8)
-        string = np.repeat(np.arange(n, dtype=np.int32), size)
-        symbol[stops] = STOP
-        marks = stops - self.right - 1
-        symbol[marks] = MARK
-        column = np.arange(side)
-        for keep, at, part in (
-            (column >= side - self.left[:, None], marks[:, None] - side + column, self.around[:, :side]),
-            (column < self.right[:, None], marks[:, None] + 1 + column, self.around[:, side : 2 * side]),
-        ):
-            symbol[at[keep]] = part[keep]
-        anchor = _ranks(self.h)
-        order = stops = stops.astype(np.int32)
-        while len(order) < len(symbol):
-            before = order - 1  # in front of a string stands the end of another, or the last end
-            key = symbol[before]
-            inside = key != STOP
-            before, key = before[inside], key[inside]
-            by = np.argsort(key, kind="stable")
-            before, key = before[by], key[by]
-            cut = np.searchsorted(key, MARK)
-            before[cut:] = before[cut:][np.argsort(anchor[string[before[cut:]]], kind="stable")]
-            order = np.concatenate([stops, before])
-        return symbol[order - 1], string[order]
+        strings = np.arange(n)
+        before = np.where(np.arange(side) >= side - self.left[:, None], self.around[:, :side].astype(np.uint16) + 1, 0)
+        behind = np.where(np.arange(side) < self.right[:, None], self.around[:, side : 2 * side].astype(np.uint16) + 1, 0)
+        # Order of the suffixes from the anchors: by anchor, then by what is behind it.
+        place = np.empty(n, np.int64)
+        place[_order(behind)] = strings
+        marks = np.argsort((_ranks(self.h) << 32) | place)
+        # Suffixes from behind the anchor, in the order of their strings, and from before it, in that of ``marks``.
+        whose = np.repeat(strings, self.right)
+        skip = np.arange(len(whose)) - np.repeat(np.cumsum(self.right) - self.right, self.right)
+        sizes = self.left[marks]
+        owner = np.repeat(marks, sizes)
+        size = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        text = np.zeros((len(whose) + len(owner), side + 1), np.uint16)
+        padded = np.concatenate([behind, np.zeros_like(behind)], axis=1)
+        column = np.arange(side + 1)
+        text[: len(whose), :side] = padded[whose[:, None], skip[:, None] + column[:side]]
+        ended = np.concatenate([before, np.full((n, 1), MARK + 1, np.uint16), np.zeros_like(before)], axis=1)
+        text[len(whose) :] = ended[owner[:, None], (side - size)[:, None] + column]
+        order = _order(text)
+        front = self.around  # the byte in front of a suffix
+        first = np.where(skip > 0, front[whose, side + skip - 1], MARK)
+        last = np.where(size < self.left[owner], front[owner, np.maximum(side - size - 1, 0)], STOP)
+        bytes_ = np.concatenate([first, last]).astype(np.uint8)[order]
+        stops = np.where(self.right > 0, front[strings, side + self.right - 1], MARK)
+        anchors_ = np.where(self.left > 0, front[:, side - 1], STOP)[marks]
+        rows = np.concatenate([strings, np.concatenate([whose, owner])[order], marks])
+        return np.concatenate([stops, bytes_, anchors_]).astype(np.uint8), rows
+
+
+def _order(text: np.ndarray) -> np.ndarray:
+    """Stable order of rows of symbols of nine bits, seven in a word."""
+    words = []
+    for at in range(0, text.shape[1], 7):
+        word = np.zeros(len(text), np.uint64)
+        for column in text[:, at : at + 7].T:
+            word = (word << np.uint64(9)) | column
+        words.append(word << np.uint64(9 * (7 - min(7, text.shape[1] - at))))
+    return np.argsort(words[0], kind="stable") if len(words) == 1 else np.lexsort(words[::-1])
 
 
 def _ranks(h: np.ndarray) -> np.ndarray:
@@ -330,14 +369,37 @@ def _ranks(h: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
+def _shrunk(values: np.ndarray) -> bytes:
+    """Numbers byte by byte: first all highest bytes, which are much the same, then the next."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T[::-1]
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def _grown(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes[::-1].T).view(kind).reshape(-1)
+
+
 def shard_transforms(bits: int, cfg: SuffixCfg):
     """For each block and bucket the transform of the block's strings with an anchor of that bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            strings = Strings(Block(row, cfg), row["masks"], bits)
+            block = Block(row, cfg)
+            only = candidates(block, row["masks"], bits)
+            strings = Strings(block, only)
             if not len(strings.h):
                 continue
+            # For the block itself: the candidates, so that they are not looked for again.
+            yield _packed(
+                {
+                    "bucket": pa.array([-1 - row["block"]], pa.int64()),
+                    "block": pa.array([row["block"]], pa.int64()),
+                    "anchors": pa.array([zstandard.compress(np.packbits(only).tobytes(), 1)], pa.binary()),
+                    "least": pa.array([b""], pa.binary()),
+                    "bwt": pa.array([b""], pa.binary()),
+                }
+            )
             bwt, string = strings.transform(cfg.span - cfg.anchor)
             found, begins, _ = key_parts(strings.h, bits)
             number = np.searchsorted(begins, string, side="right") - 1
@@ -350,9 +412,9 @@ def shard_transforms(bits: int, cfg: SuffixCfg):
                 {
                     "bucket": pa.array(found, pa.int64()),
                     "block": pa.array(np.full(len(found), row["block"]), pa.int64()),
-                    "anchors": pa.array([strings.h[a:b].tobytes() for a, b in spans], pa.binary()),
-                    "least": pa.array([strings.least[a:b].tobytes() for a, b in spans], pa.binary()),
-                    "bwt": pa.array([bwt[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                    "anchors": pa.array([_shrunk(strings.h[a:b]) for a, b in spans], pa.binary()),
+                    "least": pa.array([_shrunk(strings.least[a:b]) for a, b in spans], pa.binary()),
+                    "bwt": pa.array([_shrunk(bwt[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
                 }
             )
 
@@ -408,19 +470,24 @@ def interleave(bwt: np.ndarray, shard: np.ndarray, stops: np.ndarray, anchor: np
     place = np.arange(len(z))
     interval = np.zeros(len(z), np.int32)
     symbol = np.empty(len(z), np.uint8)
+    counts = np.bincount(bwt, minlength=256)[:STOP]
+    plain = int(counts.sum())
+    begins = np.cumsum(counts) - counts
+    begins = begins[counts > 0]
     for _ in range(rounds):
         symbol[place] = bwt
-        # Rows in the order of the symbol before them; rows before which a string begins have none.
-        by = np.argsort(symbol, kind="stable")
-        first_stop = np.searchsorted(symbol[by], STOP) if len(by) else 0
+        # Rows in the order of the byte before them, then those before which an anchor stands; where a string begins, nothing does.
+        by = np.argsort(symbol, kind="stable")[:plain]
         hit = place[marked]
         order = np.argsort((anchor.astype(np.uint64) << np.uint64(32)) | hit.astype(np.uint64))
-        source = np.concatenate([by[:first_stop], hit[order]])
-        group = symbol[source].astype(np.int64)
-        group[first_stop:] += anchor[order]
+        source = np.concatenate([by, hit[order]])
         same = interval[source]
-        new = np.ones(len(source), bool)
-        new[1:] = (group[1:] != group[:-1]) | (same[1:] != same[:-1])
+        new = np.empty(len(source), bool)
+        new[1:] = same[1:] != same[:-1]
+        new[begins] = True
+        own = anchor[order]
+        new[plain:][:1] = True
+        new[plain + 1 :] |= own[1:] != own[:-1]
         z = np.concatenate([ends, z[source]])
         interval = np.concatenate([np.zeros(len(ends), np.int32), np.cumsum(new, dtype=np.int32)])
         place = np.argsort(z, kind="stable")
@@ -433,9 +500,12 @@ def merge_transforms(cfg: SuffixCfg):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        bwts = [np.frombuffer(b, np.uint8) for b in table["bwt"].to_pylist()]
-        hashes = [np.frombuffer(a, np.uint64) for a in table["anchors"].to_pylist()]
-        least = np.concatenate([np.frombuffer(i, np.int64) for i in table["least"].to_pylist()])
+        if table["bucket"][0].as_py() < 0:
+            return table.select(["block", "bucket", "anchors"]).rename_columns(["block", "bucket", "flags"])
+        bwts, hashes, ids = (
+            [_grown(v, kind) for v in table[c].to_pylist()] for c, kind in (("bwt", np.uint8), ("anchors", np.uint64), ("least", np.int64))
+        )
+        least = np.concatenate(ids)
         sizes = np.array([len(b) for b in bwts])
         strings = np.array([len(h) for h in hashes])
         bwt = np.concatenate(bwts)
@@ -494,13 +564,13 @@ def kept_texts(bits: int, cfg: SuffixCfg, texts: bool):
 def removed(block: Block, row: dict, bits: int) -> np.ndarray:
     """Which bytes of a block go: those of passages that an earlier document has."""
     cfg, side = block.cfg, block.cfg.span - block.cfg.anchor
-    strings = Strings(block, row["masks"], bits)
-    gone = np.zeros(block.n, bool)
-    if not len(strings.h):
-        return gone
+    flags = {m["bucket"]: m["flags"] for m in row["flags"] or []}
+    if not flags:
+        return np.zeros(block.n, bool)
+    only = np.frombuffer(zstandard.decompress(flags[-1 - block.block]), np.uint8)
+    strings = Strings(block, np.unpackbits(only, count=block.n - cfg.span + 1).astype(bool))
     earlier = np.zeros((len(strings.h), side + 1), bool)
     found, begins, _ = key_parts(strings.h, bits)
-    flags = {m["bucket"]: m["flags"] for m in row["flags"]}
     for b, lo, hi in zip(found.tolist(), begins[:-1], begins[1:]):
         bitmap = np.frombuffer(flags[b], np.uint8)
         earlier[lo:hi] = np.unpackbits(bitmap, count=(hi - lo) * (side + 1)).reshape(hi - lo, side + 1)
@@ -544,7 +614,7 @@ def remove_repeats(
         .groupBy("block")
         .agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
     )
-    marked = written(cut.join(masks, "block", "left"))
+    marked = cut.join(masks, "block", "left")
     flags = (
         marked.mapInArrow(shard_transforms(bits, cfg), "bucket long, block long, anchors binary, least binary, bwt binary")
         .groupBy("bucket")
@@ -553,4 +623,4 @@ def remove_repeats(
         .agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
     )
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return marked.join(written(flags), "block", "left").mapInArrow(kept_texts(bits, cfg, texts), schema)
+    return cut.join(written(flags), "block", "left").mapInArrow(kept_texts(bits, cfg, texts), schema)
