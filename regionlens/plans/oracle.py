@@ -286,6 +286,22 @@ CTES: dict[str, str] = {
 }
 
 
+# The same steps over the cleaned facts, for the whole chain: names of their own, with outlier factors as scores.
+_CHAIN = (
+    "months", "agg", "lagged", "ml", "lof_points", "lof_fit", "lof_query", "lof_kdist", "lof_density", "lof_query_density", "lof_factors", "lof_scored",
+)
+
+
+def _chained(sql: str) -> str:
+    sql = re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join([*_CHAIN, 'scored', 'components'])})\b", r"\1\2chain_\3", sql)
+    return re.sub(r"\bFROM trade\b", "FROM cleaned", sql)
+
+
+CTES |= {f"chain_{name}": _chained(CTES[name]) for name in _CHAIN}
+CTES["chain_scored"] = "SELECT m.*, s.is_anomaly, s.anomaly_score FROM chain_ml AS m JOIN chain_lof_scored AS s USING (state, year_month)"
+CTES |= {f"chain_{name}": _chained(CTES[name]) for name in ("components", "risk")}
+
+
 def with_ctes(query: str) -> str:
     """``query`` preceded by the steps it needs, in their order."""
     needed: set[str] = set()

@@ -554,6 +554,11 @@ case(
     lambda s, d: mrt.extreme(agg_of(s, d).groupBy("year_month").agg(F.sum("enrolment_count_sum").alias("total")), "year_month", "total"),
     "SELECT year_month, sum(enrolment_count_sum) AS total FROM agg GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",
 )
+case(
+    "top4_least_month", "year_month ~total",
+    lambda s, d: mrt.extreme(agg_of(s, d).groupBy("year_month").agg(F.sum("enrolment_count_sum").alias("total")), "year_month", "total", largest=False),
+    "SELECT year_month, sum(enrolment_count_sum) AS total FROM agg GROUP BY 1 ORDER BY 2, 1 LIMIT 1",
+)
 case(
     "top5_top_anomalies", "state year_month ~enrolment_count_sum ~anomaly_score", lambda s, d: ano.top_anomalies(scored_of(s, d)),
     """SELECT state, year_month, enrolment_count_sum, round(anomaly_score, 3) AS anomaly_score FROM scored WHERE is_anomaly = 1
@@ -622,12 +627,14 @@ case(
     "SELECT count(*) AS total_records, 10 AS total_columns, min(date) AS min_date, max(date) AS max_date, count(DISTINCT state) AS states_count FROM trade",
 )
 case(
-    "prf3_quality_report", "#issue_count #score #tips",
-    lambda s, d: prf.quality_report(prf.column_profile(_mostly_missing(s, d)), has_date=False).withColumn("tips", F.size("recommendations")),
-    """SELECT n AS issue_count, 100 - 10 * n AS score, 1 + CASE WHEN n > 0 THEN 1 ELSE 0 END AS tips FROM (SELECT
-        CASE WHEN count(CASE WHEN seq % 3 = 0 THEN 1 END) < 0.5 * count(*) THEN 1 ELSE 0 END
-        + CASE WHEN count(CASE WHEN seq % 5 < 2 THEN 1 END) < 0.5 * count(*) THEN 1 ELSE 0 END
-        + CASE WHEN count(CASE WHEN seq % 5 < 3 THEN 1 END) < 0.5 * count(*) THEN 1 ELSE 0 END AS n FROM trade)""",
+    "prf3_quality_report", "#issue_count #score issues recommendations",
+    lambda s, d: prf.quality_report(prf.column_profile(_mostly_missing(s, d)), has_date=False).withColumns({c: F.array_join(c, "|") for c in ("issues", "recommendations")}),
+    """SELECT count(t) AS issue_count, 100 - 10 * count(t) AS score, coalesce(string_agg(t, '|' ORDER BY t), '') AS issues,
+        CASE WHEN count(t) > 0 THEN 'Consider data imputation for columns with high missing values|' ELSE '' END || 'No date column found. Temporal analysis will be limited' AS recommendations
+        FROM (SELECT CASE WHEN p > 50 THEN 'Column ' || chr(39) || c || chr(39) || ' has ' || printf('%.1f', p) || '% missing values' END AS t FROM (
+        SELECT 'district' AS c, count(CASE WHEN seq % 3 <> 0 THEN 1 END) / count(*) * 100 AS p FROM trade
+        UNION ALL SELECT 'enrolment_count', count(CASE WHEN seq % 5 >= 2 THEN 1 END) / count(*) * 100 FROM trade
+        UNION ALL SELECT 'update_count', count(CASE WHEN seq % 5 >= 3 THEN 1 END) / count(*) * 100 FROM trade))""",
 )
 _stats = lambda c: f"""SELECT '{c}' AS name, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max,
     sum({c}) AS sum, avg(pow({c} - m, 3)) / pow(stddev_pop({c}), 3) AS skewness, kurtosis_pop({c}) AS kurtosis, median({c}) AS median,
@@ -775,10 +782,11 @@ case(
 )
 case(
     "ins1_executive_summary",
-    "~total_enrolments ~avg_monthly_enrolments ~avg_growth_pct growth_trend #anomalies_detected ~anomaly_rate_pct #critical_risk_states #high_risk_states #findings",
-    _over_tables(ins.executive_summary, lambda df: df.withColumn("findings", F.size("key_findings"))),
-    """SELECT *, CASE WHEN avg_growth_pct > 0 THEN 'positive' ELSE 'negative' END AS growth_trend, CASE WHEN total_enrolments > 10000000 THEN 1 ELSE 0 END
-        + CASE WHEN anomaly_rate_pct > 5 THEN 1 ELSE 0 END + CASE WHEN critical_risk_states > 0 THEN 1 ELSE 0 END AS findings FROM (SELECT
+    "~total_enrolments ~avg_monthly_enrolments ~avg_growth_pct growth_trend #anomalies_detected ~anomaly_rate_pct #critical_risk_states #high_risk_states findings avg_growth_rate anomaly_rate",
+    _over_tables(ins.executive_summary, lambda df: df.withColumn("findings", F.array_join("key_findings", "|"))),
+    """SELECT *, CASE WHEN avg_growth_pct > 0 THEN 'positive' ELSE 'negative' END AS growth_trend, printf('%.1f%%', avg_growth_pct) AS avg_growth_rate, printf('%.1f%%', anomaly_rate_pct) AS anomaly_rate,
+        array_to_string(list_filter([CASE WHEN total_enrolments > 10000000 THEN 'Large-scale enrolment operations detected' END, CASE WHEN anomaly_rate_pct > 5 THEN 'Higher than expected anomaly rate' END,
+          CASE WHEN critical_risk_states > 0 THEN critical_risk_states || ' states require immediate attention' END], lambda x: x IS NOT NULL), '|') AS findings FROM (SELECT
         (SELECT sum(enrolment_count_sum) FROM agg) AS total_enrolments, (SELECT avg(t) FROM (SELECT sum(enrolment_count_sum) AS t FROM agg GROUP BY year_month)) AS avg_monthly_enrolments,
         (SELECT avg(mom_growth) * 100 FROM agg) AS avg_growth_pct, (SELECT sum(is_anomaly) FROM scored) AS anomalies_detected, (SELECT avg(is_anomaly) * 100 FROM scored) AS anomaly_rate_pct,
         (SELECT count(*) FROM risk WHERE risk_level = 'CRITICAL') AS critical_risk_states, (SELECT count(*) FROM risk WHERE risk_level = 'HIGH') AS high_risk_states)""",
@@ -804,10 +812,10 @@ case("ins11_strong_cluster", RULE, lambda s, d: ins.strong_cluster(labelled_of(s
       FROM (SELECT arg_max(cluster, m) AS top, max(m) AS a, min(m) AS b FROM (SELECT cluster, avg(total_enrolments * CASE WHEN cluster = 1 THEN 5.0 ELSE 1.0 END) AS m FROM labelled GROUP BY 1)) WHERE a > 2 * b""")
 case("ins_all_insights", "section " + RULE, _all_insights, "SELECT * FROM all_insights")
 case("ins12_recommendations", "category action description priority timeline responsible", _over_tables(ins.recommendations), "SELECT * FROM recommended")
-case("ins13_dashboard_insights", "type title action", lambda s, d: ins.dashboard_insights(dash_fact(s, d).withColumn("successful_enrolments", F.col("enrolments") * 0.95), risk_of(s, d)), """
-    SELECT 'success' AS type, 'Excellent Performance' AS title, 'Maintain current operational excellence' AS action FROM (SELECT sum(enrolments * 0.95) / sum(enrolments) * 100 AS r FROM dash) WHERE r > 90
-    UNION ALL SELECT 'warning', 'Anomalies Detected', 'Investigate detected anomalies in Anomalies tab' FROM (SELECT sum(is_anomaly) AS n FROM dash) WHERE n > 0
-    UNION ALL SELECT 'danger', 'Critical Risk Detected', 'Immediate action required - check Risks tab' FROM (SELECT count(*) AS n FROM risk WHERE risk_level = 'CRITICAL') WHERE n > 0""")
+case("ins13_dashboard_insights", "type title description action", lambda s, d: ins.dashboard_insights(dash_fact(s, d).withColumn("successful_enrolments", F.col("enrolments") * 0.95), risk_of(s, d)), """
+    SELECT 'success' AS type, 'Excellent Performance' AS title, 'Overall success rate: ' || printf('%.1f', r) || '%' AS description, 'Maintain current operational excellence' AS action FROM (SELECT sum(enrolments * 0.95) / sum(enrolments) * 100 AS r FROM dash) WHERE r > 90
+    UNION ALL SELECT 'warning', 'Anomalies Detected', n || ' anomalies need review', 'Investigate detected anomalies in Anomalies tab' FROM (SELECT sum(is_anomaly) AS n FROM dash) WHERE n > 0
+    UNION ALL SELECT 'danger', 'Critical Risk Detected', n || ' states at critical risk level', 'Immediate action required - check Risks tab' FROM (SELECT count(*) AS n FROM risk WHERE risk_level = 'CRITICAL') WHERE n > 0""")
 case("ins14_quick_insights", "top_state #anomaly_count #critical_count critical_states", _over_tables(lambda agg, scores, risk: ins.quick_insights(scores, risk)), """
     SELECT (SELECT state FROM agg GROUP BY 1 ORDER BY sum(enrolment_count_sum) DESC, state LIMIT 1) AS top_state, (SELECT sum(is_anomaly) FROM scored) AS anomaly_count,
       (SELECT count(*) FROM risk WHERE risk_level = 'CRITICAL') AS critical_count,
@@ -824,18 +832,50 @@ def _analyzed(s: SparkSession, d: str) -> DataFrame:
     return readers.load_table(s, "risk_scores", base).select("state", "risk_score", "risk_level")
 
 
+# Of every profile, sums that each of its values has a part in; the same sums in SQL, over the trade facts.
+_NUMBERS = ("enrolment_count", "update_count", "age_0_18", "age_19_40", "age_41_60", "age_60_plus")
+_over_trade = lambda parts: "SELECT sum(v) AS v FROM (" + " UNION ALL ".join(f"SELECT {p} AS v FROM trade" for p in parts) + ")"
+_frequency = lambda c: f"""SELECT sum(n * (n / t) + k * length({c})) AS v FROM (SELECT {c}, count(*) AS n, (SELECT count(*) FROM trade) AS t,
+    (SELECT count(DISTINCT {c}) FROM trade) AS k FROM trade GROUP BY 1)"""
+EXTRACTED = {
+    "temporal": ("sum(quarter * 10 + day_of_week + month + days_since_previous)", """
+        SELECT sum(quarter(date) * 10 + isodow(date) - 1 + month(date) + d) AS v FROM (SELECT date, date - lag(date) OVER (ORDER BY seq) AS d FROM (SELECT seq, CAST(date AS DATE) AS date FROM trade))"""),
+    "state_frequency": ("sum(n_records * frequency + n_distinct * length(value))", _frequency("state")),
+    "district_frequency": ("sum(n_records * frequency + n_distinct * length(value))", _frequency("district")),
+    "state_totals": ("sum(sqrt(total))", "SELECT sum(sqrt(t)) AS v FROM (SELECT sum(enrolment_count) AS t FROM trade GROUP BY state)"),
+    "top_states": ("sum(sqrt(total))", "SELECT sum(sqrt(t)) AS v FROM (SELECT state, sum(enrolment_count) AS t FROM trade GROUP BY state ORDER BY t DESC, state LIMIT 5)"),
+    "state_aggregates": ("sum(record_count * avg_enrolments + std_enrolments + total_enrolments)", """
+        SELECT sum(n * a + sd + t) AS v FROM (SELECT count(*) AS n, avg(enrolment_count) AS a, stddev_samp(enrolment_count) AS sd, sum(enrolment_count) AS t FROM trade GROUP BY state)"""),
+    "state_similarity": ("sum(similarity * similarity)", "SELECT sum(similarity * similarity) AS v FROM similar_pairs WHERE state1 < state2"),
+    "demographic": ("sum(sqrt(value))", """
+        SELECT sqrt(a) + sqrt(b) + sqrt(c) + sqrt(e) + sqrt(a / t * 100) + sqrt(b / t * 100) + sqrt(c / t * 100) + sqrt(e / t * 100) + sqrt(a / b) + sqrt(b / c) + sqrt(c / e) AS v
+        FROM (SELECT sum(age_0_18) AS a, sum(age_19_40) AS b, sum(age_41_60) AS c, sum(age_60_plus) AS e, sum(enrolment_count) AS t FROM trade)"""),
+    "statistical": ("sum(mean + std + median + percentile_25 + percentile_90 + kurtosis + min + max)", _over_trade(
+        f"avg({c}) + stddev_samp({c}) + median({c}) + quantile_cont({c}, 0.25) + quantile_cont({c}, 0.9) + kurtosis_pop({c}) + min({c}) + max({c})" for c in _NUMBERS)),
+    "correlation": ("sum(correlation)", _over_trade(f"corr({a}, {b})" for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1 :])),
+    "z_outliers": ("sum(outlier_count + 1000 * extreme_outlier_count)", """
+        SELECT count(CASE WHEN abs(z) > 2 THEN 1 END) + 1000 * count(CASE WHEN abs(z) > 3 THEN 1 END) AS v FROM (SELECT (enrolment_count - avg(enrolment_count) OVER ()) / stddev_samp(enrolment_count) OVER () AS z FROM trade)"""),
+    "iqr_outliers": ("sum(lower_bound + upper_bound * 10 + iqr_outlier_count)", """
+        SELECT max(q1 - 1.5 * (q3 - q1)) + 10 * max(q3 + 1.5 * (q3 - q1)) + count(CASE WHEN enrolment_count < q1 - 1.5 * (q3 - q1) OR enrolment_count > q3 + 1.5 * (q3 - q1) THEN 1 END) AS v
+        FROM trade, (SELECT quantile_cont(enrolment_count, 0.25) AS q1, quantile_cont(enrolment_count, 0.75) AS q3 FROM trade) AS q"""),
+    "temporal_outliers": ("sum(temporal_outlier_count)", """
+        SELECT count(CASE WHEN abs((r - m) / sd) > 2 THEN 1 END) AS v FROM (SELECT r, avg(r) OVER () AS m, stddev_samp(r) OVER () AS sd FROM
+        (SELECT enrolment_count - avg(enrolment_count) OVER (ORDER BY date, seq ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS r FROM trade))"""),
+}
+
+
 def _extracted(s: SparkSession, d: str) -> DataFrame:
-    """How many rows every profile of the order facts has."""
+    """Every profile of the order facts, and of each a sum over its values."""
     made = pipeline.extract_features(trade_fact(s, d))
-    counts = [f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("feature"), "n") for k, f in sorted(made.items())]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
+    out = None
+    for k, f in sorted(made.items()):
+        row = f.agg(F.expr(EXTRACTED[k][0]).cast("double").alias("value")).select(F.lit(k).alias("feature"), "value")
+        out = row if out is None else out.unionByName(row)
     return out
 
 
-case("pln1_analyze", "state ~risk_score risk_level", _analyzed)
-case("pln2_extract_features", "feature #n", _extracted)
+case("pln1_analyze", "state ~risk_score risk_level", _analyzed, "SELECT * FROM chain_risk")
+case("pln2_extract_features", "feature ~value", _extracted, " UNION ALL ".join(f"SELECT '{k}' AS feature, v AS value FROM ({sql})" for k, (_, sql) in EXTRACTED.items()))
 
 # --- marts ------------------------------------------------------------------
 
