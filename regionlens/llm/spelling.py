@@ -29,9 +29,8 @@ from regionlens.llm.components import _tops
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 PIECE = 1 << 20  # characters of a text whose runs are listed at once
 HELD = 200_000  # different words a task counts before it hands them on
-BLOCK = 512  # pairs below a trie node that are compared without going deeper
-PAIRS = 1 << 18  # pairs compared at once
-LONG = 1 << 10  # letters from which words are compared one by one
+BLOCK = 4096  # pairs below a trie node that are compared without going deeper
+CELLS = 1 << 22  # letters compared at once
 
 
 @dataclass(frozen=True)
@@ -171,24 +170,14 @@ def _nodes(found: DataFrame, cfg: SpellingCfg) -> tuple[list[DataFrame], int]:
         depth += 1
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether ``b`` comes from ``a`` by replacing one code point, or by inserting one."""
-    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    return a != b and a[at + (len(a) == len(b)) :] == b[at + 1 :]
-
-
-def _compared(short: list[str], full: list[str]) -> np.ndarray:
-    """``one_edit`` of pairs; all words of a side have one length."""
-    a, b = len(short[0]), len(full[0])
-    if b > LONG:
-        return np.fromiter((one_edit(x, y) for x, y in zip(short, full)), bool, len(short))
-    x = np.array(short, f"U{a}").view(np.uint32).reshape(-1, a)
-    y = np.array(full, f"U{b}").view(np.uint32).reshape(-1, b)
-    if a == b:
-        return (x != y).sum(axis=1) == 1
-    front = np.logical_and.accumulate(x == y[:, :a], axis=1).sum(axis=1)
-    back = np.logical_and.accumulate((x == y[:, 1:])[:, ::-1], axis=1).sum(axis=1)
-    return front + back >= a
+def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of ``b`` come from those of ``a`` by replacing a letter, or, where they are longer, by inserting one."""
+    size = a.shape[1]
+    if size == b.shape[1]:
+        return (a != b).sum(axis=1) == 1
+    front = np.logical_and.accumulate(a == b[:, :size], axis=1).sum(axis=1)
+    back = np.logical_and.accumulate((a == b[:, 1:])[:, ::-1], axis=1).sum(axis=1)
+    return front + back >= size
 
 
 def descend(leaves: np.ndarray, searches: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -214,60 +203,67 @@ def descend(leaves: np.ndarray, searches: np.ndarray, surplus: np.ndarray, defic
             stack.append((lo + a, lo + b, level + 1, who[go], np.where(spent, 0, s)[go], np.where(repaid, 0, d)[go]))
 
 
-def _counts(texts: list[str], levels: range, cfg: SpellingCfg) -> np.ndarray:
-    """Letters of each word in the groups of some levels."""
-    group = {c: k for k, g in enumerate(cfg.groups, 1) for c in g}
-    rest = len(cfg.groups) + 1
-    out = np.zeros((len(texts), rest + 1), np.int64)
-    for row, text in zip(out, texts):
-        for c in text:
-            row[group.get(c, rest)] += 1
-    return out[:, levels.start : levels.stop]
+def _letters(texts: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row each; runs have none above 255."""
+    size = len(texts[0])
+    return np.array(texts, f"U{size}").view(np.uint32).reshape(-1, size).astype(np.uint8)
+
+
+def _counts(letters: np.ndarray, levels: range, cfg: SpellingCfg) -> np.ndarray:
+    """How many letters of each word are in the groups of some levels."""
+    group = np.full(256, len(cfg.groups) + 1, np.uint8)
+    for k, own in enumerate(cfg.groups, 1):
+        group[[ord(c) for c in own]] = k
+    placed = group[letters]
+    return np.column_stack([np.zeros((len(letters), 0), np.int64), *[(placed == level).sum(axis=1) for level in levels]])
 
 
 def near_pairs(table: pa.Table, levels: int, cfg: SpellingCfg) -> Iterator[tuple[list[str], list[str]]]:
     """Pairs of words one edit apart, of which one is a leaf of the node and the other a search."""
     leaf = table["leaf"].to_numpy().astype(bool)
-    every = table["word"].to_pylist()
+    every = np.array(table["word"].to_pylist(), object)
     below = range(table["depth"][0].as_py(), levels)
-    names = [w for w, x in zip(every, leaf) if x]
-    rows = _counts(names, below, cfg)
-    order = np.lexsort([*rows.T[::-1], np.zeros(len(names))]) if len(below) else np.arange(len(names))
-    rows, names = rows[order], [names[i] for i in order]
-    asked = [w for w, x in zip(every, leaf) if not x]
+    names, asked = every[leaf], every[~leaf]
+    full = _letters(names.tolist())
+    rows = _counts(full, below, cfg)
+    order = np.lexsort([np.zeros(len(names)), *rows.T[::-1]])
+    rows, names, full = rows[order], names[order], full[order]
     surplus, deficit = (table[c].to_numpy()[~leaf] for c in ("surplus", "deficit"))
+    sizes = np.fromiter(map(len, asked), np.int64, len(asked))
     for more in (0, 1):
-        mine = np.flatnonzero([len(w) + more == len(names[0]) for w in asked])
+        mine = np.flatnonzero(sizes + more == full.shape[1])
         if not len(mine):
             continue
-        counts = _counts([asked[i] for i in mine], below, cfg)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def compared() -> tuple[list[str], list[str]]:
-            q, v = (np.concatenate(x) for x in zip(*held))
-            a, b = [asked[i] for i in mine[q]], [names[i] for i in v]
-            same = _compared(a, b)
-            if not more:  # of two words of a length the one with the smaller path asks; of equal paths the smaller word
-                first = np.zeros(len(q), np.int64)
+        searched, short = asked[mine], _letters(asked[mine].tolist())
+        counts, free = _counts(short, below, cfg), surplus[mine] == 1
+        step = max(1, CELLS // full.shape[1])
+        for who, where in _together(descend(rows, counts, surplus[mine], deficit[mine]), step):
+            hit = one_edit(short[who], full[where])
+            who, where = who[hit], where[hit]
+            if not more and len(who):
+                # Of two words of a length the one with the smaller path asks; of equal paths the smaller word.
+                first = np.zeros(len(who), np.int64)
                 for k in range(len(below) - 1, -1, -1):
-                    step = np.sign(rows[v, k] - counts[q, k])
-                    first = np.where(step != 0, step, first)
-                open_ = surplus[mine[q]] == 1
-                for i in np.flatnonzero(same & open_):
-                    same[i] = first[i] > 0 or first[i] == 0 and a[i] < b[i]
-            hit = np.flatnonzero(same).tolist()
-            return [a[i] for i in hit], [b[i] for i in hit]
-
-        size = 0
-        for pair in descend(rows, counts, surplus[mine], deficit[mine]):
-            for at in range(0, len(pair[0]), PAIRS):
-                held.append((pair[0][at : at + PAIRS], pair[1][at : at + PAIRS]))
-                size += len(held[-1][0])
-                if size >= PAIRS:
-                    yield compared()
-                    held, size = [], 0
-        if held:
-            yield compared()
+                    off = np.sign(rows[where, k] - counts[who, k])
+                    first = np.where(off != 0, off, first)
+                smaller = np.fromiter((a < b for a, b in zip(searched[who], names[where])), bool, len(who))
+                hit = ~free[who] | (first > 0) | ((first == 0) & smaller)
+                who, where = who[hit], where[hit]
+            yield searched[who].tolist(), names[where].tolist()
+
+
+def _together(pairs: Iterator[tuple[np.ndarray, np.ndarray]], step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs in portions of about ``step``."""
+    held, size = [], 0
+    for who, where in pairs:
+        for at in range(0, len(who), step):
+            held.append((who[at : at + step], where[at : at + step]))
+            size += len(held[-1][0])
+            if size >= step:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def _searched(levels: int, cfg: SpellingCfg):
