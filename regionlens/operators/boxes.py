@@ -28,6 +28,11 @@ class Boxes:
     depth: int
 
 
+def _root() -> Column:
+    """The name of the root, as a value of each row: a constant would turn the join with its one node into a product."""
+    return F.concat(F.lit("0"), F.substring(F.col("pid").cast("string"), 1, 0))
+
+
 def _side(x: str, d: int) -> Column:
     """How a node would be cut along one side; smaller is better."""
     levels, low = F.col(f"q{d}"), F.col("low")[d]
@@ -51,7 +56,7 @@ def cut_boxes(points: DataFrame, xs: Sequence[str], leaf_rows: int) -> Boxes:
     which most values are the smallest gives way to the next, and where all are such, the few other points are cut off.
     Every cut leaves points on both sides, so the rounds end.
     """
-    rows = points.withColumn("node", F.lit("0"))
+    rows = points.withColumn("node", _root())
     placed, nodes, depth = [], [], 0
     while True:
         stats = written(
@@ -97,7 +102,7 @@ def around(boxes: Boxes, k: int) -> DataFrame:
 
 def touched(points: DataFrame, xs: Sequence[str], boxes: Boxes) -> DataFrame:
     """One row for every box that the ``reach`` of a point touches, found by walking down the tree level by level."""
-    frontier = points.withColumn("node", F.lit("0"))
+    frontier = points.withColumn("node", _root())
     nodes = boxes.nodes.withColumn("parent", F.expr("substring_index(node, '.', depth)"))
     found = []
     for depth in range(boxes.depth + 1):
