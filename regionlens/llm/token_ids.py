@@ -16,7 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from bisect import bisect_right
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16  # ids after which a block is closed, at the end of a document
 SLAB_BYTES = 4_000_000
 SLAB_TEXTS = 2048
+LEARN = 10_000  # words that are Python's objects at once
 GATHER = 100_000  # words whose ids are put in order at once
 MOST_BYTES = 48 << 20  # of remembered words and their ids, after which a task keeps only those of the latest texts
-WORD_BYTES = 120  # what a remembered word takes besides its letters and ids
+WORD_BYTES = 120  # more than a remembered word takes besides its letters and ids, while words are looked up
 BLOCKS = (
     "shard int, block int, local_start long, bits int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
 )
@@ -166,14 +167,17 @@ class Encoder:
         return [known[w] for w in words]
 
     def _empty(self) -> None:
-        """No words; the arrays of their ids and of the places where those of each word begin have room to grow."""
-        self.place: dict[str, int] = {}
+        """No words; the arrays of their ids and of the places where those of each word begin have room to grow.
+
+        The words are an Arrow array: many small objects would leave holes that a worker does not give back.
+        """
+        self.words = pa.array([], pa.string())
         self.ids, self.starts = np.zeros(1 << 16, "<u2" if self.size <= 1 << 16 else "<u4"), np.zeros(1 << 14, np.int64)
         self.held = 0
 
-    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Remember words; what is known stays where it is."""
-        known = len(self.place)
+        known = len(self.words)
         begin, end = int(self.starts[known]), int(self.starts[known]) + len(ids)
         if end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), self.ids.dtype)])
@@ -181,21 +185,24 @@ class Encoder:
             self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(words) + 1), np.int64)])
         self.ids[begin:end] = ids
         self.starts[known + 1 : known + 1 + len(words)] = begin + np.cumsum(sizes)
-        self.place.update(zip(words, range(known, known + len(words))))
-        self.held += sum(map(len, words)) + WORD_BYTES * len(words) + ids.nbytes
+        self.words = pa.concat_arrays([self.words, words])
+        self.held += words.nbytes + WORD_BYTES * len(words) + ids.nbytes
 
-    def _lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """First place and number of the ids of each of the different words, after learning those not known."""
-        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            new = [words[i] for i in missing]
-            got = self._learn(new)
-            at[missing] = len(self.place) + np.arange(len(missing))
-            self._add(new, np.frombuffer(b"".join(got), "<u4").astype(self.ids.dtype), np.fromiter(map(len, got), np.int64, len(got)) // 4)
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new, ids, sizes = words.take(pa.array(missing)), [], []
+            for begin in range(0, len(new), LEARN):
+                got = self._learn(new.slice(begin, LEARN).to_pylist())
+                ids.append(np.frombuffer(b"".join(got), "<u4").astype(self.ids.dtype))
+                sizes.append(np.fromiter(map(len, got), np.int64, len(got)) // 4)
+            at[missing] = len(self.words) + np.arange(len(missing))
+            self._add(new, np.concatenate(ids), np.concatenate(sizes))
         return self.starts[at], self.starts[at + 1] - self.starts[at]
 
-    def _forget(self, words: list[str], starts: np.ndarray, sizes: np.ndarray) -> None:
+    def _forget(self, words: pa.Array, starts: np.ndarray, sizes: np.ndarray) -> None:
         """Keep only the words used last."""
         ends = np.cumsum(sizes)
         kept = self.ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
@@ -206,7 +213,7 @@ class Encoder:
         """Ids of all texts one after another, and where each text ends. There are no NULLs among them."""
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary
         starts, sizes = self._lookup(words)
         # From the ids of each different word to those of the words in their order.
         place = coded.indices.to_numpy(zero_copy_only=False)

@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -154,6 +155,21 @@ def test_words_are_forgotten_and_learned_again():
         assert [x.tolist() for x in np.split(ids, ends[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_remembered_words_are_no_python_objects():
+    tokenizer, mine = Tokenizer.from_file(WORDS), token_ids.Encoder(WORDS)
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(40_000)]
+    texts = pa.array([" ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)])
+    mine.encode(pa.array(["warm up"]))
+    before = sys.getallocatedblocks()
+    ids, ends = mine.encode(texts)
+    assert sys.getallocatedblocks() - before < 5000  # two a word would stay in a worker's memory, in holes
+    assert mine.held > 40_000 * 9 and mine.held < mine.most_bytes
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+    again, _ = mine.encode(texts)
+    assert again.tolist() == ids.tolist()
+
+
 def test_special_strings_and_blanks_encode_alike():
     tokenizer, mine = Tokenizer.from_file(WORDS), token_ids.Encoder(WORDS)
     rnd = random.Random(4)
