@@ -161,6 +161,11 @@ class Block:
         self.ends = np.cumsum(np.array(row["sizes"], np.int64))
         self.begins = self.ends - np.array(row["sizes"], np.int64)
 
+    def documents(self, places: np.ndarray) -> np.ndarray:
+        """The document of each of some ascending places: the few documents are looked up among the many places."""
+        passed = np.searchsorted(places, self.ends)
+        return np.cumsum(np.bincount(passed, minlength=len(places) + 1))[: len(places)]
+
     def runs(self, size: int, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """First start, number of starts, anchor and document of each run; ``only`` marks the starts that count."""
         place = anchors(self.text, self.n, size, self.cfg.span)
@@ -177,10 +182,11 @@ class Block:
         first = np.flatnonzero(edge)
         count = np.diff(first)
         first = first[:-1]
-        doc = np.searchsorted(self.ends, first, side="right")
-        keep = first + self.cfg.span <= self.ends[doc]
         if only is not None:
-            keep &= only[first]
+            keep = only[first]
+            first, count = first[keep], count[keep]
+        doc = self.documents(first)
+        keep = first + self.cfg.span <= self.ends[doc]
         first, count, doc = first[keep], count[keep], doc[keep]
         return first, count, place[first].astype(np.int64), doc
 
@@ -582,8 +588,9 @@ def removed(block: Block, row: dict, bits: int) -> np.ndarray:
     later = earlier[who, strings.place[run] - start] | (block.order[strings.doc[run]] > strings.least[who])
     start = start[later]
     step = np.zeros(block.n + 1, np.int32)
-    np.add.at(step, start, 1)
-    np.add.at(step, start + cfg.span, -1)
+    # A start is in one run only, so no place is met twice.
+    step[start] += 1
+    step[start + cfg.span] -= 1
     return np.cumsum(step[:-1], dtype=np.int32) > 0
 
 

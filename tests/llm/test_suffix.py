@@ -120,3 +120,22 @@ def test_transform_of_strings_is_the_sorted_one():
     want.sort(key=lambda w: w[0])
     assert bwt.tolist() == [w[1] for w in want] and owner.tolist() == [w[2] for w in want]
     assert len(want) > 500 and np.unique(owner).size == len(strings.h)
+
+
+def test_documents_are_looked_up_among_places(monkeypatch):
+    texts = [b"", b"ab" * 200, b"", b"", b"x" * 49, b"cd" * 300, b""]
+    row = suffix_dedup._block_row(0, list(range(len(texts))), texts).to_pylist()[0]
+    block = suffix_dedup.Block(row, SuffixCfg())
+    places = np.arange(0, block.n, 7)
+    search, needles = np.searchsorted, []
+    assert block.documents(places).tolist() == search(block.ends, places, side="right").tolist()
+    assert block.documents(places[:0]).tolist() == []
+
+    def watched(a, v, *args, **kwargs):
+        needles.append(np.size(v))
+        return search(a, v, *args, **kwargs)
+
+    monkeypatch.setattr(np, "searchsorted", watched)
+    first, _, _, doc = block.runs(24)
+    assert max(needles) <= len(texts) < len(first)  # not one search for every run
+    assert doc.tolist() == search(block.ends, first, side="right").tolist()
