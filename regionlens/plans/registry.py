@@ -6,9 +6,11 @@ is an integer, anything else is compared as it is.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,12 +194,24 @@ def _json(s: SparkSession, d: str) -> DataFrame:
     return readers.read_json(s, path, multi_line=False)
 
 
+def _array_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements of a JSON array one after another, its brackets and commas with them."""
+    mark = "["
+    for batch in batches:
+        if batch.num_rows:
+            marks = pa.array([mark] + [","] * (batch.num_rows - 1))
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, batch.column(0), "")], names=["value"])
+            mark = ","
+    yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], names=["value"])
+
+
 def _json_arrays(s: SparkSession, d: str) -> DataFrame:
     """Files that are one array in one line, with braces and quotes inside texts."""
     path = scratch_path(s, "json")
     fact = trade_fact(s, d).withColumn("state", F.concat("state", F.lit(' } "]{ \\'), F.col("seq")))
-    parts = fact.select(F.to_json(F.struct("*")).alias("j")).repartition(3).groupBy(F.spark_partition_id().alias("part"))
-    parts.agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("value")).select("value").write.text(path)
+    # Each task writes one file with blanks for line ends, so no array is held as a whole.
+    texts = fact.select(F.to_json(F.struct("*")).alias("value"))
+    texts.mapInArrow(_array_parts, "value string").write.option("lineSep", " ").text(path)
     return readers.read_json(s, path, multi_line=True)
 
 

@@ -12,10 +12,13 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regionlens.functions.materialize import written
+
 Place = tuple[str, int]  # file and start of a byte range
 
 class RecordCutter:
@@ -77,8 +80,10 @@ def ends_inside(line: bytes, inside: bool) -> bool:
         at += inside
 
 
-JSON_MARKS = re.compile(rb'"(?:[^"\\]|\\.)*"|["{}\[\]]', re.DOTALL)
-JSON_CLOSE = re.compile(rb'(?:[^"\\]|\\.)*"', re.DOTALL)
+# Nothing is tried twice: what lies between two marks, whole strings among it, is passed in one go.
+STRING = rb'[^"\\]*+(?:\\.[^"\\]*+)*+"'
+JSON_MARKS = re.compile(rb'(?:[^"{}\[\]]++|"' + STRING + rb')*+(["{}\[\]])', re.DOTALL)
+JSON_CLOSE = re.compile(STRING, re.DOTALL)
 
 
 class JsonCutter(RecordCutter):
@@ -102,10 +107,10 @@ class JsonCutter(RecordCutter):
                 return
             at, self.inside = end.end(), False
         for mark in JSON_MARKS.finditer(piece, at):
-            c = mark.group()
+            c = mark.group(1)
             if c in b"{[":
                 if c == b"{" and self.depth == self.base:
-                    begin, self.begun = mark.start(), True
+                    begin, self.begun = mark.start(1), True
                 self.depth += 1
             elif c in b"}]":
                 was, self.depth = self.depth, max(0, self.depth - 1)
@@ -140,13 +145,14 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Place, list[byt
     """Pieces of a task by byte range; the flag says that a range begins.  Ranges come one after the other."""
     now: Place | None = None
     for batch in batches:
-        files, starts, values = (batch.column(i).to_pylist() for i in range(3))
-        begin = 0
-        for i in range(1, len(files) + 1):
-            if i == len(files) or (files[i], starts[i]) != (files[begin], starts[begin]):
-                place = (files[begin], starts[begin])
-                yield place, values[begin:i], place != now
-                now, begin = place, i
+        files, starts, values = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+        number, start = files.dictionary_encode().indices.to_numpy(), starts.to_numpy()
+        cuts = (np.flatnonzero((number[1:] != number[:-1]) | (start[1:] != start[:-1])) + 1).tolist()
+        for begin, end in zip([0, *cuts], [*cuts, len(values)]):
+            if begin < end:
+                place = (files[begin].as_py(), starts[begin].as_py())
+                yield place, values[begin:end], place != now
+                now = place
 
 
 def _reports(kind: type[RecordCutter]):
@@ -255,12 +261,13 @@ CUT = "file string, start long, row long, whole boolean, part long, text binary"
 def records(spark: SparkSession, paths: Sequence[str], kind: type[RecordCutter]) -> DataFrame:
     """``file, start, row, text``: every record of the files, with its place in them.
 
-    Files are read twice, in byte ranges by many tasks where their compression allows it.  The driver sees one
-    short report for each range.
+    Files are read twice, in byte ranges by many tasks where their compression allows it, and the records are written once.
+    The driver sees one short report for each range.
     """
     pieces = _pieces(spark, paths, kind.separator)
     known = starts(pieces.mapInArrow(_reports(kind), REPORT).collect(), kind is JsonCutter)
-    cut = pieces.mapInArrow(_cut(kind, known), CUT)
+    # Written, because the parts are looked for beside the whole records.
+    cut = written(pieces.mapInArrow(_cut(kind, known), CUT))
     parts = cut.where("NOT whole").groupBy("file", "start")
     joined = F.transform(F.array_sort(F.collect_list(F.struct("part", "row", "text"))), lambda p: p["text"])
     over = parts.agg(F.lit(LATE).alias("row"), F.aggregate(joined, F.lit("").cast("binary"), lambda a, t: F.concat(a, t)).alias("text"))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionlens.functions.expr import month_start, nan_to_null, string_columns
-from regionlens.functions.materialize import written
 from regionlens.operators.columns import unique_names
 from regionlens.sources.ranges import CsvCutter, JsonCutter, records
 
@@ -208,7 +207,7 @@ def _record_frame(spark: SparkSession, files: list[str], encoding: str, infer: b
     cut = records(spark, [literal(f) for f in files], CsvCutter)
     text = F.decode("text", encoding) if encoding != "UTF-8" else F.col("text").cast("string")
     text = F.regexp_replace(text, "\r$", "")
-    cut = written(cut.select("file", "start", "row", text.alias("text")).where("text <> ''"))
+    cut = cut.select("file", "start", "row", text.alias("text")).where("text <> ''")
     first = F.min(F.struct("start", "row", "text"))
     # Files of a group have one header; of it, one row is enough.
     head = cut.groupBy("file").agg(first.alias("h"))
@@ -321,8 +320,7 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
         reader = spark.read.schema(schema) if schema else spark.read
         return nan_to_null(reader.json(path))
     cut = records(spark, [literal(f) for f in list_files(spark, path, ())], JsonCutter)
-    texts = written(cut.select(F.col("text").cast("string").alias("text")))
-    return nan_to_null(_texts_as(texts, "json", schema))
+    return nan_to_null(_texts_as(cut.select(F.col("text").cast("string").alias("text")), "json", schema))
 
 
 def read_csv_any_encoding(

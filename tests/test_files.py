@@ -311,3 +311,28 @@ def test_planted_months_are_found(spark):
     made = pipeline.create_features(facts)
     top = made.aggregates.groupBy("state").agg(F.max_by("year_month", F.abs("z_score")).alias("m"))
     assert rows(top, "state", "m") == [("A", "2023-03"), ("B", "2023-04"), ("C", "2023-05")]
+
+
+def test_records_are_cut_once_and_strings_passed_whole(spark, tmp_path):
+    from regionlens.sources import ranges
+
+    texts = ["}", '"', "\\", '\\"', "{[", "]}\\\\", "", "é\n", "a\\\"}{\\"]
+    (tmp_path / "a.json").write_text(json.dumps([{"n": n, "t": t, "o": {"k": [t]}} for n, t in enumerate(texts)]))
+    cut = ranges.records(spark, [str(tmp_path / "a.json")], ranges.JsonCutter)
+    assert "MapInArrow" not in cut._jdf.queryExecution().toString()  # read from what was written, whole records and parts
+    got = [json.loads(bytes(r["text"])) for r in cut.orderBy("start", "row").collect()]
+    assert [r["t"] for r in got] == texts and [r["o"]["k"] for r in got] == [[t] for t in texts]
+    assert [m.group(1) for m in ranges.JSON_MARKS.finditer(rb'{"a":"x\"}","b":["y"]}')] == [b"{", b"[", b"]", b"}"]
+
+
+def test_json_arrays_are_written_in_parts():
+    import pyarrow as pa
+
+    from regionlens.plans import registry
+
+    def text(*batches):
+        given = iter([pa.RecordBatch.from_arrays([pa.array(b, pa.string())], names=["value"]) for b in batches])
+        return " ".join(v for b in registry._array_parts(given) for v in b.column(0).to_pylist())
+
+    assert json.loads(text(["1", "2"], [], ["3"])) == [1, 2, 3] and json.loads(text([], ["1"])) == [1]
+    assert json.loads(text()) == json.loads(text([])) == []
