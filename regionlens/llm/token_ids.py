@@ -73,6 +73,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches, one stretch after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
     """Ids of whole texts, encoding each different word once while it is remembered.
 
@@ -100,71 +106,86 @@ class Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.between = special[0] if special else None
         self.cut = self.tokenizer.token_to_id(self.between) if special else None
-        self.marks: dict[str, bytes] = {"": b""}
-        probe = ["probe", "ÉTÉ,", "naïve.", "Żółw", "ß", "It.,"]
+        self.marks: dict[str, np.ndarray] = {}
+        probe = pa.array(["probe", "ÉTÉ,", "naïve.", "Żółw", "ß", "It.,"])
+        whole = [self._whole(w) for w in probe.to_pylist()]
         try:
-            learned: dict[str, bytes] = {}
-            self._plain(probe, [w.rstrip(MARKS) for w in probe], learned)
-            self.fast = learned == {w: self._whole(w) for w in probe}
-        except (ValueError, KeyError):
+            ids, sizes = self._plain(probe, pc.utf8_rtrim(probe, characters=MARKS))
+            self.fast = sizes.tolist() == [len(w) for w in whole] and ids.tolist() == np.concatenate(whole).tolist()
+        except ValueError:
             self.fast = False
 
-    def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, word: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4")
 
-    def _plain(self, words: list[str], cores: list[str], known: dict[str, bytes]) -> None:
-        """Learn words of letters (the cores) with marks behind them."""
-        letters, marks = self.letters | {32: " "}, self.marks
+    def _plain(self, words: pa.Array, cores: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters (the cores) with marks behind them, and their numbers."""
+        letters = self.letters | {32: " "}
         texts = [
-            " ".join(cores[at : at + 1000]).lower().encode().decode("latin-1").translate(letters)
+            " ".join(cores.slice(at, 1000).to_pylist()).lower().encode().decode("latin-1").translate(letters)
             for at in range(0, len(cores), 1000)
         ]
-        found: list[bytes] = []
         # A few at a time: the library's results take a hundred bytes per id.
         groups = (self.merges.encode_batch_fast(texts[at : at + 8], add_special_tokens=False) for at in range(0, len(texts), 8))
-        for e in chain.from_iterable(groups):
-            ids = np.array(e.ids, "<u4")
-            data, begin = ids.tobytes(), 0
-            for end in (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist():
-                found.append(data[begin:end])
-                begin = end
-        for word, core, ids in zip(words, cores, found, strict=True):
-            if len(word) > len(core):
-                mark = word[len(core) :]
-                if mark not in marks:
-                    if len(marks) > 10_000:
-                        marks.clear()
-                    marks[mark] = self._whole(mark)
-                ids += marks[mark]
-            known[word] = ids
-
-    def _others(self, words: list[str], known: dict[str, bytes]) -> None:
-        """Learn other words, many at a time: a special token between them is cut out before anything else happens."""
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in chain.from_iterable(groups)])
+        sizes = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+        if len(sizes) != len(cores) or sizes.sum() != len(ids):
+            raise ValueError("a word has no sign of its end")
+        marked = np.flatnonzero(pc.not_equal(pc.binary_length(words), pc.binary_length(cores)).to_numpy(zero_copy_only=False))
+        if not len(marked):
+            return ids, sizes
+        coded = pc.replace_substring_regex(words.take(pa.array(marked)), f"^{LETTERS.pattern}", "").dictionary_encode()
+        marks = [self._mark(m) for m in coded.dictionary.to_pylist()]
+        lengths = np.fromiter(map(len, marks), np.int64, len(marks))
+        # Two parts a word: the ids of its letters and those of its marks, which all stand behind them.
+        starts, parts = np.zeros((2, len(words), 2), np.int64)
+        starts[:, 0], parts[:, 0] = np.cumsum(sizes) - sizes, sizes
+        own = coded.indices.to_numpy(zero_copy_only=False)
+        starts[marked, 1], parts[marked, 1] = (len(ids) + np.cumsum(lengths) - lengths)[own], lengths[own]
+        return np.concatenate([ids, *marks])[stretches(starts.ravel(), parts.ravel())], parts.sum(axis=1)
+
+    def _mark(self, mark: str) -> np.ndarray:
+        if mark not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[mark] = self._whole(mark)
+        return self.marks[mark]
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of other words, many at a time: a special token between them is cut out before anything else happens."""
+        found, sizes = [], []
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            ids = self._whole(self.between.join(part))
+            between = ids == self.cut
+            sizes.append(np.diff(np.flatnonzero(between), prepend=-1, append=len(ids)) - 1)
+            if len(sizes[-1]) != len(part):
+                raise ValueError("a word has the special token")
+            found.append(ids[~between])
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and the number of those of each word."""
+        cores = pc.utf8_rtrim(words, characters=MARKS)
         # A word with a part of a special string goes alone.
-        alone = [w for w in words if self.between is None or "<|" in w or self.between in w]
-        known.update((w, self._whole(w)) for w in alone)
-        rest = [w for w in words if w not in known]
-        for at in range(0, len(rest), 500):
-            part = rest[at : at + 500]
-            ids = np.array(self.tokenizer.encode(self.between.join(part), add_special_tokens=False).ids, "<u4")
-            data, begin = ids.tobytes(), 0
-            for word, end in zip(part, [*(4 * np.flatnonzero(ids == self.cut)).tolist(), 4 * len(ids)], strict=True):
-                known[word] = data[begin:end]
-                begin = end + 4
-
-    def _learn(self, words: list[str]) -> list[bytes]:
-        known: dict[str, bytes] = {}
-        plain, cores, others = [], [], []
-        for w in words:
-            core = w.rstrip(MARKS)
-            if self.fast and core.isalpha() and (core.isascii() or LETTERS.fullmatch(core)):
-                plain.append(w)
-                cores.append(core)
-            else:
-                others.append(w)
-        self._plain(plain, cores, known)
-        self._others(others, known)
-        return [known[w] for w in words]
+        alone = np.ones(len(words), bool)
+        if self.between is not None:
+            parts = (pc.match_substring(words, x).to_numpy(zero_copy_only=False) for x in ("<|", self.between))
+            alone = np.logical_or(*parts)
+        plain = np.zeros(len(words), bool)
+        if self.fast:
+            plain = pc.match_substring_regex(cores, f"^{LETTERS.pattern}$").to_numpy(zero_copy_only=False)
+        places = [np.flatnonzero(x) for x in (plain, ~plain & ~alone, ~plain & alone)]
+        letters, others, single = (words.take(pa.array(x)) for x in places)
+        got = []
+        if len(letters):
+            got.append(self._plain(letters, cores.take(pa.array(places[0]))))
+        if len(others):
+            got.append(self._together(others.to_pylist()))
+        got += [(ids, np.array([len(ids)])) for ids in map(self._whole, single.to_pylist())]
+        ids, sizes = (np.concatenate(x) for x in zip(*got))
+        back = np.argsort(np.concatenate(places))
+        return ids[stretches((np.cumsum(sizes) - sizes)[back], sizes[back])], sizes[back]
 
     def _empty(self) -> None:
         """No words; the arrays of their ids and of the places where those of each word begin have room to grow.
@@ -195,17 +216,16 @@ class Encoder:
         if len(missing):
             new, ids, sizes = words.take(pa.array(missing)), [], []
             for begin in range(0, len(new), LEARN):
-                got = self._learn(new.slice(begin, LEARN).to_pylist())
-                ids.append(np.frombuffer(b"".join(got), "<u4").astype(self.ids.dtype))
-                sizes.append(np.fromiter(map(len, got), np.int64, len(got)) // 4)
+                got, size = self._learn(new.slice(begin, LEARN))
+                ids.append(got.astype(self.ids.dtype))
+                sizes.append(size)
             at[missing] = len(self.words) + np.arange(len(missing))
             self._add(new, np.concatenate(ids), np.concatenate(sizes))
         return self.starts[at], self.starts[at + 1] - self.starts[at]
 
     def _forget(self, words: pa.Array, starts: np.ndarray, sizes: np.ndarray) -> None:
         """Keep only the words used last."""
-        ends = np.cumsum(sizes)
-        kept = self.ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        kept = self.ids[stretches(starts, sizes)]
         self._empty()
         self._add(words, kept, sizes)
 
@@ -231,20 +251,15 @@ class Encoder:
         return out, np.concatenate([[0], ends])[lists[1:] - lists[0]]
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
-
-
 def _give_back() -> None:
     """Return freed memory to the system, that of large arrays at once; by default a worker keeps it while it is idle.
 
     An executor holds more workers than it has cores, because the next task may start before a worker is free again.
+    The batches of a task may hang in a cycle of few objects, so the collector, which counts objects, would not come for them.
     """
+    gc.collect()
+    if not gc.get_freeze_count():
+        gc.freeze()  # what a worker keeps for good, that later collections are short
     pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):  # of the GNU C library
         libc = ctypes.CDLL(None)
@@ -265,16 +280,20 @@ def _slabs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _encoded(path: str, end_id: int, bounds: list[tuple]):
-    """Ids of every text where it is read, and the range that its document falls into."""
+    """Ids of every text where it is read, and the range that its document falls into.
+
+    A task loads its own encoder: the package travels by value, so one kept in the module would be sent with every task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _give_back()
+        encoder = Encoder(path)
         for batch in batches:
             texts = batch.column("text")
             texts = texts.fill_null("") if texts.null_count else texts
             for at, to in _slabs(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
                 gc.disable()  # many small objects, none in a cycle
-                got, stops = _encoder(path).encode(texts.slice(at, to - at))
+                got, stops = encoder.encode(texts.slice(at, to - at))
                 gc.enable()
                 got = np.insert(got, stops, end_id)
                 ends = stops + np.arange(1, len(stops) + 1)
@@ -284,8 +303,8 @@ def _encoded(path: str, end_id: int, bounds: list[tuple]):
                 offsets = pa.py_buffer((np.concatenate([[0], ends]) * got.itemsize).astype("<i4"))
                 ids = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(got)])
                 yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), names, digests, ids], names=["shard", "doc_id", "digest", "ids"])
-        # A worker that waits for its next task holds no words.
-        _encoder(path)._empty()
+        # A worker that waits for its next task holds no batches, words or vocabulary.
+        batch = texts = names = digests = got = offsets = ids = encoder = None
         _give_back()
 
     return run
@@ -322,6 +341,8 @@ def _blocks(bits: int, width: int):
                     ids, names, ends = [], [], []
         if names:
             yield close()
+        batch = row = ids = names = ends = None
+        _give_back()
 
     return run
 
@@ -351,7 +372,7 @@ def write_ids(
     its own.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    size = _encoder(path).size
+    size = Encoder(path).size
     bits = max(1, int(size - 1).bit_length())
     if end_id >= 1 << bits:
         raise ValueError("the end id does not fit the vocabulary")

@@ -1,5 +1,7 @@
+import gc
 import random
 import sys
+import weakref
 import zlib
 
 import numpy as np
@@ -8,6 +10,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 import sentencepiece
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 from regionlens.functions.materialize import scratch_path
@@ -184,3 +187,27 @@ def test_special_strings_and_blanks_encode_alike():
     ids, ends = mine.encode(pa.array(texts))
     for t, got in zip(texts, np.split(ids, ends[:-1])):
         assert got.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("task", [lambda: token_ids._encoded(WORDS, 1, []), lambda: token_ids._blocks(16, 2)], ids=["encoded", "blocks"])
+def test_batches_in_a_cycle_are_given_back(task):
+    held = [pa.array(["some text"])]
+    held.append(held)
+    ref = weakref.ref(held[0])
+    gc.disable()
+    try:
+        del held
+        assert list(task()(iter([]))) == []
+        assert ref() is None
+    finally:
+        gc.enable()
+
+
+def test_no_encoder_travels_with_a_task(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Some text, here.")], "doc_id long, text string")
+    token_ids.write_ids(docs, f"{tmp_path}/ids")
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, None], "text": ["Some text, here.", None], "digest": [5, 6]})
+    task = token_ids._encoded(WORDS, 1, [])
+    (out,) = task(iter([batch]))
+    assert [len(i) // 2 for i in out.column("ids").to_pylist()] == [len(Tokenizer.from_file(WORDS).encode("Some text, here.").ids) + 1, 1]
+    assert len(cloudpickle.dumps(task)) < 100_000
