@@ -10,7 +10,7 @@ counts show it to be.  Modes count values in the same scan.  Only single numbers
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +44,14 @@ def bracket_aggregates(df: DataFrame, columns: Sequence[str], probs: Sequence[fl
 Span = tuple[float, float]
 
 
-def _place(value: Column, cuts: Sequence[float]) -> Column:
+def _place(value: Column, cuts: Column) -> Column:
     """Odd: the value is a cut, the ``place // 2``-th; even: it lies between the cuts before and behind."""
-    steps = [(value >= F.lit(c)).cast("int") + (value > F.lit(c)).cast("int") for c in cuts]
-    return sum(steps[1:], steps[0])
+    return F.aggregate(cuts, F.lit(0), lambda place, c: place + (value >= c).cast("int") + (value > c).cast("int"))
+
+
+def _constant(rows: Iterable[Sequence]) -> Column:
+    """An array of arrays."""
+    return F.array(*[F.array(*[F.lit(x) for x in row]) for row in rows])
 
 
 def _between(cuts: Sequence[float], place: int) -> Span:
@@ -145,18 +149,22 @@ def _count(
     """One scan: the rows at and between the cuts of each column, the values inside its spans, and the modes of the texts."""
     names, rows, read = [*cuts, *texts], [], set()
     none, blank = F.lit(None).cast("double"), F.lit(None).cast("string")
+    inside = []
     for i, (c, own) in enumerate(cuts.items()):
-        v = number(df, c)
-        places = [p for p in range(0, 2 * len(own) + 1, 2) if any(a <= _between(own, p)[0] and _between(own, p)[1] <= b for a, b in spans.get(c, ()))]
+        places = {p for p in range(0, 2 * len(own) + 1, 2) if any(a <= _between(own, p)[0] and _between(own, p)[1] <= b for a, b in spans.get(c, ()))}
         read |= {(c, p) for p in places}
-        place = _place(v, own)
-        cell = (place, F.when(place.isin(places), v) if places else none, blank)
-        rows.append(F.struct(F.lit(i).alias("i"), *[x.alias(n) for x, n in zip(cell, ("place", "v", "text"))]))
+        inside.append([p in places for p in range(2 * len(own) + 1)])
+        rows.append(F.struct(F.lit(i).alias("i"), number(df, c).alias("v"), blank.alias("text")))
     for i, c in enumerate(texts, len(cuts)):
-        text = F.col(f"`{c}`").cast("string")
-        cell = (F.when(text.isNotNull(), 0), none, text)
-        rows.append(F.struct(F.lit(i).alias("i"), *[x.alias(n) for x, n in zip(cell, ("place", "v", "text"))]))
-    long = df.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("place IS NOT NULL")
+        rows.append(F.struct(F.lit(i).alias("i"), none.alias("v"), F.col(f"`{c}`").cast("string").alias("text")))
+    long = df.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("v IS NOT NULL OR text IS NOT NULL")
+    if cuts:
+        # Cuts are looked up by the number of the column: comparisons written out for all columns make a method too long to be compiled.
+        place = F.when(F.col("v").isNotNull(), _place(F.col("v"), F.get(_constant(cuts.values()), F.col("i"))))
+        long = long.withColumn("place", F.coalesce(place, F.lit(0)))
+        long = long.withColumn("v", F.when(F.get(F.get(_constant(inside), F.col("i")), F.col("place")), F.col("v")))
+    else:
+        long = long.withColumn("place", F.lit(0))
     counted = long.groupBy("i", "place", "v", "text").agg(F.count(F.lit(1)).alias("n"))
     # Of a text column only the most frequent value comes back, the smallest on ties.
     best = F.min(F.when(F.col("text").isNotNull(), F.struct((-F.col("n")).alias("less"), F.col("text").alias("text"))))

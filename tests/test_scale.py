@@ -65,6 +65,22 @@ def test_aggregates_do_not_grow_with_ranks(spark, hot):
     assert len(few) == len(many) == 4
 
 
+def test_cuts_are_not_written_out_for_every_column(spark, monkeypatch):
+    """Two comparisons a cut and column made a method that the JVM does not compile."""
+    df = spark.range(2000).select(*[((F.col("id") * k) % 997).cast("double").alias(f"c{k}") for k in range(1, 8)])
+    plans, collect = [], type(df).collect
+
+    def seen(self):
+        plans.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(type(df), "collect", seen)
+    got = quantiles(df, df.columns, [0.25, 0.5, 0.9, 0.95])
+    assert got["c1"] == pytest.approx(list(np.quantile(np.arange(2000) % 997, [0.25, 0.5, 0.9, 0.95])))
+    (plan,) = [p for p in plans if ">=" in p]
+    assert plan.count(">=") == 1
+
+
 def test_quantiles_skip_nan_and_null(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "v double")
     assert quantiles(df, ["v"], [0.5])["v"] == [2.0]
