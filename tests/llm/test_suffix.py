@@ -139,3 +139,29 @@ def test_documents_are_looked_up_among_places(monkeypatch):
     first, _, _, doc = block.runs(24)
     assert max(needles) <= len(texts) < len(first)  # not one search for every run
     assert doc.tolist() == search(block.ends, first, side="right").tolist()
+
+
+def test_words_are_sorted_as_numbers_with_their_places():
+    rng = np.random.default_rng(8)
+    for text in (rng.integers(0, 3, (5000, 7)), rng.integers(0, 257, (5000, 7)), rng.integers(250, 257, (300, 4)), np.zeros((0, 7), int)):
+        text = text.astype(np.uint16)
+        want = np.lexsort(text.T[::-1])
+        assert (suffix_dedup._order(text) == want).all()
+        (words,) = suffix_dedup._words(text)
+        assert (suffix_dedup._sorted(words) == want).all()
+
+
+def test_transforms_do_not_depend_on_the_words(monkeypatch):
+    """Strings in one word a side give the transform that rows of symbols give."""
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.choice(list(b"ab \xc3\xa9"), 400).astype(np.uint8)) for _ in range(6)]
+    row = suffix_dedup._block_row(0, list(range(6)), texts).to_pylist()[0]
+    for cfg in (suffix_dedup.SuffixCfg(), suffix_dedup.SuffixCfg(span=10, anchor=7, filter=4), suffix_dedup.SuffixCfg(span=9, anchor=4, filter=4)):
+        block = suffix_dedup.Block(row, cfg)
+        strings = suffix_dedup.Strings(block, rng.random(block.n - cfg.span + 1) < 0.9)
+        fast = strings.transform(cfg.span - cfg.anchor)
+        with monkeypatch.context() as m:
+            m.setattr(suffix_dedup, "SYMBOLS", 1)
+            m.setattr(suffix_dedup, "_order", lambda text: np.lexsort(text.T[::-1]))
+            slow = strings.transform(cfg.span - cfg.anchor)
+        assert (fast[0] == slow[0]).all() and (fast[1] == slow[1]).all()
