@@ -311,7 +311,7 @@ class Strings:
         order[several] = some[np.lexsort((mixed(words[some]), h[some]))]
         words = words[order]
         new = np.ones(len(words), bool)
-        new[1:] = (words[1:] != words[:-1]).any(axis=1)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in words.T])
         at_new = np.flatnonzero(new)
         self.unique = np.empty(len(order), np.int64)
         self.unique[order] = np.cumsum(new) - 1
@@ -437,10 +437,10 @@ def shard_transforms(bits: int, cfg: SuffixCfg):
             )
             bwt, string = strings.transform(cfg.span - cfg.anchor)
             found, begins, _ = key_parts(strings.h, bits)
-            number = np.searchsorted(begins, string, side="right") - 1
+            number = small(np.repeat(np.arange(len(found)), np.diff(begins)), len(found))[string]
             # The step from a suffix to the one before it stays within a string, so the rows of a bucket are a transform of their own.
-            by = np.argsort(small(number, len(found)), kind="stable")
-            cuts = np.searchsorted(number[by], np.arange(len(found) + 1))
+            by = np.argsort(number, kind="stable")
+            cuts = np.append(0, np.cumsum(np.bincount(number, minlength=len(found))))
             bwt = bwt[by]
             spans = list(zip(begins[:-1], begins[1:]))
             yield _packed(
