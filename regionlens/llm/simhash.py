@@ -106,22 +106,23 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
         ).alias("key"),
     )
     sizes = owners.groupBy("key").agg(F.count("*").alias("owners"))
+    # Spark sizes what an explode gives like its input, a thirtieth here, and would broadcast it; so for _tied.
     met = written(
-        probes.join(sizes, "key").select("key", "fp", F.lit(1).alias("off"))
+        probes.hint("merge").join(sizes, "key").select("key", "fp", F.lit(1).alias("off"))
     )
     reached = met.groupBy("key").agg(F.count("*").alias("probers"))
     busy = written(
-        sizes.join(reached, "key", "left")
+        sizes.hint("merge").join(reached, "key", "left")
         .select("key", (F.col("owners") + F.coalesce("probers", F.lit(0))).alias("members"))
         .where("members > 1")
     )
-    members = owners.select("key", "fp", F.lit(0).alias("off")).unionByName(met).join(busy, "key")
+    members = owners.select("key", "fp", F.lit(0).alias("off")).unionByName(met).hint("merge").join(busy, "key")
     members = written(members)
     few = members.where(F.col("members") <= crowd)
     left = few.where("off = 0").select("key", F.col("fp").alias("a"))
     right = few.select("key", F.col("fp").alias("b"), "off")
     near = (
-        left.join(right, "key")
+        left.hint("merge").join(right, "key")
         # Two owners meet twice, an owner and a prober once.
         .where((F.col("off") == 1) | (F.col("a") < F.col("b")))
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)
@@ -157,7 +158,8 @@ def _tied(members: DataFrame) -> DataFrame:
     )
     centre = points.groupBy("key", "point").agg(F.min(F.struct("r", "fp")).alias("c"), F.count("*").alias("n"))
     return (
-        points.join(centre.where("n > 1 and c.r <= 1"), ["key", "point"])
+        points.hint("merge")
+        .join(centre.where("n > 1 and c.r <= 1"), ["key", "point"])
         .where((F.col("fp") != F.col("c.fp")) & (F.col("r") + F.col("c.r") <= BITS))
         .select(F.col("c.fp").alias("a"), F.col("fp").alias("b"))
         .distinct()
@@ -176,13 +178,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cro
     ids = written(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))).drop("text"))
     own = written(ids.groupBy("fp").agg(F.min("doc_id").alias("low")))
     tied = components(links(own.select("fp"), crowd))
-    named = own.join(tied.select(F.col("vertex").alias("fp"), "root"), "fp", "left").select(
+    named = own.hint("merge").join(tied.select(F.col("vertex").alias("fp"), "root"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "low"
     )
     named = written(named)
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = written(named.join(lows, "root").select("fp", "component_id"))
-    return ids.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return ids.hint("merge").join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

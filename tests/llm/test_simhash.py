@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from regionlens.functions import materialize
 from regionlens.llm import components as comp
 from regionlens.llm import simhash
 
@@ -72,6 +73,26 @@ def test_links_connect_what_hamming_distance_connects(spark, crowd):
     assert roots(len(signed), close) == roots(len(signed), [(at[a], at[b]) for a, b in edges])
 
 
+def test_exploded_tables_are_not_broadcast(spark):
+    """Spark sizes probes and midpoints like the table they were exploded from, far too low."""
+    plans = []
+
+    def look(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    rnd = random.Random(4)
+    near = {(7 << 32) | (rnd.getrandbits(4) << 40) | 1 for _ in range(30)}
+    df = spark.createDataFrame([(x,) for x in near | {rnd.getrandbits(63) for _ in range(40)}], "fp long")
+    fps = materialize.written(df)
+    materialize.WATCHERS.append(look)
+    try:
+        look(simhash.links(fps, 2))
+    finally:
+        materialize.WATCHERS.remove(look)
+    exploded = [p for p in plans if "Generate explode" in p and "Join" in p]
+    assert len(exploded) == 2 and not any("Broadcast" in p for p in plans)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     n = 300
