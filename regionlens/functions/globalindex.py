@@ -38,9 +38,10 @@ def with_global_index(df: DataFrame, order_by: Sequence[str], name: str = "idx")
     offsets = df.sparkSession.createDataFrame(
         [(int(r["_part"]), int(s)) for r, s in zip(sizes, starts)], "_part int, _start long"
     )
+    # A frame from the driver has no size Spark knows, so without the hint the table itself would be broadcast.
     return (
         tagged.withColumn("_part", part)
-        .join(offsets, "_part")
+        .join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_start") + F.col("_tag").bitwiseAND(F.lit(WITHIN)))
         .drop("_part", "_start", "_tag")
     )

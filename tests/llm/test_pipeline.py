@@ -3,8 +3,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from regionlens.functions.globalindex import with_global_index
 from regionlens.llm import decontaminate, packing, queries
 
 from .conftest import odd_rows, order, sentence
@@ -113,6 +115,12 @@ def padded(lengths, counts, tops):
     return sum(c * min(t for t in tops if t >= n) for n, c in zip(lengths, counts))
 
 
+def test_numbering_broadcasts_offsets_only(spark):
+    placed = with_global_index(spark.range(100, numPartitions=4).select((99 - F.col("id")).alias("k")), ["k"], "at")
+    assert re.search(r"BroadcastHashJoin \[_part#\d+\], \[_part#\d+\], Inner, BuildRight", placed._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, placed.select("k", "at").collect())) == [(i, i) for i in range(100)]
+
+
 def test_lengths_match_exhaustive_search():
     rnd = random.Random(9)
     for _ in range(60):
